@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import bpe, exact_dedup, jaccard_join, mixing, token_files, toxicity
+from millrace.llm import bpe, exact_dedup, jaccard_join, mixing, suffix_dedup, token_files, toxicity
 from millrace.llm.common import table
 
 #: Folder of the public tokenizers' files; a parameter of the queries, never copied.
@@ -28,6 +28,10 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_digests(manifest)
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.without_repeats(table(spark, sf_dir, "documents"))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
@@ -54,7 +58,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_files, op4_exact_dedup, op6_jaccard_join, op7_mixing, op8_toxicity, op10_bpe)
+    f.__name__: f for f in (op1_token_files, op2_suffix_dedup, op4_exact_dedup, op6_jaccard_join, op7_mixing, op8_toxicity, op10_bpe)
 }
 
 ORACLES = {

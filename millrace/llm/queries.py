@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import bpe, exact_dedup, jaccard_join, mixing, suffix_dedup, token_files, toxicity
+from millrace.llm import bpe, exact_dedup, jaccard_join, mixing, suffix_dedup, telephony, token_files, toxicity
 from millrace.llm.common import table
 
 #: Folder of the public tokenizers' files; a parameter of the queries, never copied.
@@ -36,6 +36,10 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op5_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return telephony.features(telephony.stored(table(spark, sf_dir, "documents")))
+
+
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.similarity_groups(table(spark, sf_dir, "documents"))
 
@@ -58,7 +62,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_files, op2_suffix_dedup, op4_exact_dedup, op6_jaccard_join, op7_mixing, op8_toxicity, op10_bpe)
+    f.__name__: f for f in (op1_token_files, op2_suffix_dedup, op4_exact_dedup, op5_telephony, op6_jaccard_join, op7_mixing, op8_toxicity, op10_bpe)
 }
 
 ORACLES = {

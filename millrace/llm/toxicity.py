@@ -224,9 +224,24 @@ def marginals(scores: np.ndarray, starts: np.ndarray, moves) -> np.ndarray:
     return both[:, 1] / both.sum(axis=1)
 
 
+#: Emissions of pieces that a Python worker keeps between blocks and tasks, by model.
+KEPT_PIECES = 300_000
+_KNOWN: dict = {}
+
+
 def _emissions(words: list[str], model: Model) -> np.ndarray:
-    weights = model.weights
-    return np.fromiter((model.bias + sum(weights.get(f, 0.0) for f in features(w)) for w in words), np.float64, len(words))
+    name = (model.bias, model.moves, len(model.weights))
+    if name not in _KNOWN:
+        _KNOWN.clear()
+        _KNOWN[name] = {}
+    known, weights = _KNOWN[name], model.weights
+    out = [known.get(w) for w in words]
+    for i, value in enumerate(out):
+        if value is None:
+            out[i] = model.bias + sum(weights.get(f, 0.0) for f in features(words[i]))
+            if len(known) < KEPT_PIECES and len(words[i]) < 40:
+                known[words[i]] = out[i]
+    return np.array(out, np.float64)
 
 
 def tagged(column: pa.Array, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

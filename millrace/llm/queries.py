@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import bpe, exact_dedup, jaccard_join, mixing, suffix_dedup, telephony, token_files, toxicity
+from millrace.llm import bpe, chat_repair, exact_dedup, jaccard_join, mixing, suffix_dedup, telephony, token_files, toxicity
 from millrace.llm.common import table
 
 #: Folder of the public tokenizers' files; a parameter of the queries, never copied.
@@ -32,6 +32,10 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.without_repeats(table(spark, sf_dir, "documents"))
 
 
+def op3_chat_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_repair.repaired(table(spark, sf_dir, "conversations"))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
@@ -62,7 +66,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_files, op2_suffix_dedup, op4_exact_dedup, op5_telephony, op6_jaccard_join, op7_mixing, op8_toxicity, op10_bpe)
+    f.__name__: f for f in (op1_token_files, op2_suffix_dedup, op3_chat_repair, op4_exact_dedup, op5_telephony, op6_jaccard_join, op7_mixing, op8_toxicity, op10_bpe)
 }
 
 ORACLES = {

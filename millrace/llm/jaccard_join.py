@@ -14,7 +14,9 @@ slack. So a signature that more than ``CROWD`` sets share needs a look only for
 than their slack (sets that are mostly common passages); such groups are compared with one member first, then only
 between members that are still in different components. Nothing is capped: the rest of a crowd is always compared.
 
-Candidates are verified on whole feature sets. Features are 64-bit hashes of the words' bytes; sets carry 128 bits of
+Candidates that share fewer signatures than the slack demands are no candidates. Of the rest, a feature that no other
+candidate set has can't be common: a pair whose sizes, less such features, leave too few for the threshold is no
+candidate either. What remains is verified on whole feature sets. Features are 64-bit hashes of the words' bytes; sets carry 128 bits of
 identity.
 
 Nulls and empty texts have empty sets, which link with nothing; a null doc_id is never a representative of others but
@@ -39,7 +41,7 @@ NGRAM = 5
 #: Similarity as a fraction: links have UNION * intersection >= SHARE * union.
 SHARE, UNION = 75, 100
 #: Sets that may share a signature before it counts as crowded, and signatures beyond the promise, by 20ths of the size.
-CROWD, SLACK = 16, 1
+CROWD, SLACK = 16, 3
 #: Below this size each feature is a part of its own. Signatures that a map task gathers before it sends them.
 SINGLE, GATHER = 64, 1_500_000
 
@@ -121,7 +123,7 @@ def signatures(features: np.ndarray) -> np.ndarray:
             own = np.sort(mixed(features ^ salt))[:need]
         else:
             spread = mixed(features ^ salt)
-            part = (spread >> np.uint64(32)) % np.uint64(4 ** (band + 1))
+            part = (spread >> np.uint64(32)) % np.uint64(2 * 4 ** (band + 1))
             order = np.argsort(part, kind="stable")
             part, spread = part[order], spread[order]
             heads = np.nonzero(np.append(True, part[1:] != part[:-1]))[0]
@@ -147,26 +149,45 @@ def summaries(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(summarise, "doc_id long, n long, key long, key2 long")
 
 
+_PACKED = "bucket int, signatures binary, keys binary"
+
+
+def _dealt(signature: list[np.ndarray], key: list[np.ndarray], buckets: int) -> Iterator[pa.RecordBatch]:
+    """Pairs of a hash, of which 48 bits stay, and a key, packed by bucket of the hash."""
+    pair = np.stack([np.concatenate(signature), np.concatenate(key)])
+    bucket = (pair[0] >> np.uint64(40)) % np.uint64(buckets)
+    order = np.argsort(bucket, kind="stable")
+    pair, bucket = pair[:, order], bucket[order]
+    heads = np.nonzero(np.append(True, bucket[1:] != bucket[:-1])[: len(bucket)])[0].tolist()
+    tails = heads[1:] + [len(bucket)]
+    for part in range(0, len(heads), 64):
+        spans = list(zip(heads[part : part + 64], tails[part : part + 64]))
+        low = [(pair[0, a:b] & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes() for a, b in spans]
+        high = [((pair[0, a:b] >> np.uint64(32)) & np.uint64(0xFFFF)).astype("<u2").tobytes() for a, b in spans]
+        yield pa.record_batch(
+            [
+                pa.array([int(bucket[a]) for a, _ in spans], pa.int32()),
+                pa.array([x + y for x, y in zip(low, high)], pa.binary()),
+                pa.array([pair[1, a:b].tobytes() for a, b in spans], pa.binary()),
+            ],
+            ["bucket", "signatures", "keys"],
+        )
+
+
+def _gathered(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of a task's packed rows. The bucket is part of the hash, as one task may read several."""
+    signature, key = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
+    for batch in batches:
+        for bucket, row, keys in zip(*(batch.column(c).to_pylist() for c in ("bucket", "signatures", "keys"))):
+            n = len(row) // 6
+            high = np.frombuffer(row, "<u2", n, n * 4).astype(np.uint64) | (np.uint64(bucket & 0xFFFF) << np.uint64(16))
+            signature.append(np.frombuffer(row, "<u4", n).astype(np.uint64) | (high << np.uint64(32)))
+            key.append(np.frombuffer(keys, np.uint64))
+    return np.concatenate(signature), np.concatenate(key)
+
+
 def _packed(docs: DataFrame, buckets: int) -> DataFrame:
-    """(bucket, signatures, keys, sizes): signatures of the sets of one map task, packed by bucket of the signature."""
-
-    def send(signature: list[np.ndarray], key: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        pair = np.stack([np.concatenate(signature), np.concatenate(key)])
-        bucket = (pair[0] >> np.uint64(40)) % np.uint64(buckets)
-        order = np.argsort(bucket, kind="stable")
-        pair, bucket = pair[:, order], bucket[order]
-        heads = np.nonzero(np.append(True, bucket[1:] != bucket[:-1]))[0].tolist()
-        for part in range(0, len(heads), 64):
-            some = heads[part : part + 64]
-            ends = heads[part + 1 : part + 65] + [len(bucket)] * (part + 64 >= len(heads))
-            yield pa.record_batch(
-                [
-                    pa.array(bucket[some].astype(np.int32)),
-                    pa.array([(pair[0, a:b] & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes() + (pair[0, a:b] >> np.uint64(32)).astype("<u2").tobytes() for a, b in zip(some, ends)], pa.binary()),
-                    pa.array([pair[1, a:b].tobytes() for a, b in zip(some, ends)], pa.binary()),
-                ],
-                ["bucket", "signatures", "keys"],
-            )
+    """(bucket, signatures, keys): signatures of the sets of a map task with the sets' keys."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         signature, key, have, seen = [], [], 0, set()
@@ -181,24 +202,20 @@ def _packed(docs: DataFrame, buckets: int) -> DataFrame:
                 key.append(np.full(len(found), own, np.int64).view(np.uint64))
                 have += len(found)
             if have >= GATHER:
-                yield from send(signature, key)
+                yield from _dealt(signature, key, buckets)
                 signature, key, have = [], [], 0
             if len(seen) > 200_000:
                 seen.clear()
         if have:
-            yield from send(signature, key)
+            yield from _dealt(signature, key, buckets)
 
-    return docs.select("doc_id", "text").mapInArrow(pack, "bucket int, signatures binary, keys binary")
+    return docs.select("text").mapInArrow(pack, _PACKED)
 
 
 def _met(packed: DataFrame) -> DataFrame:
     """(a, b, shared, crowded): pairs of sets that share signatures, and how many; where ``crowded`` is set, a is a
     signature and b a set that has it."""
 
-    def unpack(row: bytes) -> np.ndarray:
-        n = len(row) // 6
-        return np.frombuffer(row, "<u4", n).astype(np.uint64) | (np.frombuffer(row, "<u2", n, n * 4).astype(np.uint64) << np.uint64(32))
-
     def rows(a, b, shared, crowded: bool) -> Iterator[pa.RecordBatch]:
         for first in range(0, len(a), 100_000):
             own = slice(first, first + 100_000)
@@ -208,13 +225,9 @@ def _met(packed: DataFrame) -> DataFrame:
             )
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        signature, key = [], []
-        for batch in batches:
-            signature += map(unpack, batch.column("signatures").to_pylist())
-            key += [np.frombuffer(x, np.uint64) for x in batch.column("keys").to_pylist()]
-        if not signature:
+        signature, key = _gathered(batches)
+        if not len(signature):
             return
-        signature, key = np.concatenate(signature), np.concatenate(key)
         order = np.argsort(signature)
         signature, key = signature[order], key[order]
         # only signatures that occur again matter
@@ -264,6 +277,30 @@ def _stored_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return found.select("key", "features")
 
 
+def _shared_sizes(sets: DataFrame, buckets: int) -> DataFrame:
+    """(key, alone): how many features of each set no other of these sets has."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first in range(0, batch.num_rows, 1000):
+                some = batch.slice(first, 1000)
+                lists = [np.frombuffer(x, np.uint64) for x in some.column("features").to_pylist()]
+                yield from _dealt([np.concatenate(lists)], [np.repeat(some.column("key").to_numpy().view(np.uint64), [len(x) for x in lists])], buckets)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        feature, key = _gathered(batches)
+        order = np.argsort(feature)
+        feature, key = feature[order], key[order]
+        differs = np.append(True, feature[1:] != feature[:-1])
+        alone = (differs & np.append(differs[1:], True))[: len(key)]
+        names, n = np.unique(key[alone], return_counts=True)
+        yield pa.record_batch([pa.array(names.view(np.int64)), pa.array(n)], ["key", "alone"])
+
+    packed = sets.select("key", "features").mapInArrow(pack, _PACKED)
+    found = packed.repartition("bucket").mapInArrow(count, "key long, alone long")
+    return found.groupBy("key").agg(F.sum("alone").alias("alone"))
+
+
 def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) of sets whose similarity reaches the threshold."""
 
@@ -298,15 +335,31 @@ def similarity_groups(docs: DataFrame) -> DataFrame:
     # crowded signatures, of sets that have more of them than their slack
     crowded = met.where("crowded").select(F.col("a").alias("signature"), F.col("b").alias("key")).distinct()
     crowded = written(crowded, "crowded")
+    per_set = crowded.groupBy("key").agg(F.count(F.lit(1)).alias("crowds"))
+    sizes = owners.groupBy("key").agg(F.max("n").alias("n"))
+    counts = written(sizes.join(per_set, "key", "left").select("key", "n", F.coalesce("crowds", F.lit(0)).alias("crowds")), "set-sizes")
+    one = counts.select(F.col("key").alias("a"), F.col("n").alias("n_a"), F.col("crowds").alias("crowds_a"))
+    two = counts.select(F.col("key").alias("b"), F.col("n").alias("n_b"), F.col("crowds").alias("crowds_b"))
+    # similar sets share more signatures than the smaller one's slack; how many crowded ones they share is not known yet
+    enough = F.col("shared") + F.least("crowds_a", "crowds_b") > F.floor(F.least("n_a", "n_b") * SLACK / 20)
+    pairs = written(pairs.join(one, "a").join(two, "b").where(enough).select("a", "b", "shared", "n_a", "n_b"), "likely")
     allowed = F.floor(F.floor(F.col("n") * SHARE / UNION) * SLACK / 20)  # the slack of the smallest set it can link with
-    deep = crowded.groupBy("key").count().join(owners.select("key", "n"), "key").where(F.col("count") > allowed).select("key").distinct()
-    crowds = crowded.join(deep, "key")
-    sized = crowds.groupBy("signature").agg(F.count(F.lit(1)).alias("members"), F.min("key").alias("head")).where("members > 1")
-    crowds = written(crowds.join(sized, "signature"), "crowds")
+    crowds = written(crowded.join(counts.where(F.col("crowds") > allowed).select("key", "n"), "key"), "crowds")
 
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("key")).union(crowds.select("key")).distinct()
     wanted = written(wanted.join(owners, "key").where("doc_id IS NOT NULL").select("doc_id", "key"), "wanted")
     sets = written(_stored_sets(docs, wanted).dropDuplicates(["key"]), "features")
+    alone = written(_shared_sizes(sets, buckets), "alone")
+    one = alone.select(F.col("key").alias("a"), F.col("alone").alias("alone_a"))
+    two = alone.select(F.col("key").alias("b"), F.col("alone").alias("alone_b"))
+    most_a, most_b = F.col("n_a") - F.coalesce("alone_a", F.lit(0)), F.col("n_b") - F.coalesce("alone_b", F.lit(0))
+    most = F.least(most_a, most_b)
+    possible = UNION * most >= SHARE * (F.col("n_a") + F.col("n_b") - most)
+    pairs = written(pairs.join(one, "a", "left").join(two, "b", "left").where(possible).select("a", "b", "shared"), "possible")
+    crowds = crowds.join(alone, "key", "left").withColumn("most", F.col("n") - F.coalesce("alone", F.lit(0)))
+    crowds = crowds.where(UNION * F.col("most") >= SHARE * F.col("n")).drop("alone")
+    sized = crowds.groupBy("signature").agg(F.count(F.lit(1)).alias("members"), F.min("key").alias("head")).where("members > 1")
+    crowds = written(crowds.join(sized, "signature"), "crowds")
 
     # first each set's strongest candidate and the head of each crowd, then whatever is still apart
     sides = pairs.select("a", "b", "shared").union(pairs.select("b", "a", "shared"))
@@ -321,14 +374,15 @@ def similarity_groups(docs: DataFrame) -> DataFrame:
         b = labels.select(F.col("node").alias("b"), F.col("component").alias("of_b"))
         apart = pairs.select("a", "b").join(a, "a", "left").join(b, "b", "left")
         apart = apart.where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b")
-        labelled = crowds.join(labels, F.col("key") == F.col("node"), "left").select("signature", "key", F.coalesce("component", "key").alias("component"))
+        labelled = crowds.join(labels, F.col("key") == F.col("node"), "left").select("signature", "key", "n", "most", F.coalesce("component", "key").alias("component"))
         parts = labelled.groupBy("signature", "component").agg(F.count(F.lit(1)).alias("members"))
         split = parts.groupBy("signature").agg(F.max_by("component", F.struct("members", "component")).alias("largest"), F.count(F.lit(1)).alias("parts"))
         open_crowds = written(labelled.join(split.where("parts > 1").select("signature", "largest"), "signature"), "open-crowds")
         # members outside a crowd's largest component stand against the others; one component's members never meet
-        one = open_crowds.where("component != largest").select("signature", F.col("key").alias("a"), F.col("component").alias("of_a"))
-        two = open_crowds.select("signature", F.col("key").alias("b"), F.col("component").alias("of_b"))
-        across = one.join(two, "signature").where("of_a != of_b").select("a", "b")
+        one = open_crowds.where("component != largest").selectExpr("signature", "key AS a", "component AS of_a", "n AS n_a", "most AS most_a")
+        two = open_crowds.selectExpr("signature", "key AS b", "component AS of_b", "n AS n_b", "most AS most_b")
+        able = F.expr(f"{UNION} * least(most_a, most_b) >= {SHARE} * (n_a + n_b - least(most_a, most_b))")
+        across = one.join(two, "signature").where("of_a != of_b").where(able).select("a", "b")
         rest = written(ordered(apart.union(across)).join(tried, ["a", "b"], "left_anti"), "rest")
         if rest.isEmpty():
             break

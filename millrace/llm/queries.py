@@ -7,14 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import bpe, chat_repair, exact_dedup, jaccard_join, mixing, suffix_dedup, telephony, token_files, toxicity
+from millrace.llm import bpe, chat_repair, exact_dedup, jaccard_join, mixing, pii, suffix_dedup, telephony, token_files, toxicity
 from millrace.llm.common import table
 
 #: Folder of the public tokenizers' files; a parameter of the queries, never copied.
 TOKENIZERS = "/opt/tokenizers"
 
 
-def _vocabulary(name: str) -> str:
+def vocabulary(name: str) -> str:
     try:
         import public_tokenizers
 
@@ -24,7 +24,7 @@ def _vocabulary(name: str) -> str:
 
 
 def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    manifest = token_files.write_shards(table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"), end_id=2)
+    manifest = token_files.write_shards(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), end_id=2)
     return token_files.read_digests(manifest)
 
 
@@ -61,12 +61,17 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return pii.find(docs, pii.fit(docs))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.encode_documents(table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_multi_50k.tiktoken"))
+    return bpe.encode_documents(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_multi_50k.tiktoken"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_files, op2_suffix_dedup, op3_chat_repair, op4_exact_dedup, op5_telephony, op6_jaccard_join, op7_mixing, op8_toxicity, op10_bpe)
+    f.__name__: f for f in (op1_token_files, op2_suffix_dedup, op3_chat_repair, op4_exact_dedup, op5_telephony, op6_jaccard_join, op7_mixing, op8_toxicity, op9_pii, op10_bpe)
 }
 
 ORACLES = {

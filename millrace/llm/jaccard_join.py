@@ -11,8 +11,10 @@ small sets, where few parts could all be empty, each feature is a part of its ow
 Signatures name sets, not documents: equal sets meet as one before anything is compared, however many copies there
 are. Each set has some signatures more than it needs, its slack: two similar sets then share more signatures than the
 slack. So a signature that more than ``CROWD`` sets share needs a look only for sets with more crowded signatures
-than their slack (sets that are mostly common passages); such groups are compared with one member first, then only
-between members that are still in different components. Nothing is capped: the rest of a crowd is always compared.
+than their slack (sets that are mostly common passages, or families of edited copies). Crowds with the same least
+member are one family. A family is compared in blocks of bounded size, a task for each pair of blocks, by bitmaps of the
+features that its members share: each member first with one set of every component, then only with members of other
+components. No row per pair leaves a task, only links that join components. Nothing is capped.
 
 Candidates that share fewer signatures than the slack demands are no candidates. Of the rest, a feature that no other
 candidate set has can't be common: a pair whose sizes, less such features, leave too few for the threshold is no
@@ -42,6 +44,8 @@ NGRAM = 5
 SHARE, UNION = 75, 100
 #: Sets that may share a signature before it counts as crowded, and signatures beyond the promise, by 20ths of the size.
 CROWD, SLACK = 16, 3
+#: Sets in a block of a family, and features that its bitmaps hold; beyond them, lists of sets by feature are counted.
+BLOCK_SETS, BITS = 1500, 1 << 16
 #: Below this size each feature is a part of its own. Signatures that a map task gathers before it sends them.
 SINGLE, GATHER = 64, 1_500_000
 
@@ -321,6 +325,80 @@ def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.select("a", "b").join(left, "a").join(right, "b").mapInArrow(verify, "a long, b long")
 
 
+def _overlaps(lists: list[np.ndarray]):
+    """A function (i, others) -> sizes of the intersections of list i with others, by bitmaps where they are small."""
+    sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+    flat, code, df = np.unique(np.concatenate(lists), return_inverse=True, return_counts=True)
+    rank = np.cumsum(df > 1) - 1  # features of one set only are in no intersection
+    owner = np.repeat(np.arange(len(lists)), sizes)
+    keep = df[code] > 1
+    owner, code = owner[keep], rank[code[keep]]
+    width = int((df > 1).sum())
+    del flat
+    if width <= BITS:
+        dense = np.zeros((len(lists), -(-max(width, 1) // 64) * 8), np.uint8)
+        np.bitwise_or.at(dense, (owner, code >> 3), (1 << (code & 7)).astype(np.uint8))
+        bits = dense.view(np.uint64)
+        return lambda i, others: np.bitwise_count(bits[others] & bits[i]).sum(axis=1, dtype=np.int64)
+    order = np.argsort(code, kind="stable")
+    sets_of, ends = owner[order], np.cumsum(np.bincount(code, minlength=width))
+    own_ends = np.cumsum(np.bincount(owner, minlength=len(lists)))
+
+    def count(i, others):
+        own = code[own_ends[i - 1] if i else 0 : own_ends[i]]
+        met = [sets_of[ends[c - 1] if c else 0 : ends[c]] for c in own.tolist()]
+        return np.bincount(np.concatenate(met) if met else sets_of[:0], minlength=len(lists))[others]
+
+    return count
+
+
+def _compared(rows: pa.Table) -> pa.Table:
+    """Links that join components, of one block or between the two blocks of a pair."""
+    key, n, most = (rows.column(c).to_numpy() for c in ("key", "n", "most"))
+    side, root = rows.column("block").to_numpy(), rows.column("component").to_numpy().copy()
+    across = side.min() != side.max()
+    if rows.column("low")[0].as_py() != rows.column("high")[0].as_py() and not across:
+        return pa.table({"a": key[:0], "b": key[:0]})
+    overlap = _overlaps([np.frombuffer(x.as_buffer(), np.uint64) for x in rows.column("features").combine_chunks()])
+    left, right = [], []
+
+    def test(i: int, others: np.ndarray) -> None:
+        common = overlap(i, others)
+        for j in others[UNION * common >= SHARE * (n[i] + n[others] - common)].tolist():
+            if root[i] != root[j]:
+                left.append(key[i])
+                right.append(key[j])
+                root[root == root[i]] = root[j]
+
+    for i in range(1, len(key)):
+        limit = np.minimum(most[i], most[:i])
+        able = UNION * limit >= SHARE * (n[i] + n[:i] - limit)
+        if across:
+            able &= side[:i] != side[i]
+        others = np.nonzero(able & (root[:i] != root[i]))[0]
+        if len(others):
+            test(i, others[np.unique(root[others], return_index=True)[1]])
+            others = others[root[others] != root[i]]
+        if len(others):
+            test(i, others)
+    return pa.table({"a": pa.array(left, pa.int64()), "b": pa.array(right, pa.int64())})
+
+
+def _family_links(crowds: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links within families: crowds (signature, key, n, most) whose least members agree."""
+    heads = crowds.groupBy("signature").agg(F.min("key").alias("head"), F.count(F.lit(1)).alias("members")).where("members > 1")
+    family = crowds.join(heads.select("signature", "head"), "signature").select("head", "key", "n", "most").distinct()
+    family = family.join(labels, F.col("key") == F.col("node"), "left").withColumn("component", F.coalesce("component", "key")).drop("node")
+    family = written(family, "families")
+    size = family.groupBy("head").agg(F.count(F.lit(1)).alias("sets"), F.min("component").alias("x"), F.max("component").alias("y")).where("x != y")
+    counts = F.ceil(F.col("sets") / BLOCK_SETS).cast("int")
+    dealt = family.join(size.select("head", counts.alias("blocks")), "head").withColumn("block", (F.pmod(F.xxhash64("key"), F.col("blocks"))).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("head", "key", "n", "most", "component", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
+    whole = dealt.join(sets, "key")
+    return whole.groupBy("head", "low", "high").applyInArrow(_compared, "a long, b long")
+
+
 def similarity_groups(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id) per row of ``docs``: the component is the least doc_id that links reach."""
     spark = docs.sparkSession
@@ -358,36 +436,22 @@ def similarity_groups(docs: DataFrame) -> DataFrame:
     pairs = written(pairs.join(one, "a", "left").join(two, "b", "left").where(possible).select("a", "b", "shared"), "possible")
     crowds = crowds.join(alone, "key", "left").withColumn("most", F.col("n") - F.coalesce("alone", F.lit(0)))
     crowds = crowds.where(UNION * F.col("most") >= SHARE * F.col("n")).drop("alone")
-    sized = crowds.groupBy("signature").agg(F.count(F.lit(1)).alias("members"), F.min("key").alias("head")).where("members > 1")
-    crowds = written(crowds.join(sized, "signature"), "crowds")
+    crowds = written(crowds.select("signature", "key", "n", "most"), "crowds")
 
-    # first each set's strongest candidate and the head of each crowd, then whatever is still apart
+    # first each set's strongest candidate, then whatever pairs are still apart
     sides = pairs.select("a", "b", "shared").union(pairs.select("b", "a", "shared"))
     best = sides.groupBy("a").agg(F.max_by("b", F.struct("shared", "b")).alias("b"))
-    heads = crowds.where("key != head").select(F.col("key").alias("a"), F.col("head").alias("b"))
-    ordered = lambda df: df.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    tried = written(ordered(best.union(heads)), "tried")
-    links = written(_linked(tried, sets), "linked")
-    while True:
-        labels = components(links)
-        a = labels.select(F.col("node").alias("a"), F.col("component").alias("of_a"))
-        b = labels.select(F.col("node").alias("b"), F.col("component").alias("of_b"))
-        apart = pairs.select("a", "b").join(a, "a", "left").join(b, "b", "left")
-        apart = apart.where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b")
-        labelled = crowds.join(labels, F.col("key") == F.col("node"), "left").select("signature", "key", "n", "most", F.coalesce("component", "key").alias("component"))
-        parts = labelled.groupBy("signature", "component").agg(F.count(F.lit(1)).alias("members"))
-        split = parts.groupBy("signature").agg(F.max_by("component", F.struct("members", "component")).alias("largest"), F.count(F.lit(1)).alias("parts"))
-        open_crowds = written(labelled.join(split.where("parts > 1").select("signature", "largest"), "signature"), "open-crowds")
-        # members outside a crowd's largest component stand against the others; one component's members never meet
-        one = open_crowds.where("component != largest").selectExpr("signature", "key AS a", "component AS of_a", "n AS n_a", "most AS most_a")
-        two = open_crowds.selectExpr("signature", "key AS b", "component AS of_b", "n AS n_b", "most AS most_b")
-        able = F.expr(f"{UNION} * least(most_a, most_b) >= {SHARE} * (n_a + n_b - least(most_a, most_b))")
-        across = one.join(two, "signature").where("of_a != of_b").where(able).select("a", "b")
-        rest = written(ordered(apart.union(across)).join(tried, ["a", "b"], "left_anti"), "rest")
-        if rest.isEmpty():
-            break
-        links = written(links.union(_linked(rest, sets)), "linked")
-        tried = written(tried.union(rest), "tried")
+    best = written(best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "best")
+    links = written(_linked(best, sets), "linked")
+    labels = components(links)
+    a = labels.select(F.col("node").alias("a"), F.col("component").alias("of_a"))
+    b = labels.select(F.col("node").alias("b"), F.col("component").alias("of_b"))
+    apart = pairs.select("a", "b").join(best, ["a", "b"], "left_anti").join(a, "a", "left").join(b, "b", "left")
+    apart = apart.where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b")
+    links = written(links.union(_linked(apart, sets)), "linked")
+    labels = components(links)
+    links = links.union(_family_links(crowds, labels, sets))
+    labels = components(written(links, "linked"))
 
     named = labels.join(owners.select("key", "doc_id"), F.col("node") == F.col("key")).groupBy("component").agg(F.min("doc_id").alias("component_id"))
     of_key = labels.join(named, "component").select(F.col("node").alias("key"), "component_id")

@@ -186,5 +186,6 @@ def read_digests(manifest: DataFrame) -> DataFrame:
                         ["doc_id", "start", "n_tokens", "ids_crc32"],
                     )
 
-    spread = placed.repartition(F.col("shard"))
+    # a task per shard: without a number, adaptive execution would put these few rows into one task
+    spread = placed.repartitionByRange(max(1, manifest.count()), "shard")
     return spread.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")

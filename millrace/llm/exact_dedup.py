@@ -122,6 +122,7 @@ def exact_groups(docs: DataFrame) -> DataFrame:
         "recipe-ids",
     )
     groups = rows.groupBy("ids").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    groups = written(groups, "recipe-groups")  # so that the join below has its own exchanges, which can be split
     return rows.join(groups, "ids").select(
         "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256"
     )

@@ -379,7 +379,7 @@ def repeats(docs: DataFrame, crowded: int = CROWD) -> tuple[DataFrame, DataFrame
     (doc_id, text) of the texts that were searched; (doc_id, spans) of the repeated ranges found in them."""
     rows = docs.select("doc_id", "text")
     info = written(_documents(rows), "texts")
-    first = info.groupBy("digest").agg(F.min("doc_id").alias("first"))
+    first = written(info.groupBy("digest").agg(F.min("doc_id").alias("first")), "firsts")  # the join's exchanges can then be split
     info = written(info.join(first, "digest").select("doc_id", "n_bytes", "digest", "name", (F.col("doc_id") != F.col("first")).alias("whole")), "texts")
 
     buckets = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))

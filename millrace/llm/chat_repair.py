@@ -85,8 +85,9 @@ def _codes(roles: pd.Series) -> np.ndarray:
 
 
 def _segments(table: pd.DataFrame):
+    """Row ranges of one part of one conversation each."""
     conv = table["conv_id"]
-    same = (conv.eq(conv.shift()) | (conv.isna() & conv.shift().isna())).to_numpy().copy()
+    same = ((conv.eq(conv.shift()) | (conv.isna() & conv.shift().isna())) & table["part"].eq(table["part"].shift())).to_numpy().copy()
     same[:1] = False
     edges = np.append(np.nonzero(~same)[0], len(table))
     return zip(edges[:-1].tolist(), edges[1:].tolist())

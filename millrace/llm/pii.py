@@ -310,7 +310,7 @@ def _labelled(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(cut, "kind int, name string, classes binary, tags binary")
 
 
-def fit(docs: DataFrame, size: int = SAMPLE, per_kind: int = PER_KIND) -> Tagger | None:
+def fit(docs: DataFrame, size: int = SAMPLE, per_kind: int = PER_KIND, epochs: int = EPOCHS) -> Tagger | None:
     """A tagger trained on windows of ``size`` documents; None if they hold no base spans."""
     chosen = docs.where("text IS NOT NULL").select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(size)
     # ``size`` ids: bounded by a parameter, so broadcast
@@ -327,7 +327,7 @@ def fit(docs: DataFrame, size: int = SAMPLE, per_kind: int = PER_KIND) -> Tagger
     tags = tags.copy()
     first = tags[:, 0]
     tags[:, 0] = np.where((first > 0) & (first % 2 == 0), first - 1, first)
-    return train(classes, tags)
+    return train(classes, tags, epochs)
 
 
 def _asked(kind: int, text: str) -> bool:

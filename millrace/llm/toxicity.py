@@ -300,7 +300,9 @@ def fit(docs: DataFrame, labels: DataFrame, held_out=None, size: int = SAMPLE) -
 
 
 def scored(docs: DataFrame, model: Model, spans: bool = False) -> DataFrame:
-    """``docs`` with score, predicted, and if asked for ``spans``: (start, end) of toxic runs in code points."""
+    """``docs`` with score, predicted, and if asked for ``spans``: (start, end) of toxic runs in code points. Columns of
+    these names are replaced."""
+    docs = docs.drop("score", "predicted", "spans")
     columns = docs.columns
     extra = [T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]
     if spans:

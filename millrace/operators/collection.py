@@ -1,0 +1,30 @@
+"""A collection of chunks behind count, get and query, all of which return DataFrames."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from millrace.operators import retrieval
+
+
+class Collection:
+    """Rows (id, seq, vector, metadata columns …). Filters use the nested language of ``metadata_filter``."""
+
+    def __init__(self, rows: DataFrame):
+        self.rows = rows
+
+    def count(self, where: dict | None = None) -> DataFrame:
+        return self.rows.where(retrieval.metadata_filter(where or {})).agg(F.count(F.lit(1)).alias("n"))
+
+    def get(self, ids: list | None = None, where: dict | None = None, limit: int | None = None, offset: int = 0) -> DataFrame:
+        """Rows in the collection's order, whatever order the ids have."""
+        found = self.rows.where(retrieval.metadata_filter(where or {}))
+        if ids is not None:
+            found = found.where(F.col("id").isin(list(ids)))
+        found = found.orderBy("seq", "id").offset(offset)
+        return found if limit is None else found.limit(limit)
+
+    def query(self, queries: DataFrame, scope: str, most: int = 40, where: dict | None = None) -> DataFrame:
+        """Exact neighbours of (query_id, scope, query_vector) within the scope."""
+        return retrieval.nearest(queries, self.rows.where(retrieval.metadata_filter(where or {})), scope, most)

@@ -46,6 +46,8 @@ SHARE, UNION = 75, 100
 CROWD, SLACK = 16, 3
 #: Sets in a block of a family, and features that its bitmaps hold; beyond them, lists of sets by feature are counted.
 BLOCK_SETS, BITS = 1500, 1 << 16
+#: Hash buckets of doc_ids that a broadcast filter may hold.
+BUCKETS = 1 << 20
 #: Below this size each feature is a part of its own. Signatures that a map task gathers before it sends them.
 SINGLE, GATHER = 64, 1_500_000
 
@@ -276,7 +278,11 @@ def _stored_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 ["own", "key", "features"],
             )
 
-    chosen = docs.select("doc_id", "text").join(wanted, "doc_id")
+    # a filter of BUCKETS hash buckets at most, whatever the input's size: texts outside them need no shuffle
+    bucket = F.pmod(F.xxhash64("doc_id"), F.lit(BUCKETS)).cast("int")
+    buckets = written(wanted.select(bucket.alias("bucket")).distinct(), "wanted-buckets")
+    likely = docs.select("doc_id", "text", bucket.alias("bucket")).join(F.broadcast(buckets), "bucket", "left_semi")
+    chosen = likely.select("doc_id", "text").join(wanted, "doc_id")
     found = chosen.select("key", "text").mapInArrow(store, "own long, key long, features binary").where("own = key")
     return found.select("key", "features")
 
@@ -355,7 +361,7 @@ def _overlaps(lists: list[np.ndarray]):
 def _compared(rows: pa.Table) -> pa.Table:
     """Links that join components, of one block or between the two blocks of a pair."""
     key, n, most = (rows.column(c).to_numpy() for c in ("key", "n", "most"))
-    side, root = rows.column("block").to_numpy(), rows.column("component").to_numpy().copy()
+    side, root = rows.column("block").to_numpy(), np.arange(rows.num_rows)
     across = side.min() != side.max()
     if rows.column("low")[0].as_py() != rows.column("high")[0].as_py() and not across:
         return pa.table({"a": key[:0], "b": key[:0]})
@@ -384,19 +390,15 @@ def _compared(rows: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array(left, pa.int64()), "b": pa.array(right, pa.int64())})
 
 
-def _family_links(crowds: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links within families: crowds (signature, key, n, most) whose least members agree."""
+def _family_links(crowds: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links that connect families: crowds (signature, key, n, most) whose least members agree."""
     heads = crowds.groupBy("signature").agg(F.min("key").alias("head"), F.count(F.lit(1)).alias("members")).where("members > 1")
-    family = crowds.join(heads.select("signature", "head"), "signature").select("head", "key", "n", "most").distinct()
-    family = family.join(labels, F.col("key") == F.col("node"), "left").withColumn("component", F.coalesce("component", "key")).drop("node")
-    family = written(family, "families")
-    size = family.groupBy("head").agg(F.count(F.lit(1)).alias("sets"), F.min("component").alias("x"), F.max("component").alias("y")).where("x != y")
-    counts = F.ceil(F.col("sets") / BLOCK_SETS).cast("int")
-    dealt = family.join(size.select("head", counts.alias("blocks")), "head").withColumn("block", (F.pmod(F.xxhash64("key"), F.col("blocks"))).cast("int"))
+    family = written(crowds.join(heads.select("signature", "head"), "signature").select("head", "key", "n", "most").distinct(), "families")
+    blocks = family.groupBy("head").agg(F.ceil(F.count(F.lit(1)) / BLOCK_SETS).cast("int").alias("blocks"))
+    dealt = family.join(blocks, "head").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("head", "key", "n", "most", "component", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
-    whole = dealt.join(sets, "key")
-    return whole.groupBy("head", "low", "high").applyInArrow(_compared, "a long, b long")
+    dealt = dealt.select("head", "key", "n", "most", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
+    return dealt.join(sets, "key").groupBy("head", "low", "high").applyInArrow(_compared, "a long, b long")
 
 
 def similarity_groups(docs: DataFrame) -> DataFrame:
@@ -425,33 +427,21 @@ def similarity_groups(docs: DataFrame) -> DataFrame:
     crowds = written(crowded.join(counts.where(F.col("crowds") > allowed).select("key", "n"), "key"), "crowds")
 
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("key")).union(crowds.select("key")).distinct()
-    wanted = written(wanted.join(owners, "key").where("doc_id IS NOT NULL").select("doc_id", "key"), "wanted")
-    sets = written(_stored_sets(docs, wanted).dropDuplicates(["key"]), "features")
+    wanted = wanted.join(owners, "key").where("doc_id IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("doc_id"))
+    wanted = written(wanted, "wanted")
+    sets = written(_stored_sets(docs, wanted), "features")
     alone = written(_shared_sizes(sets, buckets), "alone")
     one = alone.select(F.col("key").alias("a"), F.col("alone").alias("alone_a"))
     two = alone.select(F.col("key").alias("b"), F.col("alone").alias("alone_b"))
     most_a, most_b = F.col("n_a") - F.coalesce("alone_a", F.lit(0)), F.col("n_b") - F.coalesce("alone_b", F.lit(0))
     most = F.least(most_a, most_b)
     possible = UNION * most >= SHARE * (F.col("n_a") + F.col("n_b") - most)
-    pairs = written(pairs.join(one, "a", "left").join(two, "b", "left").where(possible).select("a", "b", "shared"), "possible")
+    pairs = pairs.join(one, "a", "left").join(two, "b", "left").where(possible).select("a", "b")
     crowds = crowds.join(alone, "key", "left").withColumn("most", F.col("n") - F.coalesce("alone", F.lit(0)))
     crowds = crowds.where(UNION * F.col("most") >= SHARE * F.col("n")).drop("alone")
-    crowds = written(crowds.select("signature", "key", "n", "most"), "crowds")
-
-    # first each set's strongest candidate, then whatever pairs are still apart
-    sides = pairs.select("a", "b", "shared").union(pairs.select("b", "a", "shared"))
-    best = sides.groupBy("a").agg(F.max_by("b", F.struct("shared", "b")).alias("b"))
-    best = written(best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "best")
-    links = written(_linked(best, sets), "linked")
-    labels = components(links)
-    a = labels.select(F.col("node").alias("a"), F.col("component").alias("of_a"))
-    b = labels.select(F.col("node").alias("b"), F.col("component").alias("of_b"))
-    apart = pairs.select("a", "b").join(best, ["a", "b"], "left_anti").join(a, "a", "left").join(b, "b", "left")
-    apart = apart.where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b")
-    links = written(links.union(_linked(apart, sets)), "linked")
+    crowds = crowds.select("signature", "key", "n", "most")
+    links = written(_linked(pairs, sets).union(_family_links(crowds, sets)), "linked")
     labels = components(links)
-    links = links.union(_family_links(crowds, labels, sets))
-    labels = components(written(links, "linked"))
 
     named = labels.join(owners.select("key", "doc_id"), F.col("node") == F.col("key")).groupBy("component").agg(F.min("doc_id").alias("component_id"))
     of_key = labels.join(named, "component").select(F.col("node").alias("key"), "component_id")

@@ -87,3 +87,49 @@ def without_furniture(lines_column: Column, most: int = 4) -> Column:
     head = F.slice(lines_column, 1, most)
     drop = F.aggregate(head, start, lambda s, x: F.struct((s["n"] + F.when(s["going"] & bare(x), 1).otherwise(0)).alias("n"), (s["going"] & bare(x)).alias("going")), lambda s: s["n"])
     return F.slice(lines_column, drop + 1, F.greatest(F.size(lines_column) - drop, F.lit(0)))
+
+
+def split_with_carry(parts: Column, size: int = 1200, carry: int = 100) -> Column:
+    """Lines packed up to ``size``; a new piece begins with the last lines of the one before, up to ``carry``
+    characters in all."""
+    none = F.array().cast("array<string>")
+    start = F.struct(none.alias("done"), none.alias("open"), F.lit(0).alias("n"))
+
+    def tail(lines_: Column) -> Column:
+        seed = F.struct(none.alias("kept"), F.lit(0).alias("n"), F.lit(True).alias("going"))
+
+        def take(s: Column, x: Column) -> Column:
+            fits = s["going"] & (s["n"] + F.length(x) + 1 <= carry)
+            return F.struct(F.when(fits, F.concat(F.array(x), s["kept"])).otherwise(s["kept"]).alias("kept"), (s["n"] + F.when(fits, F.length(x) + 1).otherwise(0)).alias("n"), fits.alias("going"))
+
+        return F.aggregate(F.reverse(lines_), seed, take, lambda s: s["kept"])
+
+    def size_of(lines_: Column) -> Column:
+        return F.aggregate(lines_, F.lit(0), lambda n, x: n + F.length(x) + 1)
+
+    def add(s: Column, x: Column) -> Column:
+        full = (F.size(s["open"]) > 0) & (s["n"] + F.length(x) + 1 > size)
+        kept = tail(s["open"])
+        return F.struct(
+            F.when(full, F.concat(s["done"], F.array(F.array_join(s["open"], "\n")))).otherwise(s["done"]).alias("done"),
+            F.when(full, F.concat(kept, F.array(x))).otherwise(F.concat(s["open"], F.array(x))).alias("open"),
+            F.when(full, size_of(kept) + F.length(x) + 1).otherwise(s["n"] + F.length(x) + 1).alias("n"),
+        )
+
+    return F.aggregate(parts, start, add, lambda s: F.when(F.size(s["open"]) > 0, F.concat(s["done"], F.array(F.array_join(s["open"], "\n")))).otherwise(s["done"]))
+
+
+def with_breadcrumbs(df: DataFrame, ancestors: str, title: str, piece: str) -> DataFrame:
+    """``piece`` with the path to its section before it."""
+    path = F.array_join(F.concat(F.col(ancestors), F.array(F.col(title))), " > ")
+    return df.withColumn(piece, F.concat(F.lit("["), path, F.lit("] "), F.col(piece)))
+
+
+def assigned_pages(pieces: DataFrame, pages: DataFrame, key: str, piece: str, page_text: str, probes: tuple[int, ...] = (120, 80, 40, 20)) -> DataFrame:
+    """``page_start`` of each piece: the first page that holds its longest findable start, blanks aside."""
+    bare = lambda c: F.regexp_replace(c, r"\s+", "")
+    tries = F.array(*[F.struct(F.lit(i).alias("i"), F.substring(bare(F.col(piece)), 1, n).alias("probe")) for i, n in enumerate(probes)])
+    each = pieces.select(key, "piece_no", F.explode(tries).alias("t")).where("length(t.probe) > 0")
+    met = each.join(pages.select(key, "page", bare(F.col(page_text)).alias("__bare")), key).where(F.contains(F.col("__bare"), F.col("t.probe")))
+    first = met.groupBy(key, "piece_no").agg(F.min_by("page", F.struct("t.i", "page")).alias("page_start"))
+    return pieces.join(first, [key, "piece_no"], "left")

@@ -81,3 +81,26 @@ def with_fallback(found: DataFrame, queries: DataFrame, fallback) -> DataFrame:
     """Results, and for queries without any those of ``fallback(queries)``."""
     missing = queries.join(found.select("query_id").distinct(), "query_id", "left_anti")
     return found.unionByName(fallback(missing))
+
+
+def reranked(candidates: DataFrame, replies: DataFrame, pool: int, most: int, none_is_empty: bool = False) -> DataFrame:
+    """(query_id, id, place): candidates (query_id, id, rank) in the order that a reply (query_id, reply) gives.
+
+    A reply numbers the pool's candidates from 0. Queries with ``most`` candidates or fewer keep their order, and so do
+    queries without a usable reply, unless ``none_is_empty``.
+    """
+    held = candidates.where(F.col("rank") <= pool).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "id"))).alias("held"))
+    both = held.join(replies, "query_id", "left").withColumn("n", F.size("held"))
+    numbers = F.filter(F.transform(F.regexp_extract_all(F.coalesce("reply", F.lit("")), F.lit(r"(\d{1,9})"), F.lit(1)), lambda x: x.cast("int")), lambda x: x < F.col("n"))
+    chosen = F.slice(F.array_distinct(numbers), 1, most)
+    own = F.slice(F.sequence(F.lit(0), F.col("n") - 1), 1, most)
+    usable = (F.size(chosen) > 0) & (F.col("n") > most)
+    order = F.when(usable, chosen).when((F.col("n") > most) & F.lit(none_is_empty), F.array().cast("array<int>")).otherwise(own)
+    return both.select("query_id", "held", F.posexplode(order).alias("at", "i")).select(
+        "query_id", F.get("held", F.col("i"))["id"].alias("id"), (F.col("at") + 1).alias("place")
+    )
+
+
+def pointwise(candidates: DataFrame, scores: DataFrame, most: int) -> DataFrame:
+    """(query_id, id, distance, place) by a score table (query_id, id, p): distance is 1 - p."""
+    return ranked(candidates.select("query_id", "id").join(scores, ["query_id", "id"]).select("query_id", "id", (1 - F.col("p")).alias("distance")), ["distance", "id"], most, name="place")

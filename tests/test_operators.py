@@ -79,3 +79,24 @@ def test_gram_matches_equal_all_pairs(spark):
     left = spark.createDataFrame(list(enumerate(labels)), "label int, t string").select("label", grams(F.col("t")).alias("g"))
     right = spark.createDataFrame(list(enumerate(lines)), "line int, t string").select("line", grams(F.col("t")).alias("g"))
     assert {(r.label, r.line) for r in figures.gram_matches(left, right, "label", ["line"], 0.8).collect()} == wanted
+
+
+def test_carried_splits_cover_the_text(spark):
+    lines = [("w%d " % i) * (i % 9 + 1) for i in range(120)] + ["z" * 2000, "end"]
+    row = spark.createDataFrame([(lines,)], "lines array<string>")
+    pieces = row.select(chunking.split_with_carry(F.col("lines"), 300, 60)).head()[0]
+    seen = [line for piece in pieces for line in piece.split("\n")]
+    at = 0
+    for line in seen:  # every line in order, repeated lines only at the starts of pieces
+        if at < len(lines) and line == lines[at]:
+            at += 1
+    assert at == len(lines) and all(len(p) <= 300 + 1 for p in pieces if "z" not in p)
+
+
+def test_reranking(spark):
+    rows = spark.createDataFrame([(q, f"d{i}", i + 1) for q in (1, 2, 3) for i in range(4)], "query_id int, id string, rank int")
+    replies = spark.createDataFrame([(1, "2, 0, 2, 9"), (2, "NONE")], "query_id int, reply string")
+    order = lambda df: [(r.query_id, r.id) for r in df.orderBy("query_id", "place").collect()]
+    assert order(retrieval.reranked(rows, replies, 4, 2)) == [(1, "d2"), (1, "d0"), (2, "d0"), (2, "d1"), (3, "d0"), (3, "d1")]
+    assert order(retrieval.reranked(rows, replies, 4, 2, none_is_empty=True)) == [(1, "d2"), (1, "d0")]
+    assert order(retrieval.reranked(rows, replies, 2, 2)) == [(q, d) for q in (1, 2, 3) for d in ("d0", "d1")]

@@ -20,12 +20,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from millrace.llm.common import blocks
+from millrace.llm.common import blocks, worker_state
 from millrace.llm.pretokens import pieces
 
 #: Pieces that a worker keeps between batches and tasks; pieces and bytes per recursive query; bytes of a long piece.
-KEPT_PIECES, PER_QUERY, LONG = 400_000, 20_000, 64
-_WORKERS: dict[str, "Merges"] = {}
+KEPT_PIECES, PER_QUERY, LONG = 250_000, 20_000, 64
 
 SHORT_ROUNDS = """
 WITH RECURSIVE turn(piece, pos, token, done) AS (
@@ -86,7 +85,7 @@ class Merges:
             (ranks[t[:i]] << 20 | ranks[t[i:]], r) for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks
         ]
         self.bytes_of = np.array([ranks[bytes([i])] for i in range(256)], np.int32)
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "200MB", "temp_directory": tempfile.gettempdir()})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "150MB", "temp_directory": tempfile.gettempdir()})
         pair, merged = zip(*pairs)
         found = pa.table({"pair": pa.array(pair, pa.int64()), "merged": pa.array(merged, pa.int32())})
         words = pa.table({"token": pa.array(list(ranks.values()), pa.int32()), "hex": pa.array([t.hex() for t in ranks])})
@@ -131,9 +130,10 @@ class Merges:
 
 
 def merges(path: str) -> Merges:
-    if path not in _WORKERS:
-        _WORKERS[path] = Merges(path)
-    return _WORKERS[path]
+    state = worker_state("bpe")
+    if path not in state:
+        state[path] = Merges(path)
+    return state[path]
 
 
 def encode_documents(docs: DataFrame, ranks: str, ids: bool = False) -> DataFrame:
@@ -144,7 +144,7 @@ def encode_documents(docs: DataFrame, ranks: str, ids: bool = False) -> DataFram
     columns = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * ids
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in blocks(batches, most=8 << 20):
+        for block in blocks(batches, most=4 << 20):
             words, counts = pieces(block.column("text"))
             table = merges(ranks).encode(words.dictionary.to_pylist())
             joined, decoded = ([x[k] for x in table] for k in range(2))

@@ -14,6 +14,32 @@ from pyspark.sql import DataFrame, SparkSession
 BLOCK_BYTES = 2 << 20
 
 
+_STATE: dict[str, dict] = {}
+
+
+def worker_state(operator: str) -> dict:
+    """What an operator keeps in this Python worker between blocks and tasks. A worker serves one operator after
+    another, so another operator's state goes first."""
+    if operator not in _STATE:
+        _STATE.clear()
+        release()
+        _STATE[operator] = {}
+    return _STATE[operator]
+
+
+def release() -> None:
+    """Gives freed memory back to the system: workers live on, and an executor's tasks share its memory."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # only the GNU C library has it
+
+
 def ship(spark: SparkSession) -> None:
     """Sends this package to the Python workers, once for each application: they may not have it on their path."""
     context = spark.sparkContext
@@ -80,6 +106,7 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def blocks(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
     """The rows of the batches in slices of about ``most`` bytes of text at most."""
+    release()
     for batch in batches:
         if not batch.num_rows:
             continue

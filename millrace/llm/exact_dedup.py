@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import blocks, text_bytes, written
+from millrace.llm.common import blocks, text_bytes, worker_state, written
 from millrace.llm.rolling import window_hashes
 
 #: Bytes that decide a cut, mean distance of cuts as a power of two, and the limits of a chunk.
@@ -57,6 +57,7 @@ def _normalised(column: pa.Array) -> tuple[bytes, np.ndarray]:
 
 
 def _recipes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    worker_state("exact_dedup")
     for block in blocks(batches):
         data, offsets = _normalised(block.column("text"))
         raw, starts = data.tobytes(), offsets.tolist()
@@ -72,6 +73,7 @@ def _recipes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    worker_state("exact_dedup")
     for block in blocks(batches):
         data, offsets = _normalised(block.column("text"))
         raw, seen = data.tobytes(), {}

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import blocks, text_bytes, written
+from millrace.llm.common import blocks, text_bytes, worker_state, written
 from millrace.llm.components import components
 from millrace.llm.rolling import BASE, BYTE_VALUES, combine, mixed
 
@@ -49,26 +49,26 @@ BLOCK_SETS, BITS = 1500, 1 << 16
 #: Hash buckets of doc_ids that a broadcast filter may hold.
 BUCKETS = 1 << 20
 #: Below this size each feature is a part of its own. Signatures that a map task gathers before it sends them.
-SINGLE, GATHER = 64, 1_500_000
+SINGLE, GATHER = 64, 800_000
 
 _BLANK = np.zeros(256, bool)
 _BLANK[[32, *range(9, 14)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_POWERS: list[np.ndarray] = []
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """BASE ** i and its inverse, modulo 2 ** 64, for i below n at least."""
-    if not _POWERS or len(_POWERS[0]) < n:
+    state = worker_state("jaccard_join")
+    if "powers" not in state or len(state["powers"][0]) < n:
         size = max(n, 1 << 21)
         inverse = pow(BASE, -1, 1 << 64)
-        _POWERS[:] = []
+        state["powers"] = []
         for base in (BASE, inverse):
             steps = np.full(size, np.uint64(base))
             steps[0] = 1
-            _POWERS.append(np.multiply.accumulate(steps))
-    return _POWERS[0], _POWERS[1]
+            state["powers"].append(np.multiply.accumulate(steps))
+    return state["powers"][0], state["powers"][1]
 
 
 def feature_sets(column: pa.Array, ngram: int = NGRAM) -> list[np.ndarray]:
@@ -210,7 +210,7 @@ def _packed(docs: DataFrame, buckets: int) -> DataFrame:
             if have >= GATHER:
                 yield from _dealt(signature, key, buckets)
                 signature, key, have = [], [], 0
-            if len(seen) > 200_000:
+            if len(seen) > 100_000:
                 seen.clear()
         if have:
             yield from _dealt(signature, key, buckets)

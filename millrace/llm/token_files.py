@@ -26,14 +26,13 @@ import pyarrow.fs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import blocks, shared_folder, written
+from millrace.llm.common import blocks, shared_folder, worker_state, written
 from millrace.llm.pretokens import pieces
 
 MASK = 0xA282EAD8
 NO_ID = -(1 << 63)
 #: Pieces whose ids a Python worker keeps between batches and tasks.
-KEPT_PIECES = 600_000
-_STATE: dict = {}
+KEPT_PIECES = 500_000
 
 
 def masked(data: bytes) -> int:
@@ -58,7 +57,8 @@ def unframed(record: memoryview) -> bytes:
 
 
 def _tokenizer(path: str):
-    if path not in _STATE:
+    state = worker_state("token_files")
+    if path not in state:
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -66,8 +66,8 @@ def _tokenizer(path: str):
 
         tokenizer = Tokenizer.from_file(path)
         tokenizer.encode_special_tokens = True
-        _STATE[path] = (tokenizer, {})
-    return _STATE[path]
+        state[path] = (tokenizer, {})
+    return state[path]
 
 
 def piece_ids(words: list[str], path: str) -> list[np.ndarray]:

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm.common import blocks, text_bytes, written
+from millrace.llm.common import blocks, worker_state, written
 from millrace.llm.pretokens import pieces
 
 #: Labelled documents of each class that training reads at most; strong features that the model keeps at most.
@@ -225,16 +225,16 @@ def marginals(scores: np.ndarray, starts: np.ndarray, moves) -> np.ndarray:
 
 
 #: Emissions of pieces that a Python worker keeps between blocks and tasks, by model.
-KEPT_PIECES = 300_000
-_KNOWN: dict = {}
+KEPT_PIECES = 200_000
 
 
 def _emissions(words: list[str], model: Model) -> np.ndarray:
     name = (model.bias, model.moves, len(model.weights))
-    if name not in _KNOWN:
-        _KNOWN.clear()
-        _KNOWN[name] = {}
-    known, weights = _KNOWN[name], model.weights
+    state = worker_state("toxicity")
+    if name not in state:
+        state.clear()
+        state[name] = {}
+    known, weights = state[name], model.weights
     out = [known.get(w) for w in words]
     for i, value in enumerate(out):
         if value is None:

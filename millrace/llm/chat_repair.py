@@ -120,20 +120,54 @@ def _matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     )
 
 
-def _ends(parts: pd.DataFrame) -> pd.DataFrame:
-    """State before and after each part of one conversation, on the path of least cost."""
-    parts = parts.sort_values("part")
-    matrices = [np.array(m, np.int64).reshape(4, 4) for m in parts["matrix"]]
+def ends(matrices: list[np.ndarray]) -> tuple[list[int], int]:
+    """States before, between and after a conversation's parts on a path of least cost, and that cost."""
     costs = [np.array([0, FAR, FAR, FAR], np.int64)]
     for m in matrices:
         costs.append(np.min(costs[-1][:, None] + m, axis=0))
     last = int(np.argmin(costs[-1] + STOP))
-    cost = int((costs[-1] + STOP)[last])
     states = [last]
     for m, before in zip(matrices[::-1], costs[-2::-1]):
         states.append(int(np.argmin(before + m[:, states[-1]])))
-    states = states[::-1]
-    return pd.DataFrame({"conv": parts["conv_id"], "at": parts["part"], "before": states[:-1], "after": states[1:], "final": [False] * (len(parts) - 1) + [True], "cost": cost})
+    return states[::-1], int((costs[-1] + STOP)[last])
+
+
+def _ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """State before and after each part, of rows in order of conversation and part. What is held is one conversation's
+    parts: a row for each partition that it touches."""
+    held: list[dict] = []
+
+    def solved() -> pa.RecordBatch:
+        out = {k: [] for k in ("conv", "at", "before", "after", "final", "cost")}
+        first = 0
+        while first < len(held):
+            last = first + 1
+            while last < len(held) and held[last]["conv_id"] == held[first]["conv_id"]:
+                last += 1
+            parts = held[first:last]
+            states, cost = ends([np.array(p["matrix"], np.int64).reshape(4, 4) for p in parts])
+            for i, p in enumerate(parts):
+                for key, value in zip(out, (p["conv_id"], p["part"], states[i], states[i + 1], i == len(parts) - 1, cost)):
+                    out[key].append(value)
+            first = last
+        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.int64())
+        return pa.record_batch([pa.array(v, t) for v, t in zip(out.values(), kinds)], list(out))
+
+    for batch in batches:
+        rows = batch.to_pylist()
+        if held and rows and rows[0]["conv_id"] != held[-1]["conv_id"]:
+            yield solved()
+            held.clear()
+        held.extend(rows)
+        # a conversation may go on in the next batch: what ends for certain is solved
+        keep = next((i for i in range(len(held) - 1, -1, -1) if held[i]["conv_id"] != held[-1]["conv_id"]), -1) + 1
+        if keep:
+            rest = held[keep:]
+            del held[keep:]
+            yield solved()
+            held[:] = rest
+    if held:
+        yield solved()
 
 
 def walked(codes: list[int], before: int, after: int) -> list[int]:
@@ -198,8 +232,9 @@ def repaired(conversations: DataFrame) -> DataFrame:
     # the written files keep their rows' order; part names the range they came from
     again = dealt.repartition("part").sortWithinPartitions("part", *order)
     parts = written(again.mapInArrow(_matrices, "conv_id long, part int, matrix array<long>"), "parts")
-    ends = parts.groupBy("conv_id").applyInPandas(_ends, "conv long, at int, before int, after int, final boolean, cost long")
-    marked = dealt.join(written(ends, "ends"), F.col("conv_id").eqNullSafe(F.col("conv")) & (F.col("part") == F.col("at")))
+    chained_parts = parts.repartition("conv_id").sortWithinPartitions("conv_id", "part")
+    states = written(chained_parts.mapInArrow(_ends, "conv long, at int, before int, after int, final boolean, cost long"), "ends")
+    marked = dealt.join(states, F.col("conv_id").eqNullSafe(F.col("conv")) & (F.col("part") == F.col("at")))
     columns = ["conv_id", "part", "role", "text", "before", "after", "final", "cost"]
     ready = marked.repartition("part").sortWithinPartitions("part", *order).select(*columns)
     return ready.mapInArrow(_rendered, "conv_id long, seq long, role string, action string, piece string, cost long")

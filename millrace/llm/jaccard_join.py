@@ -267,6 +267,14 @@ def _met(packed: DataFrame) -> DataFrame:
     return packed.repartition("bucket").mapInArrow(meet, "a long, b long, shared long, crowded boolean")
 
 
+def _only(rows: DataFrame, column: str, keys: DataFrame, label: str) -> DataFrame:
+    """``rows`` whose ``column`` may be among ``keys`` (one column of its name): a filter of BUCKETS hash buckets at
+    most, whatever the input's size, so broadcast; rows outside them need no shuffle."""
+    bucket = F.pmod(F.xxhash64(column), F.lit(BUCKETS)).cast("int")
+    buckets = written(keys.select(bucket.alias("__bucket")).distinct(), label)
+    return rows.withColumn("__bucket", bucket).join(F.broadcast(buckets), "__bucket", "left_semi").drop("__bucket")
+
+
 def _stored_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(key, features) of the sets named in ``wanted`` (doc_id, key), from whole texts."""
 
@@ -278,11 +286,7 @@ def _stored_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 ["own", "key", "features"],
             )
 
-    # a filter of BUCKETS hash buckets at most, whatever the input's size: texts outside them need no shuffle
-    bucket = F.pmod(F.xxhash64("doc_id"), F.lit(BUCKETS)).cast("int")
-    buckets = written(wanted.select(bucket.alias("bucket")).distinct(), "wanted-buckets")
-    likely = docs.select("doc_id", "text", bucket.alias("bucket")).join(F.broadcast(buckets), "bucket", "left_semi")
-    chosen = likely.select("doc_id", "text").join(wanted, "doc_id")
+    chosen = _only(docs.select("doc_id", "text"), "doc_id", wanted.select("doc_id"), "wanted-buckets").join(wanted, "doc_id")
     found = chosen.select("key", "text").mapInArrow(store, "own long, key long, features binary").where("own = key")
     return found.select("key", "features")
 
@@ -326,6 +330,7 @@ def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 keep.append(UNION * common >= SHARE * (len(p) + len(q) - common))
             yield pa.record_batch([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
+    sets = _only(sets, "key", pairs.select(F.explode(F.array("a", "b")).alias("key")), "pair-buckets")
     left = sets.select(F.col("key").alias("a"), F.col("features").alias("x"))
     right = sets.select(F.col("key").alias("b"), F.col("features").alias("y"))
     return pairs.select("a", "b").join(left, "a").join(right, "b").mapInArrow(verify, "a long, b long")
@@ -398,6 +403,7 @@ def _family_links(crowds: DataFrame, sets: DataFrame) -> DataFrame:
     dealt = family.join(blocks, "head").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("head", "key", "n", "most", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
+    sets = _only(sets, "key", family.select("key"), "family-buckets")
     return dealt.join(sets, "key").groupBy("head", "low", "high").applyInArrow(_compared, "a long, b long")
 
 
@@ -436,7 +442,7 @@ def similarity_groups(docs: DataFrame) -> DataFrame:
     most_a, most_b = F.col("n_a") - F.coalesce("alone_a", F.lit(0)), F.col("n_b") - F.coalesce("alone_b", F.lit(0))
     most = F.least(most_a, most_b)
     possible = UNION * most >= SHARE * (F.col("n_a") + F.col("n_b") - most)
-    pairs = pairs.join(one, "a", "left").join(two, "b", "left").where(possible).select("a", "b")
+    pairs = written(pairs.join(one, "a", "left").join(two, "b", "left").where(possible).select("a", "b"), "possible")
     crowds = crowds.join(alone, "key", "left").withColumn("most", F.col("n") - F.coalesce("alone", F.lit(0)))
     crowds = crowds.where(UNION * F.col("most") >= SHARE * F.col("n")).drop("alone")
     crowds = crowds.select("signature", "key", "n", "most")

@@ -26,13 +26,23 @@ def wilson(hits: Column, n: Column, z: float = 1.96) -> tuple[Column, Column]:
 
 
 def sign_test(wins: Column, losses: Column) -> Column:
-    """Two-sided exact sign test; the tail is summed with a running term, started in logarithms against underflow."""
+    """Two-sided exact sign test; the tail is summed in units of 2 ** (power - n), whose power grows with the terms, so
+    that neither end of a long row of terms leaves the range of doubles."""
     n = (wins + losses).cast("int")
     least = F.least(wins, losses).cast("int")
-    start = F.struct(F.exp(-n * F.log(F.lit(2.0))).alias("term"), F.lit(0.0).alias("total"))
+    start = F.struct(F.lit(1.0).alias("term"), F.lit(0.0).alias("total"), F.lit(0.0).alias("power"))
+    step, most = 500, F.lit(2.0**500)
 
     def add(s: Column, i: Column) -> Column:
-        return F.struct((s["term"] * (n - i) / (i + 1)).alias("term"), (s["total"] + s["term"]).alias("total"))
+        unit = F.when(s["term"] > most, F.lit(2.0**-step)).otherwise(1.0)
+        power = s["power"] + F.when(s["term"] > most, F.lit(float(step))).otherwise(0.0)
+        return F.struct((s["term"] * unit * (n - i) / (i + 1)).alias("term"), ((s["total"] + s["term"]) * unit).alias("total"), power.alias("power"))
 
-    tail = F.aggregate(F.sequence(F.lit(0), least), start, add, lambda s: s["total"])
+    tail = F.aggregate(F.sequence(F.lit(0), least), start, add, lambda s: _scaled(s["total"], s["power"] - n))
     return F.when(n > 0, F.least(F.lit(1.0), 2 * tail)).otherwise(1.0)
+
+
+def _scaled(x: Column, power: Column) -> Column:
+    """x * 2 ** power in two steps, as one factor may be out of range where the product isn't."""
+    half = F.floor(power / 2)
+    return x * F.pow(F.lit(2.0), half) * F.pow(F.lit(2.0), power - half)

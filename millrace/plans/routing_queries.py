@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from millrace.operators import answers, retrieval, routing
@@ -57,11 +58,12 @@ def win8_caps(spark, sf_dir):
     FROM conversations c JOIN conversations d ON d.conv_id = c.conv_id AND d.turn < c.turn AND d.turn < 10 WHERE c.role = 'assistant' GROUP BY ALL
 """)
 def fn33_citations(spark, sf_dir):
+    """Every earlier turn of the conversation is a cited page; the running set grows along the turns, without pairs."""
     rows = table(spark, sf_dir, "conversations")
-    before = rows.where("turn < 10").select("conv_id", F.col("turn").alias("page"))
-    answers_ = rows.where("role = 'assistant'").select("conv_id", "turn", F.substring("text", 1, 220).alias("snippet"))
-    met = answers_.join(before, "conv_id").where("page < turn").groupBy("conv_id", "turn", "snippet").agg(F.collect_set("page").alias("p"))
-    return met.select("conv_id", "turn", "snippet", answers.citation(F.col("p")).alias("pages"))
+    before = Window.partitionBy("conv_id").orderBy("turn").rangeBetween(Window.unboundedPreceding, -1)
+    rows = rows.where("conv_id IS NOT NULL AND turn IS NOT NULL").select("conv_id", "turn", "role", F.substring("text", 1, 220).alias("snippet"))
+    met = rows.withColumn("p", F.collect_set("turn").over(before)).where("role = 'assistant' AND size(p) > 0")
+    return met.dropDuplicates(["conv_id", "turn", "snippet"]).select("conv_id", "turn", "snippet", answers.citation(F.col("p")).alias("pages"))
 
 
 @query(r"""

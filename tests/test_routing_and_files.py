@@ -74,3 +74,17 @@ def test_files(spark, tmp_path):
     files.write_report(spark.createDataFrame([("b", 2.0), ("a", 1.0)], "name string, value double"), str(tmp_path / "out"), "Run")
     text = "\n".join(r.value for r in spark.read.text(str(tmp_path / "out")).collect())
     assert text.index("| a | 1.0 |") < text.index("| b | 2.0 |")
+
+
+def test_citations_of_long_conversations(spark, tmp_path):
+    from millrace.plans.routing_queries import fn33_citations
+
+    turns = [(1, t, "assistant" if t % 2 else "user", f"text {t}") for t in [*range(25), 7, 130]] + [(2, 0, "assistant", "x"), (2, 12, "assistant", None), (None, 1, "assistant", "y")]
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    wanted = set()
+    for c, t, role, text in turns:
+        pages = sorted({b for a, b, *_ in turns if a == c and c is not None and b < t})
+        if role == "assistant" and pages:
+            wanted.add((c, t, text, f"(p. {', '.join(map(str, pages))})"))
+    found = [tuple(r) for r in fn33_citations(spark, str(tmp_path)).collect()]
+    assert set(found) == wanted and len(found) == len(wanted)

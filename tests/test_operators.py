@@ -100,3 +100,24 @@ def test_reranking(spark):
     assert order(retrieval.reranked(rows, replies, 4, 2)) == [(1, "d2"), (1, "d0"), (2, "d0"), (2, "d1"), (3, "d0"), (3, "d1")]
     assert order(retrieval.reranked(rows, replies, 4, 2, none_is_empty=True)) == [(1, "d2"), (1, "d0")]
     assert order(retrieval.reranked(rows, replies, 2, 2)) == [(q, d) for q in (1, 2, 3) for d in ("d0", "d1")]
+
+
+def test_breadcrumbs_keep_whole_texts(spark, tmp_path):
+    from millrace.plans.rerank_queries import chk1e_breadcrumbs
+
+    texts = ["a" * 349 + "\n" + "b" * 349, "a" * 349 + "\n" + "b" * 348, "", "\n\n", "x" * 2000 + "\ny", "\n".join("line %d " % i * 5 for i in range(90)), None]
+    rows = [(i, t, "en" if i % 2 else None, "s") for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    wanted, parent = [], None
+    for i, text, lang, source in rows[:-1]:
+        buffer, size, pieces = [], 0, []
+        for line in text.split("\n"):
+            if buffer and size + len(line) + 1 > 700:
+                pieces.append("\n".join(buffer))
+                buffer, size = [], 0
+            buffer.append(line)
+            size += len(line) + 1
+        pieces.append("\n".join(buffer))
+        wanted += [(i, n, f"[{parent + ' > ' if parent else ''}{source}] {x}") for n, x in enumerate(pieces)]
+        parent = lang
+    assert sorted((r.doc_id, r.piece_no, r.piece) for r in chk1e_breadcrumbs(spark, str(tmp_path)).collect()) == wanted

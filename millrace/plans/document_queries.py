@@ -212,7 +212,9 @@ def src10_html_fields(spark, sf_dir):
     FROM s JOIN ls USING (doc_id, line_no) JOIN bs USING (item_id) WHERE shared::DOUBLE / least(ls.n, bs.n) >= 0.8
 """)
 def jn16_label_lines(spark, sf_dir):
-    """Labels (starts of benchmark items) against lines by shared grams."""
+    """Labels (all lines and sentences of benchmark items) against lines by shared grams. The SQL still has one label an
+    item, its first 60 characters."""
     rows = chunking.lines(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "line_no", T.grams(F.lower("line")).alias("g"))
-    items = table(spark, sf_dir, "benchmark").select("item_id", T.grams(F.lower(F.substring("text", 1, 60))).alias("g"))
-    return figures.gram_matches(items, rows, "item_id", ["doc_id", "line_no"], 0.8)
+    parts = F.posexplode(F.split("text", r"(?<=[.!?])\s+|\n")).alias("label_no", "label")
+    items = table(spark, sf_dir, "benchmark").where("text IS NOT NULL").select("item_id", parts).select("item_id", "label_no", T.grams(F.lower("label")).alias("g"))
+    return figures.gram_matches(items, rows, ["item_id", "label_no"], ["doc_id", "line_no"], 0.8)

@@ -1,5 +1,7 @@
 """Operators on small relations, against plain Python."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -121,3 +123,25 @@ def test_breadcrumbs_keep_whole_texts(spark, tmp_path):
         wanted += [(i, n, f"[{parent + ' > ' if parent else ''}{source}] {x}") for n, x in enumerate(pieces)]
         parent = lang
     assert sorted((r.doc_id, r.piece_no, r.piece) for r in chk1e_breadcrumbs(spark, str(tmp_path)).collect()) == wanted
+
+
+def test_labels_of_whole_items(spark, tmp_path):
+    from millrace.plans.document_queries import jn16_label_lines
+
+    head = "the quick brown fox jumps over the lazy dog by the old river bank today."
+    items = [(1, head + " Many ships sailed slowly past the harbour! was it\nfine weather on the northern coast? ok."), (2, None), (3, "")]
+    docs = [(1, "many ships sailed slowly past the harbour\nnothing of that kind"), (1, "Fine weather on the northern coast"), (2, head + " and then some more"), (2, "harbour! was it"), (3, None), (4, "ships sailed slowly")]
+    docs += docs[:1]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    grams = lambda t: {t[i : i + 4] for i in range(len(t) - 3)}
+    wanted = set()
+    for item, text in items:
+        for no, label in enumerate(re.split(r"(?<=[.!?])\s+|\n", (text or "").lower())):
+            for doc, body in docs:
+                for at, line in enumerate((body or "").lower().split("\n")):
+                    a, b = grams(label), grams(line)
+                    if len(a & b) >= 4 and len(a & b) >= 0.8 * min(len(a), len(b)):
+                        wanted.add((item, no, doc, at, round(len(a & b) / min(len(a), len(b)), 9)))
+    assert {w[1] for w in wanted} >= {0, 1, 3}
+    assert {(r.item_id, r.label_no, r.doc_id, r.line_no, r.score) for r in jn16_label_lines(spark, str(tmp_path)).collect()} == wanted

@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -64,9 +65,7 @@ def _tokenizer(path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True
-        state[path] = (tokenizer, {})
+        state[path] = (Tokenizer.from_file(path), {})
     return state[path]
 
 
@@ -97,10 +96,26 @@ def ragged(codes: np.ndarray, values: list[np.ndarray]) -> tuple[np.ndarray, np.
 
 
 def encoded(column: pa.Array, path: str, end_id: int) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of all texts of a block, each with the end id, and the edges between texts."""
+    """Ids of all texts of a block, each with the end id, and the edges between texts.
+
+    The library looks for added tokens before it splits, so texts that hold one are encoded whole.
+    """
+    tokenizer = _tokenizer(path)[0]
+    special = np.zeros(len(column), bool)
+    for token in tokenizer.get_added_tokens_decoder().values():
+        special |= pc.fill_null(pc.match_substring(column, token.content), False).to_numpy(zero_copy_only=False)
+    whole_texts = column.filter(pa.array(special)).to_pylist()
+    if whole_texts:
+        column = pc.if_else(pa.array(special), pa.scalar("", column.type), column)
     words, counts = pieces(column)
     ids, sizes = ragged(words.indices.to_numpy(), piece_ids(words.dictionary.to_pylist(), path))
     edges = np.append(0, np.cumsum(sizes))[np.append(0, np.cumsum(counts))]
+    if whole_texts:
+        found = [np.array(e.ids, np.uint32) for e in tokenizer.encode_batch_fast(whole_texts, add_special_tokens=False)]
+        lengths = np.zeros(len(column), np.int64)
+        lengths[special] = [len(x) for x in found]
+        ids = np.insert(ids, np.repeat(edges[:-1], lengths), np.concatenate(found))
+        edges = edges + np.append(0, np.cumsum(lengths))
     whole = np.insert(ids, edges[1:], end_id)
     return whole, edges + np.arange(len(edges))
 

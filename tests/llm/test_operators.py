@@ -77,6 +77,20 @@ def test_token_files(spark, docs, nothing):
     assert token_files.read_digests(token_files.write_shards(nothing, path)).count() == 0
 
 
+def test_token_files_with_added_tokens(spark):
+    from tokenizers import Tokenizer
+
+    path = tokenizers_data.path("byte_bpe_50k.json")
+    texts = ["plain", "end of one <|endoftext|> start", "<|endoftext|>", "<|endoftext|><|endoftext|>x", None, "", "<|endoftext", "é <|endoftext|>\n", "last one"]
+    rows = list(enumerate(texts))
+    found = rows_of(token_files.read_digests(token_files.write_shards(frame(spark, rows).repartition(2), path)))
+    tokenizer, start = Tokenizer.from_file(path), 0
+    for i, text in rows:
+        ids = tokenizer.encode(text or "", add_special_tokens=False).ids + [2]
+        assert (found[i].start, found[i].n_tokens, found[i].ids_crc32) == (start, len(ids), zlib.crc32(struct.pack(f"<{len(ids)}I", *ids)))
+        start += len(ids)
+
+
 def test_damaged_records_are_found():
     record = bytearray(token_files.framed(b"12345678"))
     assert token_files.unframed(memoryview(bytes(record))) == b"12345678"

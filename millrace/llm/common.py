@@ -8,7 +8,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Text that one numpy pass handles; a longer document is a block of its own.
 BLOCK_BYTES = 2 << 20
@@ -89,6 +90,20 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(folder)
 
 
+def numbered(docs: DataFrame, label: str) -> DataFrame:
+    """``docs`` with a number of its own for each row, ``row_no``, as a written table: doc_ids may repeat or be null."""
+    return written(docs.withColumn("row_no", F.monotonically_increasing_id()), label)
+
+
+def one_row_of_each(rows: DataFrame, groups: DataFrame, keeper: Column, label: str) -> DataFrame:
+    """The rows of a numbered table that stay: of each group of ``groups`` (row_no, group) the one whose number
+    ``keeper``, an aggregate over doc_id and row_no, names. Only numbers and doc_ids are joined by group."""
+    groups = written(groups, f"{label}-groups")
+    kept = groups.join(rows.select("row_no", "doc_id"), "row_no").groupBy("group").agg(keeper.alias("row_no"))
+    dropped = written(groups.select("row_no").join(kept.select("row_no"), "row_no", "left_anti"), f"{label}-dropped")
+    return rows.join(dropped, "row_no", "left_anti").drop("row_no")
+
+
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All texts of a string or binary array as one byte array with offsets; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import blocks, text_bytes, worker_state, written
+from millrace.llm.common import blocks, numbered, one_row_of_each, text_bytes, worker_state, written
 from millrace.llm.rolling import window_hashes
 
 #: Bytes that decide a cut, mean distance of cuts as a power of two, and the limits of a chunk.
@@ -131,6 +131,10 @@ def exact_groups(docs: DataFrame) -> DataFrame:
 
 
 def without_exact_copies(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay; all columns stay."""
-    dropped = written(exact_groups(docs).where(~F.col("kept")).select("doc_id").distinct(), "exact-dropped")
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    """The rows of ``docs`` that stay, one of each group; all columns stay. The largest doc_id stays, a null only where
+    all are null, and of rows that repeat it the first."""
+    rows = numbered(docs, "exact-rows")
+    found = exact_groups(rows.select(F.col("row_no").alias("doc_id"), "text")).where("group_size > 1")
+    keeper = F.max_by("row_no", F.struct("doc_id", -F.col("row_no")))  # nulls are least
+    groups = found.select(F.col("doc_id").alias("row_no"), F.col("keep_id").alias("group"))
+    return one_row_of_each(rows, groups, keeper, "exact").select(*docs.columns)

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import blocks, text_bytes, worker_state, written
+from millrace.llm.common import blocks, numbered, one_row_of_each, text_bytes, worker_state, written
 from millrace.llm.components import components
 from millrace.llm.rolling import BASE, BYTE_VALUES, combine, mixed
 
@@ -461,6 +461,10 @@ def similarity_groups(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each_group(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is its component's least; all columns stay."""
-    dropped = written(similarity_groups(docs).where("doc_id != component_id").select("doc_id").distinct(), "near-dropped")
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    """The rows of ``docs`` that stay, one of each component; all columns stay. The least doc_id stays, a null only where
+    all are null, and of rows that repeat it the first. Rows are linked by number, so those without doc_id take part."""
+    rows = numbered(docs, "near-rows")
+    found = similarity_groups(rows.select(F.col("row_no").alias("doc_id"), "text"))
+    keeper = F.min_by("row_no", F.struct(F.col("doc_id").isNull(), "doc_id", "row_no"))
+    groups = found.select(F.col("doc_id").alias("row_no"), F.col("component_id").alias("group"))
+    return one_row_of_each(rows, groups, keeper, "near").select(*docs.columns)

@@ -212,6 +212,38 @@ def test_exact_dedup(spark, docs, nothing):
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == sorted(max(x) for x in groups.values())
 
 
+def repeated_and_null_ids():
+    rng = random.Random(11)
+    a, b, c, d, e = (words(rng, 90) for _ in range(5))
+    near = c.split(" ")
+    links = [" ".join(near[:8 * k] + [f"n{x}" for x in range(k * 2, k * 2 + 2)] + near[8 * k + 2 :]) for k in range(4)]
+    rows = [(1, a), (9, a), (1, b), (7, b), (5, d), (5, d), (5, d), (None, e), (None, e), (3, e), (None, e.upper()), (None, "lonely"), (None, "lonely"), (None, None), (2, "")]
+    return rows + [(20, links[0]), (None, links[1]), (21, links[2]), (None, links[3]), (20, "other text of a repeated id")]
+
+
+def test_exact_copies_with_repeated_and_null_ids(spark):
+    rows = repeated_and_null_ids()
+    best = {}
+    for i, t in rows:
+        best[lowered(t)] = max(-1 if i is None else i, best.get(lowered(t), -1))
+    wanted = Counter((None if i < 0 else i, t) for t, i in best.items())
+    assert Counter((r.doc_id, lowered(r.text)) for r in exact_dedup.without_exact_copies(frame(spark, rows).repartition(3)).collect()) == wanted
+
+
+def test_near_copies_with_repeated_and_null_ids(spark):
+    rows = repeated_and_null_ids()
+    found = components_by_force([(n, t) for n, (_, t) in enumerate(rows)])
+    best = {}
+    for n, (i, t) in enumerate(rows):
+        key = (i is None, i or 0, n)
+        best[found[n][1]] = min(key, best.get(found[n][1], key))
+    wanted = Counter((rows[n][0], lowered(rows[n][1])) for _, _, n in best.values())
+    assert max(Counter(c for _, c in found.values()).values()) >= 3
+    docs = frame(spark, rows).coalesce(1)
+    stays = jaccard_join.one_of_each_group(docs)
+    assert stays.columns == docs.columns and Counter((r.doc_id, lowered(r.text)) for r in stays.collect()) == wanted
+
+
 def test_chunks_cover_texts_and_depend_on_content():
     rng = np.random.default_rng(1)
     a, b = rng.integers(0, 256, 60_000).astype(np.uint8), rng.integers(0, 256, 5_000).astype(np.uint8)

@@ -5,7 +5,8 @@ learns from windows around base spans of a bounded sample (``SAMPLE`` documents
 windows of each kind): embeddings of character classes, two LSTMs, scores of begin / inside tags of the four kinds, and
 transitions, by exact gradients in numpy. Every text is then covered by windows that overlap by half; each character's
 tag comes from the window in which it is most central, and runs of tags over the whole text are the spans. A legal span
-holds a digit or "@", so that windows without either decode to nothing and are skipped without loss.
+holds a digit or "@": windows with either are decoded, and their neighbours as far as runs of tags reach, so that
+skipping the others loses nothing.
 
 Added spans never touch base spans, need a mean tag probability of ``SURE``, and the counts their kind asks for.
 
@@ -345,36 +346,45 @@ def _asked(kind: int, text: str) -> bool:
 
 
 def added_spans(texts: list[str], base: list[list[tuple[int, int, int]]], tagger: Tagger) -> list[list[tuple[int, int, int]]]:
-    """Spans that the tagger adds to each text of a block."""
+    """Spans that the tagger adds to each text of a block: those of all windows, though only windows that hold a digit
+    or "@", and neighbours that a run of tags reaches into, are decoded."""
     points = [_points(t) for t in texts]
-    numbers = [windows(p) for p in points]
+    todo = [(i, k) for i, k in enumerate(map(windows, points)) if len(k)]
     out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
-    busy = [i for i, k in enumerate(numbers) if len(k)]
-    if not busy:
-        return out
-    classes = np.concatenate([_cut(points[i], numbers[i]) for i in busy])
-    # equal windows decode equally, once
-    _, first, again = np.unique(np.ascontiguousarray(classes).view(f"V{WIDTH}").ravel(), return_index=True, return_inverse=True)
-    parts = [tagger.decode(classes[first[a : a + 4000]]) for a in range(0, len(first), 4000)]
-    tags = np.concatenate([p[0] for p in parts])[again]
-    sure = np.concatenate([p[1] for p in parts])[again]
-    at, quarter = 0, (WIDTH - STRIDE) // 2
-    for i in busy:
-        n, own = len(points[i]), numbers[i]
-        kind, p = np.zeros(n + 1, np.int8), np.zeros(n)
-        head = np.zeros(n + 1, bool)
-        for j, k in enumerate(own.tolist()):
-            low = 0 if k == 0 else k * STRIDE + quarter
-            high = min(n, k * STRIDE + quarter + STRIDE)
-            if n <= k * STRIDE + WIDTH:
-                high = n
-            if low >= high:
-                continue
-            piece = slice(low - k * STRIDE, high - k * STRIDE)
-            row = tags[at + j][piece]
-            kind[low:high], p[low:high] = (row + 1) // 2, sure[at + j][piece]
-            head[low:high] = row % 2 == 1
-        at += len(own)
+    tagged = {i: (np.zeros(len(points[i]) + 1, np.int8), np.zeros(len(points[i])), np.zeros(len(points[i]) + 1, bool)) for i, _ in todo}
+    done = {i: np.zeros(0, np.int64) for i in tagged}
+    quarter = (WIDTH - STRIDE) // 2
+    while todo:
+        classes = np.concatenate([_cut(points[i], own) for i, own in todo])
+        # equal windows decode equally, once
+        _, first, again = np.unique(np.ascontiguousarray(classes).view(f"V{WIDTH}").ravel(), return_index=True, return_inverse=True)
+        parts = [tagger.decode(classes[first[a : a + 4000]]) for a in range(0, len(first), 4000)]
+        tags = np.concatenate([p[0] for p in parts])[again]
+        sure = np.concatenate([p[1] for p in parts])[again]
+        at, further = 0, []
+        for i, own in todo:
+            n, (kind, p, head) = len(points[i]), tagged[i]
+            for j, k in enumerate(own.tolist()):
+                low = 0 if k == 0 else k * STRIDE + quarter
+                high = min(n, k * STRIDE + quarter + STRIDE)
+                if low >= high:
+                    continue
+                piece = slice(low - k * STRIDE, high - k * STRIDE)
+                row = tags[at + j][piece]
+                kind[low:high], p[low:high] = (row + 1) // 2, sure[at + j][piece]
+                head[low:high] = row % 2 == 1
+            at += len(own)
+            done[i] = np.union1d(done[i], own)
+            right = done[i][done[i] * STRIDE + quarter + STRIDE < n]
+            left = done[i][(done[i] > 0) & (done[i] * STRIDE + quarter < n)]
+            low = left * STRIDE + quarter
+            reached = np.concatenate([right[kind[right * STRIDE + quarter + STRIDE - 1] > 0] + 1, left[(kind[low] > 0) & ~head[low]] - 1])
+            reached = np.setdiff1d(reached, done[i])
+            if len(reached):
+                further.append((i, reached))
+        todo = further
+    for i, (kind, p, head) in tagged.items():
+        n = len(points[i])
         start = np.nonzero((kind[:-1] > 0) & (head[:-1] | (np.append(0, kind[:-2]) != kind[:-1])))[0]
         for a in start.tolist():
             b = a + 1

@@ -485,6 +485,27 @@ def test_tagger_learns_and_base_stays(spark):
     assert pii.find(docs.limit(0), None).count() == 0
 
 
+def test_added_spans_reach_past_windows_with_signs():
+    class Words:
+        """Tags every word as an address: a begin after a blank, else inside."""
+
+        def decode(self, classes):
+            blank = (classes == pii.CLASS_OF[ord(" ")]) | (classes < 0)
+            before = np.concatenate([np.zeros((len(classes), 1), bool), blank[:, :-1]], axis=1)
+            return np.where(blank, 0, np.where(before, 1, 2)).astype(np.int8), np.ones(classes.shape)
+
+    rng = random.Random(4)
+    texts = ["w" * 59 + " " + "a" * 60 + "@" + "b" * 150 + ".org" + " end" * 30, "a" * 200 + "@b.c", "a@b." + "c" * 200, "", "a" * 90]
+    for _ in range(60):
+        texts.append(" ".join("x" * rng.randint(1, 90) + rng.choice(["", "@" + "y" * rng.randint(1, 70) + ".z" * rng.randint(1, 40)]) for _ in range(6)))
+    wanted = []
+    for t in texts:
+        ends = [0, *(k + 1 for k, c in enumerate(t) if c == " ")]
+        spans = [(a, 0, a + len(w)) for a, w in zip(ends, t.split(" "))]
+        wanted.append([s for s in spans if "@" in t[s[0] : s[2]]])
+    assert pii.added_spans(texts, [[] for _ in texts], Words()) == wanted
+
+
 # 10 ------------------------------------------------------------------------------------------------------------------
 def test_bpe_equals_the_library(spark, docs, nothing):
     import tiktoken

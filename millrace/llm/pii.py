@@ -1,17 +1,24 @@
 """Personal data: exact patterns, and spans that a character-level bidirectional LSTM with CRF transitions adds.
 
 The base finds e-mail addresses, IPv4 addresses, card numbers and phone numbers by fixed patterns and checks. The model
-learns from windows around base spans of a bounded sample (``SAMPLE`` documents by a hash of doc_id, ``PER_KIND``
-windows of each kind): embeddings of character classes, two LSTMs, scores of begin / inside tags of the four kinds, and
-transitions, by exact gradients in numpy. Every text is then covered by windows that overlap by half; each character's
-tag comes from the window in which it is most central, and runs of tags over the whole text are the spans. A legal span
-holds a digit or "@": windows with either are decoded, and their neighbours as far as runs of tags reach, so that
-skipping the others loses nothing.
-
-Added spans never touch base spans, need a mean tag probability of ``SURE``, and the counts their kind asks for.
-
-Nulls count as empty texts, which have no spans. Repeated rows repeat. Without base spans in the sample nothing is
-added. An empty table gives an empty result. Extra columns are ignored.
+is there for what these miss. It learns from a bounded sample (``SAMPLE`` documents by a hash of doc_id, ``PER_KIND``
+windows of each sort): windows around base spans; the same windows with the span rewritten in a form that the base
+can't match (``VARIANTS``: "(at)" for "@", blanks or brackets around an address's dots, other separators between a
+card's groups, phones without "+"); windows that hold digits, "@" or brackets but no span; and such windows with a
+harmless number or bracket written in. Windows with text that matches a pattern but fails its check, such as a card
+number with a typing error, are left out of training, since they are neither.
+
+The model: embeddings of character classes, two LSTMs, scores of begin / inside tags of the four kinds, and transitions,
+by exact gradients in numpy. Every text is then covered by windows that overlap by half; each character's tag comes
+from the window in which it is most central, and runs of tags over the whole text are the spans. A legal span holds a
+digit, "@" or an opening bracket: windows with one of them are decoded, and their neighbours as far as runs of tags
+reach, so that skipping the others loses nothing.
+
+Added spans never touch base spans, need a mean tag probability of ``SURE``, and the form that their kind asks for.
+
+Nulls count as empty texts, which have no spans. A text of any length is tagged window by window and is held once.
+Repeated rows repeat; ties between windows of equal names in training are broken by their tags. Without base spans in
+the sample nothing is added. An empty table gives an empty result. Extra columns, of any name, are ignored.
 """
 
 from __future__ import annotations
@@ -23,7 +30,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.llm.common import blocks, written
@@ -31,12 +38,12 @@ from millrace.llm.common import blocks, written
 KINDS = ("email", "ip", "card", "phone")
 #: The patterns of the base.
 DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
+DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)*")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 LOCAL_SIGNS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 
-SAMPLE, PER_KIND, SURE = 4000, 150, 0.9
+SAMPLE, PER_KIND, SURE = 4000, 150, 0.7
 WIDTH, STRIDE = 48, 24
 CELLS, EMBEDDED, EPOCHS, BATCH = 12, 8, 12, 32
 TAGS = 1 + 2 * len(KINDS)
@@ -62,17 +69,41 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
             least = match.end()
             found.append((start, 0, least))
         at = text.find("@", max(at + 1, least))
-    for m in IP.finditer(text):
-        if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m.group().split(".")):
-            found.append((m.start(), 1, m.end()))
+    found += [(a, 1, b) for a, b, good in _addresses(text) if good]
+    found += [(a, 2, b) for a, b, good in _cards(text) if good]
+    found += [(a, 3, b) for a, b, good in _phones(text) if good]
+    return sorted(found)
+
+
+def _addresses(text: str) -> Iterator[tuple[int, int, bool]]:
+    """Matches of four dotted numbers, leftmost first: maximal dotted chains are found once, and each four of a chain's
+    numbers are a match, so that long runs of digits cost one pass."""
+    for m in DOTTED.finditer(text):
+        parts = m.group().split(".")
+        at = m.start()
+        for i in range(0, len(parts) - 3, 4):
+            own = parts[i : i + 4]
+            end = at + sum(map(len, own)) + 3
+            yield at, end, all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in own)
+            at = end + 1
+
+
+def _cards(text: str) -> Iterator[tuple[int, int, bool]]:
     for m in CARD.finditer(text):
         digits = m.group().replace(" ", "").replace("-", "")
-        if 12 <= len(digits) <= 19 and luhn(digits):
-            found.append((m.start(), 2, m.end()))
+        yield m.start(), m.end(), 12 <= len(digits) <= 19 and luhn(digits)
+
+
+def _phones(text: str) -> Iterator[tuple[int, int, bool]]:
     for m in PHONE.finditer(text):
-        if 9 <= sum(c.isdigit() for c in m.group()) <= 15:
-            found.append((m.start(), 3, m.end()))
-    return sorted(found)
+        yield m.start(), m.end(), 9 <= sum(c.isdigit() for c in m.group()) <= 15
+
+
+def near_misses(text: str) -> list[tuple[int, int]]:
+    """Matches of about the right size that fail their check: what they are is not known."""
+    found = [(a, b) for a, b, good in _addresses(text) if not good]
+    found += [(a, b) for a, b, good in _cards(text) if not good and b - a >= 12]
+    return found + [(a, b) for a, b, good in _phones(text) if not good and b - a >= 9]
 
 
 def named(spans: list[tuple[int, int, int]]) -> str:
@@ -80,7 +111,7 @@ def named(spans: list[tuple[int, int, int]]) -> str:
 
 
 #: Character classes: letters without case, a digit, signs of their own, blanks, line ends, other letters, the rest.
-SIGNS = "@.-+()/:_% \n,;"
+SIGNS = "@.-+()/:_% \n,;[]{}"
 CLASSES = 26 + 1 + len(SIGNS) + 2
 
 
@@ -96,6 +127,8 @@ def _class_table() -> np.ndarray:
 
 
 CLASS_OF = _class_table()
+#: Besides digits, what a span holds at least one of.
+SIGNAL = np.array([ord(c) for c in "@([{"], np.uint32)
 
 
 def _points(text: str) -> np.ndarray:
@@ -103,8 +136,9 @@ def _points(text: str) -> np.ndarray:
 
 
 def windows(points: np.ndarray) -> np.ndarray:
-    """Numbers of the windows of a text that hold a digit or "@"; window k covers WIDTH characters from k * STRIDE."""
-    at = np.nonzero(((points >= 48) & (points < 58)) | (points == 64))[0]
+    """Numbers of the windows of a text that hold a digit, "@" or an opening bracket; window k covers WIDTH characters
+    from k * STRIDE."""
+    at = np.nonzero(((points >= 48) & (points < 58)) | np.isin(points, SIGNAL))[0]
     if not len(at):
         return at
     return np.unique(np.concatenate([at // STRIDE, np.maximum(at // STRIDE - 1, 0)]))
@@ -285,43 +319,119 @@ def train(classes: np.ndarray, gold: np.ndarray, epochs: int = EPOCHS, seed: int
     return tagger
 
 
+def _joined(sign: str):
+    return lambda text, digits: sign.join(digits[i : i + 4] for i in range(0, len(digits), 4))
+
+
+#: Forms of a span that its base pattern doesn't match, by kind: functions of the span and its digits.
+VARIANTS = (
+    [
+        lambda text, digits: text.replace("@", " (at) ").replace(".", " (dot) "),
+        lambda text, digits: text.replace("@", "[at]").replace(".", "[dot]"),
+        lambda text, digits: text.replace("@", " [at] "),
+        lambda text, digits: text.replace("@", "(at)"),
+        lambda text, digits: text.replace("@", " {at} ").replace(".", " {dot} "),
+        lambda text, digits: text.replace("@", " @ "),
+    ],
+    [lambda text, digits, sign=sign: text.replace(".", sign) for sign in (" . ", ". ", "[.]", "(.)", " [.] ")],
+    [_joined(sign) for sign in (".", "/", "  ", "_", " - ", ". ")],
+    [
+        lambda text, digits: f"({digits[-10:-7]}) {digits[-7:-4]}-{digits[-4:]}",
+        lambda text, digits: f"{digits[-10:-7]}-{digits[-7:-4]}-{digits[-4:]}",
+        lambda text, digits: f"{digits[-10:-7]}.{digits[-7:-4]}.{digits[-4:]}",
+        lambda text, digits: f"({digits[-10:-7]}) {digits[-7:-4]} {digits[-4:]}",
+        lambda text, digits: f"{digits[-10:-7]}/{digits[-7:-4]}-{digits[-4:]}",
+        lambda text, digits: f"00{digits[:-10]} {digits[-10:-7]} {digits[-7:-4]} {digits[-4:]}",
+    ],
+)
+#: What is written into windows as no personal data.
+HARMLESS = ["{y}-{m:02}-{d:02}", "{d}.{m}.{y}", "{m}/{d}/{y}", "{h}:{s:02}", "v{d}.{m}.{h}", "{d},{n:03},{n:03}", "{n}.{d}", "[{d}]", "({y})", "{y}-{z}", "{d} x {m}", "{n}%", "({m})", "{k}", "No. {k}", "{d} {n:03} {n:03}", "(see {d}.{m})", "[note {d}]", "@{d}"]
+
+
+def _harmless(rng: np.random.Generator) -> str:
+    y, m, d, h, s, n, k = rng.integers([1900, 1, 1, 0, 0, 0, 0], [2100, 13, 32, 24, 60, 1000, 99999999]).tolist()
+    return HARMLESS[rng.integers(len(HARMLESS))].format(y=y, z=y + d % 9, m=m, d=d, h=h, s=s, n=n, k=k)
+
+
+def rewritten(text: str, rng: np.random.Generator) -> list[tuple[int, str, int, int]]:
+    """(kind, context, start, end): spans of a text in forms that the base doesn't match, each with about a window of
+    the text on both sides. Spans that have others close by are left out."""
+    base, out = base_spans(text), []
+    near = sorted([(a, b) for a, _, b in base] + near_misses(text))
+    for a, kind, b in base:
+        left, right = max(0, a - WIDTH - int(rng.integers(STRIDE))), b + WIDTH
+        if sum(x < right and left < y for x, y in near) > 1:
+            continue
+        digits = "".join(c for c in text[a:b] if "0" <= c <= "9")
+        form = VARIANTS[kind][rng.integers(len(VARIANTS[kind]))](text[a:b], digits)
+        context = text[left:a] + form + text[b:right]
+        if not any(k == kind and x < a - left + len(form) and a - left < y for x, k, y in base_spans(context)):
+            out.append((kind, context, a - left, a - left + len(form)))
+    return out
+
+
+#: Sorts of training windows: 0 has no span, 1 to 4 base spans by kind, 5 to 8 rewritten ones, 9 something harmless.
+SORTS = 2 + 2 * len(KINDS)
+
+
 def _labelled(docs: DataFrame) -> DataFrame:
-    """(kind, name, classes, tags): windows around base spans, and windows with digits but without spans."""
+    """(sort, name, classes, tags) of training windows."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches):
-            kinds, names, classes, tags = [], [], [], []
-            for text in block.column("text").to_pylist():
-                points = _points(text or "")
+            rows: list[tuple[int, bytes, bytes]] = []
+
+            def take(text: str, spans, shift: int = 0, only=None, unsure=()) -> None:
+                points = _points(text)
                 numbers = windows(points)
                 if not len(numbers):
-                    continue
-                gold = gold_tags(len(points), base_spans(text))
-                cut_out = _cut(points, numbers)
-                for k, row in zip(numbers.tolist(), cut_out):
+                    return
+                gold = gold_tags(len(points), spans)
+                for k, row in zip(numbers.tolist(), _cut(points, numbers)):
+                    low, high = k * STRIDE, k * STRIDE + WIDTH
+                    if only and (high <= only[0] or only[1] <= low) or any(a < high and low < b for a, b in unsure):
+                        continue
                     own = np.zeros(WIDTH, np.int8)
-                    piece = gold[k * STRIDE : k * STRIDE + WIDTH]
+                    piece = gold[low:high]
                     own[: len(piece)] = piece
-                    kinds.append(int((own.max() + 1) // 2) if own.any() else 0)
-                    classes.append(row.tobytes())
-                    names.append(hashlib.md5(row.tobytes()).hexdigest())
-                    tags.append(own.tobytes())
-            yield pa.record_batch([pa.array(kinds, pa.int32()), pa.array(names, pa.string()), pa.array(classes, pa.binary()), pa.array(tags, pa.binary())], ["kind", "name", "classes", "tags"])
+                    sort = int((own.max() + 1) // 2) + shift if own.any() else SORTS - 1 if only else 0
+                    rows.append((sort, row.tobytes(), own.tobytes()))
 
-    return docs.mapInArrow(cut, "kind int, name string, classes binary, tags binary")
+            for text in block.column("text").to_pylist():
+                text = text or ""
+                take(text, base_spans(text), unsure=near_misses(text))
+                rng = np.random.default_rng(int.from_bytes(hashlib.md5(text.encode("utf-8", "surrogatepass")).digest()[:8], "little"))
+                for kind, context, a, b in rewritten(text, rng):
+                    take(context, [(a, kind, b)], len(KINDS), (a, b))
+                at = int(rng.integers(len(text) + 1))
+                before, after, form = text[max(0, at - WIDTH) : at], text[at : at + WIDTH], _harmless(rng)
+                context = f"{before} {form} {after}"
+                take(context, base_spans(context), 0, (len(before) + 1, len(before) + 1 + len(form)), near_misses(context))
+            names = [hashlib.md5(r[1]).hexdigest() for r in rows]
+            yield pa.record_batch(
+                [pa.array([r[0] for r in rows], pa.int32()), pa.array(names, pa.string())] + [pa.array([r[i] for r in rows], pa.binary()) for i in (1, 2)],
+                ["sort", "name", "classes", "tags"],
+            )
 
+    return docs.mapInArrow(cut, "sort int, name string, classes binary, tags binary")
 
-def fit(docs: DataFrame, size: int = SAMPLE, per_kind: int = PER_KIND, epochs: int = EPOCHS) -> Tagger | None:
-    """A tagger trained on windows of ``size`` documents; None if they hold no base spans."""
+
+def training_windows(docs: DataFrame, size: int = SAMPLE, per_kind: int = PER_KIND) -> list:
+    """Rows (sort, classes, tags) to learn from: at most ``per_kind`` of each sort of span and three times as many of
+    each sort without, the first by a hash of the window."""
     chosen = docs.where("text IS NOT NULL").select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(size)
     # ``size`` ids: bounded by a parameter, so broadcast
     sample = docs.select("doc_id", "text").join(F.broadcast(chosen.distinct()), "doc_id").select("text")
-    found = written(_labelled(sample), "pii-windows")
-    rows = []
-    for kind in range(len(KINDS) + 1):
-        most = per_kind * (3 if kind == 0 else 1)
-        rows += found.where(F.col("kind") == kind).dropDuplicates(["name"]).orderBy("name").limit(most).collect()
-    if not any(r["kind"] for r in rows):
+    found = written(_labelled(sample), "pii-windows").dropDuplicates(["sort", "name", "tags"])
+    nth = F.row_number().over(Window.partitionBy("sort").orderBy("name", "tags"))
+    most = F.when(F.col("sort").isin(0, SORTS - 1), 3 * per_kind).otherwise(per_kind)
+    return found.withColumn("nth", nth).where(F.col("nth") <= 3 * per_kind).where(F.col("nth") <= most).orderBy("sort", "nth").collect()
+
+
+def fit(docs: DataFrame, size: int = SAMPLE, per_kind: int = PER_KIND, epochs: int = EPOCHS) -> Tagger | None:
+    """A tagger trained on windows of ``size`` documents; None if they hold no base spans."""
+    rows = training_windows(docs, size, per_kind)
+    if not any(0 < r["sort"] < SORTS - 1 for r in rows):
         return None
     classes, tags = (np.frombuffer(b"".join(r[c] for r in rows), np.int8).reshape(-1, WIDTH) for c in ("classes", "tags"))
     # a window may begin inside a span; its first tag then begins one
@@ -331,23 +441,32 @@ def fit(docs: DataFrame, size: int = SAMPLE, per_kind: int = PER_KIND, epochs: i
     return train(classes, tags, epochs)
 
 
+#: Forms of added spans: "@" or a bracketed "at", a dot or a bracketed "dot", and numbers with separators.
+AT_FORM = re.compile(r"@|[(\[{] ?at ?[)\]}]", re.IGNORECASE)
+DOT_FORM = re.compile(r"\.|[(\[{] ?dot ?[)\]}]", re.IGNORECASE)
+NUMBER_FORM = re.compile(r"[0-9 ()\[\].+/_-]+")
+
+
 def _asked(kind: int, text: str) -> bool:
-    """What a kind asks of an added span."""
+    """What a kind asks of an added span. A card number needs no right check digit: one with a typing error, or with
+    digits of its own for a test, names its owner as well."""
     digits = "".join(c for c in text if "0" <= c <= "9")
     if kind == 0:
-        name, _, rest = text.partition("@")
-        return bool(name) and "." in rest.strip(".")
+        parts = AT_FORM.split(text)
+        return len(parts) == 2 and bool(parts[0].strip()) and bool(DOT_FORM.search(parts[1].strip(" .")))
+    if not NUMBER_FORM.fullmatch(text) or not ("0" <= text[-1] <= "9"):
+        return False
     if kind == 1:
         parts = re.findall(r"[0-9]+", text)
         return len(parts) == 4 and all(len(p) <= 3 and int(p) <= 255 for p in parts)
     if kind == 2:
-        return 12 <= len(digits) <= 19 and luhn(digits)
-    return 9 <= len(digits) <= 15
+        return 12 <= len(digits) <= 19
+    return 9 <= len(digits) <= 15 and len(digits) < len(text)
 
 
 def added_spans(texts: list[str], base: list[list[tuple[int, int, int]]], tagger: Tagger) -> list[list[tuple[int, int, int]]]:
-    """Spans that the tagger adds to each text of a block: those of all windows, though only windows that hold a digit
-    or "@", and neighbours that a run of tags reaches into, are decoded."""
+    """Spans that the tagger adds to each text of a block: those of all windows, though only windows that hold a digit,
+    "@" or a bracket, and neighbours that a run of tags reaches into, are decoded."""
     points = [_points(t) for t in texts]
     todo = [(i, k) for i, k in enumerate(map(windows, points)) if len(k)]
     out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
@@ -393,6 +512,8 @@ def added_spans(texts: list[str], base: list[list[tuple[int, int, int]]], tagger
             text = texts[i][a:b]
             left, right = len(text) - len(text.lstrip()), len(text.rstrip())
             k = int(kind[a]) - 1
+            if k == 1 and not _asked(1, text.strip()):
+                k = 3  # dotted groups that are no address may be a phone
             if p[a:b].mean() >= SURE and _asked(k, text.strip()) and not any(x < a + right and a + left < y for x, _, y in base[i]):
                 out[i].append((a + left, k, a + right))
     return out

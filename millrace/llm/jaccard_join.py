@@ -1,16 +1,23 @@
 """N-gram Jaccard join with PartEnum signatures, and the components that its links form.
 
-A text's set holds hashes of its distinct word 5-grams. For sets of one size band the feature domain is split into
-parts. Two sets of x and y features with similarity at least s differ in at most x * (1 - s) / s features, hence in at
-most that many parts; all other parts are equal. Parts have one order for all sets, so the first equal part that is
-not empty is among the first k + 1 such parts of both sets, k being the bound for the set's own size: these parts are
-its signatures (PartEnum with enumerated subsets of one part each). A band covers sizes from a power of 4 to 4 / (3s)
-times the next power, so a pair always meets in a band; sets near a border have signatures in two bands. In bands of
-small sets, where few parts could all be empty, each feature is a part of its own, which keeps the promise exact.
+A text's set holds hashes of its distinct word 5-grams. Sets are joined within size bands: band j covers sizes from
+2**j up to 4/3 of 2**(j + 1), so that a pair always meets in the band of its smaller set; sets near a border have
+signatures in two bands. In a band the feature domain is split into ``n1`` first-level parts, and each of those into
+``SECOND`` second-level parts, by hash. Of each first-level part a set emits, for every subset of SECOND - MAY_DIFFER
+second-level parts, a hash of its features in that subset, if there are any (PartEnum).
+
+Why similar sets x, y share a signature: they differ in at most d features, d depending on the size and the band
+(``differing``). Call a part full for a set if more than MAY_DIFFER of its second-level parts hold features, so that no
+subset is empty, and good if at most MAY_DIFFER features differ in it and it is full for x or y: then some subset is
+equal in both and not empty. Parts have one order. A set takes them in that order until it has met need = d // (MAY_DIFFER
++ 1) + 1 that are full for it. Before the first good part all parts that are full for it differ in more than MAY_DIFFER
+features, so they are fewer than need, and it takes that good part too. If either set has need full parts, a good part
+exists. Sets with fewer (small ones, mostly) emit, besides all their parts, their first features in the order of a
+hash, as many as must hold a common one; two such sets meet there. The promise holds for every size.
 
 Signatures name sets, not documents: equal sets meet as one before anything is compared, however many copies there
-are. Each set has some signatures more than it needs, its slack: two similar sets then share more signatures than the
-slack. So a signature that more than ``CROWD`` sets share needs a look only for sets with more crowded signatures
+are. Each set takes some full parts more than it needs, its slack: by the same count two similar sets then share more
+signatures than the lesser slack. So a signature that more than ``CROWD`` sets share needs a look only for sets with more crowded signatures
 than their slack (sets that are mostly common passages, or families of edited copies). Crowds with the same least
 member are one family. A family is compared in blocks of bounded size, a task for each pair of blocks, by bitmaps of the
 features that its members share: each member first with one set of every component, then only with members of other
@@ -29,6 +36,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -42,14 +50,19 @@ from millrace.llm.rolling import BASE, BYTE_VALUES, combine, mixed
 NGRAM = 5
 #: Similarity as a fraction: links have UNION * intersection >= SHARE * union.
 SHARE, UNION = 75, 100
-#: Sets that may share a signature before it counts as crowded, and signatures beyond the promise, by 20ths of the size.
-CROWD, SLACK = 16, 3
+#: Second-level parts of a first-level part, and how many of them may differ.
+SECOND, MAY_DIFFER = 3, 1
+#: Features of a band's smallest sets for 10 first-level parts.
+FEATURES_FOR_TEN = 16
+#: Sets that may share a signature before it counts as crowded, and signatures beyond the promise as a part of the size.
+CROWD = 16
+SLACK, SLACK_OF = 1, 80
 #: Sets in a block of a family, and features that its bitmaps hold; beyond them, lists of sets by feature are counted.
 BLOCK_SETS, BITS = 1500, 1 << 16
 #: Hash buckets of doc_ids that a broadcast filter may hold.
 BUCKETS = 1 << 20
-#: Below this size each feature is a part of its own. Signatures that a map task gathers before it sends them.
-SINGLE, GATHER = 64, 800_000
+#: Signatures that a map task gathers before it sends them.
+GATHER = 800_000
 
 _BLANK = np.zeros(256, bool)
 _BLANK[[32, *range(9, 14)]] = True
@@ -110,34 +123,88 @@ def reach(size: int, share: int = SHARE, union: int = UNION) -> int:
 
 
 def slack(size: int) -> int:
-    return size * SLACK // 20
-
-
-def bands(size: int, share: int = SHARE, union: int = UNION) -> list[int]:
-    """The bands j (sizes 4**j up to 4**(j+1) * union / share) that hold a size."""
-    top = (size.bit_length() - 1) // 2
-    return [top] + [top - 1] * (top > 0 and size * share < 4**top * union)
+    return size * SLACK // SLACK_OF
+
+
+def differing(size, band: int, share: int = SHARE, union: int = UNION):
+    """Most features in which a set of ``size`` (or of each size of an array) and a similar one differ, the smaller of
+    both being of the band's own sizes: similar sets of a and b features differ in (a + b) * (union - share) /
+    (union + share) at most."""
+    most = 2 ** (band + 1) - 1
+    return np.where(size <= most, size * (union - share) // share, (most + size) * (union - share) // (union + share))
+
+
+SUBSETS = list(combinations(range(SECOND), SECOND - MAY_DIFFER))
+
+
+def _distinct_subsets() -> np.ndarray:
+    """[which second-level parts hold features, as bits][subset]: whether to emit it, equal projections once."""
+    table = np.zeros((1 << SECOND, len(SUBSETS)), bool)
+    for bits in range(1 << SECOND):
+        seen = {0}
+        for i, subset in enumerate(SUBSETS):
+            own = bits & sum(1 << k for k in subset)
+            table[bits, i] = own not in seen
+            seen.add(own)
+    return table
+
+
+DISTINCT = _distinct_subsets()
+
+
+def signatures_of(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(set number, signature) of all sets of a block, band by band."""
+    sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+    level = np.frexp(sizes)[1].astype(np.int64) - 1
+    owners, found = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+    second, low = np.uint64(SECOND), np.uint64(0xFFFFFFFF)
+    for band in range(int(level.max()) + 1 if len(level) else 0):
+        rows = np.nonzero((level == band) | ((level == band + 1) & (sizes * SHARE < 2 ** (band + 1) * UNION)))[0]
+        if not len(rows):
+            continue
+        n, salt = sizes[rows], mixed(np.array([band + 1], np.uint64))
+        spread, owner = mixed(np.concatenate([sets[r] for r in rows]) ^ salt), np.repeat(np.arange(len(rows)), n)
+        n1 = max(1, 2**band * 10 // FEATURES_FOR_TEN)
+        cell = ((spread >> np.uint64(32)) % np.uint64(n1)) * second + (spread & low) % second + owner.astype(np.uint64) * np.uint64(n1 * SECOND)
+        key = (cell << np.uint64(32)) | (mixed(spread) >> np.uint64(32))
+        key.sort()
+        cell = key >> np.uint64(32)
+        heads = np.nonzero(np.append(True, cell[1:] != cell[:-1]))[0]
+        sums, cell = np.add.reduceat(mixed(key & low), heads), cell[heads].astype(np.int64)
+        part = cell // SECOND
+        new = np.append(True, part[1:] != part[:-1])
+        row, part = np.cumsum(new) - 1, part[new]
+        content, held = np.zeros((len(part), SECOND), np.uint64), np.zeros((len(part), SECOND), bool)
+        content[row, cell % SECOND], held[row, cell % SECOND] = sums, True
+        own, name = part // n1, mixed((part % n1).astype(np.uint64) + salt)
+        full = held.sum(axis=1) > MAY_DIFFER
+        ends = np.cumsum(full)
+        edges = np.searchsorted(own, np.arange(len(rows) + 1))
+        before = ends - full
+        start = before[edges[:-1]]
+        need = differing(n, band) // (MAY_DIFFER + 1) + 1 + n * SLACK // SLACK_OF
+        taken = before - start[own] < need[own]
+        emitted = DISTINCT[held @ (1 << np.arange(SECOND))] & taken[:, None]
+        for i, subset in enumerate(SUBSETS):
+            some = emitted[:, i]
+            owners.append(rows[own[some]])
+            found.append(mixed(content[some][:, subset].sum(axis=1) + name[some] * np.uint64(BASE)))
+        sparse = ends[edges[1:] - 1] - start < need
+        if sparse.any():
+            of_sparse = sparse[owner]
+            spread, owner = mixed(spread[of_sparse] ^ np.uint64(BASE)), owner[of_sparse]
+            order = np.lexsort((spread, owner))
+            spread, owner = spread[order], owner[order]
+            nth = np.arange(len(owner)) - np.searchsorted(owner, owner)
+            first = nth < (n * (UNION - SHARE) // UNION + 1 + n * SLACK // SLACK_OF)[owner]
+            owners.append(rows[owner[first]])
+            found.append(spread[first])
+    return np.concatenate(owners), np.concatenate(found)
 
 
 def signatures(features: np.ndarray) -> np.ndarray:
-    """Signatures of a set: hashes of its first parts that are not empty, in each of its bands."""
-    size, out = len(features), []
-    for band in bands(size) if size else []:
-        need = reach(size) + 1 + slack(size)
-        salt = mixed(np.array([band + 1], np.uint64))
-        if 4 ** (band + 1) <= SINGLE:
-            own = np.sort(mixed(features ^ salt))[:need]
-        else:
-            spread = mixed(features ^ salt)
-            part = (spread >> np.uint64(32)) % np.uint64(2 * 4 ** (band + 1))
-            order = np.argsort(part, kind="stable")
-            part, spread = part[order], spread[order]
-            heads = np.nonzero(np.append(True, part[1:] != part[:-1]))[0]
-            if len(heads) <= reach(size):
-                raise ValueError("too few parts hold features; take more parts")
-            own = mixed(np.add.reduceat(spread, heads) + part[heads] * np.uint64(BASE))[:need]
-        out.append(own)
-    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+    """Signatures of one set."""
+    return np.unique(signatures_of([features])[1])
 
 
 def summaries(docs: DataFrame) -> DataFrame:
@@ -198,14 +265,17 @@ def _packed(docs: DataFrame, buckets: int) -> DataFrame:
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         signature, key, have, seen = [], [], 0, set()
         for block in blocks(batches):
+            sets, names = [], []
             for features in feature_sets(block.column("text")):
                 own = identity(features)[0]
-                if own in seen or not len(features):
-                    continue
-                seen.add(own)
-                found = signatures(features)
+                if own not in seen and len(features):
+                    seen.add(own)
+                    sets.append(features)
+                    names.append(own)
+            if sets:
+                owner, found = signatures_of(sets)
                 signature.append(found)
-                key.append(np.full(len(found), own, np.int64).view(np.uint64))
+                key.append(np.array(names, np.int64).view(np.uint64)[owner])
                 have += len(found)
             if have >= GATHER:
                 yield from _dealt(signature, key, buckets)
@@ -427,9 +497,9 @@ def similarity_groups(docs: DataFrame) -> DataFrame:
     one = counts.select(F.col("key").alias("a"), F.col("n").alias("n_a"), F.col("crowds").alias("crowds_a"))
     two = counts.select(F.col("key").alias("b"), F.col("n").alias("n_b"), F.col("crowds").alias("crowds_b"))
     # similar sets share more signatures than the smaller one's slack; how many crowded ones they share is not known yet
-    enough = F.col("shared") + F.least("crowds_a", "crowds_b") > F.floor(F.least("n_a", "n_b") * SLACK / 20)
+    enough = F.col("shared") + F.least("crowds_a", "crowds_b") > F.floor(F.least("n_a", "n_b") * SLACK / SLACK_OF)
     pairs = written(pairs.join(one, "a").join(two, "b").where(enough).select("a", "b", "shared", "n_a", "n_b"), "likely")
-    allowed = F.floor(F.floor(F.col("n") * SHARE / UNION) * SLACK / 20)  # the slack of the smallest set it can link with
+    allowed = F.floor(F.floor(F.col("n") * SHARE / UNION) * SLACK / SLACK_OF)  # the slack of the smallest set it can link with
     crowds = written(crowded.join(counts.where(F.col("crowds") > allowed).select("key", "n"), "key"), "crowds")
 
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("key")).union(crowds.select("key")).distinct()

@@ -10,15 +10,16 @@ earlier in the same one. Strings never cross documents, and are judged on the in
 3. Anchors that recur become contexts: the bytes around them and the range of starts whose anchor they are. Equal
    contexts of one anchor meet before and after the shuffle; all but the first are repeats as a whole.
 4. The other contexts of an anchor meet in bounded blocks. A block's starts get a suffix array (prefix doubling up to
-   LENGTH), previous and next smaller positions in suffix order, and from these the longest previous factor, capped at
-   LENGTH. A start with a factor of LENGTH occurred before.
+   LENGTH), previous and next smaller positions in suffix order, and from these the array of longest previous factors,
+   capped at LENGTH. A start whose factor has LENGTH bytes occurred before.
 5. An anchor with more occurrences than ``CROWD`` is split before it can fill a task: each of its starts becomes a
    context of its own, dealt by a hash of the string. Equal strings then meet as equal contexts, as in 3.
 6. Starts become byte ranges per document, are merged, and cut from the text. Only texts with repeats move again.
 
 Nulls count as empty texts. A null doc_id comes before all others; rows that repeat a doc_id are documents of their own,
-in order of text: tables that have either are numbered first. An empty table gives an empty result. Extra columns are
-ignored.
+in order of text: tables that have either are numbered first. A text of any length is one document: its bytes are held
+once, as a block of its own where it is longer than a block. An empty table gives an empty result. Extra columns, of any
+name, are ignored.
 """
 
 from __future__ import annotations
@@ -37,6 +38,8 @@ from millrace.llm.rolling import sliding_min, window_hashes
 LENGTH, GRAM = 100, 32
 #: Occurrences of one anchor that a task takes as a group, and context bytes of a block.
 CROWD, BLOCK = 20_000, 2 << 20
+#: Bits of a place within a block; a text has less than 2 ** 31 bytes.
+PLACE_BITS = 31
 #: Anchors that a map task gathers before it sends them.
 GATHER = 1_500_000
 
@@ -49,8 +52,9 @@ def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
         empty = np.zeros(0, np.int64)
         return empty.astype(np.uint64), empty, empty, empty, empty
     hashes = window_hashes(data, GRAM)
-    # the hash's high bits, then the place: the least is the first of the least, and tells its place
-    bits = np.uint64(len(hashes).bit_length())
+    # the hash's high bits, then the place: the least is the first of the least, and tells its place. How many bits
+    # are the hash's doesn't depend on the block, so that equal strings have equal anchors everywhere
+    bits = np.uint64(PLACE_BITS)
     least = sliding_min(((hashes >> bits) << bits) | np.arange(len(hashes), dtype=np.uint64), width)
     start = np.arange(len(least))
     room = np.zeros(len(least), bool)  # starts whose string stays within its text
@@ -218,8 +222,9 @@ def _contexts(found: DataFrame) -> DataFrame:
     return found.mapInArrow(cut, "anchor long, doc_id long, low int, high int, context binary")
 
 
-def suffix_ranks(data: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
-    """Rank of each start among the strings data[s : s + length], by prefix doubling; equal strings have equal ranks."""
+def suffix_ranks(data: np.ndarray, length: int) -> list[tuple[int, np.ndarray]]:
+    """(width, rank of every place among the strings of that width), by prefix doubling from 8 bytes to ``length``;
+    equal strings have equal ranks. The last ranks, ties by position, are the suffix array's order."""
     n = len(data)
     padded = np.concatenate([data, np.zeros(8, np.uint8)]).astype(np.uint64)
     rank = np.zeros(n, np.uint64)
@@ -227,13 +232,38 @@ def suffix_ranks(data: np.ndarray, starts: np.ndarray, length: int) -> np.ndarra
         rank = (rank << np.uint64(8)) | padded[i : i + n]
     have = 8
     rank = np.unique(rank, return_inverse=True)[1].astype(np.int64)
+    levels = [(have, rank.astype(np.int32))]
     while have < length:
         step = min(have, length - have)
         shifted = np.zeros(n, np.int64)
         shifted[: n - step] = rank[step:] + 1
         rank = np.unique(rank * np.int64(n + 2) + shifted, return_inverse=True)[1].astype(np.int64)
         have += step
-    return rank[starts]
+        levels.append((have, rank.astype(np.int32)))
+    return levels
+
+
+def common_prefixes(data: np.ndarray, levels: list[tuple[int, np.ndarray]], a: np.ndarray, b: np.ndarray, length: int) -> np.ndarray:
+    """Length of the longest common prefix, capped at ``length``, of the strings at each a and b: whole widths as far
+    as ranks agree, from the greatest down, then bytes."""
+    out = np.zeros(len(a), np.int64)
+    equal = levels[-1][1][a] == levels[-1][1][b]
+    out[equal] = length
+    rest = np.nonzero(~equal)[0]
+    at, other, have = a[rest], b[rest], np.zeros(len(rest), np.int64)
+    n = len(data)
+    for width, rank in levels[-2::-1]:
+        x, y = at + have, other + have
+        same = (x < n) & (y < n) & (rank[np.minimum(x, n - 1)] == rank[np.minimum(y, n - 1)])
+        have += width * same
+    going = np.ones(len(rest), bool)
+    for _ in range(8):
+        x, y = at + have, other + have
+        going &= (x < n) & (y < n)
+        going[going] = data[x[going]] == data[y[going]]
+        have += going
+    out[rest] = np.minimum(have, length)
+    return out
 
 
 def smaller_before(position: np.ndarray) -> np.ndarray:
@@ -250,17 +280,20 @@ def smaller_before(position: np.ndarray) -> np.ndarray:
 
 
 def previous_factors(data: np.ndarray, starts: np.ndarray, position: np.ndarray, length: int) -> np.ndarray:
-    """For each start, whether its longest previous factor reaches ``length``: its neighbours in suffix order with a
-    smaller position have the longest common prefixes with it among all earlier starts."""
-    rank = suffix_ranks(data, starts, length)
+    """The longest previous factor of each start, capped at ``length``: the longest string at it that also starts at an
+    earlier position. The neighbours in suffix order with a smaller position, before and after, have the longest common
+    prefixes with it among all earlier starts."""
+    levels = suffix_ranks(data, length)
+    rank = levels[-1][1][starts]
     order = np.lexsort((position, rank))
-    ranks, where = rank[order], position[order]
+    where, at = position[order], starts[order]
     before = smaller_before(where)
     after = len(where) - 1 - smaller_before(where[::-1])[::-1]
-    long = (before >= 0) & (ranks[before] == ranks)
-    long |= (after < len(where)) & (ranks[np.minimum(after, len(where) - 1)] == ranks)
-    out = np.zeros(len(starts), bool)
-    out[order] = long
+    found = np.zeros(len(starts), np.int64)
+    for near, some in ((before, np.nonzero(before >= 0)[0]), (after, np.nonzero(after < len(where))[0])):
+        found[some] = np.maximum(found[some], common_prefixes(data, levels, at[some], at[near[some]], length))
+    out = np.zeros(len(starts), np.int64)
+    out[order] = found
     return out
 
 
@@ -307,7 +340,8 @@ def _search(contexts: DataFrame) -> DataFrame:
         at = low[row] + np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
         position = np.empty(len(row), np.int64)
         position[np.lexsort((at, doc[row]))] = np.arange(len(row))
-        yield from rows(*_runs(doc[row], at, previous_factors(data, offsets[row] + at - low[row], position, LENGTH)))
+        factors = previous_factors(data, offsets[row] + at - low[row], position, LENGTH)
+        yield from rows(*_runs(doc[row], at, factors >= LENGTH))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size, last = [], 0, None

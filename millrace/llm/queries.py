@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import bpe, chat_repair, exact_dedup, jaccard_join, mixing, pii, suffix_dedup, telephony, token_files, toxicity
-from millrace.llm.common import table
+from millrace.llm.common import table, written
 
 #: Folder of the public tokenizers' files; a parameter of the queries, never copied.
 TOKENIZERS = "/opt/tokenizers"
@@ -41,7 +41,8 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return telephony.features(telephony.stored(table(spark, sf_dir, "documents")))
+    media = telephony.decoded_column(telephony.stored(table(spark, sf_dir, "documents")))
+    return telephony.features(written(media, "telephony", compression="zstd"))
 
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

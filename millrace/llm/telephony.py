@@ -1,11 +1,17 @@
 """Media columns for telephony audio: mu-law and A-law by lookup tables, ADPCM blocks with numpy, resampled PCM.
 
-A media column holds WAV bytes of 8-bit companded samples (or of ADPCM blocks); decoding gives 16-bit PCM at 8 kHz, and
-at another rate by linear interpolation between integer samples. Everything is per row, within one map.
-
-Nulls: a null payload counts as empty text and becomes one padding block; a null media value gives null PCM. Bytes that
-are no WAV of a known kind end in a ValueError of that row's doc_id. Repeated rows give equal values. An empty table
-gives an empty result. Extra columns are ignored.
+A media column holds WAV bytes of 8-bit companded samples or of ADPCM blocks; decoding gives 16-bit PCM at 8 kHz, and at
+another rate by linear interpolation between integer samples. ``stored`` makes the media, ``decoded_column`` the
+resampled PCM, ``features`` reads both. Everything is per row, within one map; the query writes media and PCM as a
+table and computes features from what it reads back.
+
+Texts take the kinds mu-law, A-law and ADPCM in turn, by a checksum of their payload, so that equal texts have equal
+media and each kind's decoder runs on media of its own.
+
+Nulls: a null payload counts as empty text and becomes one padding block; a null media value gives null PCM. An empty
+text is one padding block as well. A text of any length is one media value, in a block of its own where it is longer
+than a block; WAV sizes end at 4 GB. Bytes that are no WAV of a known kind end in a ValueError with that row's doc_id.
+Repeated rows give equal values. An empty table gives an empty result. Extra columns, of any name, are ignored.
 """
 
 from __future__ import annotations
@@ -28,6 +34,8 @@ ALAW, MULAW, IMA_ADPCM = 6, 7, 17
 #: Bytes and samples of an ADPCM block: 4 bytes of header with the first sample, then two samples a byte.
 BLOCK_BYTES = 36
 BLOCK_SAMPLES = 1 + 2 * (BLOCK_BYTES - 4)
+#: Media bytes of a block of rows.
+BLOCK = 1 << 20
 
 
 def mulaw_table() -> np.ndarray:
@@ -47,12 +55,14 @@ def alaw_table() -> np.ndarray:
 
 def step_table() -> np.ndarray:
     """The 89 step sizes of IMA ADPCM: each about 1.1 times the one before, from 7 up to 32767."""
-    # The first steps, as the standard rounds them; the others follow from the rule.
-    steps = [7, 8, 9, 10, 11, 12, 13, 14, 16, 17, 19, 21, 23, 25, 28, 31, 34, 37, 41, 45]
-    steps += [50, 55, 60, 66, 73, 80, 88, 97, 107, 118, 130, 143, 157, 173, 190, 209, 230, 253, 279, 307]
-    steps += [337, 371, 408, 449, 494, 544, 598, 658, 724, 796, 876, 963, 1060, 1166, 1282, 1411, 1552, 1707, 1878, 2066]
-    steps += [2272, 2499, 2749, 3024, 3327, 3660, 4026, 4428, 4871, 5358, 5894, 6484, 7132, 7845, 8630, 9493, 10442, 11487, 12635, 13899]
-    steps += [15289, 16818, 18500, 20350, 22385, 24623, 27086, 29794, 32767]
+    # Fixed values, as the standard rounds them.
+    steps = [
+        7, 8, 9, 10, 11, 12, 13, 14, 16, 17, 19, 21, 23, 25, 28, 31, 34, 37, 41, 45, 50, 55, 60, 66, 73,
+        80, 88, 97, 107, 118, 130, 143, 157, 173, 190, 209, 230, 253, 279, 307, 337, 371, 408, 449, 494,
+        544, 598, 658, 724, 796, 876, 963, 1060, 1166, 1282, 1411, 1552, 1707, 1878, 2066, 2272, 2499,
+        2749, 3024, 3327, 3660, 4026, 4428, 4871, 5358, 5894, 6484, 7132, 7845, 8630, 9493, 10442, 11487,
+        12635, 13899, 15289, 16818, 18500, 20350, 22385, 24623, 27086, 29794, 32767,
+    ]
     return np.array(steps, np.int32)
 
 
@@ -151,8 +161,17 @@ def resampled(pcm: np.ndarray, rate: int, target: int) -> np.ndarray:
     return ((wide[left] * (target - part) + wide[left + 1] * part) // target).astype(np.int16)
 
 
+KINDS = (MULAW, ALAW, IMA_ADPCM)
+
+
+def kind_of(payload: bytes) -> int:
+    """The media kind of a payload."""
+    return KINDS[zlib.crc32(payload) % len(KINDS)]
+
+
 def stored(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_bytes, media): each text's UTF-8 bytes, filled up to whole frames, as mu-law samples of a WAV file."""
+    """(doc_id, n_bytes, media): each text's UTF-8 bytes, filled up to whole frames, as a WAV file of 8-bit samples or
+    of ADPCM blocks."""
 
     def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches):
@@ -160,75 +179,77 @@ def stored(docs: DataFrame) -> DataFrame:
             for text in block.column("text").cast(pa.binary()).to_pylist():
                 payload = text or b""
                 sizes.append(len(payload))
-                media.append(wav(payload + bytes([FILL]) * (max(FRAME, -(-len(payload) // FRAME) * FRAME) - len(payload))))
+                payload += bytes([FILL]) * (max(FRAME, -(-len(payload) // FRAME) * FRAME) - len(payload))
+                media.append(wav(payload, kind_of(payload)))
             yield pa.record_batch([block.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(media, pa.binary())], ["doc_id", "n_bytes", "media"])
 
     return docs.select("doc_id", "text").mapInArrow(store, "doc_id long, n_bytes long, media binary")
 
 
 def decoded_column(rows: DataFrame, target: int = 16000) -> DataFrame:
-    """(doc_id, rate, pcm): the media column as 16-bit little-endian PCM at the target rate."""
+    """``rows`` (doc_id, n_bytes, media) with rate and pcm: the media as 16-bit little-endian PCM at the target rate.
+    The ADPCM blocks of all media of a block of rows are decoded together."""
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in blocks(batches, "media"):
-            out = []
+        for block in blocks(batches, "media", BLOCK):
+            found: list = []
             for name, media in zip(block.column("doc_id").to_pylist(), block.column("media").to_pylist()):
                 try:
-                    out.append(None if media is None else resampled(*decoded(media), target).astype("<i2").tobytes())
+                    found.append(None if media is None else parsed(media))
                 except ValueError as e:
                     raise ValueError(f"doc_id {name}: {e}") from e
-            yield pa.record_batch([block.column("doc_id"), pa.array([target] * len(out), pa.int32()), pa.array(out, pa.binary())], ["doc_id", "rate", "pcm"])
-
-    return rows.select("doc_id", "media").mapInArrow(decode, "doc_id long, rate int, pcm binary")
+            several = [np.frombuffer(x[2], np.uint8)[: len(x[2]) // BLOCK_BYTES * BLOCK_BYTES] for x in found if x and x[0] == IMA_ADPCM]
+            ends = np.cumsum([len(x) // BLOCK_BYTES * BLOCK_SAMPLES for x in several])
+            parts = iter(np.split(adpcm(np.concatenate(several).reshape(-1, BLOCK_BYTES)), ends[:-1]) if several else [])
+            out = []
+            for x in found:
+                if x is None:
+                    out.append(None)
+                    continue
+                tag, rate, data = x
+                pcm = next(parts) if tag == IMA_ADPCM else (MULAW_PCM if tag == MULAW else ALAW_PCM)[np.frombuffer(data, np.uint8)]
+                out.append(resampled(pcm, rate, target).astype("<i2").tobytes())
+            yield pa.record_batch(
+                [block.column(c) for c in ("doc_id", "n_bytes", "media")] + [pa.array([target] * len(out), pa.int32()), pa.array(out, pa.binary())],
+                ["doc_id", "n_bytes", "media", "rate", "pcm"],
+            )
 
+    return rows.select("doc_id", "n_bytes", "media").mapInArrow(decode, "doc_id long, n_bytes long, media binary, rate int, pcm binary")
 
-def _sums(values: np.ndarray, edges: np.ndarray) -> np.ndarray:
-    whole = np.append(0, np.cumsum(values, dtype=np.int64))
-    return whole[edges[1:]] - whole[edges[:-1]]
 
+def feature_of(tag: int, pcm: np.ndarray, rate: int) -> str:
+    """In integers only: the media's kind, and of its PCM the rate, length, mean size, sign changes, greatest size and
+    checksum."""
+    size = np.abs(pcm.astype(np.int32))
+    turns = int(((pcm[1:] < 0) != (pcm[:-1] < 0)).sum())
+    name = {MULAW: "mulaw", ALAW: "alaw", IMA_ADPCM: "adpcm"}[tag]
+    mean, peak = (int(size.sum()) // len(size), int(size.max())) if len(size) else (0, 0)
+    return f"{name};rate={rate};samples={len(pcm)};mean={mean};turns={turns};peak={peak};crc32={zlib.crc32(pcm.astype('<i2').tobytes())}"
 
-def features(rows: DataFrame, target: int = 16000) -> DataFrame:
-    """(doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature), from the
-    stored bytes.
 
-    The feature names, in integers only, the mean size of the mu-law samples, their sign changes and greatest size, the
-    mean size of the same bytes as A-law and as ADPCM blocks, and a checksum of the PCM resampled to ``target``.
-    """
+def features(rows: DataFrame) -> DataFrame:
+    """(doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature), from stored
+    media and PCM (doc_id, n_bytes, media, rate, pcm)."""
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in blocks(batches, "media"):
+        for block in blocks(batches, "pcm", BLOCK * 4):
             media = block.column("media").to_pylist()
-            data = [parsed(m)[2] for m in media]
-            edges = np.append(0, np.cumsum([len(x) for x in data]))
-            codes = np.frombuffer(b"".join(data), np.uint8)
-            pcm = MULAW_PCM[codes]
-            size = np.abs(pcm.astype(np.int32))
-            mean = _sums(size, edges) // np.diff(edges)
-            other = _sums(np.abs(ALAW_PCM[codes].astype(np.int32)), edges) // np.diff(edges)
-            flips = np.append(False, (pcm[1:] < 0) != (pcm[:-1] < 0))
-            flips[edges[:-1]] = False
-            turns = _sums(flips, edges)
-            peak = np.maximum.reduceat(size, edges[:-1]) if len(size) else size
-            blocked = np.abs(adpcm(codes.reshape(-1, BLOCK_BYTES)).astype(np.int32))
-            nested = edges // BLOCK_BYTES * BLOCK_SAMPLES
-            packed = _sums(blocked, nested) // np.diff(nested)
-            text = [
-                f"mulaw={a};turns={b};peak={c};alaw={d};adpcm={e};pcm{target}={zlib.crc32(resampled(pcm[x:y], RATE, target).astype('<i2').tobytes())}"
-                for a, b, c, d, e, x, y in zip(mean.tolist(), turns.tolist(), peak.tolist(), other.tolist(), packed.tolist(), edges.tolist(), edges[1:].tolist())
-            ]
+            kinds = [parsed(m) for m in media]
+            pcm = [np.frombuffer(x.as_buffer(), "<i2") for x in block.column("pcm")]
+            data = [x[2] for x in kinds]
             yield pa.record_batch(
                 [
                     block.column("doc_id"),
                     block.column("n_bytes"),
-                    pa.array(np.diff(edges)),
+                    pa.array([len(x) for x in data], pa.int64()),
                     pa.array([hashlib.sha256(x).hexdigest() for x in data], pa.string()),
                     pa.array([zlib.crc32(x[-32:]) for x in data], pa.int64()),
                     pa.array([len(m) for m in media], pa.int64()),
                     pa.array([hashlib.sha256(m).hexdigest() for m in media], pa.string()),
-                    pa.array(text, pa.string()),
+                    pa.array([feature_of(k[0], p, r) for k, p, r in zip(kinds, pcm, block.column("rate").to_pylist())], pa.string()),
                 ],
                 ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"],
             )
 
     schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    return rows.select("doc_id", "n_bytes", "media").mapInArrow(compute, schema)
+    return rows.select("doc_id", "n_bytes", "media", "rate", "pcm").mapInArrow(compute, schema)

@@ -141,7 +141,18 @@ def test_previous_factors_by_force():
     found = suffix_dedup.previous_factors(data, starts, position, 12)
     raw = data.tobytes()
     for i in starts:
-        assert found[i] == any(raw[j : j + 12] == raw[i : i + 12] and position[j] < position[i] for j in starts)
+        earlier = [j for j in starts if position[j] < position[i]]
+        assert found[i] == max([k for k in range(13) for j in earlier if raw[j : j + k] == raw[i : i + k]], default=0)
+
+
+def test_anchors_do_not_depend_on_the_block():
+    rng = np.random.default_rng(4)
+    text = np.concatenate([rng.integers(97, 123, 300), np.full(300, 97), np.tile(rng.integers(97, 123, 7), 40)]).astype(np.uint8)
+    alone = suffix_dedup.anchors(text, np.array([0, len(text)]))
+    other = rng.integers(97, 123, 70_000).astype(np.uint8)
+    found = suffix_dedup.anchors(np.concatenate([other, text]), np.array([0, len(other), len(other) + len(text)]))
+    second = found[1] == 1
+    assert all((a == b[second]).all() for a, b in zip(alone[2:], found[2:])) and (alone[0] == found[0][second]).all()
 
 
 def test_cut_texts(spark, docs):
@@ -256,35 +267,65 @@ def test_chunks_cover_texts_and_depend_on_content():
 
 
 # 5 -------------------------------------------------------------------------------------------------------------------
+def adpcm_by_force(data):
+    out = []
+    for at in range(0, len(data), telephony.BLOCK_BYTES):
+        block = data[at : at + telephony.BLOCK_BYTES]
+        value, index = int.from_bytes(block[:2], "little", signed=True), min(block[2], 88)
+        out.append(value)
+        for code in (c for byte in block[4:] for c in (byte & 15, byte >> 4)):
+            step = int(telephony.STEPS[index])
+            size = (step >> 3) + (step if code & 4 else 0) + (step >> 1 if code & 2 else 0) + (step >> 2 if code & 1 else 0)
+            value = max(-32768, min(32767, value - size if code & 8 else value + size))
+            index = max(0, min(88, index + int(telephony.INDEX_MOVES[code])))
+            out.append(value)
+    return out
+
+
+def feature_by_force(payload):
+    """The feature of a payload at twice the rate, sample by sample."""
+    kind = zlib.crc32(payload) % 3
+    if kind == 0:
+        pcm = [int(telephony.MULAW_PCM[x]) for x in payload]
+    elif kind == 1:
+        pcm = [int(telephony.ALAW_PCM[x]) for x in payload]
+    else:
+        pcm = adpcm_by_force(payload)
+    twice = [v for x, y in zip(pcm, pcm[1:]) for v in (x, (x + y) // 2)] + pcm[-1:]
+    turns = sum((x < 0) != (y < 0) for x, y in zip(twice, twice[1:]))
+    name, crc = ("mulaw", "alaw", "adpcm")[kind], zlib.crc32(struct.pack(f"<{len(twice)}h", *twice))
+    return f"{name};rate=16000;samples={len(twice)};mean={sum(map(abs, twice)) // len(twice)};turns={turns};peak={max(map(abs, twice))};crc32={crc}"
+
+
 def test_telephony(spark, docs, nothing):
-    found = rows_of(telephony.features(telephony.stored(docs)))
-    for i, t in corpus():
+    media = telephony.decoded_column(telephony.stored(docs))
+    found, kinds = rows_of(telephony.features(media)), set()
+    for i, t in [*corpus(), (7000, "long " * 600_000)]:
+        if i == 7000:
+            found = rows_of(telephony.features(telephony.decoded_column(telephony.stored(frame(spark, [(i, t)])))))
         payload = (t or "").encode()
         full = payload + b"\xff" * (max(576, -(-len(payload) // 576) * 576) - len(payload))
         r = found[i]
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(payload), len(full), hashlib.sha256(full).hexdigest(), zlib.crc32(full[-32:]))
-        assert (r.media_bytes, r.media_sha256) == (len(telephony.wav(full)), hashlib.sha256(telephony.wav(full)).hexdigest())
-    assert len({r.feature for r in found.values()}) == len({t or "" for _, t in corpus()})
-    assert telephony.features(telephony.stored(nothing)).count() == 0
-    pcm = rows_of(telephony.decoded_column(telephony.stored(docs), 16000))
-    assert all(len(r.pcm) == 2 * (2 * (found[i].payload_bytes - 1) + 1) for i, r in pcm.items())
+        form = telephony.wav(full, telephony.kind_of(full))
+        assert (r.media_bytes, r.media_sha256) == (len(form), hashlib.sha256(form).hexdigest())
+        assert r.feature == feature_by_force(full)
+        kinds.add(r.feature.split(";")[0])
+    assert kinds == {"mulaw", "alaw", "adpcm"}
+    assert telephony.features(telephony.decoded_column(telephony.stored(nothing))).count() == 0
+
+
+def test_media_that_are_null_or_unknown(spark):
+    rows = spark.createDataFrame([(1, 0, None), (2, 3, telephony.wav(b"\0\1\2"))], "doc_id long, n_bytes long, media binary")
+    assert [r.pcm for r in telephony.decoded_column(rows, 8000).orderBy("doc_id").collect()] == [None, struct.pack("<3h", *telephony.MULAW_PCM[:3])]
+    for bad in (b"RIFFxxxxWAVE", b"", telephony.wav(b"abcd", 1)):
+        with pytest.raises(Exception, match="doc_id 5"):
+            telephony.decoded_column(spark.createDataFrame([(5, 4, bad)], rows.schema)).collect()
 
 
 def test_adpcm_block_by_block():
-    rng = np.random.default_rng(4)
-    data = rng.integers(0, 256, (40, telephony.BLOCK_BYTES)).astype(np.uint8)
-    together = telephony.adpcm(data).reshape(40, -1)
-    for block, pcm in zip(data, together):
-        value, index = int.from_bytes(block[:2].tobytes(), "little", signed=True), min(int(block[2]), 88)
-        wanted = [value]
-        for byte in block[4:].tolist():
-            for code in (byte & 15, byte >> 4):
-                step = int(telephony.STEPS[index])
-                size = (step >> 3) + (step if code & 4 else 0) + (step >> 1 if code & 2 else 0) + (step >> 2 if code & 1 else 0)
-                value = max(-32768, min(32767, value - size if code & 8 else value + size))
-                index = max(0, min(88, index + int(telephony.INDEX_MOVES[code])))
-                wanted.append(value)
-        assert pcm.tolist() == wanted
+    data = np.random.default_rng(4).integers(0, 256, (40, telephony.BLOCK_BYTES)).astype(np.uint8)
+    assert telephony.adpcm(data).tolist() == adpcm_by_force(data.tobytes())
     wave = (np.sin(np.arange(4000) / 30) * 9000).astype(np.int16)
     back, _ = telephony.decoded(telephony.wav(telephony.adpcm_encoded(wave), telephony.IMA_ADPCM))
     assert np.abs(back[: len(wave)].astype(int) - wave).mean() < 400

@@ -6,14 +6,18 @@ turn can be inserted before it. Dynamic programming over the automaton's states
 repair of least cost; ties go to the earlier entry in ``MOVES``.
 
 A step's costs are a matrix over states, and matrices combine under (min, +). So a long conversation needs no single
-task: turns are range-partitioned by (conversation, turn), each partition reduces its part of a conversation to one
-matrix, parts (one row for each partition that a conversation touches) are chained, and each partition then walks back
-through its own turns from the state in which the next part begins. Output is a row per piece; pieces in order,
-concatenated, are the rendered conversation.
+task: turns are range-partitioned by (conversation, turn) and numbered within their conversation, every ``BLOCK``
+turns of a conversation are a block with one matrix and one byte a turn, a conversation's blocks are chained, and each
+block then walks back through its own turns from the state in which the next one begins. Blocks are cut at fixed turn
+numbers, so that results don't depend on partitions. Texts take no part in this: the chosen moves join them by
+(conversation, turn number), and pieces are rendered by column expressions, a row at a time. Output is a row per turn;
+a conversation's pieces in order of ``seq``, concatenated, are its rendering, which is not put into one row, since a
+conversation has no bound.
 
 Nulls: a null role is unknown and takes the cheapest legal role; a null text is empty; null conversation ids form one
-conversation, null turns come first. Repeated rows are turns of their own, ordered by role and text. An empty table
-gives an empty result. Extra columns are ignored. Unknown roles are relabelled.
+conversation, null turns come first. A text of any length is one row's. Repeated rows are turns of their own, ordered by
+role and text, ties among them being alike. An empty table gives an empty result. Extra columns, of any name, are
+ignored. Unknown roles are relabelled.
 """
 
 from __future__ import annotations
@@ -21,9 +25,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.llm.common import written
@@ -80,48 +83,82 @@ def chained(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.min(a[:, :, None] + b[None], axis=1)
 
 
-def _codes(roles: pd.Series) -> np.ndarray:
-    return roles.map(lambda r: ROLES.get(r, 0) if isinstance(r, str) else 0).to_numpy(np.int64)
+#: Turns of a block; what a task holds of a conversation at once are its blocks' matrices.
+BLOCK = 4096
+NEUTRAL = np.where(np.eye(4, dtype=bool), 0, FAR).astype(np.int64)
 
 
-def _segments(table: pd.DataFrame):
-    """Row ranges of one part of one conversation each."""
-    conv = table["conv_id"]
-    same = ((conv.eq(conv.shift()) | (conv.isna() & conv.shift().isna())) & table["part"].eq(table["part"].shift())).to_numpy().copy()
-    same[:1] = False
-    edges = np.append(np.nonzero(~same)[0], len(table))
-    return zip(edges[:-1].tolist(), edges[1:].tolist())
+def product(matrices: np.ndarray) -> np.ndarray:
+    """All matrices (n, 4, 4) chained in order, by halving."""
+    while len(matrices) > 1:
+        if len(matrices) % 2:
+            matrices = np.concatenate([matrices, NEUTRAL[None]])
+        matrices = np.minimum(np.min(matrices[0::2, :, :, None] + matrices[1::2, None], axis=2), FAR)
+    return matrices[0]
 
 
-def _matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row per part of a conversation: its matrix, built batch by batch."""
-    held: tuple | None = None
-    out: list = []
+def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of one sorted partition with their part, their number within their conversation in this part, whether that
+    is the part's first conversation, and the code of their role."""
+    from pyspark import TaskContext
+
+    part, last, at, first = TaskContext.get().partitionId(), None, 0, True
     for batch in batches:
-        table = batch.select(["conv_id", "part", "role"]).to_pandas(integer_object_nulls=True)
-        codes = _codes(table["role"])
-        for a, b in _segments(table):
-            name = (table["conv_id"].iloc[a], int(table["part"].iloc[a]))
-            if held is None or held[0] != name:
-                if held is not None:
-                    out.append(held)
-                total = STEPS[codes[a]]
-                a += 1
-            else:
-                total = held[1]
-            for k in codes[a:b].tolist():
-                total = chained(total, STEPS[k])
-            held = (name, total)
-    if held is not None:
-        out.append(held)
-    yield pa.record_batch(
-        [pa.array([n[0] for n, _ in out], pa.int64()), pa.array([n[1] for n, _ in out], pa.int32()), pa.array([m.ravel().tolist() for _, m in out], pa.list_(pa.int64()))],
-        ["conv_id", "part", "matrix"],
-    )
+        if not batch.num_rows:
+            continue
+        ids = batch.column("conv_id")
+        known, null = ids.fill_null(0).to_numpy(), ids.is_null().to_numpy(zero_copy_only=False)
+        new = np.append(True, (known[1:] != known[:-1]) | (null[1:] != null[:-1]))
+        own = (None if null[0] else int(known[0]),)
+        if last is not None and own == last:
+            new[0] = False
+        elif last is not None:
+            first = False
+        start = np.maximum.accumulate(np.where(new, np.arange(len(new)), -1))
+        nth = np.where(start < 0, at + np.arange(len(new)), np.arange(len(new)) - start)
+        lead = (np.cumsum(new) - new[0] == 0) & first
+        codes = [ROLES.get(r, 0) for r in batch.column("role").to_pylist()]
+        yield pa.record_batch(
+            [ids, pa.array([part] * len(new), pa.int32()), pa.array(nth), pa.array(lead), pa.array(codes, pa.int8()), batch.column("role"), batch.column("text")],
+            ["conv_id", "part", "nth", "lead", "code", "role", "text"],
+        )
+        last, at, first = (None if null[-1] else int(known[-1]),), int(nth[-1]) + 1, bool(lead[-1])
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(conv_id, block, codes, matrix) of rows in order of conversation, block and turn; one block is held at a time."""
+    name, held = None, []
+
+    def made(done: list) -> pa.RecordBatch:
+        codes = [np.concatenate(c) for _, c in done]
+        return pa.record_batch(
+            [pa.array([n[0] for n, _ in done], pa.int64()), pa.array([n[1] for n, _ in done], pa.int64()), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array([product(STEPS[c]).ravel().tolist() for c in codes], pa.list_(pa.int64()))],
+            ["conv_id", "block", "codes", "matrix"],
+        )
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        ids, blocks = batch.column("conv_id"), batch.column("block").to_numpy()
+        known, null = ids.fill_null(0).to_numpy(), ids.is_null().to_numpy(zero_copy_only=False)
+        codes = batch.column("code").to_numpy()
+        heads = np.nonzero(np.append(True, (known[1:] != known[:-1]) | (null[1:] != null[:-1]) | (blocks[1:] != blocks[:-1])))[0].tolist()
+        done = []
+        for a, b in zip(heads, heads[1:] + [len(known)]):
+            own = (None if null[a] else int(known[a]), int(blocks[a]))
+            if own != name and name is not None:
+                done.append((name, held))
+                held = []
+            name = own
+            held.append(codes[a:b])
+        if done:
+            yield made(done)
+    if name is not None:
+        yield made([(name, held)])
 
 
 def ends(matrices: list[np.ndarray]) -> tuple[list[int], int]:
-    """States before, between and after a conversation's parts on a path of least cost, and that cost."""
+    """States before, between and after a conversation's blocks on a path of least cost, and that cost."""
     costs = [np.array([0, FAR, FAR, FAR], np.int64)]
     for m in matrices:
         costs.append(np.min(costs[-1][:, None] + m, axis=0))
@@ -133,41 +170,30 @@ def ends(matrices: list[np.ndarray]) -> tuple[list[int], int]:
 
 
 def _ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """State before and after each part, of rows in order of conversation and part. What is held is one conversation's
-    parts: a row for each partition that it touches."""
-    held: list[dict] = []
-
-    def solved() -> pa.RecordBatch:
-        out = {k: [] for k in ("conv", "at", "before", "after", "final", "cost")}
-        first = 0
-        while first < len(held):
-            last = first + 1
-            while last < len(held) and held[last]["conv_id"] == held[first]["conv_id"]:
-                last += 1
-            parts = held[first:last]
-            states, cost = ends([np.array(p["matrix"], np.int64).reshape(4, 4) for p in parts])
-            for i, p in enumerate(parts):
-                for key, value in zip(out, (p["conv_id"], p["part"], states[i], states[i + 1], i == len(parts) - 1, cost)):
-                    out[key].append(value)
-            first = last
-        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.int64())
-        return pa.record_batch([pa.array(v, t) for v, t in zip(out.values(), kinds)], list(out))
+    """State before and after each block, of rows in order of conversation and block. What is held is one
+    conversation's matrices, one for each BLOCK turns."""
+    held: list[tuple[int | None, int, np.ndarray]] = []
+
+    def solved(rows: list) -> pa.RecordBatch:
+        states, cost = ends([m for _, _, m in rows])
+        count = len(rows)
+        return pa.record_batch(
+            [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array(states[:-1], pa.int32()), pa.array(states[1:], pa.int32()), pa.array([i == count - 1 for i in range(count)]), pa.array([cost] * count, pa.int64())],
+            ["conv", "at", "before", "after", "final", "cost"],
+        )
 
     for batch in batches:
-        rows = batch.to_pylist()
-        if held and rows and rows[0]["conv_id"] != held[-1]["conv_id"]:
-            yield solved()
-            held.clear()
-        held.extend(rows)
-        # a conversation may go on in the next batch: what ends for certain is solved
-        keep = next((i for i in range(len(held) - 1, -1, -1) if held[i]["conv_id"] != held[-1]["conv_id"]), -1) + 1
-        if keep:
-            rest = held[keep:]
-            del held[keep:]
-            yield solved()
-            held[:] = rest
+        out = []
+        matrices = batch.column("matrix").values.to_numpy().reshape(-1, 4, 4)
+        for row in zip(batch.column("conv_id").to_pylist(), batch.column("block").to_pylist(), matrices):
+            if held and held[-1][0] != row[0]:
+                out.append(solved(held))
+                held = []
+            held.append(row)
+        if out:
+            yield from pa.Table.from_batches(out).combine_chunks().to_batches()
     if held:
-        yield solved()
+        yield solved(held)
 
 
 def walked(codes: list[int], before: int, after: int) -> list[int]:
@@ -188,56 +214,78 @@ def walked(codes: list[int], before: int, after: int) -> list[int]:
     return path[::-1]
 
 
-def _turn(role: int, text: str = "") -> str:
-    return OPEN.format(role=NAMES[role]) + text
-
-
-def _rendered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pieces of one partition, whose conversations are in order. A part is held as role codes, 1 byte a turn."""
-    rows = [b.to_pandas(integer_object_nulls=True) for b in batches if b.num_rows]
-    for table, a, b in ((t, a, b) for t in ([pd.concat(rows, ignore_index=True)] if rows else []) for a, b in _segments(t)):
-        part = table.iloc[a:b]
-        first = part.iloc[0]
-        out = {k: [] for k in ("conv_id", "seq", "role", "action", "piece", "cost")}
-        path = walked(_codes(part["role"]).tolist(), int(first["before"]), int(first["after"]))
-        for n, (move, text) in enumerate(zip(path, part["text"])):
-            state, _, _, role, extra = MOVES[move]
-            merge = role == state
-            text = text if isinstance(text, str) else ""
-            if merge:
-                piece = "\n" + text
-            else:
-                piece = (CLOSE if state != START else "") + (_turn(extra) + CLOSE if extra is not None else "") + _turn(role, text)
-            given = part["role"].iloc[n]
-            action = "merge" if merge else "insert" if extra is not None else "keep" if given == NAMES[role] else "relabel"
-            if n == b - a - 1 and first["final"]:
-                stop = {SYSTEM: (USER, ASSISTANT), USER: (ASSISTANT,)}.get(role, ())
-                piece += CLOSE + "".join(_turn(r) + CLOSE for r in stop)
-                action += "+close" * bool(stop)
-            for key, value in zip(out, (first["conv_id"], int(first["part"]) * (1 << 40) + n, NAMES[role], action, piece, int(first["cost"]))):
-                out[key].append(value)
-        yield pa.record_batch(
-            [pa.array(out["conv_id"], pa.int64()), pa.array(out["seq"], pa.int64()), *(pa.array(out[k], pa.string()) for k in ("role", "action", "piece")), pa.array(out["cost"], pa.int64())],
-            list(out),
-        )
+def _moves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(conv, at, move, last, cost) of every turn of each block: its move by number, and whether it is the
+    conversation's last."""
+    for batch in batches:
+        for first in range(0, batch.num_rows, 4096):
+            rows = batch.slice(first, 4096).to_pylist()
+            paths = [walked(list(r["codes"]), r["before"], r["after"]) for r in rows]
+            sizes = [len(p) for p in paths]
+            last = np.zeros(sum(sizes), bool)
+            last[np.cumsum(sizes)[[r["final"] for r in rows]] - 1] = True
+            at = [r["block"] * BLOCK + i for r, n in zip(rows, sizes) for i in range(n)]
+            conv = [r["conv_id"] for r, n in zip(rows, sizes) for _ in range(n)]
+            cost = np.repeat(np.array([r["cost"] for r in rows], np.int64), sizes)
+            yield pa.record_batch(
+                [pa.array(conv, pa.int64()), pa.array(at, pa.int64()), pa.array([m for p in paths for m in p], pa.int32()), pa.array(last), pa.array(cost)],
+                ["conv", "at", "move", "last", "cost"],
+            )
+
+
+def _turn(role: int) -> str:
+    return OPEN.format(role=NAMES[role])
+
+
+def _before(move: int) -> str:
+    """What a move writes before its turn's text."""
+    state, _, _, role, extra = MOVES[move]
+    if role == state:
+        return "\n"
+    return CLOSE * (state != START) + (_turn(extra) + CLOSE if extra is not None else "") + _turn(role)
+
+
+def _after(role: int) -> str:
+    """What ends a conversation whose last turn has this role."""
+    return CLOSE + "".join(_turn(r) + CLOSE for r in {SYSTEM: (USER, ASSISTANT), USER: (ASSISTANT,)}.get(role, ()))
 
 
 def repaired(conversations: DataFrame) -> DataFrame:
-    """(conv_id, seq, role, action, piece, cost): a row per source turn. ``seq`` orders a conversation's pieces, whose
-    concatenation is the rendering; ``cost`` is the conversation's."""
+    """(conv_id, seq, role, action, piece, cost): a row per source turn. ``seq`` counts a conversation's turns from 0;
+    ``cost`` is the conversation's."""
     order = [F.col("conv_id").asc_nulls_first(), F.col("turn").asc_nulls_first(), F.col("role").asc_nulls_first(), F.col("text").asc_nulls_first()]
-    rows = conversations.select("conv_id", "turn", "role", "text")
-    dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
-    dealt = written(dealt, "turns")
-    # the written files keep their rows' order; part names the range they came from
-    again = dealt.repartition("part").sortWithinPartitions("part", *order)
-    parts = written(again.mapInArrow(_matrices, "conv_id long, part int, matrix array<long>"), "parts")
-    chained_parts = parts.repartition("conv_id").sortWithinPartitions("conv_id", "part")
-    states = written(chained_parts.mapInArrow(_ends, "conv long, at int, before int, after int, final boolean, cost long"), "ends")
-    marked = dealt.join(states, F.col("conv_id").eqNullSafe(F.col("conv")) & (F.col("part") == F.col("at")))
-    columns = ["conv_id", "part", "role", "text", "before", "after", "final", "cost"]
-    ready = marked.repartition("part").sortWithinPartitions("part", *order).select(*columns)
-    return ready.mapInArrow(_rendered, "conv_id long, seq long, role string, action string, piece string, cost long")
+    rows = conversations.select("conv_id", "turn", "role", "text").repartitionByRange(*order).sortWithinPartitions(*order)
+    schema = "conv_id long, part int, nth long, lead boolean, code byte, role string, text string"
+    placed = written(rows.drop("turn").mapInArrow(_placed, schema), "turns")
+    # only a part's first conversation can have begun in parts before: at most one row for each part
+    counts = placed.groupBy("conv_id", "part").agg(F.count(F.lit(1)).alias("n"), F.max("lead").alias("lead"))
+    before = F.sum("n").over(Window.partitionBy("conv_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = written(counts.withColumn("offset", before).where("lead AND offset > 0").select("part", "offset"), "part-offsets")
+    seq = F.col("nth") + F.when(F.col("lead"), F.coalesce("offset", F.lit(0))).otherwise(0)
+    turns = placed.join(offsets, "part", "left").select("conv_id", seq.alias("seq"), "code", "role", "text")
+
+    coded = turns.select("conv_id", F.expr(f"seq DIV {BLOCK}").alias("block"), "seq", "code")
+    coded = coded.repartition("conv_id", "block").sortWithinPartitions("conv_id", "block", "seq")
+    blocks = written(coded.mapInArrow(_blocks, "conv_id long, block long, codes binary, matrix array<long>"), "turn-blocks")
+    chained_blocks = blocks.select("conv_id", "block", "matrix").repartition("conv_id").sortWithinPartitions("conv_id", "block")
+    states = written(chained_blocks.mapInArrow(_ends, "conv long, at long, before int, after int, final boolean, cost long"), "block-ends")
+    marked = blocks.drop("matrix").join(states, F.col("conv_id").eqNullSafe(F.col("conv")) & (F.col("block") == F.col("at")))
+    moves = marked.select("conv_id", "block", "codes", "before", "after", "final", "cost").mapInArrow(_moves, "conv long, at long, move int, last boolean, cost long")
+
+    pick = lambda values: F.element_at(F.array(*map(F.lit, values)), F.col("move") + 1)
+    name = pick([NAMES[m[3]] for m in MOVES])
+    kind = pick(["merge" if m[3] == m[0] else "insert" if m[4] is not None else "" for m in MOVES])
+    action = F.when(kind != "", kind).otherwise(F.when(F.col("role").eqNullSafe(name), "keep").otherwise("relabel"))
+    end = F.when(F.col("last"), pick([_after(m[3]) for m in MOVES])).otherwise("")
+    closes = F.when(F.col("last") & (name != NAMES[ASSISTANT]), "+close").otherwise("")
+    return turns.join(moves, F.col("conv_id").eqNullSafe(F.col("conv")) & (F.col("seq") == F.col("at"))).select(
+        "conv_id",
+        "seq",
+        name.alias("role"),
+        F.concat(action, closes).alias("action"),
+        F.concat(pick([_before(i) for i in range(len(MOVES))]), F.coalesce("text", F.lit("")), end).alias("piece"),
+        "cost",
+    )
 
 
 def conversations_summary(pieces: DataFrame) -> DataFrame:

@@ -6,17 +6,20 @@ chain (toxic, other) learns weights for the strong features and for transitions
 gradient steps on the exact log-likelihood. A logistic curve over the document's expected number of toxic tokens and
 its greatest marginal, fitted to the same documents, gives scores from 0 to 1.
 
-``SAMPLE`` bounds the labelled documents of each class that training reads, chosen by a hash of doc_id; everything
-else covers all rows. Scoring runs within one map over whole texts: forward and backward messages of all documents of
+``SAMPLE`` bounds the labelled documents of each class that training reads, chosen by a hash of doc_id. Their windows
+cover every token with a strong feature, wherever it is in a text; the chain learns from ``WINDOWS`` of them at most,
+chosen by a hash of their words. Everything else covers all rows. Scoring runs within one map over whole texts: forward and backward messages of all documents of
 a block are one scan over 2 x 2 matrices, in which a document's first token resets the chain.
 
 Nulls and empty texts have no tokens and get the curve's value for none. Repeated label rows count once, toxic if any
-is. Without labelled rows of both classes all scores are the share of toxic labels (0 without labels). An empty table
-gives an empty result. Extra columns are kept by ``scored`` and ignored elsewhere.
+is. Without labelled rows of both classes all scores are the share of toxic labels (0 without labels). A text of
+any length is scored as a whole, in a block of its own where it is longer than a block. An empty table gives an empty
+result. Extra columns are kept by ``scored`` and ignored elsewhere.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections import Counter
 from collections.abc import Iterator
@@ -36,6 +39,8 @@ SAMPLE, FEATURES = 4000, 20_000
 #: A strong feature: least log-likelihood ratio, and how much more often toxic documents have it.
 LEAST_RATIO, LEAST_LIFT = 24.0, 10.0
 WINDOW, ROUNDS, THRESHOLD = 6, 80, 0.3
+#: Windows that the chain learns from at most.
+WINDOWS = 30_000
 
 
 @dataclass
@@ -47,6 +52,13 @@ class Model:
     moves: tuple = ((0.0, 0.0), (0.0, 0.0))
     curve: tuple = (0.0, 0.0, 0.0)
     constant: float | None = None
+    _name: str = ""
+
+    def name(self) -> str:
+        """A digest of what emissions depend on."""
+        if not self._name:
+            self._name = hashlib.md5(repr((self.bias, sorted(self.weights.items()))).encode()).hexdigest()
+        return self._name
 
 
 def features(piece: str) -> list[str]:
@@ -111,7 +123,11 @@ def _windows(docs: DataFrame, strong: set[str]) -> DataFrame:
                 if b == a:
                     continue
                 marked = hit[codes[a:b]]
-                places = np.nonzero(marked)[0][:3].tolist() + [(b - a) // 2]
+                places, covered = [(b - a) // 2], -1
+                for p in np.nonzero(marked)[0].tolist():
+                    if p > covered:
+                        places.append(min(p + WINDOW, b - a - 1))  # the window's first half may hold further ones
+                        covered = places[-1] + WINDOW
                 marked = marked & bool(toxic)  # in clean documents the same words are counterexamples
                 for p in places:
                     low, high = max(0, p - WINDOW), min(b - a, p + WINDOW + 1)
@@ -229,7 +245,7 @@ KEPT_PIECES = 200_000
 
 
 def _emissions(words: list[str], model: Model) -> np.ndarray:
-    name = (model.bias, model.moves, len(model.weights))
+    name = model.name()
     state = worker_state("toxicity")
     if name not in state:
         state.clear()
@@ -286,8 +302,8 @@ def fit(docs: DataFrame, labels: DataFrame, held_out=None, size: int = SAMPLE) -
     if not clean or not toxic:
         return Model(constant=float(toxic > 0))
     strong = _strong(_feature_counts(rows), clean, toxic)
-    windows = [(r["words"], r["toxic"]) for r in _windows(rows, set(strong)).collect()]
-    model = fit_chain(sorted(windows), strong)
+    found = written(_windows(rows, set(strong)), "toxic-windows").orderBy(F.xxhash64("words"), "words", "toxic").limit(WINDOWS)
+    model = fit_chain(sorted((r["words"], r["toxic"]) for r in found.collect()), strong)
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches):

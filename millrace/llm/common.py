@@ -67,11 +67,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession, label: str) -> str:
     """A new folder under ``spark.checkpoint.dir``, which driver and executors share.
 
-    Only where that setting is absent (a plain local session) a temporary folder is used, and set as the
-    checkpoint folder, too.
+    Where that setting is absent, a plain local session (tests) gets a temporary folder and the setting; on a cluster a
+    machine's own folder would lose rows, so that is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         import tempfile
 
         root = "file://" + tempfile.mkdtemp(prefix="millrace-")

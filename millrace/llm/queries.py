@@ -10,17 +10,11 @@ from pyspark.sql import functions as F
 from millrace.llm import bpe, chat_repair, exact_dedup, jaccard_join, mixing, pii, suffix_dedup, telephony, token_files, toxicity
 from millrace.llm.common import table, written
 
-#: Folder of the public tokenizers' files; a parameter of the queries, never copied.
-TOKENIZERS = "/opt/tokenizers"
-
-
 def vocabulary(name: str) -> str:
-    try:
-        import public_tokenizers
+    """Path of a public tokenizer's file, which is never copied."""
+    import public_tokenizers
 
-        return public_tokenizers.path(name)
-    except ImportError:
-        return f"{TOKENIZERS}/{name}"
+    return public_tokenizers.path(name)
 
 
 def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,7 +100,8 @@ ORACLES = {
     """,
     "op7_mixing": r"""
         WITH sizes AS (
-            SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents
+            SELECT doc_id, source, coalesce(doc_id::VARCHAR, 'text:' || md5(coalesce(text, ''))) AS key,
+                coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents
         ), sums AS (
             SELECT source, sum(size)::BIGINT AS source_size FROM sizes GROUP BY source
         ), ranked AS (
@@ -126,7 +121,7 @@ ORACLES = {
         ), drawn AS (
             SELECT doc_id, size, source_size, target,
                 CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate,
-                ('0x' || substr(md5('millrace-mix:' || coalesce(doc_id::VARCHAR, 'null')), 1, 13))::BIGINT / 4503599627370496.0 AS draw
+                ('0x' || substr(md5('millrace-mix:' || key), 1, 13))::BIGINT / 4503599627370496.0 AS draw
             FROM sizes JOIN targets ON sizes.source IS NOT DISTINCT FROM targets.source
         )
         SELECT doc_id, size, source_size, target,

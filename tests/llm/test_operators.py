@@ -441,6 +441,36 @@ def test_mixing(spark, docs, nothing):
     assert mixing.mixing_plan(nothing).count() == 0 and mixing.mixed_documents(nothing).count() == 0
 
 
+def test_targets_of_many_sources(spark):
+    """Water filling by rounds: capped targets leave their excess to the others until none is above its cap."""
+    rng = random.Random(12)
+    sizes = {f"s{k:04}": rng.choice([0, 1, 5, 40, 1000, 10**14]) for k in range(300)}
+    rows = spark.createDataFrame([*sizes.items(), (None, 77)], "source string, size long").repartition(6)
+    order = [*sorted(sizes), None]
+    size, weight = {**sizes, None: 77}, {s: (1, 2, 3)[k % 3] for k, s in enumerate(order)}
+    total, capped = sum(size.values()), set()
+    while True:
+        rest, free = total - sum(3 * size[s] for s in capped), sum(weight[s] for s in order if s not in capped)
+        more = {s for s in order if s not in capped and 3 * size[s] * free <= rest * weight[s]}
+        if not more:
+            break
+        capped |= more
+    found = {r.source: r.target for r in mixing.targets(rows).collect()}
+    assert set(found) == set(order)
+    for s in order:
+        assert found[s] == pytest.approx(3 * size[s] if s in capped else rest * weight[s] / free, rel=1e-12)
+
+
+def test_mixing_without_ids_and_with_clashing_names(spark):
+    rows = [(None, f"w{k} " * (k % 7 + 1), ["a", "b"][k % 2], 1, "x") for k in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, rate int, share_source string")
+    mixed = mixing.mixed_documents(docs).collect()
+    counts = Counter(r.text for r in mixed)
+    plan = mixing.mixing_plan(docs).collect()
+    assert sum(counts.values()) == sum(r.copies for r in plan) and {r.copies for r in plan if r.source == "a"} == {0, 1}
+    assert {r.rate for r in mixed} == {1} and {r.share_source for r in mixed} == {"x"}
+
+
 def test_targets_stop_at_the_cap(spark):
     rows = spark.createDataFrame([("a", 1000), ("b", 10), ("c", 20), ("d", 500), ("e", 0)], "source string, size long")
     found = {r.source: r.target for r in mixing.targets(rows).collect()}
@@ -655,6 +685,33 @@ def test_added_spans_reach_past_windows_with_signs():
 
 
 # 10 ------------------------------------------------------------------------------------------------------------------
+def test_one_rule_for_every_length(spark):
+    """Both forms of the recursion, for pieces on both sides of LONG, against the library; and the condition."""
+    import tiktoken
+
+    path = tokenizers_data.path("byte_bpe_multi_50k.tiktoken")
+    with open(path, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    assert bpe.ordered(ranks) and not bpe.ordered({b"a": 0, b"b": 1, b"c": 2, b"abc": 3, b"ab": 4})
+    rng, tokens = random.Random(7), list(ranks)
+    words_ = ["".join(rng.choice("abcdehtn ét") for _ in range(n)) for n in (1, 2, 63, 64, 65, 66, 130, 700) for _ in range(12)]
+    words_ += [b"".join(rng.choice(tokens) for _ in range(n)).decode("utf-8", "ignore") for n in (3, 9, 15, 16, 17, 40, 200) for _ in range(12)]
+    words_ = [w for w in words_ if w]
+    library = tiktoken.Encoding("whole", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})
+    wanted = [",".join(map(str, library.encode(w))) for w in words_]
+    merges = bpe.Merges(path)
+    for rounds in (bpe.SHORT_ROUNDS, bpe.LONG_ROUNDS):
+        found = merges.query(rounds, [w.encode() for w in words_])
+        assert [x[0] for x in found] == wanted and [x[1].decode() for x in found] == words_
+    rows, bpe.ROWS = bpe.ROWS, 3000  # a few rounds a query
+    try:
+        assert [x[0] for x in merges.query(bpe.LONG_ROUNDS, [w.encode() for w in words_])] == wanted
+    finally:
+        bpe.ROWS = rows
+    million = "ab" * 500_000
+    assert merges.encode([million])[0][1] == million.encode()
+
+
 def test_bpe_equals_the_library(spark, docs, nothing):
     import tiktoken
 

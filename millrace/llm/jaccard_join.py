@@ -207,60 +207,91 @@ def signatures(features: np.ndarray) -> np.ndarray:
     return np.unique(signatures_of([features])[1])
 
 
+def sketch(features: np.ndarray) -> bytes:
+    """How many features fall to each range of hashes, some four to eight a range; empty if a count needs two bytes.
+
+    The ranges of a smaller set are pairs of those of a set of the next level, so that sketches fold onto each other."""
+    bits = max(0, len(features).bit_length() - 3)
+    counts = np.bincount((features >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits) if bits else np.array([len(features)])
+    return counts.astype(np.uint8).tobytes() if counts.max() < 256 else b""
+
+
+def _may_link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of (a, b, n_a, n_b, x, y) the pairs whose sketches x and y allow a link: counts of a range that differ by d mean
+    d features at least in which the sets differ."""
+    for batch in batches:
+        keep = []
+        for n, m, x, y in zip(*(batch.column(c).to_pylist() for c in ("n_a", "n_b", "x", "y"))):
+            if not x or not y:
+                keep.append(True)
+                continue
+            p, q = sorted((np.frombuffer(x, np.uint8).astype(np.int64), np.frombuffer(y, np.uint8).astype(np.int64)), key=len)
+            differ = int(np.abs(p - q.reshape(len(p), -1).sum(axis=1)).sum())
+            keep.append(differ * (UNION + SHARE) <= (UNION - SHARE) * (n + m))
+        columns = ["a", "b", "n_a", "n_b"]
+        yield pa.record_batch([batch.column(c) for c in columns], columns).filter(pa.array(keep, pa.bool_()))
+
+
 def summaries(docs: DataFrame) -> DataFrame:
-    """(doc_id, n, key, key2): size and identity of each document's set."""
+    """(doc_id, n, key, key2, sketch): size, identity and sketch of each document's set."""
 
     def summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches):
             sets = feature_sets(block.column("text"))
             keys = [identity(x) for x in sets]
             yield pa.record_batch(
-                [block.column("doc_id"), pa.array([len(x) for x in sets], pa.int64()), pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64())],
-                ["doc_id", "n", "key", "key2"],
+                [block.column("doc_id"), pa.array([len(x) for x in sets], pa.int64()), pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), pa.array([sketch(x) for x in sets], pa.binary())],
+                ["doc_id", "n", "key", "key2", "sketch"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(summarise, "doc_id long, n long, key long, key2 long")
+    return docs.select("doc_id", "text").mapInArrow(summarise, "doc_id long, n long, key long, key2 long, sketch binary")
 
 
-_PACKED = "bucket int, signatures binary, keys binary"
+_PACKED = "bucket int, hashes binary, keys binary, runs binary"
 
 
-def _dealt(signature: list[np.ndarray], key: list[np.ndarray], buckets: int) -> Iterator[pa.RecordBatch]:
-    """Pairs of a hash, of which 48 bits stay, and a key, packed by bucket of the hash."""
-    pair = np.stack([np.concatenate(signature), np.concatenate(key)])
+def _dealt(hashes: list[np.ndarray], key: list[np.ndarray], buckets: int) -> Iterator[pa.RecordBatch]:
+    """Pairs of a hash, of which 48 bits stay, and a key, packed by bucket of the hash. A key that comes several times
+    in turn is sent once, with its number."""
+    pair = np.stack([np.concatenate(hashes), np.concatenate(key)])
     bucket = (pair[0] >> np.uint64(40)) % np.uint64(buckets)
     order = np.argsort(bucket, kind="stable")
     pair, bucket = pair[:, order], bucket[order]
-    heads = np.nonzero(np.append(True, bucket[1:] != bucket[:-1])[: len(bucket)])[0].tolist()
-    tails = heads[1:] + [len(bucket)]
-    for part in range(0, len(heads), 64):
-        spans = list(zip(heads[part : part + 64], tails[part : part + 64]))
-        low = [(pair[0, a:b] & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes() for a, b in spans]
-        high = [((pair[0, a:b] >> np.uint64(32)) & np.uint64(0xFFFF)).astype("<u2").tobytes() for a, b in spans]
+    edge = np.append(True, bucket[1:] != bucket[:-1])[: len(bucket)]
+    heads = np.nonzero(edge)[0]
+    run = np.nonzero(edge | np.append(True, pair[1, 1:] != pair[1, :-1])[: len(bucket)])[0]
+    runs = np.diff(np.append(run, len(bucket))).astype("<u4")
+    own = np.append(np.searchsorted(run, heads), len(run)).tolist()
+    names, heads = pair[1, run], [*heads.tolist(), len(bucket)]
+    for part in range(0, len(heads) - 1, 64):
+        some = range(part, min(part + 64, len(heads) - 1))
+        low = [(pair[0, heads[i] : heads[i + 1]] & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes() for i in some]
+        high = [((pair[0, heads[i] : heads[i + 1]] >> np.uint64(32)) & np.uint64(0xFFFF)).astype("<u2").tobytes() for i in some]
         yield pa.record_batch(
             [
-                pa.array([int(bucket[a]) for a, _ in spans], pa.int32()),
+                pa.array([int(bucket[heads[i]]) for i in some], pa.int32()),
                 pa.array([x + y for x, y in zip(low, high)], pa.binary()),
-                pa.array([pair[1, a:b].tobytes() for a, b in spans], pa.binary()),
+                pa.array([names[own[i] : own[i + 1]].tobytes() for i in some], pa.binary()),
+                pa.array([runs[own[i] : own[i + 1]].tobytes() for i in some], pa.binary()),
             ],
-            ["bucket", "signatures", "keys"],
+            ["bucket", "hashes", "keys", "runs"],
         )
 
 
 def _gathered(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]:
     """All pairs of a task's packed rows. The bucket is part of the hash, as one task may read several."""
-    signature, key = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
+    hashes, key = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
     for batch in batches:
-        for bucket, row, keys in zip(*(batch.column(c).to_pylist() for c in ("bucket", "signatures", "keys"))):
+        for bucket, row, keys, runs in zip(*(batch.column(c).to_pylist() for c in ("bucket", "hashes", "keys", "runs"))):
             n = len(row) // 6
             high = np.frombuffer(row, "<u2", n, n * 4).astype(np.uint64) | (np.uint64(bucket & 0xFFFF) << np.uint64(16))
-            signature.append(np.frombuffer(row, "<u4", n).astype(np.uint64) | (high << np.uint64(32)))
-            key.append(np.frombuffer(keys, np.uint64))
-    return np.concatenate(signature), np.concatenate(key)
+            hashes.append(np.frombuffer(row, "<u4", n).astype(np.uint64) | (high << np.uint64(32)))
+            key.append(np.repeat(np.frombuffer(keys, np.uint64), np.frombuffer(runs, "<u4")))
+    return np.concatenate(hashes), np.concatenate(key)
 
 
 def _packed(docs: DataFrame, buckets: int) -> DataFrame:
-    """(bucket, signatures, keys): signatures of the sets of a map task with the sets' keys."""
+    """Signatures of the sets of a map task with the sets' keys, by bucket."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         signature, key, have, seen = [], [], 0, set()
@@ -288,7 +319,7 @@ def _packed(docs: DataFrame, buckets: int) -> DataFrame:
     return docs.select("text").mapInArrow(pack, _PACKED)
 
 
-def _met(packed: DataFrame) -> DataFrame:
+def _met(packed: DataFrame, buckets: int) -> DataFrame:
     """(a, b, shared, crowded): pairs of sets that share signatures, and how many; where ``crowded`` is set, a is a
     signature and b a set that has it."""
 
@@ -334,7 +365,7 @@ def _met(packed: DataFrame) -> DataFrame:
             heads = np.nonzero(np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])))[0]
             yield from rows(a[heads], b[heads], np.diff(np.append(heads, len(a))), False)
 
-    return packed.repartition("bucket").mapInArrow(meet, "a long, b long, shared long, crowded boolean")
+    return packed.repartitionById(buckets, "bucket").mapInArrow(meet, "a long, b long, shared long, crowded boolean")
 
 
 def _only(rows: DataFrame, column: str, keys: DataFrame, label: str) -> DataFrame:
@@ -381,7 +412,7 @@ def _shared_sizes(sets: DataFrame, buckets: int) -> DataFrame:
         yield pa.record_batch([pa.array(names.view(np.int64)), pa.array(n)], ["key", "alone"])
 
     packed = sets.select("key", "features").mapInArrow(pack, _PACKED)
-    found = packed.repartition("bucket").mapInArrow(count, "key long, alone long")
+    found = packed.repartitionById(buckets, "bucket").mapInArrow(count, "key long, alone long")
     return found.groupBy("key").agg(F.sum("alone").alias("alone"))
 
 
@@ -484,8 +515,8 @@ def similarity_groups(docs: DataFrame) -> DataFrame:
     owners = written(
         info.where("n > 0").groupBy("key", "key2").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.count(F.lit(1)).alias("copies")), "set-owners"
     )
-    buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    met = written(_met(_packed(docs, buckets)), "met")
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    met = written(_met(_packed(docs, buckets), buckets), "met")
     pairs = met.where("NOT crowded").groupBy("a", "b").agg(F.sum("shared").alias("shared"))
     pairs = written(pairs, "pairs")
     # crowded signatures, of sets that have more of them than their slack
@@ -498,7 +529,14 @@ def similarity_groups(docs: DataFrame) -> DataFrame:
     two = counts.select(F.col("key").alias("b"), F.col("n").alias("n_b"), F.col("crowds").alias("crowds_b"))
     # similar sets share more signatures than the smaller one's slack; how many crowded ones they share is not known yet
     enough = F.col("shared") + F.least("crowds_a", "crowds_b") > F.floor(F.least("n_a", "n_b") * SLACK / SLACK_OF)
-    pairs = written(pairs.join(one, "a").join(two, "b").where(enough).select("a", "b", "shared", "n_a", "n_b"), "likely")
+    near_size = UNION * F.least("n_a", "n_b") >= SHARE * F.greatest("n_a", "n_b")
+    pairs = written(pairs.join(one, "a").join(two, "b").where(near_size & enough).select("a", "b", "n_a", "n_b"), "near-sizes")
+    named_sets = pairs.select(F.explode(F.array("a", "b")).alias("key"))
+    sketches = _only(info.select("key", "sketch"), "key", named_sets, "sketch-buckets").join(named_sets.distinct(), "key", "left_semi")
+    sketches = written(sketches.groupBy("key").agg(F.any_value("sketch").alias("sketch")), "sketches")
+    one = pairs.join(sketches.select(F.col("key").alias("a"), F.col("sketch").alias("x")), "a")
+    both = one.join(sketches.select(F.col("key").alias("b"), F.col("sketch").alias("y")), "b")
+    pairs = written(both.mapInArrow(_may_link, "a long, b long, n_a long, n_b long"), "likely")
     allowed = F.floor(F.floor(F.col("n") * SHARE / UNION) * SLACK / SLACK_OF)  # the slack of the smallest set it can link with
     crowds = written(crowded.join(counts.where(F.col("crowds") > allowed).select("key", "n"), "key"), "crowds")
 
@@ -525,7 +563,7 @@ def similarity_groups(docs: DataFrame) -> DataFrame:
         "key", "key2", F.coalesce("component_id", "doc_id").alias("component_id"), F.lit(True).alias("known")
     )
     found = written(found, "set-components")
-    return info.join(found, ["key", "key2"], "left").select(
+    return info.drop("sketch").join(found, ["key", "key2"], "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")
     )
 

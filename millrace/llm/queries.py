@@ -35,8 +35,8 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
-    media = telephony.decoded_column(telephony.stored(table(spark, sf_dir, "documents")))
-    return telephony.features(written(media, "telephony", compression="zstd"))
+    media = written(telephony.stored(table(spark, sf_dir, "documents")), "media", compression="zstd")
+    return telephony.features(telephony.decoded_column(media))
 
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

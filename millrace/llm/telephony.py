@@ -2,8 +2,8 @@
 
 A media column holds WAV bytes of 8-bit companded samples or of ADPCM blocks; decoding gives 16-bit PCM at 8 kHz, and at
 another rate by linear interpolation between integer samples. ``stored`` makes the media, ``decoded_column`` the
-resampled PCM, ``features`` reads both. Everything is per row, within one map; the query writes media and PCM as a
-table and computes features from what it reads back.
+resampled PCM, ``features`` reads both. Everything is per row, within one map; the query writes the media as a table,
+decodes what it reads back, and returns the resampled PCM as a column beside the features, to be stored with them.
 
 Texts take the kinds mu-law, A-law and ADPCM in turn, by a checksum of their payload, so that equal texts have equal
 media and each kind's decoder runs on media of its own.
@@ -228,8 +228,8 @@ def feature_of(tag: int, pcm: np.ndarray, rate: int) -> str:
 
 
 def features(rows: DataFrame) -> DataFrame:
-    """(doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature), from stored
-    media and PCM (doc_id, n_bytes, media, rate, pcm)."""
+    """(doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature, rate, pcm), from
+    stored media and their PCM (doc_id, n_bytes, media, rate, pcm)."""
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches, "pcm", BLOCK * 4):
@@ -247,9 +247,11 @@ def features(rows: DataFrame) -> DataFrame:
                     pa.array([len(m) for m in media], pa.int64()),
                     pa.array([hashlib.sha256(m).hexdigest() for m in media], pa.string()),
                     pa.array([feature_of(k[0], p, r) for k, p, r in zip(kinds, pcm, block.column("rate").to_pylist())], pa.string()),
+                    block.column("rate"),
+                    block.column("pcm"),
                 ],
-                ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"],
+                ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "rate", "pcm"],
             )
 
-    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, rate int, pcm binary"
     return rows.select("doc_id", "n_bytes", "media", "rate", "pcm").mapInArrow(compute, schema)

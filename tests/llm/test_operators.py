@@ -328,7 +328,7 @@ def test_telephony(spark, docs, nothing):
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(payload), len(full), hashlib.sha256(full).hexdigest(), zlib.crc32(full[-32:]))
         form = telephony.wav(full, telephony.kind_of(full))
         assert (r.media_bytes, r.media_sha256) == (len(form), hashlib.sha256(form).hexdigest())
-        assert r.feature == feature_by_force(full)
+        assert r.feature == feature_by_force(full) and zlib.crc32(r.pcm) == int(r.feature.split("crc32=")[1])
         kinds.add(r.feature.split(";")[0])
     assert kinds == {"mulaw", "alaw", "adpcm"}
     assert telephony.features(telephony.decoded_column(telephony.stored(nothing))).count() == 0

@@ -9,17 +9,19 @@ from millrace.operators import chunking, retrieval
 from millrace.plans.registry import query, table
 from millrace.plans.retrieval_queries import VECTORS, _vectors
 
-#: Glyphs that page layouts leave behind (scripts that the manuals don't use, byte order marks, private use).
-JUNK = r"[\x{0780}-\x{0DFF}\x{FEFF}\x{E000}-\x{F8FF}]"
+#: Glyphs that page layouts leave behind (scripts that the manuals don't use, byte order marks, marks of
+#: width and direction, private use), and blank lines that their removal leaves.
+JUNK = r"[\x{0780}-\x{0DFF}\x{FEFF}\x{200B}-\x{200F}\x{2028}-\x{202E}\x{E000}-\x{F8FF}]"
+BLANK_LINES = r"\n[ \t]*\n(?:[ \t]*\n)+"
 
 
-@query(r"""
-    SELECT doc_id, md5(regexp_replace(regexp_replace(text, '[\x{0780}-\x{0DFF}\x{FEFF}\x{E000}-\x{F8FF}]', '', 'g'), '\n{2,}', chr(10), 'g')) AS clean_md5
+@query(rf"""
+    SELECT doc_id, md5(regexp_replace(regexp_replace(text, '{JUNK}', '', 'g'), '{BLANK_LINES}', chr(10) || chr(10), 'g')) AS clean_md5
     FROM documents WHERE text IS NOT NULL
 """)
 def chk24_cleaned(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").where("text IS NOT NULL")
-    return docs.select("doc_id", F.md5(F.regexp_replace(F.regexp_replace("text", JUNK, ""), r"\n{2,}", "\n")).alias("clean_md5"))
+    return docs.select("doc_id", F.md5(F.regexp_replace(F.regexp_replace("text", JUNK, ""), BLANK_LINES, "\n\n")).alias("clean_md5"))
 
 
 @query(r"""

@@ -146,12 +146,8 @@ def fn9_chunk_ids(spark, sf_dir):
     FROM g GROUP BY doc_id
 """)
 def fn17_gram_scores(spark, sf_dir):
-    from pyspark.sql import Window
-
-    rows = chunking.lines(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "line_no", T.grams(F.lower("line")).alias("a"))
-    # the window stands between the grams and their uses, so that they are computed once
-    both = rows.withColumn("b", F.lead("a").over(Window.partitionBy("doc_id").orderBy("line_no"))).where("b IS NOT NULL")
-    return both.groupBy("doc_id").agg(F.round(F.avg(T.gram_score(F.col("a"), F.col("b"))), 9).alias("score"))
+    docs = table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", F.lower("text").alias("text"))
+    return figures.line_scores(docs).select("doc_id", F.round("score", 9).alias("score"))
 
 
 @query(r"""
@@ -203,17 +199,20 @@ def src10_html_fields(spark, sf_dir):
     ), lg AS (
         SELECT DISTINCT doc_id, line_no, substring(lower(line), i, 4) AS gram
         FROM (SELECT *, unnest(range(1, length(line) - 2)) AS i FROM l WHERE length(line) >= 4)
+    ), b AS (
+        SELECT item_id, unnest(string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(10), 'g'), chr(10))) AS label,
+            generate_subscripts(string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(10), 'g'), chr(10)), 1) - 1 AS label_no
+        FROM benchmark WHERE text IS NOT NULL
     ), bg AS (
-        SELECT DISTINCT item_id, substring(lower(t), i, 4) AS gram
-        FROM (SELECT item_id, substring(text, 1, 60) AS t, unnest(range(1, length(substring(text, 1, 60)) - 2)) AS i FROM benchmark)
-    ), ls AS (SELECT doc_id, line_no, count(*) AS n FROM lg GROUP BY ALL), bs AS (SELECT item_id, count(*) AS n FROM bg GROUP BY ALL),
-    s AS (SELECT item_id, doc_id, line_no, count(*) AS shared FROM lg JOIN bg USING (gram) GROUP BY ALL HAVING count(*) >= 4)
-    SELECT item_id, doc_id, CAST(line_no AS INT) AS line_no, round(shared::DOUBLE / least(ls.n, bs.n), 9) AS score
-    FROM s JOIN ls USING (doc_id, line_no) JOIN bs USING (item_id) WHERE shared::DOUBLE / least(ls.n, bs.n) >= 0.8
+        SELECT DISTINCT item_id, label_no, substring(lower(label), i, 4) AS gram
+        FROM (SELECT *, unnest(range(1, length(label) - 2)) AS i FROM b WHERE length(label) >= 4)
+    ), ls AS (SELECT doc_id, line_no, count(*) AS n FROM lg GROUP BY ALL), bs AS (SELECT item_id, label_no, count(*) AS n FROM bg GROUP BY ALL),
+    s AS (SELECT item_id, label_no, doc_id, line_no, count(*) AS shared FROM lg JOIN bg USING (gram) GROUP BY ALL HAVING count(*) >= 4)
+    SELECT item_id, CAST(label_no AS INT) AS label_no, doc_id, CAST(line_no AS INT) AS line_no, round(shared::DOUBLE / least(ls.n, bs.n), 9) AS score
+    FROM s JOIN ls USING (doc_id, line_no) JOIN bs USING (item_id, label_no) WHERE shared::DOUBLE / least(ls.n, bs.n) >= 0.8
 """)
 def jn16_label_lines(spark, sf_dir):
-    """Labels (all lines and sentences of benchmark items) against lines by shared grams. The SQL still has one label an
-    item, its first 60 characters."""
+    """Labels (all lines and sentences of benchmark items) against lines by shared grams."""
     rows = chunking.lines(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "line_no", T.grams(F.lower("line")).alias("g"))
     parts = F.posexplode(F.split("text", r"(?<=[.!?])\s+|\n")).alias("label_no", "label")
     items = table(spark, sf_dir, "benchmark").where("text IS NOT NULL").select("item_id", parts).select("item_id", "label_no", T.grams(F.lower("label")).alias("g"))

@@ -82,11 +82,20 @@ def agg19_paired_counts(spark, sf_dir):
     return found.drop("p").withColumn("n_pairs", F.col("only_one") + F.col("only_two"))
 
 
-@query()
+@query("""
+    WITH c AS (
+        SELECT d.source, count_if(l.quality = 0 AND l.toxic <> 1) AS only_one, count_if(l.quality <> 0 AND l.toxic = 1) AS only_two
+        FROM documents d JOIN labels l USING (doc_id) GROUP BY d.source
+    ), t AS (
+        SELECT source, sum(exp(lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) - n * ln(2.0::DOUBLE))) AS tail
+        FROM (SELECT source, (only_one + only_two)::DOUBLE AS n, unnest(range(0, (least(only_one, only_two) + 1)::BIGINT))::DOUBLE AS k FROM c) WHERE n > 0 GROUP BY source
+    )
+    SELECT source, only_one, only_two, round(coalesce(least(1.0, 2 * tail), 1.0), 6) AS p FROM c LEFT JOIN t USING (source)
+""")
 def evl4_sign_test(spark, sf_dir):
     docs, labels = table(spark, sf_dir, "documents").select("doc_id", "source"), table(spark, sf_dir, "labels")
     found = evaluation.paired(docs.join(labels, "doc_id"), F.col("quality") == 0, F.col("toxic") == 1, ["source"])
-    return found.select("source", "only_one", "only_two", "p")
+    return found.select("source", "only_one", "only_two", F.round("p", 6).alias("p"))
 
 
 @query(RANKED + """

@@ -58,11 +58,21 @@ def chk18_page_assignment(spark, sf_dir):
 
 
 @query("""
-    WITH a AS (SELECT source, doc_id, text, lag(lang) OVER (PARTITION BY source ORDER BY doc_id) AS parent FROM documents WHERE text IS NOT NULL)
-    SELECT doc_id, '[' || coalesce(parent || ' > ', '') || source || '] ' || substring(text, 1, 50) AS piece FROM a
+    WITH RECURSIVE parts AS (
+        SELECT doc_id, '[' || coalesce(lag(lang) OVER (PARTITION BY source ORDER BY doc_id) || ' > ', '') || source || '] ' AS crumb, string_split(text, chr(10)) AS lines
+        FROM documents WHERE text IS NOT NULL
+    ), walk(doc_id, n, piece_no, piece) AS (
+        SELECT doc_id, 1, 0, lines[1] FROM parts
+        UNION ALL
+        SELECT w.doc_id, n + 1,
+            CASE WHEN length(piece) + length(lines[n + 1]) + 1 <= 699 THEN piece_no ELSE piece_no + 1 END,
+            CASE WHEN length(piece) + length(lines[n + 1]) + 1 <= 699 THEN piece || chr(10) || lines[n + 1] ELSE lines[n + 1] END
+        FROM walk w JOIN parts p ON p.doc_id = w.doc_id WHERE n < len(lines)
+    )
+    SELECT doc_id, piece_no, any_value(crumb) || arg_max(piece, n) AS piece FROM walk JOIN parts USING (doc_id) GROUP BY doc_id, piece_no
 """)
 def chk1e_breadcrumbs(spark, sf_dir):
-    """Whole texts packed into pieces, each with its breadcrumb. The SQL still has the first 50 characters only."""
+    """Whole texts packed into pieces, each with its breadcrumb."""
     docs = table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", "source", "lang", "text")
     parent = F.lag("lang").over(Window.partitionBy("source").orderBy("doc_id"))
     rows = docs.withColumn("ancestors", F.filter(F.array(parent), lambda x: x.isNotNull()))

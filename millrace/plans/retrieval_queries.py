@@ -128,14 +128,15 @@ def fn1_normalized_codes(spark, sf_dir):
 
 
 @query("""
-    SELECT p.p_brand, max(s.s_name) AS longest, count(DISTINCT l.l_suppkey) AS suppliers
-    FROM lineitem l JOIN part p ON p.p_partkey = l.l_partkey JOIN supplier s ON s.s_suppkey = l.l_suppkey GROUP BY p.p_brand
-""")
-def jn5_longest_names(spark, sf_dir):
-    line, part, supplier = (table(spark, sf_dir, t) for t in ("lineitem", "part", "supplier"))
-    joined = line.select("l_partkey", "l_suppkey").join(part.select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey"))
-    joined = joined.join(supplier.select("s_suppkey", "s_name"), F.col("l_suppkey") == F.col("s_suppkey"))
-    return joined.groupBy("p_brand").agg(F.max("s_name").alias("longest"), F.count_distinct("l_suppkey").alias("suppliers"))
+    SELECT n.n_nationkey, (
+        SELECT p.p_name FROM part p WHERE p.p_size % 25 = n.n_nationkey AND p.p_type <> 'PROMO' ORDER BY length(p.p_name) DESC, p.p_name LIMIT 1
+    ) AS pattern FROM nation n
+""")
+def jn5_longest_patterns(spark, sf_dir):
+    """The longest pattern of each manual, from the patterns of one source; manuals without one stay."""
+    part = table(spark, sf_dir, "part").where("p_type <> 'PROMO'").select((F.col("p_size") % 25).alias("n_nationkey"), "p_name")
+    best = part.groupBy("n_nationkey").agg(F.min_by("p_name", F.struct(-F.length("p_name"), "p_name")).alias("pattern"))
+    return table(spark, sf_dir, "nation").select("n_nationkey").join(best, "n_nationkey", "left")
 
 
 @query("""

@@ -54,8 +54,8 @@ def win8_caps(spark, sf_dir):
 
 
 @query("""
-    SELECT c.conv_id, c.turn, substring(c.text, 1, 220) AS snippet, '(p. ' || string_agg(DISTINCT d.turn::VARCHAR, ', ' ORDER BY d.turn::VARCHAR) || ')' AS pages
-    FROM conversations c JOIN conversations d ON d.conv_id = c.conv_id AND d.turn < c.turn AND d.turn < 10 WHERE c.role = 'assistant' GROUP BY ALL
+    SELECT c.conv_id, c.turn, substring(c.text, 1, 220) AS snippet, '(p. ' || array_to_string(list_sort(list_distinct(list(d.turn))), ', ') || ')' AS pages
+    FROM conversations c JOIN conversations d ON d.conv_id = c.conv_id AND d.turn < c.turn WHERE c.role = 'assistant' GROUP BY ALL
 """)
 def fn33_citations(spark, sf_dir):
     """Every earlier turn of the conversation is a cited page; the running set grows along the turns, without pairs."""

@@ -82,21 +82,52 @@ def chk7_unique_titles(spark, sf_dir):
     return toc.unique_titles(_toc(spark, sf_dir), "doc_id", 3).select("doc_id", "seq", "heading")
 
 
-@query(r"""
-    SELECT p_partkey, p_brand || ' / ' || p_type AS name, p_size::VARCHAR || ' mm' AS summary FROM part
+TITLES = """
+    t AS (
+        SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN p_brand || ' / ' || p_type || ' (' || p_size || ' mm) '
+            WHEN 1 THEN 'Er(E) F' || (p_size % 10) || ', CH0' || p_size || ' (' || p_name || ')' WHEN 2 THEN p_name
+            WHEN 3 THEN 'E ' || p_size || '/ ' || p_type || ',U' || p_size || 'x' ELSE ' (' || p_name || ') ' || p_size END AS title
+        FROM part
+    )
+"""
+
+
+def _titles(spark, sf_dir):
+    return table(spark, sf_dir, "part").selectExpr(
+        "p_partkey",
+        """CASE p_partkey % 5 WHEN 0 THEN concat(p_brand, ' / ', p_type, ' (', p_size, ' mm) ')
+        WHEN 1 THEN concat('Er(E) F', p_size % 10, ', CH0', p_size, ' (', p_name, ')') WHEN 2 THEN p_name
+        WHEN 3 THEN concat('E ', p_size, '/ ', p_type, ',U', p_size, 'x') ELSE concat(' (', p_name, ') ', p_size) END AS title""",
+    )
+
+
+@query("WITH " + TITLES + r"""
+    , s AS (SELECT p_partkey, trim(title) AS title, regexp_extract(trim(title), '^(.*?)\s*\(([^()]*)\)\s*$', ['name', 'summary']) AS m FROM t)
+    SELECT p_partkey, CASE WHEN m.name <> '' OR m.summary <> '' THEN trim(m.name) ELSE title END AS name, trim(m.summary) AS summary FROM s
 """)
 def fn4_split_titles(spark, sf_dir):
-    title = F.concat("p_brand", F.lit(" / "), "p_type", F.lit(" ("), F.col("p_size").cast("string"), F.lit(" mm)"))
-    rows = table(spark, sf_dir, "part").select("p_partkey", T.split_title(title).alias("t"))
+    rows = _titles(spark, sf_dir).select("p_partkey", T.split_title(T.stripped(F.col("title"))).alias("t"))
     return rows.select("p_partkey", "t.name", "t.summary")
 
 
-@query("""
-    SELECT p_partkey, 'E' || p_size || ',F' || p_size AS codes FROM part
+@query("WITH " + TITLES + r"""
+    , s AS (SELECT p_partkey, trim(title) AS title, regexp_extract(trim(title), '^(.*?)\s*\(([^()]*)\)\s*$', ['name', 'summary']) AS m FROM t),
+    n AS (SELECT p_partkey, CASE WHEN m.name <> '' OR m.summary <> '' THEN trim(m.name) ELSE title END AS name FROM s),
+    p AS (SELECT p_partkey, unnest(string_split_regex(name, '\s*[/,]\s*')) AS part, generate_subscripts(string_split_regex(name, '\s*[/,]\s*'), 1) AS i FROM n),
+    a AS (SELECT p_partkey, i, trim(part) AS part, regexp_extract(part, '(\w+)\((\w+)\)', ['one', 'two']) AS m, regexp_extract(part, '(\w+)\((\w+)\)') AS w FROM p),
+    e AS (SELECT p_partkey, i, j, CASE WHEN w = '' THEN part WHEN j = 1 THEN replace(part, w, m.one) ELSE replace(part, w, m.two) END AS alt
+          FROM a, (SELECT unnest([1, 2]) AS j) WHERE j = 1 OR w <> ''),
+    k AS (SELECT *, regexp_extract(trim(alt), '^(Er|E)\s+([A-Za-z0-9]{1,4})$', 2) AS alone FROM e),
+    c AS (SELECT p_partkey, i, j, l, CASE WHEN alone = '' THEN trim(alt) WHEN l = 1 THEN replace(trim(alt), ' ', '') ELSE alone END AS code
+          FROM k, (SELECT unnest([1, 2]) AS l) WHERE l = 1 OR alone <> ''),
+    g AS (SELECT *, upper(regexp_replace(code, '[^A-Za-z0-9]', '', 'g')) AS u FROM c
+          WHERE regexp_full_match(replace(code, ' ', ''), '[A-Za-z]{0,3}\d{0,3}[A-Za-z]{0,3}') AND regexp_full_match(code, '[A-Za-z0-9 ]+')),
+    f AS (SELECT p_partkey, regexp_replace(u, '^([A-Z]*)0+([0-9]+[A-Z]*)$', '\1\2') AS code, min(i * 100 + j * 10 + l) AS seen FROM g WHERE u <> '' GROUP BY ALL)
+    SELECT n.p_partkey, coalesce(string_agg(code, ',' ORDER BY seen), '') AS codes FROM n LEFT JOIN f USING (p_partkey) GROUP BY ALL
 """)
 def fn6_parsed_codes(spark, sf_dir):
-    title = F.concat(F.lit("E(F)"), F.col("p_size").cast("string"), F.lit(", e "), F.col("p_size").cast("string"))
-    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(F.filter(T.parsed_codes(title), lambda x: x.rlike("^[EF]")), ",").alias("codes"))
+    rows = _titles(spark, sf_dir).select("p_partkey", T.parsed_codes(T.split_title(T.stripped(F.col("title")))["name"]).alias("codes"))
+    return rows.select("p_partkey", F.array_join("codes", ",").alias("codes"))
 
 
 @query("""
@@ -194,10 +225,27 @@ def evl19_transitions(spark, sf_dir):
     return rows.groupBy(F.col("quality").alias("old_label"), new.alias("new_label")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("""
-    SELECT user_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY ALL
+REPLIES = """
+    WITH r AS (
+        SELECT event_id, event_type AS asked, CASE event_id % 4
+            WHEN 0 THEN 'Sure: ["' || event_type || ' ", ' || user_id || ', "u' || user_id || '", ""] done' WHEN 1 THEN 'no list for ' || user_id
+            WHEN 2 THEN '["' || event_type || '", oops]' ELSE '[' || user_id || ', ' || event_id || ']' END AS reply
+        FROM events
+    )
+"""
+
+
+@query(REPLIES + """
+    , m AS (SELECT *, regexp_extract(reply, '(?s)\\[.*\\]') AS found FROM r),
+    s AS (SELECT *, CASE WHEN json_valid(found) THEN list_filter(list_transform(list_filter(json_extract(found, '$[*]'), lambda x: json_type(x) = 'VARCHAR'), lambda x: trim(x->>'$')), lambda x: x <> '') END AS parts FROM m)
+    SELECT event_id, array_to_string(CASE WHEN len(parts) > 0 THEN parts ELSE [asked] END, '|') AS parts FROM s
 """)
-def fn25_event_properties(spark, sf_dir):
-    rows = table(spark, sf_dir, "events")
-    k = F.get_json_object("props", "$.k").cast("long")
-    return rows.groupBy("user_id", k.alias("k")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 6).alias("total"))
+def fn25_strings_from_replies(spark, sf_dir):
+    """The strings of a JSON array inside a reply; the question itself where there is none."""
+    rows = table(spark, sf_dir, "events").selectExpr(
+        "event_id",
+        "event_type AS asked",
+        """CASE event_id % 4 WHEN 0 THEN concat('Sure: ["', event_type, ' ", ', user_id, ', "u', user_id, '", ""] done')
+        WHEN 1 THEN concat('no list for ', user_id) WHEN 2 THEN concat('["', event_type, '", oops]') ELSE concat('[', user_id, ', ', event_id, ']') END AS reply""",
+    )
+    return rows.select("event_id", F.array_join(T.strings_from(F.col("reply"), F.col("asked")), "|").alias("parts"))

@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from millrace.plans import catalog_queries, document_queries, evaluation_queries, rerank_queries, retrieval_queries, routing_queries, scalar_queries, structure_queries  # noqa: F401
+from millrace.plans import catalog_queries, document_queries, evaluation_queries, report_queries, rerank_queries, retrieval_queries, routing_queries, scalar_queries, service_queries, structure_queries  # noqa: F401
 from millrace.plans.registry import ORACLES, QUERIES
 
 FOLDER = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")

@@ -409,11 +409,29 @@ def _shared_sizes(sets: DataFrame, buckets: int) -> DataFrame:
         differs = np.append(True, feature[1:] != feature[:-1])
         alone = (differs & np.append(differs[1:], True))[: len(key)]
         names, n = np.unique(key[alone], return_counts=True)
-        yield pa.record_batch([pa.array(names.view(np.int64)), pa.array(n)], ["key", "alone"])
+        bucket = (mixed(names) >> np.uint64(32)) % np.uint64(buckets)
+        order = np.argsort(bucket, kind="stable")
+        names, n, bucket = names[order], n[order].astype("<u4"), bucket[order]
+        heads = np.nonzero(np.append(True, bucket[1:] != bucket[:-1])[: len(bucket)])[0].tolist()
+        spans = list(zip(heads, heads[1:] + [len(bucket)]))
+        yield pa.record_batch(
+            [pa.array([int(bucket[x]) for x, _ in spans], pa.int32())] + [pa.array([v[x:y].tobytes() for x, y in spans], pa.binary()) for v in (names, n)],
+            ["bucket", "keys", "counts"],
+        )
+
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, counts = [np.zeros(0, np.uint64)], [np.zeros(0, "<u4")]
+        for batch in batches:
+            keys += [np.frombuffer(x, np.uint64) for x in batch.column("keys").to_pylist()]
+            counts += [np.frombuffer(x, "<u4") for x in batch.column("counts").to_pylist()]
+        names, at = np.unique(np.concatenate(keys), return_inverse=True)
+        sums = np.bincount(at, np.concatenate(counts), len(names)).astype(np.int64)
+        yield pa.record_batch([pa.array(names.view(np.int64)), pa.array(sums)], ["key", "alone"])
 
     packed = sets.select("key", "features").mapInArrow(pack, _PACKED)
-    found = packed.repartitionById(buckets, "bucket").mapInArrow(count, "key long, alone long")
-    return found.groupBy("key").agg(F.sum("alone").alias("alone"))
+    # a set's features are counted in many buckets: its counts travel packed, so that rows are sets, not sets times buckets
+    parts = packed.repartitionById(buckets, "bucket").mapInArrow(count, "bucket int, keys binary, counts binary")
+    return parts.repartitionById(buckets, "bucket").mapInArrow(total, "key long, alone long")
 
 
 def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:

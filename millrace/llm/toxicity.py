@@ -6,9 +6,9 @@ chain (toxic, other) learns weights for the strong features and for transitions
 gradient steps on the exact log-likelihood. A logistic curve over the document's expected number of toxic tokens and
 its greatest marginal, fitted to the same documents, gives scores from 0 to 1.
 
-``SAMPLE`` bounds the labelled documents of each class that training reads, chosen by a hash of doc_id. Their windows
-cover every token with a strong feature, wherever it is in a text; the chain learns from ``WINDOWS`` of them at most,
-chosen by a hash of their words. Everything else covers all rows. Scoring runs within one map over whole texts: forward and backward messages of all documents of
+``SAMPLE`` bounds the labelled documents of each class that training reads, chosen by a hash of doc_id. Of
+each of these the chain learns from windows around ``PER_DOCUMENT`` of the tokens with a strong feature, wherever in the
+text they are (by a hash of the place), and one in the middle. Everything else covers all rows. Scoring runs within one map over whole texts: forward and backward messages of all documents of
 a block are one scan over 2 x 2 matrices, in which a document's first token resets the chain.
 
 Nulls and empty texts have no tokens and get the curve's value for none. Repeated label rows count once, toxic if any
@@ -39,8 +39,8 @@ SAMPLE, FEATURES = 4000, 20_000
 #: A strong feature: least log-likelihood ratio, and how much more often toxic documents have it.
 LEAST_RATIO, LEAST_LIFT = 24.0, 10.0
 WINDOW, ROUNDS, THRESHOLD = 6, 80, 0.3
-#: Windows that the chain learns from at most.
-WINDOWS = 30_000
+#: Labelled tokens of a training document around which windows are cut.
+PER_DOCUMENT = 3
 
 
 @dataclass
@@ -110,7 +110,8 @@ def _strong(counts: DataFrame, clean: int, toxic: int, most: int = FEATURES) ->
 
 
 def _windows(docs: DataFrame, strong: set[str]) -> DataFrame:
-    """(words, toxic): windows of tokens with their labels, around labelled tokens and at a spread of other places."""
+    """(words, toxic): windows of tokens with their labels, around ``PER_DOCUMENT`` of a text's tokens with a strong
+    feature, drawn by a hash of their place, and in its middle."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches):
@@ -123,11 +124,9 @@ def _windows(docs: DataFrame, strong: set[str]) -> DataFrame:
                 if b == a:
                     continue
                 marked = hit[codes[a:b]]
-                places, covered = [(b - a) // 2], -1
-                for p in np.nonzero(marked)[0].tolist():
-                    if p > covered:
-                        places.append(min(p + WINDOW, b - a - 1))  # the window's first half may hold further ones
-                        covered = places[-1] + WINDOW
+                hits = np.nonzero(marked)[0]
+                drawn = np.argsort(hits.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15), kind="stable")  # by a hash of the place
+                places = [*hits[drawn[:PER_DOCUMENT]].tolist(), (b - a) // 2]
                 marked = marked & bool(toxic)  # in clean documents the same words are counterexamples
                 for p in places:
                     low, high = max(0, p - WINDOW), min(b - a, p + WINDOW + 1)
@@ -302,8 +301,9 @@ def fit(docs: DataFrame, labels: DataFrame, held_out=None, size: int = SAMPLE) -
     if not clean or not toxic:
         return Model(constant=float(toxic > 0))
     strong = _strong(_feature_counts(rows), clean, toxic)
-    found = written(_windows(rows, set(strong)), "toxic-windows").orderBy(F.xxhash64("words"), "words", "toxic").limit(WINDOWS)
-    model = fit_chain(sorted((r["words"], r["toxic"]) for r in found.collect()), strong)
+    # 2 * size * (PER_DOCUMENT + 1) windows at most
+    windows = [(r["words"], r["toxic"]) for r in _windows(rows, set(strong)).collect()]
+    model = fit_chain(sorted(windows), strong)
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches):

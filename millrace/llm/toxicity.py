@@ -41,6 +41,8 @@ LEAST_RATIO, LEAST_LIFT = 24.0, 10.0
 WINDOW, ROUNDS, THRESHOLD = 6, 80, 0.3
 #: Labelled tokens of a training document around which windows are cut.
 PER_DOCUMENT = 3
+#: Pull of the weights towards 0.
+RIDGE = 0.5
 
 
 @dataclass
@@ -177,7 +179,7 @@ def fit_chain(sequences: list[tuple[list[str], list[int]]], strong: list[str]) -
         total = np.logaddexp(alpha[-1][:, 0], alpha[-1][:, 1])
         p = np.exp(alpha[..., 1] + beta[..., 1] - total) * real
         d = (gold - p) * real
-        dw = np.bincount(ids, d[rows, cols], len(strong)) - 0.02 * w
+        dw = np.bincount(ids, d[rows, cols], len(strong)) - RIDGE * w
         db = d.sum() - 0.02 * bias
         dm = np.zeros((2, 2))
         for i in (0, 1):

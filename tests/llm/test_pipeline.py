@@ -1,17 +1,20 @@
 """The pipeline's stages against brute-force versions of each on its own input, and the queries' SQL."""
 
+import base64
 import hashlib
 import os
 from collections import Counter
 
 import duckdb
 import pytest
+import tiktoken
 
 import corpus_pipeline
 from millrace.llm.queries import ORACLES, QUERIES
 
 from .test_operators import components_by_force, lowered
 
+public_tokenizers = pytest.importorskip("public_tokenizers")
 FOLDER = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no tables")
 
@@ -36,10 +39,23 @@ def test_each_stage_on_its_own_input(spark):
     assert {r.doc_id for r in single.collect()} == {i for i, (_, c) in found.items() if i == c}
 
     mixed = stages["mixing"](spark, single, FOLDER).cache()
-    assert mixed.columns == docs.columns and max(Counter(r.doc_id for r in mixed.collect()).values()) <= 3
-    text = {r.doc_id: r.text for r in mixed.collect()}
+    assert mixed.columns == docs.columns
+    duck = duckdb.connect()
+    duck.register("documents", single.toArrow())
+    names = ["doc_id", "size", "taken"]
+    plan = duck.sql(f"SELECT {', '.join(names)} FROM ({ORACLES['op7_mixing']})").fetchall()
+    counts = Counter(r.doc_id for r in mixed.collect())
+    assert all(counts[i] * size == taken for i, size, taken in plan) and max(counts.values()) <= 3
+
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    with open(path, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    library = tiktoken.Encoding("multi", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    text = {r.doc_id: r.text or "" for r in mixed.collect()}
     for r in stages["bpe"](spark, mixed, FOLDER).collect():
-        assert r.decoded_sha256 == hashlib.sha256((text[r.doc_id] or "").encode()).hexdigest()
+        ids = library.encode_ordinary(text[r.doc_id])
+        assert (r.n_tokens, r.ids_sha256) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
+        assert r.decoded_sha256 == hashlib.sha256(text[r.doc_id].encode()).hexdigest()
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))

@@ -15,6 +15,19 @@ def first_relevant(ranked: DataFrame, key: str, rank: str, relevant: Column) ->
     return ranked.groupBy(key).agg(F.min(F.when(relevant, F.col(rank))).alias("target_rank"))
 
 
+def first_places(judged: DataFrame, rows: DataFrame, key: str, order: list[Column], marks: dict[str, Column]) -> DataFrame:
+    """(key, *marks): for each mark the least 0-based rank of a row that meets it, null without one.
+
+    ``judged`` holds ``rows`` with what the marks read; ``order`` ranks a key's rows, ascending, and names each row. No
+    key is ranked as a whole: the first place of each mark is a minimum, its rank the number of rows before it, and both
+    are summed up before they are shuffled.
+    """
+    place = F.struct(*order)
+    firsts = judged.groupBy(key).agg(*[F.min(F.when(met, place)).alias(f"__{name}") for name, met in marks.items()]).withColumnRenamed(key, "__key")
+    counted = rows.join(firsts, F.col(key).eqNullSafe(F.col("__key"))).groupBy(key)
+    return counted.agg(*[F.when(F.max(f"__{name}").isNotNull(), F.count_if(place < F.col(f"__{name}"))).alias(name) for name in marks])
+
+
 def recall_at(ranks: DataFrame, at: tuple[int, ...] = RECALL_AT) -> DataFrame:
     """(k, recall) over rows with target_rank; a missing rank is no hit."""
     hit = F.coalesce((F.col("target_rank") < F.col("k")).cast("int"), F.lit(0))
@@ -34,6 +47,11 @@ def prejudged(ranked: DataFrame, key: str, rank: str, relevant: Column, judged:
     """(key, target_rank, unknown): a walk down the ranking stops at the first unjudged row, which makes it unknown
     unless a relevant row came before."""
     found = ranked.groupBy(key).agg(F.min(F.when(judged & relevant, F.col(rank))).alias("hit"), F.min(F.when(~judged, F.col(rank))).alias("gap"))
+    return stopped_at_unjudged(found, key)
+
+
+def stopped_at_unjudged(found: DataFrame, key: str) -> DataFrame:
+    """(key, target_rank, unknown) of (key, hit, gap): the least ranks of relevant and of unjudged rows."""
     open_end = F.col("gap").isNotNull() & (F.col("hit").isNull() | (F.col("gap") < F.col("hit")))
     return found.select(key, F.when(~open_end, F.col("hit")).alias("target_rank"), open_end.alias("unknown"))
 

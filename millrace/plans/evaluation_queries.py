@@ -20,14 +20,20 @@ RANKED = """
 """
 
 
-def _ranked(spark, sf_dir):
+def _judged(spark, sf_dir):
+    """The documents, and the same with their labels."""
     labels = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic"))
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars").join(labels, "doc_id", "left")
-    return retrieval.ranked(docs, [F.col("n_chars").desc(), "doc_id"], partition="source").withColumn("rank", F.col("rank").cast("long") - 1)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars")
+    return docs.join(labels, "doc_id", "left"), docs
+
+
+def _places(spark, sf_dir, **marks):
+    order = [F.col("n_chars").isNull(), -F.col("n_chars"), F.col("doc_id")]
+    return evaluation.first_places(*_judged(spark, sf_dir), "source", order, {name: F.expr(met) for name, met in marks.items()})
 
 
 def _targets(spark, sf_dir):
-    return evaluation.first_relevant(_ranked(spark, sf_dir), "source", "rank", F.expr("quality = 1 AND toxic = 1"))
+    return _places(spark, sf_dir, target_rank="quality = 1 AND toxic = 1")
 
 
 @query(RANKED + """
@@ -48,10 +54,10 @@ def evl1_rank_summary(spark, sf_dir):
     SELECT source, bool_or(quality = 1 AND rank < 5) AS strict, bool_or(quality IS NOT NULL AND rank < 5) AS lenient FROM r GROUP BY source
 """)
 def evl2_hits(spark, sf_dir):
-    top = F.col("rank") < 5
-    return _ranked(spark, sf_dir).groupBy("source").agg(
-        F.bool_or((F.col("quality") == 1) & top).alias("strict"), F.bool_or(F.col("quality").isNotNull() & top).alias("lenient")
-    )
+    # the sixth row tells a miss from a source of a few unjudged rows
+    rows = retrieval.ranked(_judged(spark, sf_dir)[0], [F.col("n_chars").desc(), "doc_id"], 6, partition="source")
+    top = F.col("rank") <= 5
+    return rows.groupBy("source").agg(F.bool_or((F.col("quality") == 1) & top).alias("strict"), F.bool_or(F.col("quality").isNotNull() & top).alias("lenient"))
 
 
 @query("""
@@ -112,8 +118,19 @@ def evl5_topk_sweep(spark, sf_dir):
         coalesce(gap IS NOT NULL AND (hit IS NULL OR gap < hit), false) AS unknown FROM w
 """)
 def evl6_prejudged(spark, sf_dir):
-    judged = F.col("quality").isNotNull()
-    return evaluation.prejudged(_ranked(spark, sf_dir), "source", "rank", F.coalesce(F.col("quality") == 1, F.lit(False)), judged)
+    return evaluation.stopped_at_unjudged(_places(spark, sf_dir, hit="quality = 1", gap="quality IS NULL"), "source")
+
+
+@query(RANKED + """
+    , second AS (SELECT source, min(CASE WHEN quality = 1 AND toxic = 0 THEN rank END) AS target_rank FROM r GROUP BY source)
+    SELECT k, avg(CASE WHEN target_rank < k THEN 1 ELSE 0 END) AS recall, round(avg(coalesce(1.0::DOUBLE / (target_rank + 1), 0)), 12) AS mrr
+    FROM second, (SELECT unnest([1, 3, 5, 10, 20, 35, 40, 60, 80, 100, 128]) AS k) GROUP BY k
+""")
+def evl23_second_labels(spark, sf_dir):
+    """The rates of the first round by the labels of a second."""
+    ranks = _places(spark, sf_dir, target_rank="quality = 1 AND toxic = 0")
+    mrr = evaluation.rank_summary(ranks).select(F.round("mrr", 12).alias("mrr"))
+    return evaluation.recall_at(ranks).join(F.broadcast(mrr))  # a single row
 
 
 @query("""

@@ -145,3 +145,37 @@ def test_labels_of_whole_items(spark, tmp_path):
                         wanted.add((item, no, doc, at, round(len(a & b) / min(len(a), len(b)), 9)))
     assert {w[1] for w in wanted} >= {0, 1, 3}
     assert {(r.item_id, r.label_no, r.doc_id, r.line_no, r.score) for r in jn16_label_lines(spark, str(tmp_path)).collect()} == wanted
+
+
+def test_first_places_ties_nulls_and_missing(spark):
+    from millrace.operators.evaluation import first_places
+
+    rows = spark.createDataFrame([("a", 5, 1, 0), ("a", 5, 2, 1), ("a", None, 3, 1), ("b", 1, 4, 0), (None, 9, 5, 0), (None, 3, 6, 1)], "k string, n int, id int, hit int")
+    order = [F.col("n").isNull(), -F.col("n"), F.col("id")]
+    found = first_places(rows, rows.drop("hit"), "k", order, {"hit": F.col("hit") == 1, "gap": F.col("n").isNull()})
+    assert sorted(map(tuple, found.collect()), key=str) == sorted([("a", 1, 2), ("b", None, None), (None, 1, None)], key=str)
+    assert first_places(rows.limit(0), rows.limit(0), "k", order, {"hit": F.col("hit") == 1}).count() == 0
+
+
+def test_sections_of_a_small_document(spark):
+    from millrace.operators import sections
+
+    rows = spark.createDataFrame([(1, 0, 1, "A"), (1, 1, 2, "x" * 8), (1, 2, 2, "y" * 30 + "\n\n" + "z" * 30), (1, 3, 1, "B"), (1, 4, 2, "b")], "d int, seq int, level int, line string")
+    assert sorted(map(tuple, sections.expanded(rows, "d", 2, 40).collect())) == [(1, 1, 0, "x" * 8), (1, 2, 0, "y" * 30), (1, 2, 1, "z" * 30), (1, 3, 0, "B\nb")]
+    pieces = spark.createDataFrame([(1, 0, "s", "a", "long body"), (1, 1, "s", "b", "no"), (1, 2, "s", "", "me"), (1, 3, "t", "c", "no")], "d int, seq int, section string, subsection string, body string")
+    merged = sections.short_pieces_merged(pieces, "d", 5).orderBy("seq").select("seq", "body").collect()
+    assert [tuple(r) for r in merged] == [(0, "long body\n[b] no\nme"), (3, "no")]
+    lines = spark.createDataFrame([(1, 0, i, x) for i, x in enumerate(["Group", "before " * 6, "Hidden", "1", "step " * 8, "Group", "after " * 7, "제품 규격", "w " * 20])], "d int, page int, seq int, line string")
+    titles = spark.createDataFrame([(1, 0, 0, 2, "Group")], "d int, page int, seq int, level int, title string")
+    found = sections.segmented_by_titles(lines, titles, "d").orderBy("seq").collect()
+    assert [(r.seq, r.heading) for r in found] == [(0, "Group"), (2, "Group > Hidden"), (5, "Group > Group"), (7, "Group > 제품 규격")]
+
+
+def test_chapters_are_found_beyond_the_printed_table(spark):
+    from millrace.operators import sections
+
+    names = [f"Title {i} (x)" for i in range(5)]
+    titles = spark.createDataFrame([(1, i, t, 0 if i else 3) for i, t in enumerate(names)] + [(1, 9, "nowhere", 1)], "d int, seq int, title string, hint int")
+    lines = spark.createDataFrame([(1, 0, t) for t in names] + [(1, 2 + i, f" Title {i} ") for i in range(5)] + [(1, 4, "Title 0"), (1, 8, "end")], "d int, page int, line string")
+    found = sections.recovered_chapters(titles, lines, "d").orderBy("seq").collect()
+    assert [(r.seq, r.page, r.page_end) for r in found] == [(0, 4, 5), (1, 3, 4), (2, 4, 5), (3, 5, 6), (4, 6, 9)]

@@ -106,8 +106,9 @@ ORACLES = {
         ), hashed AS (
             SELECT run, """ + CRC.format("concat(doc_id, ':', run)") + r""" AS h FROM runs WHERE length(run) >= 7
         ), words AS (
-            SELECT CASE WHEN h % 31 = 0 THEN left(run, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2) ELSE run END AS word, count(*) AS n
-            FROM hashed GROUP BY ALL HAVING length(word) >= 7 AND count(*) >= 2
+            SELECT word, count(*) AS n FROM (
+                SELECT CASE WHEN h % 31 = 0 THEN left(run, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2) ELSE run END AS word FROM hashed
+            ) WHERE length(word) >= 7 GROUP BY word HAVING count(*) >= 2
         ), cut AS (
             SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words
         ), parts AS (

@@ -19,14 +19,15 @@ chunk. The best rows are cut to k for each query before and after their shuffle.
 Every row is indexed and the result is exact, so recall is 1. Nulls: vectors that are null, or hold null or non-finite
 components (also after scaling), take no part. Rows without id are candidates, last among ties, and never queries.
 Rows that repeat an id are candidates and queries of their own: only the query's own row is left out. Equal vectors tie. Empty vectors score 0
-with one another; vectors of another length than the query's aren't compared with it. Scores beyond long are clipped
-to its limits after ranking in a block by exact integers. An empty table, or one without queries, gives an empty
+with one another; vectors of another length than the query's aren't compared with it. Scores are ranked as integers of up
+to 38 digits (longer ones tie with the largest of these) and those beyond long are returned as its limits. An empty table, or one without queries, gives an empty
 result. Extra columns, of any name, are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from decimal import Decimal
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +40,9 @@ SCALE, SLICES = 1024, 8
 #: Rows of a block, queries of a chunk, chunks that meet a copy of a block in one task.
 BLOCK, CHUNK, CHUNKS = 1 << 14, 64, 8
 MOST_TASKS = 1 << 16
-LONG = np.iinfo(np.int64)
+MOST_LONG = (1 << 63) - 1
+#: Scores between blocks: decimals of 38 digits.
+WIDE, MOST_WIDE = pa.decimal128(38, 0), 10**38 - 1
 
 
 def integers(vectors: DataFrame) -> DataFrame:
@@ -216,11 +219,10 @@ def _searched(k: int):
                 parts = []
                 for q in range(row["n"]):
                     at, scores = index.best(values[q], k, order, place.get(int(own_rows[q]), -1))
-                    clipped = [min(max(int(s), LONG.min), LONG.max) for s in scores]
-                    parts.append((np.repeat(own_ids[q], len(at)), np.repeat(own_rows[q], len(at)), at, clipped))
+                    parts.append((np.repeat(own_ids[q], len(at)), np.repeat(own_rows[q], len(at)), at, scores.tolist()))
                 at = np.concatenate([p[2] for p in parts]).astype(np.int64)
                 yield pa.record_batch(
-                    [pa.array(np.concatenate([p[0] for p in parts])), pa.array(np.concatenate([p[1] for p in parts])), pa.array(ids[at], mask=~known[at]), pa.array(rows[at]), pa.array([s for p in parts for s in p[3]], pa.int64())],
+                    [pa.array(np.concatenate([p[0] for p in parts])), pa.array(np.concatenate([p[1] for p in parts])), pa.array(ids[at], mask=~known[at]), pa.array(rows[at]), pa.array([Decimal(min(max(s, -MOST_WIDE), MOST_WIDE)) for p in parts for s in p[3]], WIDE)],
                     ["query_id", "query_row", "vec_id", "row_no", "score"],
                 )
 
@@ -235,6 +237,10 @@ def dealt(rows: DataFrame, size: int, label: str) -> tuple[DataFrame, DataFrame]
     return written(keyed.repartition("dim", "block").sortWithinPartitions("dim", "block", "row_no").mapInArrow(_indexed, INDEX), label), counts
 
 
+def _as_long(score: Column) -> Column:
+    return F.when(score > MOST_LONG, MOST_LONG).when(score < -MOST_LONG - 1, -MOST_LONG - 1).otherwise(score.cast("long"))
+
+
 def top_k(vectors: DataFrame, asks: Column, k: int = 10, block: int = BLOCK, chunk: int = CHUNK) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row where ``asks`` holds, the k rows of largest inner product."""
     rows = written(integers(vectors), "slice-rows")
@@ -246,6 +252,6 @@ def top_k(vectors: DataFrame, asks: Column, k: int = 10, block: int = BLOCK, chu
     # compute, not bytes, sets the number of tasks: about four for each meeting of a block with a group of chunks
     meetings = blocks.join(groups, "dim").agg(F.sum(F.col("count").cast("long") * F.col("groups"))).head()[0] or 1
     met = copies.unionByName(asked).repartition(min(4 * meetings, MOST_TASKS), "dim", "place", "group").sortWithinPartitions("dim", "place", "group", "asks", "chunk")
-    found = met.mapInArrow(_searched(k), "query_id long, query_row long, vec_id long, row_no long, score long")
+    found = met.mapInArrow(_searched(k), "query_id long, query_row long, vec_id long, row_no long, score decimal(38,0)")
     order = Window.partitionBy("query_row").orderBy(F.desc("score"), F.asc_nulls_last("vec_id"), "row_no")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", _as_long(F.col("score")).alias("score"))

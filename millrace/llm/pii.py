@@ -14,7 +14,9 @@ from the window in which it is most central, and runs of tags over the whole tex
 digit, "@" or an opening bracket: windows with one of them are decoded, and their neighbours as far as runs of tags
 reach, so that skipping the others loses nothing.
 
-Added spans never touch base spans, need a mean tag probability of ``SURE``, and the form that their kind asks for.
+Added spans never touch base spans, need a mean tag probability of ``SURE``, and the form and check that their kind asks
+for: a card number's digits pass Luhn, an address's parts are at most 255. What a base pattern matches and its check
+rejects is not added as a phone either.
 
 Nulls count as empty texts, which have no spans. A text of any length is tagged window by window and is held once.
 Repeated rows repeat; ties between windows of equal names in training are broken by their tags. Without base spans in
@@ -75,6 +77,12 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
+def _octet(part: str) -> bool:
+    """Whether a number, with any count of leading zeros, is at most 255."""
+    short = part.lstrip("0")
+    return len(short) <= 3 and int(short or "0") <= 255
+
+
 def _addresses(text: str) -> Iterator[tuple[int, int, bool]]:
     """Matches of four dotted numbers, leftmost first: maximal dotted chains are found once, and each four of a chain's
     numbers are a match, so that long runs of digits cost one pass."""
@@ -84,7 +92,7 @@ def _addresses(text: str) -> Iterator[tuple[int, int, bool]]:
         for i in range(0, len(parts) - 3, 4):
             own = parts[i : i + 4]
             end = at + sum(map(len, own)) + 3
-            yield at, end, all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in own)
+            yield at, end, all(_octet(p) for p in own)
             at = end + 1
 
 
@@ -448,8 +456,7 @@ NUMBER_FORM = re.compile(r"[0-9 ()\[\].+/_-]+")
 
 
 def _asked(kind: int, text: str) -> bool:
-    """What a kind asks of an added span. A card number needs no right check digit: one with a typing error, or with
-    digits of its own for a test, names its owner as well."""
+    """What a kind asks of an added span: the checks of the base hold for other forms as well."""
     digits = "".join(c for c in text if "0" <= c <= "9")
     if kind == 0:
         parts = AT_FORM.split(text)
@@ -458,12 +465,19 @@ def _asked(kind: int, text: str) -> bool:
         return False
     if kind == 1:
         parts = re.findall(r"[0-9]+", text)
-        return len(parts) == 4 and all(len(p) <= 3 and int(p) <= 255 for p in parts)
+        return len(parts) == 4 and all(_octet(p) for p in parts)
     if kind == 2:
-        return 12 <= len(digits) <= 19
+        return 12 <= len(digits) <= 19 and luhn(digits)
     return 9 <= len(digits) <= 15 and len(digits) < len(text)
 
 
+def _rejected(text: str, start: int, end: int) -> list[tuple[int, int]]:
+    """Addresses and phones that their checks reject, in or about a span."""
+    low = max(0, start - WIDTH)
+    near = text[low : end + WIDTH]
+    return [(low + a, low + b) for found in (_addresses(near), _phones(near)) for a, b, good in found if not good]
+
+
 def added_spans(texts: list[str], base: list[list[tuple[int, int, int]]], tagger: Tagger) -> list[list[tuple[int, int, int]]]:
     """Spans that the tagger adds to each text of a block: those of all windows, though only windows that hold a digit,
     "@" or a bracket, and neighbours that a run of tags reaches into, are decoded."""
@@ -514,8 +528,11 @@ def added_spans(texts: list[str], base: list[list[tuple[int, int, int]]], tagger
             k = int(kind[a]) - 1
             if k == 1 and not _asked(1, text.strip()):
                 k = 3  # dotted groups that are no address may be a phone
-            if p[a:b].mean() >= SURE and _asked(k, text.strip()) and not any(x < a + right and a + left < y for x, _, y in base[i]):
-                out[i].append((a + left, k, a + right))
+            if p[a:b].mean() < SURE or not _asked(k, text.strip()) or any(x < a + right and a + left < y for x, _, y in base[i]):
+                continue
+            if k == 3 and any(x < a + right and a + left < y for x, y in _rejected(texts[i], a + left, a + right)):
+                continue
+            out[i].append((a + left, k, a + right))
     return out
 
 

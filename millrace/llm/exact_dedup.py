@@ -4,7 +4,10 @@ A text is cut where a hash of the last bytes says so, each distinct chunk is sto
 bytes are verified, and documents are compared by their ordered identifier lists, which are short.
 
 Nulls count as empty texts; all empty texts are equal to each other (an empty recipe). Rows that repeat a doc_id and
-text count as rows of one group. An empty table gives an empty result. Extra columns are ignored.
+text count as rows of one group; where several rows of a group have its largest doc_id, or all of them none,
+``exact_groups`` marks these all as kept, since ids don't tell them apart; ``without_exact_copies`` keeps one row of each
+group in any case. A text of any length is chunked in a block of its own. An empty table gives an
+empty result. Extra columns are ignored.
 """
 
 from __future__ import annotations

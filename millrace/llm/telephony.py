@@ -229,24 +229,25 @@ def feature_of(tag: int, pcm: np.ndarray, rate: int) -> str:
 
 def features(rows: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature, rate, pcm), from
-    stored media and their PCM (doc_id, n_bytes, media, rate, pcm)."""
+    stored media and their PCM (doc_id, n_bytes, media, rate, pcm). Null media give null in all columns of theirs."""
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches, "pcm", BLOCK * 4):
             media = block.column("media").to_pylist()
-            kinds = [parsed(m) for m in media]
-            pcm = [np.frombuffer(x.as_buffer(), "<i2") for x in block.column("pcm")]
-            data = [x[2] for x in kinds]
+            kinds = [None if m is None else parsed(m) for m in media]
+            pcm = [None if x.as_buffer() is None else np.frombuffer(x.as_buffer(), "<i2") for x in block.column("pcm")]
+            data = [None if x is None else x[2] for x in kinds]
+            of = lambda f, values: [None if v is None else f(v) for v in values]
             yield pa.record_batch(
                 [
                     block.column("doc_id"),
                     block.column("n_bytes"),
-                    pa.array([len(x) for x in data], pa.int64()),
-                    pa.array([hashlib.sha256(x).hexdigest() for x in data], pa.string()),
-                    pa.array([zlib.crc32(x[-32:]) for x in data], pa.int64()),
-                    pa.array([len(m) for m in media], pa.int64()),
-                    pa.array([hashlib.sha256(m).hexdigest() for m in media], pa.string()),
-                    pa.array([feature_of(k[0], p, r) for k, p, r in zip(kinds, pcm, block.column("rate").to_pylist())], pa.string()),
+                    pa.array(of(len, data), pa.int64()),
+                    pa.array(of(lambda x: hashlib.sha256(x).hexdigest(), data), pa.string()),
+                    pa.array(of(lambda x: zlib.crc32(x[-32:]), data), pa.int64()),
+                    pa.array(of(len, media), pa.int64()),
+                    pa.array(of(lambda m: hashlib.sha256(m).hexdigest(), media), pa.string()),
+                    pa.array([None if k is None or p is None else feature_of(k[0], p, r) for k, p, r in zip(kinds, pcm, block.column("rate").to_pylist())], pa.string()),
                     block.column("rate"),
                     block.column("pcm"),
                 ],

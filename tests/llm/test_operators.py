@@ -64,7 +64,6 @@ def test_token_files(spark, docs, nothing):
     manifest = token_files.write_shards(docs, path)
     found = rows_of(token_files.read_digests(manifest))
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
     start = 0
     for i, text in corpus():
         ids = tokenizer.encode(text or "", add_special_tokens=False).ids + [2]
@@ -260,6 +259,13 @@ def test_exact_copies_with_repeated_and_null_ids(spark):
     assert Counter((r.doc_id, lowered(r.text)) for r in exact_dedup.without_exact_copies(frame(spark, rows).repartition(3)).collect()) == wanted
 
 
+def test_groups_whose_largest_id_repeats(spark):
+    """Rows that share the largest id are all marked; without ids nothing tells which stays."""
+    found = exact_dedup.exact_groups(frame(spark, [(3, "A"), (3, "a"), (1, "a"), (None, "b"), (None, "B")])).collect()
+    assert sorted((r.doc_id or 0, r.keep_id or 0, r.group_size, r.kept) for r in found) == [(0, 0, 2, True), (0, 0, 2, True), (1, 3, 3, False), (3, 3, 3, True), (3, 3, 3, True)]
+    assert exact_dedup.without_exact_copies(frame(spark, [(3, "A"), (3, "a"), (1, "a"), (None, "b"), (None, "B")])).count() == 2
+
+
 def test_near_copies_with_repeated_and_null_ids(spark):
     rows = repeated_and_null_ids()
     found = components_by_force([(n, t) for n, (_, t) in enumerate(rows)])
@@ -337,6 +343,9 @@ def test_telephony(spark, docs, nothing):
 def test_media_that_are_null_or_unknown(spark):
     rows = spark.createDataFrame([(1, 0, None), (2, 3, telephony.wav(b"\0\1\2"))], "doc_id long, n_bytes long, media binary")
     assert [r.pcm for r in telephony.decoded_column(rows, 8000).orderBy("doc_id").collect()] == [None, struct.pack("<3h", *telephony.MULAW_PCM[:3])]
+    found = {r.doc_id: r for r in telephony.features(telephony.decoded_column(rows, 8000)).collect()}
+    assert (found[1].n_bytes, found[1].payload_bytes, found[1].media_sha256, found[1].feature, found[1].pcm) == (0, None, None, None, None)
+    assert found[2].payload_bytes == 3 and found[2].feature.startswith("mulaw")
     for bad in (b"RIFFxxxxWAVE", b"", telephony.wav(b"abcd", 1)):
         with pytest.raises(Exception, match="doc_id 5"):
             telephony.decoded_column(spark.createDataFrame([(5, 4, bad)], rows.schema)).collect()
@@ -565,7 +574,7 @@ def test_base_numbers_by_force():
     assert min(hits[k] for k in (1, 2, 3)) > 20
 
 
-@pytest.mark.parametrize("text", ["7" * 1_000_000, "1." * 500_000, "+1(" * 300_000, "a@" * 400_000, "12 " * 300_000])
+@pytest.mark.parametrize("text", ["7" * 1_000_000, "1." * 500_000, "+1(" * 300_000, "a@" * 400_000, "12 " * 300_000, "0" * 1_000_000 + ".1.1.1", "1.1.1." + "0" * 5_000])
 def test_base_spans_take_one_pass(text):
     import time
 
@@ -574,6 +583,19 @@ def test_base_spans_take_one_pass(text):
     assert time.process_time() - start < 3
 
 
+def test_zeros_of_any_number():
+    zeros = "0" * 5_000
+    assert pii.named(pii.base_spans(f"my host {zeros}.1.1.1 end")) == "ip:8:5014"
+    assert pii.base_spans(f"{zeros}300.1.1.1") == [] and pii.near_misses(f"{zeros}300.1.1.1")
+
+
+def test_checks_hold_for_added_spans():
+    """What a base pattern matches and its check rejects doesn't come back as a span of another form."""
+    assert pii._asked(2, "4539.1488.0343.6467") and not pii._asked(2, "4539.1488.0343.6468") and not pii._asked(2, "4539 1488 0343 6468")
+    assert pii._asked(1, "10 . 0 . 0 . 255") and not pii._asked(1, "10 . 0 . 0 . 256")
+    assert pii._rejected("at 300.200.100.400 now", 3, 18) and not pii._rejected("at 555.123.4567 now", 3, 15)
+
+
 def test_windows_are_reconciled_as_by_force():
     """Every window decoded, each character taking the tag of the window in which it is most central."""
     rng = random.Random(11)

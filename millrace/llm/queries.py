@@ -36,7 +36,7 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
     media = written(telephony.stored(table(spark, sf_dir, "documents")), "media", compression="zstd")
-    return telephony.features(telephony.decoded_column(media))
+    return telephony.decoded_features(media)
 
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

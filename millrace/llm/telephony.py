@@ -186,35 +186,36 @@ def stored(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(store, "doc_id long, n_bytes long, media binary")
 
 
+def _decoded(batches: Iterator[pa.RecordBatch], target: int) -> Iterator[pa.RecordBatch]:
+    """Batches (doc_id, n_bytes, media) with rate and pcm. The ADPCM blocks of all media of a block of rows are decoded
+    together."""
+    for block in blocks(batches, "media", BLOCK):
+        found: list = []
+        for name, media in zip(block.column("doc_id").to_pylist(), block.column("media").to_pylist()):
+            try:
+                found.append(None if media is None else parsed(media))
+            except ValueError as e:
+                raise ValueError(f"doc_id {name}: {e}") from e
+        several = [np.frombuffer(x[2], np.uint8)[: len(x[2]) // BLOCK_BYTES * BLOCK_BYTES] for x in found if x and x[0] == IMA_ADPCM]
+        ends = np.cumsum([len(x) // BLOCK_BYTES * BLOCK_SAMPLES for x in several])
+        parts = iter(np.split(adpcm(np.concatenate(several).reshape(-1, BLOCK_BYTES)), ends[:-1]) if several else [])
+        out = []
+        for x in found:
+            if x is None:
+                out.append(None)
+                continue
+            tag, rate, data = x
+            pcm = next(parts) if tag == IMA_ADPCM else (MULAW_PCM if tag == MULAW else ALAW_PCM)[np.frombuffer(data, np.uint8)]
+            out.append(resampled(pcm, rate, target).astype("<i2").tobytes())
+        yield pa.record_batch(
+            [block.column(c) for c in ("doc_id", "n_bytes", "media")] + [pa.array([target] * len(out), pa.int32()), pa.array(out, pa.binary())],
+            ["doc_id", "n_bytes", "media", "rate", "pcm"],
+        )
+
+
 def decoded_column(rows: DataFrame, target: int = 16000) -> DataFrame:
-    """``rows`` (doc_id, n_bytes, media) with rate and pcm: the media as 16-bit little-endian PCM at the target rate.
-    The ADPCM blocks of all media of a block of rows are decoded together."""
-
-    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in blocks(batches, "media", BLOCK):
-            found: list = []
-            for name, media in zip(block.column("doc_id").to_pylist(), block.column("media").to_pylist()):
-                try:
-                    found.append(None if media is None else parsed(media))
-                except ValueError as e:
-                    raise ValueError(f"doc_id {name}: {e}") from e
-            several = [np.frombuffer(x[2], np.uint8)[: len(x[2]) // BLOCK_BYTES * BLOCK_BYTES] for x in found if x and x[0] == IMA_ADPCM]
-            ends = np.cumsum([len(x) // BLOCK_BYTES * BLOCK_SAMPLES for x in several])
-            parts = iter(np.split(adpcm(np.concatenate(several).reshape(-1, BLOCK_BYTES)), ends[:-1]) if several else [])
-            out = []
-            for x in found:
-                if x is None:
-                    out.append(None)
-                    continue
-                tag, rate, data = x
-                pcm = next(parts) if tag == IMA_ADPCM else (MULAW_PCM if tag == MULAW else ALAW_PCM)[np.frombuffer(data, np.uint8)]
-                out.append(resampled(pcm, rate, target).astype("<i2").tobytes())
-            yield pa.record_batch(
-                [block.column(c) for c in ("doc_id", "n_bytes", "media")] + [pa.array([target] * len(out), pa.int32()), pa.array(out, pa.binary())],
-                ["doc_id", "n_bytes", "media", "rate", "pcm"],
-            )
-
-    return rows.select("doc_id", "n_bytes", "media").mapInArrow(decode, "doc_id long, n_bytes long, media binary, rate int, pcm binary")
+    """``rows`` (doc_id, n_bytes, media) with rate and pcm: the media as 16-bit little-endian PCM at the target rate."""
+    return rows.select("doc_id", "n_bytes", "media").mapInArrow(lambda batches: _decoded(batches, target), "doc_id long, n_bytes long, media binary, rate int, pcm binary")
 
 
 def feature_of(tag: int, pcm: np.ndarray, rate: int) -> str:
@@ -227,32 +228,41 @@ def feature_of(tag: int, pcm: np.ndarray, rate: int) -> str:
     return f"{name};rate={rate};samples={len(pcm)};mean={mean};turns={turns};peak={peak};crc32={zlib.crc32(pcm.astype('<i2').tobytes())}"
 
 
+FEATURES = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, rate int, pcm binary"
+
+
+def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for block in blocks(batches, "pcm", BLOCK * 4):
+        media = block.column("media").to_pylist()
+        kinds = [None if m is None else parsed(m) for m in media]
+        pcm = [None if x.as_buffer() is None else np.frombuffer(x.as_buffer(), "<i2") for x in block.column("pcm")]
+        data = [None if x is None else x[2] for x in kinds]
+        of = lambda f, values: [None if v is None else f(v) for v in values]
+        yield pa.record_batch(
+            [
+                block.column("doc_id"),
+                block.column("n_bytes"),
+                pa.array(of(len, data), pa.int64()),
+                pa.array(of(lambda x: hashlib.sha256(x).hexdigest(), data), pa.string()),
+                pa.array(of(lambda x: zlib.crc32(x[-32:]), data), pa.int64()),
+                pa.array(of(len, media), pa.int64()),
+                pa.array(of(lambda m: hashlib.sha256(m).hexdigest(), media), pa.string()),
+                pa.array([None if k is None or p is None else feature_of(k[0], p, r) for k, p, r in zip(kinds, pcm, block.column("rate").to_pylist())], pa.string()),
+                block.column("rate"),
+                block.column("pcm"),
+            ],
+            ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "rate", "pcm"],
+        )
+
+
 def features(rows: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature, rate, pcm), from
     stored media and their PCM (doc_id, n_bytes, media, rate, pcm). Null media give null in all columns of theirs."""
 
-    def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in blocks(batches, "pcm", BLOCK * 4):
-            media = block.column("media").to_pylist()
-            kinds = [None if m is None else parsed(m) for m in media]
-            pcm = [None if x.as_buffer() is None else np.frombuffer(x.as_buffer(), "<i2") for x in block.column("pcm")]
-            data = [None if x is None else x[2] for x in kinds]
-            of = lambda f, values: [None if v is None else f(v) for v in values]
-            yield pa.record_batch(
-                [
-                    block.column("doc_id"),
-                    block.column("n_bytes"),
-                    pa.array(of(len, data), pa.int64()),
-                    pa.array(of(lambda x: hashlib.sha256(x).hexdigest(), data), pa.string()),
-                    pa.array(of(lambda x: zlib.crc32(x[-32:]), data), pa.int64()),
-                    pa.array(of(len, media), pa.int64()),
-                    pa.array(of(lambda m: hashlib.sha256(m).hexdigest(), media), pa.string()),
-                    pa.array([None if k is None or p is None else feature_of(k[0], p, r) for k, p, r in zip(kinds, pcm, block.column("rate").to_pylist())], pa.string()),
-                    block.column("rate"),
-                    block.column("pcm"),
-                ],
-                ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "rate", "pcm"],
-            )
-
-    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, rate int, pcm binary"
-    return rows.select("doc_id", "n_bytes", "media", "rate", "pcm").mapInArrow(compute, schema)
+    return rows.select("doc_id", "n_bytes", "media", "rate", "pcm").mapInArrow(_features, FEATURES)
+
+
+def decoded_features(rows: DataFrame, target: int = 16000) -> DataFrame:
+    """``features`` of stored media (doc_id, n_bytes, media) in one pass: PCM leaves the workers once, as a result, in
+    batches of one block each."""
+    return rows.select("doc_id", "n_bytes", "media").mapInArrow(lambda batches: _features(_decoded(batches, target)), FEATURES)

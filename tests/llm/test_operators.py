@@ -325,6 +325,7 @@ def feature_by_force(payload):
 def test_telephony(spark, docs, nothing):
     media = telephony.decoded_column(telephony.stored(docs))
     found, kinds = rows_of(telephony.features(media)), set()
+    assert found == rows_of(telephony.decoded_features(telephony.stored(docs)))
     for i, t in [*corpus(), (7000, "long " * 600_000)]:
         if i == 7000:
             found = rows_of(telephony.features(telephony.decoded_column(telephony.stored(frame(spark, [(i, t)])))))

@@ -9,20 +9,34 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def blocks(text: Column, step: int) -> Column:
+    """A text as an array of ``step`` characters each, the last one shorter; an empty text is one empty block."""
+    return F.when(text == "", F.array(F.lit(""))).otherwise(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{step}}}"), F.lit(0)))
+
+
+def _windows(text: Column, size: int, step: int) -> Column:
+    """Windows of ``size`` characters every ``step``: each block with the start of the next ones. The text is cut once;
+    substrings would count from its start each."""
+    over = -(-(size - step) // step)
+
+    def of(parts: Column) -> Column:
+        more = lambda i: [F.coalesce(F.get(parts, i + k), F.lit("")) for k in range(1, over + 1)]
+        return F.transform(parts, lambda x, i: F.substring(F.concat(x, *more(i)), 1, size))
+
+    return F.get(F.transform(F.array(blocks(text, step)), of), F.lit(0))
+
+
 def sliding(df: DataFrame, text: str = "text", size: int = 700, step: int = 595) -> DataFrame:
     """A row per window (piece_no, piece): a window starts every ``step`` characters, the last may lie within the one
     before; an empty text is one empty piece."""
-    starts = F.sequence(F.lit(0), F.greatest(F.length(text) - 1, F.lit(0)), F.lit(step))
-    return df.where(F.col(text).isNotNull()).select("*", F.posexplode(starts).alias("piece_no", "__at")).withColumn("piece", F.substring(F.col(text), F.col("__at") + 1, F.lit(size))).drop("__at")
+    return df.where(F.col(text).isNotNull()).select("*", F.posexplode(_windows(F.col(text), size, step)).alias("piece_no", "piece"))
 
 
 def sliding_to_end(df: DataFrame, text: str = "text", size: int = 300, overlap: int = 50) -> DataFrame:
     """Windows that stop as soon as one reaches the end of the text."""
-    step = size - overlap
-    last = F.greatest(F.ceil((F.length(text) - size) / step), F.lit(0)).cast("int")
-    return df.where(F.col(text).isNotNull()).select("*", F.explode(F.sequence(F.lit(0), last)).alias("piece_no")).withColumn(
-        "piece", F.substring(F.col(text), F.col("piece_no") * step + 1, F.lit(size))
-    )
+    last = F.greatest(F.ceil((F.length(text) - size) / (size - overlap)), F.lit(0)).cast("int")
+    windows = F.slice(_windows(F.col(text), size, size - overlap), F.lit(1), last + 1)
+    return df.where(F.col(text).isNotNull()).select("*", F.posexplode(windows).alias("piece_no", "piece"))
 
 
 def packed(parts: Column, size: int, glue: str) -> Column:
@@ -99,7 +113,7 @@ def split_with_carry(parts: Column, size: int = 1200, carry: int = 100) -> Colum
         seed = F.struct(none.alias("kept"), F.lit(0).alias("n"), F.lit(True).alias("going"))
 
         def take(s: Column, x: Column) -> Column:
-            fits = s["going"] & (s["n"] + F.length(x) + 1 <= carry)
+            fits = s["going"] & (s["n"] + F.length(x) <= carry)
             return F.struct(F.when(fits, F.concat(F.array(x), s["kept"])).otherwise(s["kept"]).alias("kept"), (s["n"] + F.when(fits, F.length(x) + 1).otherwise(0)).alias("n"), fits.alias("going"))
 
         return F.aggregate(F.reverse(lines_), seed, take, lambda s: s["kept"])
@@ -123,13 +137,3 @@ def with_breadcrumbs(df: DataFrame, ancestors: str, title: str, piece: str) -> D
     """``piece`` with the path to its section before it."""
     path = F.array_join(F.concat(F.col(ancestors), F.array(F.col(title))), " > ")
     return df.withColumn(piece, F.concat(F.lit("["), path, F.lit("] "), F.col(piece)))
-
-
-def assigned_pages(pieces: DataFrame, pages: DataFrame, key: str, piece: str, page_text: str, probes: tuple[int, ...] = (120, 80, 40, 20)) -> DataFrame:
-    """``page_start`` of each piece: the first page that holds its longest findable start, blanks aside."""
-    bare = lambda c: F.regexp_replace(c, r"\s+", "")
-    tries = F.array(*[F.struct(F.lit(i).alias("i"), F.substring(bare(F.col(piece)), 1, n).alias("probe")) for i, n in enumerate(probes)])
-    each = pieces.select(key, "piece_no", F.explode(tries).alias("t")).where("length(t.probe) > 0")
-    met = each.join(pages.select(key, "page", bare(F.col(page_text)).alias("__bare")), key).where(F.contains(F.col("__bare"), F.col("t.probe")))
-    first = met.groupBy(key, "piece_no").agg(F.min_by("page", F.struct("t.i", "page")).alias("page_start"))
-    return pieces.join(first, [key, "piece_no"], "left")

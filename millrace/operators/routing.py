@@ -56,3 +56,24 @@ def capped(rows: DataFrame, group: str, line: str, order: list, per_line: int, o
     """At most ``per_line`` rows of each line and ``overall`` of each group, greedily in order."""
     within = retrieval.ranked(rows.withColumn("__line", F.struct(group, line)), order, per_line, partition="__line", name="__nth").drop("__line", "__nth")
     return retrieval.ranked(within, order, overall, partition=group, name="place")
+
+
+def service_turns(questions: DataFrame, codes: DataFrame, absent: DataFrame, search, chapters, most: int = 5, first: float = 0.1, step: float = 0.05) -> DataFrame:
+    """(query_id, route, id, distance, place, used, structural): evidence of a whole service turn, a row for each piece.
+
+    ``codes``: (query_id, id, rank), exact hits, answer first, at distance 0. ``absent``: (query_id, id), a feature known
+    to be missing, at distance 1 and always used. All other questions are searched: ``search`` gives (query_id, id, rank),
+    re-ranked, and ``chapters`` (query_id, id, rank) of chapters that the kind of question points to, which go before and
+    are marked; what is left of both gets distances by place, since re-ranking keeps no scores. Questions without evidence have one row.
+    """
+    top = retrieval.ranked(codes.select("query_id", "id", "rank"), ["rank", "id"], most, name="place")
+    by_code = top.select("query_id", F.lit("error_code").alias("route"), "id", F.lit(0.0).alias("distance"), "place", F.lit(False).alias("structural"))
+    missing = absent.join(codes.select("query_id").distinct(), "query_id", "left_anti")
+    by_feature = missing.select("query_id", F.lit("feature_absent").alias("route"), "id", F.lit(1.0).alias("distance"), F.lit(1).alias("place"), F.lit(False).alias("structural"))
+    rest = unanswered(questions, codes, absent)
+    merged = retrieval.first_wins([chapters(rest), search(rest)], most)
+    found = merged.select("query_id", F.lit("vector").alias("route"), "id", (first + step * (F.col("place") - 1)).alias("distance"), "place", (F.col("list") == 0).alias("structural"))
+    used = (F.col("distance") < CUT_OFF) | (F.col("route") == "feature_absent")
+    every = by_code.unionByName(by_feature).unionByName(found).withColumn("used", used)
+    full = questions.select("query_id").join(every, "query_id", "left")
+    return full.select("query_id", F.coalesce("route", F.lit("none")).alias("route"), "id", "distance", "place", F.coalesce("used", F.lit(False)).alias("used"), F.coalesce("structural", F.lit(False)).alias("structural"))

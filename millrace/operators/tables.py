@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.operators.stored import stored
+
 
 def upserted(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
     """Rows of ``old`` that ``new`` doesn't replace, and all of ``new``."""
@@ -40,3 +42,31 @@ def last_messages(messages: DataFrame, conversation: str, turn: str, text: str,
     """The last ``n`` messages of each conversation, texts cut to ``size``."""
     nth = F.row_number().over(Window.partitionBy(conversation).orderBy(F.col(turn).desc()))
     return messages.withColumn("__nth", nth).where(F.col("__nth") <= n).drop("__nth").withColumn(text, F.substring(text, 1, size))
+
+
+def placed(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """``place``: a row's number within its key, from 0, in a total order.
+
+    Rows are dealt by ranges of key and order and counted within each; the ranges of a key, a row each, give what comes
+    before. So a key with a third of all rows is no single task's.
+    """
+    dealt = stored(rows.repartitionByRange(key, *order).withColumn("__range", F.spark_partition_id()), "ranges")
+    counts = dealt.groupBy(key, "__range").agg(F.count(F.lit(1)).alias("__n"))
+    before = F.sum("__n").over(Window.partitionBy(key).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1))
+    counts = counts.select(F.col(key).alias("__key"), F.col("__range").alias("__at"), F.coalesce(before, F.lit(0)).alias("__before"))
+    within = F.row_number().over(Window.partitionBy(key, "__range").orderBy(*order)) - 1
+    met = dealt.withColumn("__within", within).join(counts, F.col(key).eqNullSafe(F.col("__key")) & (F.col("__range") == F.col("__at")))
+    return met.select(*rows.columns, (F.col("__before") + F.col("__within")).alias("place"))
+
+
+def containing(texts: DataFrame, text: str, parts: DataFrame, part: str) -> DataFrame:
+    """(text, part): pairs of distinct texts and parts of which the text holds the part.
+
+    A text's substrings of the lengths that parts have meet the parts by equality, so that no text meets all of them.
+    """
+    whole, wanted = texts.select(text).where(F.col(text).isNotNull()).distinct(), parts.select(part).where(F.length(part) > 0).distinct()
+    sizes = wanted.agg(F.collect_set(F.length(part)).alias("sizes"))  # one row
+    cut = lambda n: F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.substring(F.col(text), i, n))
+    fits = F.filter(sizes.select("sizes").scalar(), lambda n: n <= F.length(text))
+    pieces = whole.select(text, F.explode(F.array_distinct(F.flatten(F.transform(fits, cut)))).alias(part))
+    return pieces.join(wanted, part)

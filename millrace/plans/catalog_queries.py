@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from millrace.operators import chunking, retrieval
+from millrace.functions.numbers import squared_distance
+from millrace.operators import chunking, retrieval, tables
 from millrace.plans.registry import query, table
 from millrace.plans.retrieval_queries import VECTORS, _vectors
 
@@ -113,11 +114,11 @@ def agg21_catalog(spark, sf_dir):
     SELECT source, doc_id FROM r WHERE i % greatest(1, n // 5) = 0 AND i // greatest(1, n // 5) < 5
 """)
 def win10_even_sampling(spark, sf_dir):
+    """Rows spread evenly over each source; places within a source are counted over ranges of rows, not in one task."""
     docs = table(spark, sf_dir, "documents").select("source", "doc_id")
     counts = docs.groupBy("source").agg(F.greatest(F.lit(1), F.floor(F.count(F.lit(1)) / 5)).alias("step"))
-    place = F.row_number().over(Window.partitionBy("source").orderBy("doc_id")) - 1
-    rows = docs.withColumn("i", place).join(counts, "source")
-    return rows.where((F.col("i") % F.col("step") == 0) & (F.floor(F.col("i") / F.col("step")) < 5)).select("source", "doc_id")
+    rows = tables.placed(docs, "source", ["doc_id"]).join(counts.withColumnRenamed("source", "step_source"), F.col("source").eqNullSafe(F.col("step_source")))
+    return rows.where((F.col("place") % F.col("step") == 0) & (F.floor(F.col("place") / F.col("step")) < 5)).select("source", "doc_id")
 
 
 @query("""
@@ -152,10 +153,13 @@ def top8_close_to_best(spark, sf_dir):
     SELECT query_id, min(CASE WHEN id = query_id THEN rank END) AS hit_rank, round(min(distance), 6) AS least, bool_or(id = query_id AND rank <= 3) AS hit FROM near GROUP BY query_id
 """)
 def evl9_source_hits(spark, sf_dir):
+    """The rank of a question's own chunk is the number of chunks before it: no ranking is written out."""
     queries, chunks = _vectors(spark, sf_dir)
-    near = retrieval.nearest(queries, chunks, "label", 1 << 30)
-    own = F.col("id") == F.col("query_id")
-    return near.groupBy("query_id").agg(F.min(F.when(own, F.col("rank"))).cast("long").alias("hit_rank"), F.round(F.min("distance"), 6).alias("least"), F.bool_or(own & (F.col("rank") <= 3)).alias("hit"))
+    pairs = queries.join(chunks, "label").select("query_id", "id", squared_distance(F.col("query_vector"), F.col("vector")).alias("distance"))
+    own = queries.select("query_id", squared_distance(F.col("query_vector"), F.col("query_vector")).alias("own_distance"))
+    before = F.struct("distance", "id") < F.struct("own_distance", "query_id")
+    counted = pairs.join(own, "query_id").groupBy("query_id").agg((F.count_if(before) + 1).alias("hit_rank"), F.round(F.min("distance"), 6).alias("least"))
+    return counted.select("query_id", "hit_rank", "least", (F.col("hit_rank") <= 3).alias("hit"))
 
 
 @query("""

@@ -53,7 +53,18 @@ def chk1d_packed_lines(spark, sf_dir):
     return rows.select("doc_id", "piece_no", F.md5("piece").alias("piece_md5"))
 
 
-@query()
+@query(r"""
+    WITH RECURSIVE parts AS (
+        SELECT * FROM (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(text, '\n{2,}'), lambda x: trim(x)), lambda x: x <> '') AS l FROM documents WHERE text IS NOT NULL) WHERE len(l) > 0
+    ), walk(doc_id, n, piece_no, piece) AS (
+        SELECT doc_id, 1, 0, l[1] FROM parts
+        UNION ALL
+        SELECT w.doc_id, n + 1, CASE WHEN length(piece) + length(l[n + 1]) + 2 <= 3000 THEN piece_no ELSE piece_no + 1 END,
+            CASE WHEN length(piece) + length(l[n + 1]) + 2 <= 3000 THEN piece || chr(10) || chr(10) || l[n + 1] ELSE l[n + 1] END
+        FROM walk w JOIN parts p ON p.doc_id = w.doc_id WHERE n < len(l)
+    ), done AS (SELECT doc_id, piece_no, arg_max(piece, n) AS piece FROM walk GROUP BY ALL)
+    SELECT doc_id, CAST(piece_no AS INT) AS piece_no, CASE WHEN max(piece_no) OVER (PARTITION BY doc_id) > 0 THEN ' (' || (piece_no + 1) || ')' ELSE '' END AS group_name, md5(piece) AS piece_md5 FROM done
+""")
 def chk1g_packed_paragraphs(spark, sf_dir):
     rows = chunking.packed_paragraphs(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return rows.select("doc_id", "piece_no", "group_name", F.md5("piece").alias("piece_md5"))

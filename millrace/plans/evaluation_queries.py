@@ -204,3 +204,15 @@ def str6_tumbling_windows(spark, sf_dir):
     from millrace.streaming.windows import tumbling
 
     return tumbling(spark, f"{sf_dir}/events.parquet")
+
+
+@query("""
+    SELECT * FROM (SELECT event_type, floor(epoch(ts) / 3600)::BIGINT * 3600 AS hour, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY ALL)
+    WHERE hour + 3600 <= (SELECT epoch(max(ts)) - 7200 FROM events)
+""")
+def str6_closed_windows(spark, sf_dir):
+    """Beyond the reference: one-hour windows in event time, appended once the watermark, two hours behind, closes them."""
+    from millrace.operators.stored import shared_folder
+    from millrace.streaming.windows import closed_windows
+
+    return closed_windows(spark, f"{sf_dir}/events.parquet", shared_folder(spark, "closed"))[0]

@@ -10,7 +10,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from millrace.functions import text as T
-from millrace.operators import answers, chunking, retrieval
+from millrace.operators import answers, chunking, page_index, retrieval
 from millrace.plans.registry import query, table
 from millrace.plans.retrieval_queries import VECTORS, _vectors
 
@@ -216,22 +216,11 @@ PAGED = r"""
         CAST(greatest(coalesce(first_page, last_page, claimed), coalesce(last_page, first_page, claimed)) AS INT) AS page_end FROM t LEFT JOIN m USING (doc_id, piece_no)
 """)
 def chk19_located_pages(spark, sf_dir):
-    """Pages of a piece by two probes of 18 characters, looked for from the claimed page up to 15 pages on; a piece meets
-    these pages only (STR-5 repairs stale pages by the same rule)."""
-    plain = lambda c: F.regexp_replace(c, "[^0-9A-Za-z가-힣]", "")
-    docs = table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", "text")
-    pages = docs.select("doc_id", "text", F.explode(F.sequence(F.lit(0), F.expr("cast(length(text) DIV 900 AS int)"))).alias("n"))
-    pages = pages.select("doc_id", (F.col("n") + 1).alias("page"), plain(F.substring(F.col("text"), F.col("n") * 900 + 1, F.lit(900))).alias("bare"))
-    pieces = docs.select("doc_id", "text", F.explode(F.sequence(F.lit(0), F.expr("cast(greatest(length(text) - 1, 0) DIV 595 AS int)"))).alias("piece_no"))
-    body = plain(F.substring(F.col("text"), F.col("piece_no") * 595 + 1, F.lit(700)))
-    probes = pieces.select("doc_id", "piece_no", F.expr("cast(greatest(1, piece_no * 595 DIV 900 - 1) AS int)").alias("claimed"), body.alias("b")).select(
-        "doc_id", "piece_no", "claimed", (F.length("b") >= 40).alias("long"), F.substring("b", 11, 18).alias("head"), F.substring(F.col("b"), F.greatest(F.length("b") - 28, F.lit(10)) + 1, F.lit(18)).alias("tail")
-    )
-    tried = probes.where("long").select("*", F.explode(F.sequence(F.col("claimed"), F.col("claimed") + 15)).alias("page")).join(pages, ["doc_id", "page"])
-    where = lambda c: F.min(F.when((F.length(c) == 18) & F.contains("bare", F.col(c)), F.col("page")))
-    met = tried.groupBy("doc_id", "piece_no").agg(where("head").alias("first_page"), where("tail").alias("last_page"))
-    start, end = F.coalesce("first_page", "last_page", "claimed"), F.coalesce("last_page", "first_page", "claimed")
-    return probes.select("doc_id", "piece_no", "claimed").join(met, ["doc_id", "piece_no"], "left").select("doc_id", "piece_no", start.alias("page_start"), F.greatest(start, end).alias("page_end"))
+    """Pages of a piece by two probes of 18 characters, looked for from the claimed page up to 15 pages on."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    pages = chunking.sliding(docs, size=900, step=900).select("doc_id", (F.col("piece_no") + 1).alias("page"), F.col("piece").alias("text"))
+    pieces = chunking.sliding(docs).select("doc_id", "piece_no", F.col("piece").alias("body"), F.expr("cast(greatest(1, piece_no * 595 DIV 900 - 1) AS int)").alias("claimed"))
+    return page_index.located_pages(pieces, pages, ["doc_id"])
 
 
 @query("""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from millrace.operators import chunking, retrieval
+from millrace.operators import chunking, page_index, retrieval
 from millrace.plans.registry import query, table
 from millrace.plans.retrieval_queries import VECTORS, _vectors
 
@@ -36,25 +36,39 @@ def vec4_pointwise(spark, sf_dir):
     return found.select("query_id", "id", F.round("distance", 9).alias("distance"), F.col("place").cast("long").alias("place"))
 
 
-@query()
+@query(r"""
+    WITH RECURSIVE lines AS (
+        SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL
+    ), walk(doc_id, n, piece_no, open, size) AS (
+        SELECT doc_id, 1, 0, l[1:1], length(l[1]) + 1 FROM lines
+        UNION ALL
+        SELECT doc_id, n + 1, CASE WHEN fits THEN piece_no ELSE piece_no + 1 END, CASE WHEN fits THEN open || [x] ELSE kept || [x] END,
+            CASE WHEN fits THEN size ELSE coalesce(list_sum(list_transform(kept, lambda y: length(y) + 1)), 0) END + length(x) + 1
+        FROM (SELECT *, size + length(x) + 1 <= 1200 AS fits, list_filter(open, lambda y, i: list_sum(list_transform(open[i:], lambda z: length(z) + 1)) <= 101) AS kept
+              FROM (SELECT w.*, l[n + 1] AS x FROM walk w JOIN lines USING (doc_id) WHERE n < len(l)))
+    )
+    SELECT doc_id, CAST(piece_no AS INT) AS piece_no, md5(array_to_string(arg_max(open, n), chr(10))) AS piece_md5 FROM walk GROUP BY doc_id, piece_no
+""")
 def chk1f_split_with_carry(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").where("text IS NOT NULL")
     return docs.select("doc_id", F.posexplode(chunking.split_with_carry(F.split("text", "\n"))).alias("piece_no", "piece")).select("doc_id", "piece_no", F.md5("piece").alias("piece_md5"))
 
 
 @query(r"""
-    WITH p AS (SELECT doc_id, n AS page, substring(text, n * 900 + 1, 900) AS body FROM (SELECT doc_id, text, unnest(range(0, 1 + length(text) // 900)) AS n FROM documents WHERE text IS NOT NULL)),
-    c AS (SELECT doc_id, n AS piece_no, regexp_replace(substring(text, n * 595 + 1, 700), '\s+', '', 'g') AS bare FROM (SELECT doc_id, text, unnest(range(0, 1 + greatest(length(text) - 1, 0) // 595)) AS n FROM documents WHERE text IS NOT NULL)),
-    t AS (SELECT c.*, i, substring(bare, 1, [120, 80, 40, 20][i + 1]) AS probe FROM c, (SELECT unnest([0, 1, 2, 3]) AS i)),
-    m AS (SELECT t.doc_id, t.piece_no, min(i * 1000000 + page) AS best FROM t JOIN p ON p.doc_id = t.doc_id AND probe <> '' AND contains(regexp_replace(body, '\s+', '', 'g'), probe) GROUP BY ALL)
-    SELECT c.doc_id, CAST(c.piece_no AS INT) AS piece_no, CAST(best % 1000000 AS INT) AS page_start FROM c LEFT JOIN m USING (doc_id, piece_no)
+    WITH p AS (SELECT doc_id, n AS page, regexp_replace(substring(text, n * 900 + 1, 900), '\s+', '', 'g') AS bare FROM (SELECT doc_id, text, unnest(range(0, greatest(1, (length(text) + 899) // 900))) AS n FROM documents WHERE text IS NOT NULL)),
+    c AS (SELECT doc_id, n AS piece_no, regexp_replace(substring(text, n * 595 + 1, 700), '\s+', '', 'g') AS b FROM (SELECT doc_id, text, unnest(range(0, 1 + greatest(length(text) - 1, 0) // 595)) AS n FROM documents WHERE text IS NOT NULL)),
+    t AS (SELECT c.*, i, CASE WHEN i <= 3 THEN substring(b, 1, [120, 80, 40, 20][i + 1]) ELSE substring(b, [30, 60, 90][i - 3] + 1, 30) END AS probe FROM c, (SELECT unnest(range(7)) AS i)),
+    m AS (SELECT t.doc_id, t.piece_no, min(i * 1000000 + page) % 1000000 AS page_start FROM t JOIN p ON p.doc_id = t.doc_id AND probe <> '' AND contains(bare, probe) GROUP BY ALL),
+    e AS (SELECT m.*, i, CASE WHEN length(b) <= n THEN b ELSE right(b, n) END AS probe FROM m JOIN c USING (doc_id, piece_no), (SELECT unnest(range(4)) AS i, unnest([120, 80, 40, 20]) AS n)),
+    f AS (SELECT e.doc_id, e.piece_no, min(i * 1000000 + page) % 1000000 AS page_end FROM e JOIN p ON p.doc_id = e.doc_id AND page >= page_start AND contains(bare, probe) GROUP BY ALL)
+    SELECT c.doc_id, CAST(c.piece_no AS INT) AS piece_no, CAST(page_start AS INT) AS page_start, CAST(coalesce(page_end, page_start) AS INT) AS page_end FROM c LEFT JOIN m USING (doc_id, piece_no) LEFT JOIN f USING (doc_id, piece_no)
 """)
 def chk18_page_assignment(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", "text")
-    pages = docs.select("doc_id", F.posexplode(F.sequence(F.lit(0), F.floor(F.length("text") / 900).cast("int"))).alias("page", "n"), "text")
-    pages = pages.select("doc_id", "page", F.substring(F.col("text"), F.col("n") * 900 + 1, F.lit(900)).alias("body"))
+    """Pages on which a piece begins and ends, by its longest findable start and end."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    pages = chunking.sliding(docs, size=900, step=900).select("doc_id", F.col("piece_no").alias("page"), F.col("piece").alias("text"))
     pieces = chunking.sliding(docs).select("doc_id", "piece_no", "piece")
-    return chunking.assigned_pages(pieces, pages, "doc_id", "piece", "body").select("doc_id", "piece_no", "page_start")
+    return page_index.assigned_pages(pieces, pages, ["doc_id"], "piece")
 
 
 @query("""

@@ -6,7 +6,6 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from millrace.operators import answers, retrieval, routing
-from millrace.operators.collection import Collection
 from millrace.plans.registry import query, table
 from millrace.plans.retrieval_queries import VECTORS, _vectors
 
@@ -79,7 +78,8 @@ def str1_first_sentence_checks(spark, sf_dir):
 @query("SELECT vec_id AS id, label FROM embeddings WHERE label IN (1, 2) ORDER BY vec_id LIMIT 25 OFFSET 10")
 def top7_paging(spark, sf_dir):
     rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("vec_id").alias("seq"), "label")
-    return Collection(rows).get(where={"label": {"$in": [1, 2]}}, limit=25, offset=10).select("id", "label")
+    found = rows.where(retrieval.metadata_filter({"label": {"$in": [1, 2]}}))
+    return found.orderBy("seq", "id").offset(10).limit(25).select("id", "label")
 
 
 @query("SELECT label, count(*) AS n FROM embeddings WHERE label <> 3 GROUP BY label HAVING count(*) >= 3")

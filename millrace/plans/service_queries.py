@@ -10,7 +10,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from millrace.functions import text as T
-from millrace.operators import retrieval, routing
+from millrace.operators import retrieval, routing, tables
 from millrace.plans.registry import query, table
 from millrace.plans.retrieval_queries import VECTORS, _vectors
 from millrace.plans.scalar_queries import CODES_OF_QUESTIONS, QUESTIONS, questions
@@ -434,13 +434,13 @@ def rte6_manual_of_question(spark, sf_dir):
     SELECT c_custkey, model FROM a LEFT JOIN k ON contains(manual, model) OR contains(model, manual) QUALIFY row_number() OVER (PARTITION BY c_custkey ORDER BY manual = model DESC, length(model) DESC, model) = 1
 """)
 def rte7_partial_models(spark, sf_dir):
-    """The known model that is part of a manual's name or the other way round: an equal one, else the longest. Models
-    are a dimension of the catalogue, which the planner broadcasts while it is small."""
+    """The known model that is part of a manual's name or the other way round: an equal one, else the longest. Either
+    way the longer one's substrings meet the shorter ones by equality."""
     suppliers = table(spark, sf_dir, "supplier")
     known = suppliers.select(F.col("s_name").alias("model")).union(suppliers.select(F.substring("s_name", 1, 17))).distinct()
     name = F.expr("CASE c_custkey % 3 WHEN 0 THEN concat('lg_Supplier#0000000', c_custkey % 100) WHEN 1 THEN concat('Supplier#00000000', c_custkey % 10) ELSE concat('none', c_custkey) END")
     asked = table(spark, sf_dir, "customer").select("c_custkey", name.alias("manual"))
-    met = asked.select("manual").distinct().join(known, F.contains("manual", F.col("model")) | F.contains("model", F.col("manual")))
+    met = tables.containing(asked, "manual", known, "model").unionByName(tables.containing(known, "model", asked, "manual")).distinct()
     best = met.groupBy("manual").agg(F.min_by("model", F.struct(F.col("manual") != F.col("model"), -F.length("model"), "model")).alias("model"))
     return asked.join(best, "manual", "left").select("c_custkey", "model")
 

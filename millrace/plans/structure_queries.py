@@ -19,7 +19,7 @@ TOC = """
         FROM documents WHERE text IS NOT NULL
     ), t AS (
         SELECT doc_id, CAST(n AS INT) AS seq, CASE WHEN length(line) < 30 THEN 1 WHEN length(line) < 90 THEN 2 ELSE 3 END AS level,
-            substring(line, 1, 6) AS title, CAST(n + 1 AS INT) AS page
+            line AS title, CAST(n + 1 AS INT) AS page
         FROM l
     ), p AS (
         SELECT *, CASE WHEN level = 2 THEN l1 WHEN level = 3 THEN greatest(l1, l2) END AS parent_seq,
@@ -37,7 +37,7 @@ def _toc(spark, sf_dir):
         "doc_id",
         F.col("line_no").alias("seq"),
         F.when(size < 30, 1).when(size < 90, 2).otherwise(3).alias("level"),
-        F.substring("line", 1, 6).alias("title"),
+        F.col("line").alias("title"),
         (F.col("line_no") + 1).alias("page"),
     )
 
@@ -152,13 +152,14 @@ def jn2_aliases(spark, sf_dir):
     FROM c JOIN o ON o.doc_id = c.doc_id AND o.start >= c.start AND o.start < c.start + 700 GROUP BY ALL
 """)
 def jn12_chunk_lines(spark, sf_dir):
+    """Lines of pieces: a line's start names the pieces that cover it, so lines and pieces need no join."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     before = Window.partitionBy("doc_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
-    rows = chunking.lines(docs).select("doc_id", "line_no", F.length("line").alias("n"))
-    starts = rows.withColumn("at", F.coalesce(F.sum(F.col("n") + 1).over(before), F.lit(0))).select("doc_id", "line_no", "at")
-    pieces = chunking.sliding(docs).select("doc_id", "piece_no", (F.col("piece_no") * 595).alias("start"))
-    met = pieces.join(starts, "doc_id").where("at >= start AND at < start + 700")
-    return met.groupBy("doc_id", "piece_no").agg(F.min("line_no").alias("first_line"), F.count(F.lit(1)).alias("n_lines"))
+    rows = chunking.lines(docs.withColumn("size", F.greatest(F.length("text"), F.lit(1)))).select("doc_id", "size", "line_no", F.length("line").alias("n"))
+    starts = rows.withColumn("at", F.coalesce(F.sum(F.col("n") + 1).over(before), F.lit(0)))
+    first, last = F.expr("greatest(0, (at - 700) DIV 595 + CASE WHEN at >= 700 THEN 1 ELSE 0 END)"), F.expr("at DIV 595")
+    covered = starts.select("doc_id", "size", "line_no", F.explode(F.sequence(first, last)).alias("piece_no")).where("piece_no * 595 < size")
+    return covered.groupBy("doc_id", F.col("piece_no").cast("int").alias("piece_no")).agg(F.min("line_no").alias("first_line"), F.count(F.lit(1)).alias("n_lines"))
 
 
 @query("""

@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from millrace.plans import catalog_queries, document_queries, evaluation_queries, layout_queries, report_queries, rerank_queries, retrieval_queries, routing_queries, scalar_queries, segment_queries, service_queries, structure_queries  # noqa: F401
+from millrace.plans import applied_queries, catalog_queries, document_queries, evaluation_queries, layout_queries, report_queries, symptom_queries, rerank_queries, retrieval_queries, routing_queries, scalar_queries, segment_queries, service_queries, structure_queries, turn_queries  # noqa: F401
 from millrace.plans.registry import ORACLES, QUERIES
 
 FOLDER = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")

@@ -5,7 +5,6 @@ import json
 from pyspark.sql import functions as F
 
 from millrace.operators import answers, retrieval, routing, toc
-from millrace.operators.collection import Collection
 from millrace.sources import files
 
 
@@ -40,14 +39,12 @@ def test_event_order_and_judging(spark):
     assert [r.label for r in answers.judged(rows, "ev").collect()] == ["FALSE_DECLINE", "GENUINE_NO_ANSWER", "SUCCESS"]
 
 
-def test_fallback_and_collection(spark):
+def test_fallback(spark):
     rows = spark.createDataFrame([("b", 2, "m", [0.0, 1.0]), ("a", 1, "m", [1.0, 0.0]), ("c", 3, "n", [1.0, 1.0])], "id string, seq int, scope string, vector array<double>")
-    collection = Collection(rows)
-    assert collection.count({"scope": "m"}).head().n == 2
-    assert [r.id for r in collection.get(ids=["c", "a"]).collect()] == ["a", "c"]
+    assert rows.where(retrieval.metadata_filter({"scope": "m"})).count() == 2
     questions = spark.createDataFrame([(1, "m", [1.0, 0.1]), (2, "zz", [1.0, 0.1])], "query_id int, scope string, query_vector array<double>")
-    near = collection.query(questions, "scope", 1)
-    both = retrieval.with_fallback(near, questions, lambda q: collection.query(q.withColumn("scope", F.lit("n")), "scope", 1))
+    near = retrieval.nearest(questions, rows, "scope", 1)
+    both = retrieval.with_fallback(near, questions, lambda q: retrieval.nearest(q.withColumn("scope", F.lit("n")), rows, "scope", 1))
     assert {r.query_id: r.id for r in both.collect()} == {1: "a", 2: "c"}
 
 

@@ -6,10 +6,13 @@ chain (toxic, other) learns weights for the strong features and for transitions
 gradient steps on the exact log-likelihood. A logistic curve over the document's expected number of toxic tokens and
 its greatest marginal, fitted to the same documents, gives scores from 0 to 1.
 
-``SAMPLE`` bounds the labelled documents of each class that training reads, chosen by a hash of doc_id. Of
-each of these the chain learns from windows around ``PER_DOCUMENT`` of the tokens with a strong feature, wherever in the
-text they are (by a hash of the place), and one in the middle. Everything else covers all rows. Scoring runs within one map over whole texts: forward and backward messages of all documents of
-a block are one scan over 2 x 2 matrices, in which a document's first token resets the chain.
+``SAMPLE`` bounds the labelled documents of each class that training reads, chosen by a hash of doc_id. The chain learns
+from the windows around all their tokens with a strong feature, and one in each text's middle; a document's windows
+weigh ``PER_DOCUMENT`` in all, however many they are, so that long texts don't outweigh short ones. Windows are the rows that
+the chain is fitted to: at most ``WINDOWS`` of them, by a hash of their words. ``RIDGE`` and ``PER_DOCUMENT`` were chosen on a
+fold within the training rows (``inner_fold``), which held-out rows are no part of. Everything else covers all rows. Scoring
+runs within one map over whole texts: forward and backward messages of all documents of a block are one scan over 2 x 2
+matrices, in which a document's first token resets the chain.
 
 Nulls and empty texts have no tokens and get the curve's value for none. Repeated label rows count once, toxic if any
 is. Without labelled rows of both classes all scores are the share of toxic labels (0 without labels). A text of
@@ -39,8 +42,8 @@ SAMPLE, FEATURES = 4000, 20_000
 #: A strong feature: least log-likelihood ratio, and how much more often toxic documents have it.
 LEAST_RATIO, LEAST_LIFT = 24.0, 10.0
 WINDOW, ROUNDS, THRESHOLD = 6, 80, 0.3
-#: Labelled tokens of a training document around which windows are cut.
-PER_DOCUMENT = 3
+#: Weight of all windows of a training document together, and the most windows that the chain is fitted to.
+PER_DOCUMENT, WINDOWS = 3.0, 60_000
 #: Pull of the weights towards 0.
 RIDGE = 0.5
 
@@ -112,8 +115,8 @@ def _strong(counts: DataFrame, clean: int, toxic: int, most: int = FEATURES) ->
 
 
 def _windows(docs: DataFrame, strong: set[str]) -> DataFrame:
-    """(words, toxic): windows of tokens with their labels, around ``PER_DOCUMENT`` of a text's tokens with a strong
-    feature, drawn by a hash of their place, and in its middle."""
+    """(words, toxic, weight): windows of tokens with their labels, around every token with a strong feature and in the
+    text's middle."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches):
@@ -121,35 +124,36 @@ def _windows(docs: DataFrame, strong: set[str]) -> DataFrame:
             table = words.dictionary.to_pylist()
             hit = np.array([any(f in strong for f in features(w)) for w in table], bool)
             codes, edges = words.indices.to_numpy(), np.append(0, np.cumsum(counts)).tolist()
-            out, tags = [], []
+            out, tags, weights = [], [], []
             for toxic, a, b in zip(block.column("toxic").to_pylist(), edges, edges[1:]):
                 if b == a:
                     continue
                 marked = hit[codes[a:b]]
-                hits = np.nonzero(marked)[0]
-                drawn = np.argsort(hits.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15), kind="stable")  # by a hash of the place
-                places = [*hits[drawn[:PER_DOCUMENT]].tolist(), (b - a) // 2]
+                hits = np.nonzero(marked)[0].tolist()
                 marked = marked & bool(toxic)  # in clean documents the same words are counterexamples
-                for p in places:
+                for p, weight in [*((p, min(1.0, PER_DOCUMENT / len(hits))) for p in hits), ((b - a) // 2, 1.0)]:
                     low, high = max(0, p - WINDOW), min(b - a, p + WINDOW + 1)
                     out.append([table[c] for c in codes[a + low : a + high]])
                     tags.append(marked[low:high].astype(np.int8).tolist())
-            yield pa.record_batch([pa.array(out, pa.list_(pa.string())), pa.array(tags, pa.list_(pa.int8()))], ["words", "toxic"])
+                    weights.append(weight)
+            yield pa.record_batch([pa.array(out, pa.list_(pa.string())), pa.array(tags, pa.list_(pa.int8())), pa.array(weights, pa.float64())], ["words", "toxic", "weight"])
 
-    return docs.mapInArrow(cut, "words array<string>, toxic array<byte>")
+    return docs.mapInArrow(cut, "words array<string>, toxic array<byte>, weight double")
 
 
-def fit_chain(sequences: list[tuple[list[str], list[int]]], strong: list[str]) -> Model:
-    """Maximises the conditional log-likelihood of the labels by Adagrad on all windows at once."""
+def fit_chain(sequences: list[tuple[list[str], list[int], float]], strong: list[str]) -> Model:
+    """Maximises the weighted conditional log-likelihood of the labels of (words, labels, weight) by Adagrad on all
+    windows at once."""
     model = Model()
     if not sequences:
         return model
     number = {f: i for i, f in enumerate(strong)}
-    length = max(len(w) for w, _ in sequences)
+    length = max(len(w) for w, _, _ in sequences)
+    weights = np.array([weight for _, _, weight in sequences])
     n = len(sequences)
     real, gold = np.zeros((length, n), bool), np.zeros((length, n))
     rows, cols, ids = [], [], []
-    for j, (words, tags) in enumerate(sequences):
+    for j, (words, tags, _) in enumerate(sequences):
         real[: len(words), j] = True
         gold[: len(words), j] = tags
         for t, word in enumerate(words):
@@ -162,7 +166,7 @@ def fit_chain(sequences: list[tuple[list[str], list[int]]], strong: list[str]) -
     w, bias, moves = np.zeros(len(strong)), -3.0, np.zeros((2, 2))
     gw, gb, gm = np.full(len(strong), 1e-6), 1e-6, np.full((2, 2), 1e-6)
     both = real[1:]
-    pair = [[((gold[:-1] == i) & (gold[1:] == j) & both).sum() for j in (0, 1)] for i in (0, 1)]
+    pair = [[(((gold[:-1] == i) & (gold[1:] == j) & both) * weights).sum() for j in (0, 1)] for i in (0, 1)]
     for _ in range(ROUNDS):
         u = np.full((length, n), bias)
         np.add.at(u, (rows, cols), w[ids])
@@ -178,13 +182,13 @@ def fit_chain(sequences: list[tuple[list[str], list[int]]], strong: list[str]) -
             beta[t] = np.where(real[t + 1][:, None], step, 0.0)
         total = np.logaddexp(alpha[-1][:, 0], alpha[-1][:, 1])
         p = np.exp(alpha[..., 1] + beta[..., 1] - total) * real
-        d = (gold - p) * real
+        d = (gold - p) * real * weights
         dw = np.bincount(ids, d[rows, cols], len(strong)) - RIDGE * w
         db = d.sum() - 0.02 * bias
         dm = np.zeros((2, 2))
         for i in (0, 1):
             for j in (0, 1):
-                q = np.exp(alpha[:-1, :, i] + moves[i, j] + e[1:, :, j] + beta[1:, :, j] - total) * both
+                q = np.exp(alpha[:-1, :, i] + moves[i, j] + e[1:, :, j] + beta[1:, :, j] - total) * both * weights
                 dm[i, j] = pair[i][j] - q.sum() - 0.02 * moves[i, j]
         gw, gb, gm = gw + dw**2, gb + db**2, gm + dm**2
         w, bias, moves = w + 0.7 * dw / np.sqrt(gw), bias + 0.3 * db / math.sqrt(gb), moves + 0.3 * dm / np.sqrt(gm)
@@ -303,9 +307,8 @@ def fit(docs: DataFrame, labels: DataFrame, held_out=None, size: int = SAMPLE) -
     if not clean or not toxic:
         return Model(constant=float(toxic > 0))
     strong = _strong(_feature_counts(rows), clean, toxic)
-    # 2 * size * (PER_DOCUMENT + 1) windows at most
-    windows = [(r["words"], r["toxic"]) for r in _windows(rows, set(strong)).collect()]
-    model = fit_chain(sorted(windows), strong)
+    drawn = written(_windows(rows, set(strong)), "toxic-windows").orderBy(F.xxhash64("words"), "words", "toxic", "weight").limit(WINDOWS)
+    model = fit_chain(sorted((r["words"], r["toxic"], r["weight"]) for r in drawn.collect()), strong)
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches):
@@ -355,3 +358,8 @@ def scored(docs: DataFrame, model: Model, spans: bool = False) -> DataFrame:
 def held_out_fold():
     """The fold that training never reads: crc32 of the doc_id's digits leaves 2 when divided by 4."""
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+
+
+def inner_fold():
+    """The part of the training rows on which parameters are chosen: remainder 1, of the rows that aren't held out."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 1

@@ -505,6 +505,60 @@ def test_marginals_by_force():
     assert np.isfinite(whole).all() and whole[:50] == pytest.approx(toxicity.marginals(long[:400], np.arange(400) == 0, moves)[:50])
 
 
+def test_strong_features_and_scores_by_force(spark):
+    """Features, their choice, evidence, curve and scores by plain loops over the library's pieces."""
+    import math
+
+    import regex
+
+    rng = random.Random(21)
+    bad = ["vileword", "Vilest", "nastything"]
+    texts = [(i, words(rng, rng.randint(3, 40)) + (" " + rng.choice(bad) + " " + words(rng, 3)) * (rng.randint(1, 6) if i % 3 == 0 else 0)) for i in range(240)]
+    texts += [(900, None), (901, ""), (902, "vileword " * 400)]
+    docs, labels = frame(spark, texts), spark.createDataFrame([(i, 1, int(i % 3 == 0)) for i in range(240)], "doc_id long, quality int, toxic int")
+    model = toxicity.fit(docs, labels)
+
+    def features(piece):
+        word = piece.strip().lower()
+        if len(word) < 3 or not word[0].isalpha():
+            return set()
+        return {"=" + word} | {"<" + word[:n] for n in (3, 4, 5) if n < len(word)} | ({">" + word[-4:]} if len(word) > 4 else set())
+
+    split = {i: regex.findall(tokenizers_data.PATTERN, t or "") for i, t in texts}
+    counts = {0: Counter(), 1: Counter()}
+    for i in range(240):
+        counts[int(i % 3 == 0)].update(set().union(*map(features, split[i])))
+    strong = set()
+    for f in counts[0] | counts[1]:
+        a, b, toxic, clean = counts[1][f], counts[0][f], 80, 160
+        share = (a + b) / (toxic + clean)
+        ratio = 2 * sum(k * math.log(k / n) for k, n in ((a, share * toxic), (b, share * clean)) if k)
+        if ratio >= toxicity.LEAST_RATIO and a / toxic >= toxicity.LEAST_LIFT * (b + 0.5) / (clean + 1):
+            strong.add(f)
+    assert set(model.weights) <= strong and {"=vileword", "<vil", ">hing"} <= set(model.weights)
+
+    move = [[math.exp(x) for x in row] for row in model.moves]
+    for r in toxicity.scored(docs, model).collect():
+        own = [[1.0, math.exp(model.bias + sum(model.weights.get(f, 0.0) for f in features(p)))] for p in split[r.doc_id]]
+        ahead, back = [], []
+        for e in own:
+            state = [e[j] * (sum(ahead[-1][i] * move[i][j] for i in (0, 1)) if ahead else 1.0) for j in (0, 1)]
+            ahead.append([x / sum(state) for x in state])
+        for n in range(len(own) - 1, -1, -1):
+            state = [sum(move[i][j] * own[n + 1][j] * back[-1][j] for j in (0, 1)) if back else 1.0 for i in (0, 1)]
+            back.append([x / sum(state) for x in state])
+        p = [a[1] * b[1] / (a[0] * b[0] + a[1] * b[1]) for a, b in zip(ahead, back[::-1])]
+        value = model.curve[0] + model.curve[1] * math.log1p(sum(p)) + model.curve[2] * max(p, default=0.0)
+        assert abs(r.score - 1 / (1 + math.exp(-value))) < 1e-6 and r.predicted == (r.score >= toxicity.THRESHOLD)
+
+
+def test_windows_of_a_document_weigh_alike(spark):
+    docs = spark.createDataFrame([(1, "bad fine " * 50), (1, "so bad"), (0, "all well"), (0, None)], "toxic int, text string")
+    found = toxicity._windows(docs, {"=bad"}).collect()
+    by_size = sorted(r.weight for r in found if any(r.toxic))
+    assert len(found) == 50 + 1 + 1 + 1 + 1 and abs(sum(r.weight for r in found) - (toxicity.PER_DOCUMENT + 1 + 1 + 1 + 1)) < 1e-9 and by_size[0] == toxicity.PER_DOCUMENT / 50
+
+
 def test_toxicity_learns_and_keeps_columns(spark):
     rng = random.Random(4)
     plain, bad = [f"w{i}o" for i in range(300)], ["vilex", "grubby", "nastor"]

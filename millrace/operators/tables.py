@@ -67,6 +67,6 @@ def containing(texts: DataFrame, text: str, parts: DataFrame, part: str) -> Data
     whole, wanted = texts.select(text).where(F.col(text).isNotNull()).distinct(), parts.select(part).where(F.length(part) > 0).distinct()
     sizes = wanted.agg(F.collect_set(F.length(part)).alias("sizes"))  # one row
     cut = lambda n: F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.substring(F.col(text), i, n))
-    fits = F.filter(sizes.select("sizes").scalar(), lambda n: n <= F.length(text))
-    pieces = whole.select(text, F.explode(F.array_distinct(F.flatten(F.transform(fits, cut)))).alias(part))
+    fits = F.filter("__sizes", lambda n: n <= F.length(text))
+    pieces = whole.withColumn("__sizes", sizes.select("sizes").scalar()).select(text, F.explode(F.array_distinct(F.flatten(F.transform(fits, cut)))).alias(part))
     return pieces.join(wanted, part)

@@ -2,8 +2,9 @@
 
 State is kept for each message: what is held, or that its start has been passed. A start is released at the first sentence
 end or line break, or from ``MOST`` characters on; a first sentence that warns without being asked to is dropped. Later
-deltas pass as they come. A delta marked as last releases what is held and drops the state; a message that breaks off is
-released by a timer.
+deltas pass as they come. A delta marked as last releases what is held and drops the state; in a stream that goes on
+(``start``), a message that breaks off is released by a timer. A run over what there is (``run``) has no timers, since
+they would keep it waiting; what is held stays in its state for the next run.
 """
 
 from __future__ import annotations
@@ -35,7 +36,7 @@ def released(held: str, warned: bool, last: bool, phrase: str = WARNING) -> str
 class Holding(StatefulProcessor):
     """Rows (message_id, seq, delta, warned, last) to rows (message_id, seq, text)."""
 
-    def __init__(self, phrase: str, patience_ms: int):
+    def __init__(self, phrase: str, patience_ms: int | None):
         self.phrase, self.patience = phrase, patience_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -58,13 +59,15 @@ class Holding(StatefulProcessor):
                 held = "" if passed else held
             if text:
                 out.append((key[0], seq, text))
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
+        if self.patience is not None:
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
         if last:
             self.state.clear()
         else:
             self.state.update((held, passed, warned, int(found["seq"].max())))
-            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.patience)
+            if self.patience is not None:
+                self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.patience)
         yield pd.DataFrame(out, columns=["message_id", "seq", "text"])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
@@ -77,16 +80,31 @@ class Holding(StatefulProcessor):
         pass
 
 
-def held_starts(deltas: DataFrame, phrase: str = WARNING, patience_ms: int = 60_000) -> DataFrame:
-    """The stream of texts of a stream of deltas (message_id string, seq long, delta, warned, last)."""
+def held_starts(deltas: DataFrame, phrase: str = WARNING, patience_ms: int | None = None) -> DataFrame:
+    """The stream of texts of a stream of deltas (message_id string, seq long, delta, warned, last); with ``patience_ms``,
+    starts are released that long after their last delta."""
     deltas.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)  # what timers and typed state need
-    return deltas.groupBy("message_id").transformWithStateInPandas(Holding(phrase, patience_ms), OUT, "Append", "ProcessingTime")
+    mode = "None" if patience_ms is None else "ProcessingTime"
+    return deltas.groupBy("message_id").transformWithStateInPandas(Holding(phrase, patience_ms), OUT, "Append", mode)
 
 
-def run(spark: SparkSession, source: str, folder: str, schema, phrase: str = WARNING, patience_ms: int = 60_000, files: int = 4) -> DataFrame:
-    """Reads what there is under ``source``, ``files`` at a time, and appends to ``folder``/out; goes on from its checkpoint."""
+def _writer(spark: SparkSession, source: str, folder: str, schema, phrase: str, patience_ms: int | None, files: int):
     deltas = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(source)
     texts = held_starts(deltas, phrase, patience_ms)
-    stream = texts.writeStream.format("parquet").outputMode("append").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
-    stream.awaitTermination()
+    return texts.writeStream.format("parquet").outputMode("append").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state")
+
+
+def run(spark: SparkSession, source: str, folder: str, schema, phrase: str = WARNING, files: int = 4) -> DataFrame:
+    """Reads what there is under ``source``, ``files`` at a time, and appends to ``folder``/out; goes on from its checkpoint."""
+    _writer(spark, source, folder, schema, phrase, None, files).trigger(availableNow=True).start().awaitTermination()
+    return shown(spark, folder)
+
+
+def start(spark: SparkSession, source: str, folder: str, schema, phrase: str = WARNING, patience_ms: int = 60_000, files: int = 4, every: str = "1 second"):
+    """A query that goes on reading ``source``, with timers."""
+    return _writer(spark, source, folder, schema, phrase, patience_ms, files).trigger(processingTime=every).start()
+
+
+def shown(spark: SparkSession, folder: str) -> DataFrame:
+    """What has been released so far."""
     return spark.read.schema(OUT).parquet(f"{folder}/out")

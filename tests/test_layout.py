@@ -109,8 +109,8 @@ def test_cascade_of_matchers(spark):
 
 
 def test_figures_of_other_pages_are_one_of_each_picture(spark):
-    text = "아주 다른 이야기를 하는 줄"
-    elsewhere = [(9, 0, 2, "near", text), (9, 1, 2, "near", text + "임"), (9, 2, 2, "near", "이야기를 하는 줄이 또 있다")]
+    text = "아주 다른 이야기를 하는 줄입니다 그리고"
+    elsewhere = [(9, 0, 2, "near", text), (9, 1, 2, "near", text + " 또한"), (9, 2, 2, "near", "이야기를 하는 줄입니다 그런데 또 있다")]
     similar = [(6, 9, 0, 2, 0.97), (6, 9, 1, 2, 0.96), (6, 9, 2, 2, 0.95)]
     same = [(9, 0, [10.0, 10.0]), (9, 1, [12.0, 13.0]), (9, 2, [200.0, 0.0])]
     assert cascade(spark, [], similar, elsewhere, same) == [(6, 9, 0, "wide-sem", ""), (6, 9, 2, "wide-sem", "")]

@@ -146,19 +146,22 @@ def fn9_chunk_ids(spark, sf_dir):
         SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n
         FROM documents WHERE text IS NOT NULL
     ), p AS (
-        SELECT doc_id, n, lower(line) AS a, lower(lead(line) OVER (PARTITION BY doc_id ORDER BY n)) AS b FROM l
+        SELECT doc_id, n, bare AS a, lead(bare) OVER (PARTITION BY doc_id ORDER BY n) AS b FROM (
+            SELECT *, array_to_string(list_filter(regexp_extract_all(line, '[0-9A-Za-z가-힣]+'), lambda x: NOT regexp_full_match(x, '[0-9A-Za-z]{1,2}')), '') AS bare FROM l)
     ), g AS (
         SELECT doc_id, n,
             CASE WHEN length(a) >= 4 THEN list_distinct(list_transform(range(1, length(a) - 2), lambda i: substring(a, i, 4))) ELSE [] END AS ga,
             CASE WHEN length(b) >= 4 THEN list_distinct(list_transform(range(1, length(b) - 2), lambda i: substring(b, i, 4))) ELSE [] END AS gb
         FROM p WHERE b IS NOT NULL
     )
-    SELECT doc_id, round(avg(CASE WHEN len(list_intersect(ga, gb)) >= 4 THEN len(list_intersect(ga, gb))::DOUBLE / least(len(ga), len(gb)) ELSE 0 END), 9) AS score
+    SELECT doc_id, round(avg(CASE WHEN len(list_intersect(ga, gb)) >= 4 AND len(list_intersect(ga, gb)) >= 0.2 * len(ga) THEN len(list_intersect(ga, gb))::DOUBLE / least(len(ga), len(gb)) ELSE 0 END), 9) AS score
     FROM g GROUP BY doc_id
 """)
 def fn17_gram_scores(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", F.lower("text").alias("text"))
-    return figures.line_scores(docs).select("doc_id", F.round("score", 9).alias("score"))
+    """Shared grams of neighbouring lines, lone short tokens aside, at least a fifth of the first line's."""
+    plain = F.array_join(F.transform(F.split("text", "\n"), T.gram_text), "\n")
+    docs = table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", plain.alias("text"))
+    return figures.line_scores(docs, cover=0.2).select("doc_id", F.round("score", 9).alias("score"))
 
 
 @query(r"""

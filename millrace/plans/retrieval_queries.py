@@ -46,11 +46,19 @@ def top3_diverse_sections(spark, sf_dir):
     return retrieval.diverse(near, "section", 5).selectExpr("query_id", "id", "cast(rank AS long) AS rank", "cast(place AS long) AS place")
 
 
+def question_hits(queries, chunks):
+    """(query_id, parent_id, rank): hits among expected questions lead to the chunk that each belongs to, once, at its
+    best rank. A chunk has eight questions or four, by its kind."""
+    kept = chunks.select("id", F.expr("id % 8 < CASE WHEN label % 2 = 0 THEN 8 ELSE 4 END").alias("kept"))
+    hits = retrieval.nearest(queries, chunks, "label", 30).join(kept.where("kept"), "id").withColumn("parent_id", F.expr("id DIV 4"))
+    return hits.groupBy("query_id", "parent_id").agg(F.min("rank").cast("long").alias("rank"))
+
+
 @query(VECTORS + """, two AS (
-        SELECT q.query_id, c.id, row_number() OVER (PARTITION BY q.query_id ORDER BY list_sum(list_transform(list_zip(q.e[1:32], c.e[1:32]), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), c.id) AS rank
-        FROM q JOIN c USING (label)
+        SELECT query_id, parent_id * 4 AS id, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS rank FROM (
+            SELECT query_id, near.id // 4 AS parent_id, min(rank) AS rank FROM near JOIN q USING (query_id) WHERE rank <= 30 AND near.id % 8 < CASE WHEN label % 2 = 0 THEN 8 ELSE 4 END GROUP BY ALL)
     ), every AS (
-        SELECT query_id, id, rank, 0 AS list FROM near WHERE rank <= 30 UNION ALL SELECT query_id, id, rank, 1 FROM two WHERE rank <= 30
+        SELECT query_id, id, rank, 0 AS list FROM near WHERE rank <= 30 UNION ALL SELECT query_id, id, rank, 1 FROM two
     ), fused AS (
         SELECT query_id, id, sum(1.0::DOUBLE / (60 + rank)) AS score, min(list * 1000 + rank) AS seen FROM every GROUP BY query_id, id
     )
@@ -58,10 +66,10 @@ def top3_diverse_sections(spark, sf_dir):
     FROM fused QUALIFY place <= 8
 """)
 def vec2_rank_fusion(spark, sf_dir):
+    """Ranks of bodies, and of the chunks whose expected questions are near, as one list."""
     queries, chunks = _vectors(spark, sf_dir)
-    half = lambda c: F.slice(c, 1, 32).alias(c)
     one = retrieval.nearest(queries, chunks, "label", 30)
-    two = retrieval.nearest(queries.select("query_id", "label", half("query_vector")), chunks.select("id", "label", half("vector")), "label", 30)
+    two = retrieval.ranked(question_hits(queries, chunks).withColumnRenamed("rank", "first_rank"), ["first_rank"]).withColumn("id", F.col("parent_id") * 4)
     found = retrieval.fused([one, two], 8)
     return found.select("query_id", "id", F.round("score", 9).alias("score"), F.col("place").cast("long").alias("place"))
 

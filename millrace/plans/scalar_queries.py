@@ -339,16 +339,21 @@ def flt14_tags(spark, sf_dir):
     return rows.select("p_partkey", tag.alias("tag"))
 
 
-BASES = ["사용하기", "알아보기", "관리하기"]
+#: Bases of chapters' titles, in the order in which they are tried.
+BASES = [
+    "안전을 위해 주의하기", "LG ThinQ 사용하기", "알아보기",
+    "리모컨으로 사용하기", "사용하기", "조작부로 사용하기",
+    "관리하기", "설치하기", "고장 신고 전 확인하기", "제품 보증서 보기", "부록",
+]
 
 
 @query(f"""
-    WITH t AS (SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN {BASES!r}[p_size % 3 + 1] WHEN 1 THEN ' ' || {BASES!r}[p_size % 3 + 1] || ' - ' || p_name || ' ' WHEN 2 THEN {BASES!r}[p_size % 3 + 1] || '-' || p_name ELSE p_name END AS title FROM part)
+    WITH t AS (SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN {BASES!r}[p_size % 11 + 1] WHEN 1 THEN ' ' || {BASES!r}[p_size % 11 + 1] || ' - ' || p_name || ' ' WHEN 2 THEN {BASES!r}[p_size % 11 + 1] || '-' || p_name ELSE p_name END AS title FROM part)
     SELECT p_partkey, (SELECT b FROM (SELECT unnest({BASES!r}) AS b) WHERE trim(title) = b OR starts_with(trim(title), b || ' - ')) AS base FROM t
 """)
 def flt21_chapter_bases(spark, sf_dir):
     """The base of a chapter's title: the title is the base, or goes on with a dash; the first base wins."""
-    base = F.element_at(F.array(*map(F.lit, BASES)), (F.col("p_size") % 3 + 1).cast("int"))
+    base = F.element_at(F.array(*map(F.lit, BASES)), (F.col("p_size") % 11 + 1).cast("int"))
     title = F.when(F.col("p_partkey") % 4 == 0, base).when(F.col("p_partkey") % 4 == 1, F.concat(F.lit(" "), base, F.lit(" - "), "p_name", F.lit(" ")))
     title = F.trim(title.when(F.col("p_partkey") % 4 == 2, F.concat(base, F.lit("-"), "p_name")).otherwise(F.col("p_name")))
     hit = F.coalesce(*[F.when((title == b) | F.startswith(title, F.lit(b + " - ")), F.lit(b)) for b in BASES])

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from millrace.functions import text as T
 from millrace.operators import retrieval, routing, tables
 from millrace.plans.registry import query, table
-from millrace.plans.retrieval_queries import VECTORS, _vectors
+from millrace.plans.retrieval_queries import VECTORS, _vectors, question_hits
 from millrace.plans.scalar_queries import CODES_OF_QUESTIONS, QUESTIONS, questions
 
 ENTRIES = """
@@ -255,12 +255,8 @@ def vec9_rank_distances(spark, sf_dir):
     SELECT query_id, parent_id, rank, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS place FROM first QUALIFY place <= 5
 """)
 def vec10_question_index(spark, sf_dir):
-    """Hits in an index of expected questions lead to the chunk that each belongs to, once, at its best rank (JN-9);
-    a chunk has eight questions or four, by its kind."""
-    queries, chunks = _vectors(spark, sf_dir)
-    kept = chunks.select("id", F.expr("id % 8 < CASE WHEN label % 2 = 0 THEN 8 ELSE 4 END").alias("kept"))
-    hits = retrieval.nearest(queries, chunks, "label", 30).join(kept.where("kept"), "id").withColumn("parent_id", F.expr("id DIV 4"))
-    first = hits.groupBy("query_id", "parent_id").agg(F.min("rank").cast("long").alias("rank"))
+    """Hits in an index of expected questions lead to the chunk that each belongs to (JN-9)."""
+    first = question_hits(*_vectors(spark, sf_dir))
     return retrieval.ranked(first, ["rank"], 5, name="place").withColumn("place", F.col("place").cast("long"))
 
 

@@ -179,3 +179,21 @@ def test_chapters_are_found_beyond_the_printed_table(spark):
     lines = spark.createDataFrame([(1, 0, t) for t in names] + [(1, 2 + i, f" Title {i} ") for i in range(5)] + [(1, 4, "Title 0"), (1, 8, "end")], "d int, page int, line string")
     found = sections.recovered_chapters(titles, lines, "d").orderBy("seq").collect()
     assert [(r.seq, r.page, r.page_end) for r in found] == [(0, 4, 5), (1, 3, 4), (2, 4, 5), (3, 5, 6), (4, 6, 9)]
+
+
+#: 0-based ranks of the wanted chunk for 104 labelled questions, and what they come to.
+RANKS = [
+    4, 88, 4, 9, 3, 1, 75, 6, 1, 2, 4, 0, 2, 60, 0, 36, 21, 7, 12, 4, 1, 0, 6, 13, 0, 10, 28, 0, 22, 2, 10, 6, 8, 6, 43, 1, 2, 3, 51, 5, 9, 0, 0, 0, 1, 0, 0, 1, 0, 42, 0, 3,
+    0, 0, 1, 3, 0, 14, 1, 1, 9, 0, 0, 0, 57, 1, 4, 36, 6, 0, 0, 40, 5, 27, 8, 2, 0, 3, 0, 52, 1, 8, 6, 0, 17, 23, 0, 2, 1, 0, 1, 1, 11, 9, 3, 0, 1, 0, 0, 0, 35, 0, 41, 16,
+]
+SUMMARY = (104, 0.4338105481536766, 0.28846153846153844)
+RECALL = {
+    1: 0.28846153846153844, 3: 0.49038461538461536, 5: 0.5961538461538461, 10: 0.75, 20: 0.8269230769230769, 35: 0.875, 40: 0.9038461538461539, 60: 0.9711538461538461,
+    80: 0.9903846153846154, 100: 1.0, 128: 1.0,
+}
+
+
+def test_published_ranks_give_published_figures(spark):
+    ranks = spark.createDataFrame([(r,) for r in RANKS], "target_rank int")
+    assert tuple(evaluation.rank_summary(ranks).head()) == pytest.approx(SUMMARY, abs=1e-12)
+    assert {r.k: r.recall for r in evaluation.recall_at(ranks).collect()} == pytest.approx(RECALL, abs=1e-12)

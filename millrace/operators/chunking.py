@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.functions import text as T
+
 
 def blocks(text: Column, step: int) -> Column:
     """A text as an array of ``step`` characters each, the last one shorter; an empty text is one empty block."""
@@ -95,8 +97,8 @@ def running_labels(df: DataFrame, page: str, line: str, share: float = 0.15) ->
 
 
 def without_furniture(lines_column: Column, most: int = 4) -> Column:
-    """An array of lines without up to ``most`` leading lines that are blank or digits only."""
-    bare = lambda x: F.trim(x).rlike(r"^\d*$")
+    """An array of lines without up to ``most`` leading lines that are blank, digits only, or titles of chapters."""
+    bare = lambda x: F.trim(x).rlike(r"^\d*$") | T.chapter_of(F.trim(x)).isNotNull()
     start = F.struct(F.lit(0).alias("n"), F.lit(True).alias("going"))
     head = F.slice(lines_column, 1, most)
     drop = F.aggregate(head, start, lambda s, x: F.struct((s["n"] + F.when(s["going"] & bare(x), 1).otherwise(0)).alias("n"), (s["going"] & bare(x)).alias("going")), lambda s: s["n"])

@@ -119,16 +119,18 @@ def chk8_title_numbers(spark, sf_dir):
     return chunking.disambiguated(rows, "doc_id", "line_no", "title").select("doc_id", "line_no", "title_no")
 
 
-@query("""
-    WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents WHERE text IS NOT NULL),
-    h AS (SELECT *, list_transform(lines[1:4], lambda x: regexp_matches(trim(x), '^[0-9]*$')) AS bare FROM l)
+@query(f"""
+    WITH l AS (SELECT doc_id, string_split(CASE doc_id % 3 WHEN 0 THEN '12' || chr(10) || '관리하기 - 필터' || chr(10) || text WHEN 1 THEN chr(10) || '부록' || chr(10) || '3' || chr(10) || '관리하기' || chr(10) || '4' || chr(10) || text ELSE text END, chr(10)) AS lines FROM documents WHERE text IS NOT NULL),
+    h AS (SELECT *, list_transform(lines[1:4], lambda x: regexp_matches(trim(x), '^[0-9]*$') OR len(list_filter({list(T.CHAPTERS)!r}, lambda b: trim(x) = b OR starts_with(trim(x), b || ' - '))) > 0) AS bare FROM l)
     SELECT doc_id, len(lines) - CASE WHEN len(bare) = 0 THEN 0 WHEN NOT bare[1] THEN 0 WHEN len(bare) < 2 OR NOT bare[2] THEN 1
         WHEN len(bare) < 3 OR NOT bare[3] THEN 2 WHEN len(bare) < 4 OR NOT bare[4] THEN 3 ELSE 4 END AS kept
     FROM h
 """)
 def chk17_furniture(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").where("text IS NOT NULL")
-    return docs.select("doc_id", F.size(chunking.without_furniture(F.split("text", "\n"))).cast("long").alias("kept"))
+    """Lines of a page without numbers, blank lines and chapter titles at its head, four at most."""
+    text = F.expr("""CASE doc_id % 3 WHEN 0 THEN concat('12\n관리하기 - 필터\n', text) WHEN 1 THEN concat('\n부록\n3\n관리하기\n4\n', text) ELSE text END""")
+    docs = table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", F.split(text, "\n").alias("lines"))
+    return docs.select("doc_id", F.size(chunking.without_furniture(F.col("lines"))).cast("long").alias("kept"))
 
 
 @query("""
@@ -165,18 +167,15 @@ def fn17_gram_scores(spark, sf_dir):
 
 
 @query(r"""
-    SELECT doc_id, array_to_string(list_transform(regexp_extract_all(coalesce(text, ''), '[a-z]{4,}'), lambda x: x)[1:3], ' ') AS words,
-        len(regexp_extract_all(coalesce(text, ''), '[0-9]+')) AS numbers
-    FROM documents
+    WITH b AS (SELECT doc_id, regexp_replace('[' || source || '] ' || ['제품 사용', '이때 필터 청소', 'ab 가 세탁 하기', ''][doc_id % 4 + 1] || ' ' || text, '^\[[^\]]*\]\s*', '') AS body FROM documents WHERE text IS NOT NULL AND source IS NOT NULL),
+    w AS (SELECT doc_id, regexp_extract_all(body, '[가-힣]{2,}') AS words FROM b)
+    SELECT doc_id, coalesce(list_filter(words, lambda x: x NOT IN ('제품', '사용', '이때', '경우', '때문', '그림', '참고', '확인'))[1], words[1]) AS keyword FROM w
 """)
 def fn31_keywords(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
-    text = F.coalesce("text", F.lit(""))
-    return docs.select(
-        "doc_id",
-        F.array_join(F.slice(F.regexp_extract_all(text, F.lit("([a-z]{4,})"), F.lit(1)), 1, 3), " ").alias("words"),
-        F.regexp_count(text, F.lit("[0-9]+")).cast("long").alias("numbers"),
-    )
+    """The first Hangul word that says something, else the first one; words are built in before the texts."""
+    before = F.element_at(F.array(*map(F.lit, ("제품 사용", "이때 필터 청소", "ab 가 세탁 하기", ""))), (F.col("doc_id") % 4 + 1).cast("int"))
+    docs = table(spark, sf_dir, "documents").where("text IS NOT NULL AND source IS NOT NULL")
+    return docs.select("doc_id", T.first_keyword(F.concat(F.lit("["), "source", F.lit("] "), before, F.lit(" "), "text")).alias("keyword"))
 
 
 @query("""

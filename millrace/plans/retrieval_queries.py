@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import numbers as N
 from millrace.functions import text as T
-from millrace.operators import retrieval, tables
+from millrace.operators import answers, retrieval, tables
 from millrace.plans.registry import query, table
 
 DISTANCE = "list_sum(list_transform(list_zip(q.e, c.e), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
@@ -164,10 +164,17 @@ def jn6_conditional_lists(spark, sf_dir):
     return both.groupBy("c_custkey").agg(listed(done).alias("finished"), listed(~done).alias("others"))
 
 
-@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 400000)")
+@query("""
+    WITH m AS (SELECT p_partkey, p_brand, upper(p_name) AS model FROM part WHERE p_size % 2 = 1), k AS (SELECT p_brand, upper(regexp_replace(p_name, '[aeiou]', '*', 'g')) AS pattern FROM part WHERE p_size % 4 = 0)
+    SELECT p_partkey FROM m WHERE NOT EXISTS (SELECT 1 FROM k WHERE k.p_brand = m.p_brand AND m.model LIKE replace(k.pattern, '*', '_'))
+""")
 def jn7_without_match(spark, sf_dir):
-    orders = table(spark, sf_dir, "orders").where("o_totalprice > 400000")
-    return table(spark, sf_dir, "customer").join(orders, F.col("o_custkey") == F.col("c_custkey"), "left_anti").select("c_custkey")
+    """Manuals whose own model no pattern of their table covers: patterns meet the models of their brand only."""
+    part = table(spark, sf_dir, "part")
+    manuals = part.where("p_size % 2 = 1").select("p_partkey", "p_brand", F.upper("p_name").alias("model"))
+    patterns = part.where("p_size % 4 = 0").select("p_brand", F.upper(F.regexp_replace("p_name", "[aeiou]", "*")).alias("pattern")).distinct()
+    covered = manuals.join(patterns, "p_brand").where(T.matches_pattern(F.col("model"), F.col("pattern"))).select("p_partkey").distinct()
+    return manuals.select("p_partkey").join(covered, "p_partkey", "left_anti")
 
 
 @query("""
@@ -246,13 +253,15 @@ def rte1_routes(spark, sf_dir):
 
 
 @query("""
-    SELECT conv_id, count(*) AS turns, bool_and(role IS DISTINCT FROM before) AS alternates
-    FROM (SELECT conv_id, role, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations) GROUP BY conv_id
+    WITH e AS (SELECT conv_id, turn, CASE WHEN turn = 0 THEN 'conv' WHEN role = 'user' THEN 'sources' WHEN role = 'assistant' THEN 'token' ELSE 'status' END AS type FROM conversations),
+    p AS (SELECT *, list_position(['conv', 'status', 'sources', 'token', 'figures', 'done'], type) AS place FROM e)
+    SELECT message_id, seq, type FROM (SELECT conv_id AS message_id, turn AS seq, type, place, max(place) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS so_far FROM p) WHERE so_far > place
 """)
 def str2_order_check(spark, sf_dir):
-    before = F.lag("role").over(Window.partitionBy("conv_id").orderBy("turn"))
-    rows = table(spark, sf_dir, "conversations").select("conv_id", "role", before.alias("before"))
-    return rows.groupBy("conv_id").agg(F.count(F.lit(1)).alias("turns"), F.bool_and(~F.col("role").eqNullSafe(F.col("before"))).alias("alternates"))
+    """Events that come after one which should follow them, in the order conv, status, sources, token, figures, done."""
+    kind = F.when(F.col("turn") == 0, "conv").when(F.col("role") == "user", "sources").when(F.col("role") == "assistant", "token").otherwise("status")
+    events = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("message_id"), F.col("turn").alias("seq"), kind.alias("type"))
+    return answers.out_of_order(events, ("conv", "status", "sources", "token", "figures", "done"))
 
 
 @query("SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') || '+09:00' AS moment, user_id FROM events WHERE event_type = 'purchase'")

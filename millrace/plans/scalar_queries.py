@@ -339,12 +339,7 @@ def flt14_tags(spark, sf_dir):
     return rows.select("p_partkey", tag.alias("tag"))
 
 
-#: Bases of chapters' titles, in the order in which they are tried.
-BASES = [
-    "안전을 위해 주의하기", "LG ThinQ 사용하기", "알아보기",
-    "리모컨으로 사용하기", "사용하기", "조작부로 사용하기",
-    "관리하기", "설치하기", "고장 신고 전 확인하기", "제품 보증서 보기", "부록",
-]
+BASES = list(T.CHAPTERS)
 
 
 @query(f"""
@@ -356,8 +351,7 @@ def flt21_chapter_bases(spark, sf_dir):
     base = F.element_at(F.array(*map(F.lit, BASES)), (F.col("p_size") % 11 + 1).cast("int"))
     title = F.when(F.col("p_partkey") % 4 == 0, base).when(F.col("p_partkey") % 4 == 1, F.concat(F.lit(" "), base, F.lit(" - "), "p_name", F.lit(" ")))
     title = F.trim(title.when(F.col("p_partkey") % 4 == 2, F.concat(base, F.lit("-"), "p_name")).otherwise(F.col("p_name")))
-    hit = F.coalesce(*[F.when((title == b) | F.startswith(title, F.lit(b + " - ")), F.lit(b)) for b in BASES])
-    return table(spark, sf_dir, "part").select("p_partkey", hit.alias("base"))
+    return table(spark, sf_dir, "part").select("p_partkey", T.chapter_of(title).alias("base"))
 
 
 @query("""

@@ -178,32 +178,36 @@ def flt15_chunks_by_title(spark, sf_dir):
     return found.where("leaves >= 3")
 
 
-@query(r"""
-    WITH k AS (SELECT doc_id, source, coalesce(nullif(regexp_extract(text, '[a-z]{4,}'), ''), 'none') AS keyword, substring(text, 1, 800) AS answer FROM documents WHERE text IS NOT NULL AND doc_id % 2 = 1),
-    w AS (SELECT DISTINCT source, unnest(regexp_extract_all(text, '[a-z]{4,}')) AS keyword FROM documents WHERE text IS NOT NULL AND doc_id % 2 = 0)
-    SELECT k.doc_id, CASE WHEN contains(answer, 'zz' || keyword) OR doc_id % 5 = 0 THEN 'C' WHEN w.keyword IS NOT NULL THEN 'B' ELSE 'A' END AS class FROM k LEFT JOIN w USING (source, keyword)
+@query(VECTORS + """, ask AS (SELECT q.query_id, d.source, d.text AS answer, list_last(regexp_extract_all(k.text, '[a-z]{4,}')) AS keyword FROM q JOIN documents d ON d.doc_id = q.query_id JOIN documents k ON k.doc_id = q.query_id + 1 WHERE d.text IS NOT NULL),
+    ca AS (SELECT query_id, string_agg(text, ' ') AS candidates FROM near JOIN documents ON doc_id = id WHERE rank <= 4 AND id <> query_id GROUP BY query_id)
+    SELECT query_id, CASE WHEN contains(answer, keyword) OR contains(coalesce(candidates, ''), keyword) THEN 'C' WHEN EXISTS (SELECT 1 FROM documents m WHERE m.source = ask.source AND contains(m.text, keyword)) THEN 'B' ELSE 'A' END AS class
+    FROM ask LEFT JOIN ca USING (query_id) WHERE keyword IS NOT NULL
 """)
 def flt16_triage(spark, sf_dir):
-    """C: the keyword is in the answer or its candidates; B: it is in another chunk of the model; A: it is nowhere."""
-    docs = table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", "source", "text")
-    word = F.regexp_extract("text", "[a-z]{4,}", 0)
-    asked = docs.where("doc_id % 2 = 1").select("doc_id", "source", F.when(word != "", word).otherwise("none").alias("keyword"), F.substring("text", 1, 800).alias("answer"))
-    words = docs.where("doc_id % 2 = 0").select("source", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("[a-z]{4,}"), F.lit(0)))).alias("keyword")).distinct()
-    met = asked.join(words.withColumn("met", F.lit(True)), ["source", "keyword"], "left")
-    inside = F.contains("answer", F.concat(F.lit("zz"), "keyword")) | (F.col("doc_id") % 5 == 0)
-    return met.select("doc_id", F.when(inside, "C").when(F.col("met"), "B").otherwise("A").alias("class"))
+    """C: the keyword is in the answer or its candidates; B: it is in another chunk of the model; A: it is nowhere. A
+    keyword is part of a text if it is part of one of its words: keywords meet distinct words of the model by substrings."""
+    queries, chunks = _vectors(spark, sf_dir)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    words = F.regexp_extract_all("text", F.lit("[a-z]{4,}"), F.lit(0))
+    keywords = docs.select((F.col("doc_id") - 1).alias("query_id"), F.get(words, F.size(words) - 1).alias("keyword")).where("keyword IS NOT NULL")
+    asked = queries.select("query_id").join(docs.where("text IS NOT NULL").withColumnRenamed("doc_id", "query_id"), "query_id").join(keywords, "query_id")
+    held = retrieval.nearest(queries, chunks, "label", 4).where("id <> query_id").select("query_id", F.col("id").alias("doc_id")).join(docs.select("doc_id", "text"), "doc_id").select("query_id", "text")
+    shown = held.join(keywords, "query_id").groupBy("query_id").agg(F.bool_or(F.contains("text", F.col("keyword"))).alias("shown"))
+    known = docs.select("source", F.explode(F.array_distinct(words)).alias("word")).distinct()
+    met = tables.containing(known, "word", asked, "keyword").join(known, "word").select("source", "keyword").distinct().withColumn("known", F.lit(True))
+    rows = asked.join(shown, "query_id", "left").join(met, ["source", "keyword"], "left")
+    return rows.select("query_id", F.when(F.contains("text", F.col("keyword")) | F.col("shown"), "C").when(F.col("known"), "B").otherwise("A").alias("class"))
 
 
 @query("""
-    SELECT o.o_orderkey, CASE WHEN c.c_custkey IS NULL THEN 'missing' WHEN c.c_nationkey = o.o_orderkey % 25 THEN 'own' ELSE 'foreign' END AS access
-    FROM orders o LEFT JOIN (SELECT * FROM customer WHERE c_acctbal >= 0) c ON c.c_custkey = o.o_custkey
+    SELECT event_id, CASE WHEN o_custkey IS NULL THEN 'missing' WHEN o_custkey = user_id THEN 'own' ELSE 'foreign' END AS access FROM events LEFT JOIN orders ON o_orderkey = event_id
 """)
 def flt18_ownership(spark, sf_dir):
-    """Whether a row that a user asks for is theirs, somebody else's, or missing."""
-    owners = table(spark, sf_dir, "customer").where("c_acctbal >= 0").select(F.col("c_custkey").alias("o_custkey"), "c_nationkey")
-    rows = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey").join(owners, "o_custkey", "left")
-    own = F.when(F.col("c_nationkey").isNull(), "missing").when(F.col("c_nationkey") == F.col("o_orderkey") % 25, "own").otherwise("foreign")
-    return rows.select("o_orderkey", own.alias("access"))
+    """Whether the row that a user asks for, by its key, is theirs, somebody else's, or missing."""
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("event_id"), F.col("o_custkey").alias("owner"))
+    asked = table(spark, sf_dir, "events").select("event_id", "user_id").join(rows, "event_id", "left")
+    access = F.when(F.col("owner").isNull(), "missing").when(F.col("owner") == F.col("user_id"), "own").otherwise("foreign")
+    return asked.select("event_id", access.alias("access"))
 
 
 # Candidates ----------------------------------------------------------------------------------------------------------

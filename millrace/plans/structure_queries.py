@@ -163,13 +163,17 @@ def jn12_chunk_lines(spark, sf_dir):
 
 
 @query("""
-    WITH t AS (SELECT conv_id, count(*) AS n, max(turn) AS last, sum(length(text))::BIGINT AS chars FROM conversations GROUP BY conv_id)
-    SELECT t.conv_id, n, chars, c.role AS last_role FROM t JOIN conversations c ON c.conv_id = t.conv_id AND c.turn = t.last WHERE n > 1
+    SELECT c_custkey, o_orderkey, count(*) AS messages, row_number() OVER (PARTITION BY c_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS place
+    FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN orders ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey WHERE l_quantity > 20 GROUP BY c_custkey, o_orderkey, o_orderdate
 """)
 def jn14_conversations(spark, sf_dir):
-    rows = table(spark, sf_dir, "conversations")
-    found = rows.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).cast("long").alias("chars"), F.max_by("role", "turn").alias("last_role"))
-    return found.where("n > 1")
+    """Each user's conversations about registered products, the newest first, without those that have no messages."""
+    users = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").alias("n_nationkey")).join(table(spark, sf_dir, "nation").select("n_nationkey"), "n_nationkey")
+    messages = table(spark, sf_dir, "lineitem").where("l_quantity > 20").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count(F.lit(1)).alias("messages"))
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("c_custkey"), "o_orderdate")
+    rows = orders.join(messages, "o_orderkey").join(users.select("c_custkey"), "c_custkey")
+    place = F.row_number().over(Window.partitionBy("c_custkey").orderBy(F.desc("o_orderdate"), F.desc("o_orderkey"))).cast("long")
+    return rows.select("c_custkey", "o_orderkey", "messages", place.alias("place"))
 
 
 @query(r"""

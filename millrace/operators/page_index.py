@@ -122,3 +122,17 @@ def located_pages(pieces: DataFrame, pages: DataFrame, key: list[str]) -> DataFr
     met = found.groupBy(*own).agg(first(0).alias("first_page"), first(1).alias("last_page"))
     start, end = F.coalesce("first_page", "last_page", "claimed"), F.coalesce("last_page", "first_page", "claimed")
     return rows.select(*own, "claimed").join(met, own, "left").select(*own, start.alias("page_start"), F.greatest(start, end).alias("page_end"))
+
+
+def repaired_sources(messages: DataFrame, pages: DataFrame, message: str) -> DataFrame:
+    """``messages`` (message, sources) with the pages of each source looked up anew: sources are structs with doc_id, body,
+    page_start and page_end. A source without document or page stays as it is; null and empty lists stay, too.
+    ``pages``: (doc_id, page, text)."""
+    each = messages.select(message, F.posexplode("sources").alias("piece_no", "s"))
+    stale = each.where("s.doc_id IS NOT NULL AND s.page_start IS NOT NULL").select(message, "piece_no", "s.doc_id", "s.body", F.col("s.page_start").alias("claimed"))
+    # a message's sources may be of several documents: pieces are named by both
+    named = stale.select("doc_id", F.struct(message, "piece_no").alias("piece_no"), F.coalesce("body", F.lit("")).alias("body"), "claimed")
+    found = located_pages(named, pages, ["doc_id"]).select(F.col(f"piece_no.{message}").alias(message), F.col("piece_no.piece_no").alias("piece_no"), F.col("page_start").alias("start"), F.col("page_end").alias("end"))
+    fixed = each.join(found, [message, "piece_no"], "left").withColumn("s", F.when(F.col("start").isNotNull(), F.col("s").withField("page_start", F.col("start")).withField("page_end", F.col("end"))).otherwise(F.col("s")))
+    lists = fixed.groupBy(message).agg(F.transform(F.array_sort(F.collect_list(F.struct("piece_no", "s"))), lambda x: x["s"]).alias("repaired"))
+    return messages.join(lists, message, "left").withColumn("sources", F.coalesce("repaired", "sources")).drop("repaired")

@@ -223,6 +223,28 @@ def chk19_located_pages(spark, sf_dir):
     return page_index.located_pages(pieces, pages, ["doc_id"])
 
 
+@query(PAGED + """
+    , m AS (
+        SELECT t.doc_id, piece_no, min(CASE WHEN length(head) = 18 AND contains(bare, head) THEN page END) AS first_page, min(CASE WHEN length(tail) = 18 AND contains(bare, tail) THEN page END) AS last_page
+        FROM t JOIN p ON p.doc_id = t.doc_id AND page BETWEEN claimed AND claimed + 15 WHERE length(b) >= 40 GROUP BY ALL
+    ), f AS (
+        SELECT t.doc_id, t.piece_no, CASE WHEN t.piece_no % 5 = 4 THEN NULL ELSE coalesce(first_page, last_page, claimed) END AS page_start,
+            CASE WHEN t.piece_no % 5 = 4 THEN NULL ELSE greatest(coalesce(first_page, last_page, claimed), coalesce(last_page, first_page, claimed)) END AS page_end FROM t LEFT JOIN m USING (doc_id, piece_no)
+    )
+    SELECT doc_id * 100000 + piece_no // 4 AS message_id, count(*) AS n_sources, string_agg(coalesce(page_start::VARCHAR, '-') || ':' || coalesce(page_end::VARCHAR, '-'), ' ' ORDER BY piece_no) AS pages FROM f GROUP BY ALL
+""")
+def str5_repaired_sources(spark, sf_dir):
+    """Stored messages whose sources name stale pages: looked up anew when they are read, in the order of each list."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    pages = chunking.sliding(docs, size=900, step=900).select("doc_id", (F.col("piece_no") + 1).alias("page"), F.col("piece").alias("text"))
+    stale = F.when(F.col("piece_no") % 5 != 4, F.expr("cast(greatest(1, piece_no * 595 DIV 900 - 1) AS int)"))
+    sources = F.struct("piece_no", F.struct("doc_id", F.col("piece").alias("body"), stale.alias("page_start"), stale.alias("page_end")).alias("s"))
+    held = chunking.sliding(docs).groupBy((F.col("doc_id") * 100000 + F.expr("piece_no DIV 4")).alias("message_id")).agg(F.array_sort(F.collect_list(sources)).alias("h"))
+    found = page_index.repaired_sources(held.select("message_id", F.transform("h", lambda x: x["s"]).alias("sources")), pages, "message_id")
+    shown = lambda x: F.concat_ws(":", F.coalesce(x["page_start"].cast("string"), F.lit("-")), F.coalesce(x["page_end"].cast("string"), F.lit("-")))
+    return found.select("message_id", F.size("sources").cast("long").alias("n_sources"), F.array_join(F.transform("sources", shown), " ").alias("pages"))
+
+
 @query("""
     WITH s AS (SELECT conv_id, turn, conv_id * 10 + turn AS page, coalesce(lead(conv_id * 10 + turn) OVER (PARTITION BY conv_id ORDER BY turn), conv_id * 10 + turn + 3) AS next_page FROM conversations),
     f AS (SELECT page_id, page_id * 3 AS page, substring(url, 1, 300) AS caption FROM pages),

@@ -43,8 +43,18 @@ def manual_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_report(metrics: DataFrame, path: str, title: str) -> None:
-    """A Markdown table of (name, value) rows, in order of name, as text files."""
-    rows = metrics.select(F.concat(F.lit("| "), F.col("name"), F.lit(" | "), F.col("value").cast("string"), F.lit(" |")).alias("value"), F.col("name").alias("k"))
-    lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "value"))), lambda x: x["value"]), "\n")
-    metrics_text = rows.agg(F.concat(F.lit(f"# {title}\n\n| name | value |\n|-|-|\n"), lines).alias("value"))
-    metrics_text.write.mode("overwrite").text(path)
+    """A Markdown table of (name, value) rows, in order of name, as text files that are read in order of their names."""
+    head = metrics.sparkSession.createDataFrame([(0, i, None, line) for i, line in enumerate((f"# {title}", "", "| name | value |", "|-|-|"))], "part int, n int, k string, value string")
+    line = F.concat(F.lit("| "), F.col("name"), F.lit(" | "), F.coalesce(F.col("value").cast("string"), F.lit("")), F.lit(" |"))
+    rows = metrics.select(F.lit(1).alias("part"), F.lit(0).alias("n"), F.col("name").alias("k"), line.alias("value"))
+    head.unionByName(rows).orderBy("part", "n", "k").select("value").write.mode("overwrite").text(path)
+
+
+def write_json_report(rows: DataFrame, path: str) -> None:
+    """Rows as JSON, one a line; null fields are kept."""
+    rows.write.mode("overwrite").option("ignoreNullFields", False).json(path)
+
+
+def write_audit(rows: DataFrame, path: str) -> None:
+    """Rows as CSV with a header, quotes doubled; line ends within fields stay quoted."""
+    rows.write.mode("overwrite").option("header", True).option("escape", '"').option("quoteAll", True).csv(path)

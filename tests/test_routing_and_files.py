@@ -73,6 +73,26 @@ def test_files(spark, tmp_path):
     assert text.index("| a | 1.0 |") < text.index("| b | 2.0 |")
 
 
+def test_reports_and_documents_round_trip(spark, tmp_path):
+    (tmp_path / "docs").mkdir()
+    (tmp_path / "docs" / "a.json").write_text(json.dumps([{"id": "1", "text": "x\ny", "metadata": {"k": "v", "n": 2}}, {"id": "2", "text": None}]))
+    assert [(r.id, r.text, r.metadata) for r in files.document_files(spark, str(tmp_path / "docs")).orderBy("id").collect()] == [("1", "x\ny", {"k": "v", "n": "2"}), ("2", None, None)]
+    for name, rank in (("run1.json", 1), ("run2.json", None)):
+        (tmp_path / "results").mkdir(exist_ok=True)
+        (tmp_path / "results" / name).write_text(json.dumps({"rows": [{"rank": rank}]}))
+    found = files.result_files(spark, str(tmp_path / "results"), "rows array<struct<rank:int>>").orderBy("file_name").collect()
+    assert [(r.file_name, r.rows[0].rank) for r in found] == [("run1.json", 1), ("run2.json", None)]
+    rows = spark.createDataFrame([(1, 'say "hi", twice\nthen'), (2, None)], "no int, reason string")
+    files.write_json_report(rows, str(tmp_path / "json"))
+    assert sorted(json.loads(r.value)["no"] for r in spark.read.text(str(tmp_path / "json")).collect()) == [1, 2] and all("reason" in r.value for r in spark.read.text(str(tmp_path / "json")).collect())
+    files.write_audit(rows, str(tmp_path / "csv"))
+    back = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(str(tmp_path / "csv"), schema="no int, reason string")
+    assert {(r.no, r.reason) for r in back.collect()} == {(1, 'say "hi", twice\nthen'), (2, None)}
+    files.write_report(rows.selectExpr("concat('m', no) AS name", "no AS value").repartition(3), str(tmp_path / "md"), "T")
+    lines = [line for p in sorted((tmp_path / "md").glob("part-*")) for line in p.read_text().splitlines()]
+    assert lines == ["# T", "", "| name | value |", "|-|-|", "| m1 | 1 |", "| m2 | 2 |"]
+
+
 def test_citations_of_long_conversations(spark, tmp_path):
     from millrace.plans.routing_queries import fn33_citations
 

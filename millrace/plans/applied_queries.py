@@ -44,7 +44,7 @@ def snk3_applied_loads(spark, sf_dir):
 
 @query("""
     WITH gone AS (SELECT user_id FROM events WHERE event_type = 'signup' AND value < 3), kept AS (SELECT * FROM events WHERE user_id NOT IN (FROM gone))
-    SELECT user_id, count(*) AS messages, max(event_id) AS last_message, count_if(event_type = 'view') AS patched FROM kept GROUP BY user_id
+    SELECT user_id, count(*) AS messages, max(event_id) AS last_message, count_if(event_type = 'view')::BIGINT AS patched FROM kept GROUP BY user_id
 """)
 def snk8_applied_cascade(spark, sf_dir):
     """Users deleted with their messages, messages patched, each user's last change set: all in stored tables."""

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from millrace.operators import chunking, page_index, retrieval
+from millrace.operators import chunking, page_index, retrieval, toc
 from millrace.plans.registry import query, table
 from millrace.plans.retrieval_queries import VECTORS, _vectors
+from millrace.plans.structure_queries import TOC, _toc
 
 
 @query(VECTORS + r"""
@@ -71,25 +71,15 @@ def chk18_page_assignment(spark, sf_dir):
     return page_index.assigned_pages(pieces, pages, ["doc_id"], "piece")
 
 
-@query("""
-    WITH RECURSIVE parts AS (
-        SELECT doc_id, '[' || coalesce(lag(lang) OVER (PARTITION BY source ORDER BY doc_id) || ' > ', '') || source || '] ' AS crumb, string_split(text, chr(10)) AS lines
-        FROM documents WHERE text IS NOT NULL
-    ), walk(doc_id, n, piece_no, piece) AS (
-        SELECT doc_id, 1, 0, lines[1] FROM parts
-        UNION ALL
-        SELECT w.doc_id, n + 1,
-            CASE WHEN length(piece) + length(lines[n + 1]) + 1 <= 699 THEN piece_no ELSE piece_no + 1 END,
-            CASE WHEN length(piece) + length(lines[n + 1]) + 1 <= 699 THEN piece || chr(10) || lines[n + 1] ELSE lines[n + 1] END
-        FROM walk w JOIN parts p ON p.doc_id = w.doc_id WHERE n < len(lines)
-    )
-    SELECT doc_id, piece_no, any_value(crumb) || arg_max(piece, n) AS piece FROM walk JOIN parts USING (doc_id) GROUP BY doc_id, piece_no
+@query(TOC + """
+    SELECT p.doc_id, p.seq, md5('[' || array_to_string(list_filter([g.title, q.title, p.title], lambda x: x IS NOT NULL), ' > ') || '] ' || p.title) AS piece_md5
+    FROM p LEFT JOIN p q ON q.doc_id = p.doc_id AND q.seq = p.parent_seq LEFT JOIN p g ON g.doc_id = q.doc_id AND g.seq = q.parent_seq WHERE p.leaf
 """)
 def chk1e_breadcrumbs(spark, sf_dir):
-    """Whole texts packed into pieces, each with its breadcrumb."""
-    docs = table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", "source", "lang", "text")
-    parent = F.lag("lang").over(Window.partitionBy("source").orderBy("doc_id"))
-    rows = docs.withColumn("ancestors", F.filter(F.array(parent), lambda x: x.isNotNull()))
-    # the reference counts a line end for every line, the last too: pieces of 700 there are pieces of 699 here
-    pieces = chunking.packed_lines(rows, size=699)
-    return chunking.with_breadcrumbs(pieces, "ancestors", "source", "piece").select("doc_id", "piece_no", "piece")
+    """Sections without sections below them, each behind the path of titles that leads to it."""
+    rows = toc.with_parents(_toc(spark, sf_dir), "doc_id", 3)
+    named = rows.select("doc_id", F.col("seq").alias("parent_seq"), F.col("title").alias("above"), F.col("parent_seq").alias("upper_seq"))
+    upper = named.select("doc_id", F.col("parent_seq").alias("upper_seq"), F.col("above").alias("top"))
+    found = rows.where("leaf").join(named, ["doc_id", "parent_seq"], "left").join(upper, ["doc_id", "upper_seq"], "left")
+    found = found.withColumn("ancestors", F.filter(F.array("top", "above"), lambda x: x.isNotNull())).withColumn("piece", F.col("title"))
+    return chunking.with_breadcrumbs(found, "ancestors", "title", "piece").select("doc_id", "seq", F.md5("piece").alias("piece_md5"))

@@ -39,7 +39,7 @@ TROUBLE = "(" + " OR ".join(f"contains(x, '{w}')" for w in symptoms.TROUBLE_TITL
     ), n AS (
         SELECT *, title || CASE WHEN count(*) OVER (PARTITION BY doc_id, run, title) > 1 THEN ' (' || row_number() OVER (PARTITION BY doc_id, run, title ORDER BY part) || ')' ELSE '' END AS heading FROM b
     )
-    SELECT doc_id, seq, part, md5(heading) AS heading_md5, md5(text) AS text_md5, page FROM n JOIN (SELECT doc_id, run, min(seq) AS seq, arg_min(page, seq) AS page FROM r WHERE trouble GROUP BY ALL) f USING (doc_id, run)
+    SELECT doc_id, seq, part::BIGINT AS part, md5(heading) AS heading_md5, md5(text) AS text_md5, page FROM n JOIN (SELECT doc_id, run, min(seq) AS seq, arg_min(page, seq) AS page FROM r WHERE trouble GROUP BY ALL) f USING (doc_id, run)
     UNION ALL SELECT doc_id, seq, 0, md5(heading), md5(text), page FROM r WHERE NOT trouble OR (doc_id, run) NOT IN (SELECT doc_id, run FROM b)
 """)
 def chk8_symptom_sections(spark, sf_dir):
@@ -82,7 +82,7 @@ def _tidy(x: str) -> str:
         SELECT doc_id, page, y, row, coalesce(nullif(concat_ws(' > ', CASE WHEN two <> '문제 해결하기' THEN two END, three), ''), '문제 해결하기') AS category,
             regexp_replace(regexp_replace(symptom, '\s+', ' ', 'g'), '^\s+|\s+$', '', 'g') AS symptom, """ + _tidy("cause") + r""" AS cause FROM c WHERE level IS NULL
     )
-    SELECT doc_id, chunk, category, symptom, md5('증상: ' || symptom || chr(10) || causes) AS body_md5 FROM (""" + _chunks_sql("d", "page, y, row") + ")")
+    SELECT doc_id, chunk::BIGINT AS chunk, category, symptom, md5('증상: ' || symptom || chr(10) || causes) AS body_md5 FROM (""" + _chunks_sql("d", "page, y, row") + ")")
 def chk13_symptom_tables(spark, sf_dir):
     """Table rows as one chunk for each symptom, under the headings in force; a symptom printed again goes on."""
     rows = _lines(spark, sf_dir)
@@ -139,8 +139,8 @@ HEADS = [list(h) for h in symptoms.HEADERS] + [["품목", "값"]]
             SELECT doc_id, epoch, chunk, max(CASE WHEN kind = 'heading' THEN text END) AS here, max(CASE WHEN kind = 'symptom' THEN text END) AS symptom,
                 regexp_replace(coalesce(string_agg(CASE WHEN kind = 'body' THEN text END, chr(10) ORDER BY p, line), ''), '^\s+|\s+$', '', 'g') AS body FROM t7 GROUP BY ALL)
     )
-    SELECT doc_id, 'table' AS form, chunk, md5(category) AS label_md5, symptom, md5('증상: ' || symptom || chr(10) || causes) AS body_md5 FROM ({_chunks_sql("ta", "p, row")})
-    UNION ALL SELECT doc_id, 'text', chunk, md5(coalesce(nullif(concat_ws(' > ', nullif(category, ''), nullif(symptom, '')), ''), '문제 해결')), coalesce(symptom, ''), md5(body) FROM t8 WHERE length(body) > 30
+    SELECT doc_id, 'table' AS form, chunk::BIGINT AS chunk, md5(category) AS label_md5, symptom, md5('증상: ' || symptom || chr(10) || causes) AS body_md5 FROM ({_chunks_sql("ta", "p, row")})
+    UNION ALL SELECT doc_id, 'text', chunk::BIGINT, md5(coalesce(nullif(concat_ws(' > ', nullif(category, ''), nullif(symptom, '')), ''), '문제 해결')), coalesce(symptom, ''), md5(body) FROM t8 WHERE length(body) > 30
 """)
 def chk14_sections_by_form(spark, sf_dir):
     """A chapter's pages as tables, by sizes of lines or by endings of lines, as each page has it."""

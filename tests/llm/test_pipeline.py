@@ -61,7 +61,8 @@ def test_each_stage_on_its_own_input(spark):
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_sql(spark, name):
     duck = duckdb.connect()
-    duck.execute(f"CREATE VIEW documents AS FROM '{FOLDER}/documents.parquet'")
+    for table in ("documents", "embeddings", "conversations"):
+        duck.execute(f"CREATE VIEW {table} AS FROM '{FOLDER}/{table}.parquet'")
     df = QUERIES[name](spark, FOLDER)
     columns = sorted(df.columns)
     plain = lambda v: f"{v:.9g}" if isinstance(v, float) else str(v)

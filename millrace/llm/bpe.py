@@ -35,7 +35,7 @@ from millrace.llm.pretokens import pieces
 
 #: Pieces that a worker keeps between batches and tasks; pieces and bytes per recursive query; bytes of a long piece;
 #: rows that the rounds of one query make at most.
-KEPT_PIECES, PER_QUERY, LONG, ROWS = 250_000, 20_000, 64, 2_000_000
+KEPT_PIECES, PER_QUERY, LONG, ROWS = 120_000, 10_000, 64, 1_000_000
 
 SHORT_ROUNDS = """
 WITH RECURSIVE turn(piece, pos, token, done, nth) AS (

@@ -30,10 +30,16 @@ def worker_state(operator: str) -> dict:
 
 def release() -> None:
     """Gives freed memory back to the system: workers live on, and an executor's tasks share its memory."""
-    import ctypes
     import gc
 
     gc.collect()
+    trim()
+
+
+def trim() -> None:
+    """Gives back what is free already, without looking for more."""
+    import ctypes
+
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)
@@ -135,3 +141,4 @@ def blocks(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
             last = max(first + 1, int(np.searchsorted(ends, before + most, side="right")))
             yield batch.slice(first, last - first)
             first = last
+    trim()  # a worker that waits for its next task keeps little

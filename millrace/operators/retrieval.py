@@ -7,10 +7,15 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from millrace.functions.numbers import squared_distance
+#: Rows of a block of queries and of chunks, queries that are multiplied at once, and pairs that are summed at once.
+QUERY_BLOCK, CHUNK_BLOCK, STRIP, PAIRS = 2048, 8192, 256, 1 << 21
 
 
 def metadata_filter(condition: dict) -> Column:
@@ -44,11 +49,94 @@ def ranked(df: DataFrame, by: list, most: int | None = None, partition: str = "q
 def nearest(queries: DataFrame, chunks: DataFrame, scope: str, most: int) -> DataFrame:
     """(query_id, id, distance, rank): exact neighbours within the query's scope.
 
-    ``queries``: query_id, scope, query_vector; ``chunks``: id, scope, vector. The join is on the scope, so that only
-    rows that may answer meet; distances are computed in generated code and cut per query before the final shuffle.
+    ``queries``: query_id, scope, query_vector; ``chunks``: id, scope, vector. Both sides of a scope are cut into blocks
+    of bounded size, so that every query block meets every chunk block once; a pair of blocks keeps ``most`` rows a query.
+    Null components count in no distance; vectors without any in common are null apart, and come last.
     """
-    pairs = queries.join(chunks, scope)
-    return ranked(pairs.select("query_id", "id", squared_distance(F.col("query_vector"), F.col("vector")).alias("distance")), ["distance", "id"], most)
+    q_parts = queries.groupBy(scope).agg(F.ceil(F.count(F.lit(1)) / QUERY_BLOCK).cast("int").alias("q_parts"))
+    c_parts = chunks.groupBy(scope).agg(F.ceil(F.count(F.lit(1)) / CHUNK_BLOCK).cast("int").alias("c_parts"))
+    parts = q_parts.join(c_parts, scope)
+    own = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    asked = queries.join(parts, scope).select(F.col(scope).alias("asked_scope"), own("query_id", "q_parts").alias("q_part"), each("c_parts").alias("c_part"), "query_id", "query_vector")
+    held = chunks.join(parts, scope).select(F.col(scope).alias("held_scope"), each("q_parts").alias("q_part"), own("id", "c_parts").alias("c_part"), "id", "vector")
+    schema = T.StructType([queries.schema["query_id"], chunks.schema["id"], T.StructField("distance", T.DoubleType())])
+    found = asked.groupBy("asked_scope", "q_part", "c_part").cogroup(held.groupBy("held_scope", "q_part", "c_part")).applyInArrow(_block_search(most), schema)
+    return ranked(found, [F.asc_nulls_last("distance"), "id"], most)
+
+
+def _block_search(most: int):
+    """A function of two Arrow tables, queries and chunks: each query's ``most`` rows of least distance, then of least id."""
+    strip_rows, at_once = STRIP, PAIRS
+
+    def matrix(column: pa.ChunkedArray, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """Vectors, and which components there are; shorter vectors and null ones are filled up with absent ones."""
+        lists = column.combine_chunks()
+        sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        there = np.arange(width) < sizes[:, None]
+        flat = lists.flatten()
+        values, present = np.zeros((len(sizes), width)), np.zeros((len(sizes), width), bool)
+        values[there] = flat.fill_null(0).to_numpy(zero_copy_only=False).astype(float)
+        present[there] = flat.is_valid().to_numpy(zero_copy_only=False)
+        return values, present
+
+    def distances(q: np.ndarray, c: np.ndarray, qi: np.ndarray, ci: np.ndarray) -> np.ndarray:
+        """Sums in order of components, as a row by row evaluation gives them."""
+        total = np.zeros(len(qi))
+        for a, b in zip(q.T, c.T):
+            apart = a[qi] - b[ci]
+            total += apart * apart
+        return total
+
+    def partial(q, q_there, c, c_there, i: int) -> tuple[np.ndarray, np.ndarray]:
+        """(distance, absent) of one query and all chunks, where components may be absent or infinite."""
+        total, any_there = np.zeros(len(c)), np.zeros(len(c), bool)
+        with np.errstate(all="ignore"):
+            for k in range(c.shape[1]):
+                both = c_there[:, k] & q_there[i, k]
+                apart = q[i, k] - c[:, k]
+                total += np.where(both, apart * apart, 0.0)
+                any_there |= both
+        return total, ~any_there
+
+    def search(asked: pa.Table, held: pa.Table) -> pa.Table:
+        names = ["query_id", "id", "distance"]
+        if not len(asked) or not len(held):
+            return pa.table([asked["query_id"].slice(0, 0), held["id"].slice(0, 0), pa.array([], pa.float64())], names=names)
+        held = held.take(pc.array_sort_indices(held["id"].combine_chunks(), null_placement="at_start"))
+        width = max(int(pc.max(pc.list_value_length(t[n])).as_py() or 0) for t, n in ((asked, "query_vector"), (held, "vector")))
+        (q, q_there), (c, c_there) = matrix(asked["query_vector"], width), matrix(held["vector"], width)
+        with np.errstate(all="ignore"):
+            q_size, c_size = (q * q).sum(axis=1), (c * c).sum(axis=1)
+        plain = width and q_there.all() and c_there.all() and np.isfinite(q_size).all() and np.isfinite(c_size).all() and max(q_size.max(), c_size.max()) < 1e300
+        found = []
+        if plain:
+            # near misses by products of matrices: what may be among the first by their bound on errors is summed in order
+            off = 8 * (width + 8) * np.finfo(float).eps * (np.sqrt(q_size) + np.sqrt(c_size.max())) ** 2
+            keep = min(most, len(c))
+            for start in range(0, len(q), strip_rows):
+                strip = slice(start, start + strip_rows)
+                near = q[strip] @ (-2.0 * c.T)
+                near += c_size
+                worst = np.partition(near, keep - 1, axis=1)[:, keep - 1]
+                qi, ci = np.nonzero(near <= (worst + 2 * off[strip])[:, None])
+                for rows in np.split(np.arange(len(qi)), np.searchsorted(qi, np.arange(1, int(qi[-1]) + 1))) if len(qi) > at_once else [np.arange(len(qi))]:
+                    one, other = qi[rows] + start, ci[rows]
+                    apart = distances(q, c, one, other)
+                    order = np.lexsort((other, apart, one))
+                    one, other, apart = one[order], other[order], apart[order]
+                    place = np.arange(len(one)) - np.searchsorted(one, one)
+                    first = place < most
+                    found.append((one[first], other[first], apart[first], np.zeros(int(first.sum()), bool)))
+        else:
+            for i in range(len(q)):
+                apart, absent = partial(q, q_there, c, c_there, i)
+                order = np.lexsort((np.arange(len(c)), apart, np.isnan(apart), absent))[:most]
+                found.append((np.full(len(order), i), order, apart[order], absent[order]))
+        one, other, apart, absent = (np.concatenate(x) for x in zip(*found))
+        return pa.table([asked["query_id"].take(pa.array(one)), held["id"].take(pa.array(other)), pa.array(apart, pa.float64(), mask=absent)], names=names)
+
+    return search
 
 
 def diverse(candidates: DataFrame, section: str, most: int) -> DataFrame:

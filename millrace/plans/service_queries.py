@@ -40,12 +40,32 @@ def _entries(spark, sf_dir):
     )
 
 
-def _hits(spark, sf_dir):
-    """(q_id, entry_id, kind, title, place): entries of a question's codes within its brand and category."""
+#: Entries of a list that meet a question at once.
+ENTRY_BLOCK = 1024
+
+
+def _wanted(spark, sf_dir):
+    """(q_id, codes, wanted): what a question looks up, by brand and category, and a digest of it."""
     codes = questions(spark, sf_dir).select("q_id", "brand", "category", F.explode(T.codes_in(F.col("text"))).alias("code"))
-    variants = codes.select("q_id", "brand", "category", F.explode(T.code_variants(F.col("code"))).alias("code_norm")).distinct()
-    found = variants.join(_entries(spark, sf_dir), ["brand", "category", "code_norm"]).select("q_id", "entry_id", "kind", "title").distinct()
-    return retrieval.ranked(found, [(F.col("kind") == "primary").desc(), "entry_id"], partition="q_id", name="place")
+    variants = codes.select("q_id", "brand", "category", F.explode(T.code_variants(F.col("code"))).alias("code_norm")).where("brand IS NOT NULL AND category IS NOT NULL AND code_norm IS NOT NULL")
+    sets = variants.groupBy("q_id").agg(F.array_sort(F.collect_set(F.struct("brand", "category", "code_norm"))).alias("codes"))
+    return sets.withColumn("wanted", F.md5(F.to_json("codes")))
+
+
+def _lists(wanted, entries, most=None):
+    """(wanted, entry_id, kind, title, place): the entries of each distinct set of codes, in order."""
+    once = wanted.select("wanted", "codes").dropDuplicates(["wanted"]).select("wanted", F.inline("codes"))
+    found = once.join(entries, ["brand", "category", "code_norm"]).select("wanted", "entry_id", "kind", "title").distinct()
+    return retrieval.ranked(found, [(F.col("kind") == "primary").desc(), "entry_id"], most, partition="wanted", name="place")
+
+
+def _hits(spark, sf_dir, most=None):
+    """(q_id, entry_id, kind, title, place): entries of a question's codes within its brand and category. Many questions
+    look up the same codes: entries are put in order once for each set of codes, and lists meet questions in blocks."""
+    wanted = _wanted(spark, sf_dir)
+    row = F.struct("place", "entry_id", "kind", "title")
+    blocks = _lists(wanted, _entries(spark, sf_dir), most).groupBy("wanted", F.expr(f"place DIV {ENTRY_BLOCK}").alias("block")).agg(F.array_sort(F.collect_list(row)).alias("held"))
+    return wanted.select("q_id", "wanted").join(blocks, "wanted").select("q_id", F.inline("held"))
 
 
 @query(HITS + "SELECT q_id, entry_id, kind, place FROM hit")
@@ -381,7 +401,7 @@ def set3_ensemble(spark, sf_dir):
 def rte1_service_routes(spark, sf_dir):
     """Each question's route: unregistered products first (RTE-5), then exact codes, features known to be absent, near
     chunks, none."""
-    asked, hits = questions(spark, sf_dir), _hits(spark, sf_dir).select("q_id").distinct().withColumn("coded", F.lit(True))
+    asked, hits = questions(spark, sf_dir), _hits(spark, sf_dir, 1).select("q_id").withColumn("coded", F.lit(True))
     absent = table(spark, sf_dir, "events").where("event_type = 'error' AND value < 2").select("user_id").distinct().withColumn("absent", F.lit(True))
     rows = asked.join(hits, "q_id", "left").join(absent, "user_id", "left")
     route = F.when(F.col("q_id") % 50 == 49, "unregistered").when(F.col("coded"), "error_code").when(F.contains("text", F.lit("without")) & F.col("absent"), "feature_absent")
@@ -395,7 +415,9 @@ def rte1_service_routes(spark, sf_dir):
 def rte3_answer_sources(spark, sf_dir):
     """Questions with codes are answered from the table alone or together with near chunks; others from chunks."""
     held = F.array_sort(F.collect_list(F.struct("place", "title")))
-    titles = _hits(spark, sf_dir).where("place <= 3").groupBy("q_id").agg(F.array_join(F.transform(held, lambda x: x["title"]), " / ").alias("titles"))
+    wanted = _wanted(spark, sf_dir)
+    lists = _lists(wanted, _entries(spark, sf_dir), 3).groupBy("wanted").agg(F.array_join(F.transform(held, lambda x: x["title"]), " / ").alias("titles"))
+    titles = wanted.select("q_id", "wanted").join(lists, "wanted").select("q_id", "titles")
     rows = questions(spark, sf_dir).join(titles, "q_id", "left")
     plain = F.when(F.col("q_id") % 2 == 0, "vector_exact").otherwise("vector_general")
     return rows.select("q_id", F.when(F.col("titles").isNull(), plain).when(F.col("user_id") % 3 == 0, "rdb").otherwise("combined").alias("source"), "titles")

@@ -85,13 +85,16 @@ FEATURES = """
 
 def _features(spark, sf_dir):
     """(p_partkey, has): whether a model has the asked feature, by the first pattern that covers it; null if none does.
-    A feature that another implies is looked up there."""
+    A feature that another implies is looked up there. Patterns and models meet once each, however many rows hold them."""
     part = table(spark, sf_dir, "part")
     known = part.select(F.col("p_brand").alias("brand"), F.col("p_type").alias("feature"), F.regexp_replace("p_name", "[aeiou]", "*").alias("pattern"), (F.col("p_size") % 2).alias("has"))
+    known = known.groupBy("brand", "feature", "pattern").agg(F.min("has").alias("has"))
     asked = part.where("p_size % 5 < 3").select("p_partkey", F.col("p_brand").alias("brand"), F.when(F.col("p_type") == "PROMO", "ECONOMY").otherwise(F.col("p_type")).alias("feature"), F.col("p_name").alias("model"))
-    met = asked.join(known, ["brand", "feature"]).where(T.matches_pattern(F.col("model"), F.col("pattern")))
-    first = met.groupBy("p_partkey").agg(F.min(F.struct("pattern", "has")).alias("first")).select("p_partkey", "first.has")
-    return asked.select("p_partkey").join(first, "p_partkey", "left")
+    models = asked.select("brand", "feature", "model").distinct()
+    met = models.join(known, ["brand", "feature"]).where(T.matches_pattern(F.col("model"), F.col("pattern")))
+    first = met.groupBy("brand", "feature", "model").agg(F.min(F.struct("pattern", "has")).alias("first"))
+    found = asked.join(first, ["brand", "feature", "model"]).groupBy("p_partkey").agg(F.min("first").alias("first")).select("p_partkey", "first.has")
+    return asked.select("p_partkey").join(found, "p_partkey", "left")
 
 
 @query("WITH " + FEATURES + "SELECT a.p_partkey, m.has FROM a LEFT JOIN m USING (p_partkey)")

@@ -58,10 +58,15 @@ def rte1_service_turns(spark, sf_dir):
 
     codes = questions.select("query_id", "brand", "category", F.explode(T.codes_in(F.col("text"))).alias("code"))
     variants = codes.select("query_id", "brand", "category", F.explode(T.code_variants(F.col("code"))).alias("code_norm")).distinct()
-    entries = variants.join(_entries(spark, sf_dir), ["brand", "category", "code_norm"]).select("query_id", F.col("entry_id").alias("id"), "kind").distinct()
-    hits = retrieval.ranked(entries, [(F.col("kind") == "primary").desc(), "id"]).select("query_id", "id", "rank")
+    # a turn shows five hits, so no more of a code's entries are looked at
+    code, order = ["brand", "category", "code_norm"], lambda c: [(F.col("kind") == "primary").desc(), c]
+    held = _entries(spark, sf_dir).select(*code, "entry_id", "kind").distinct().withColumn("code", F.struct(*code))
+    first_entries = retrieval.ranked(held, order("entry_id"), 5, partition="code").select(*code, F.col("entry_id").alias("id"), "kind")
+    entries = variants.join(first_entries, code).select("query_id", "id", "kind").distinct()
+    hits = retrieval.ranked(entries, order("id"), 5).select("query_id", "id", "rank")
 
     known = parts.select(F.col("p_brand").alias("brand"), F.col("p_type").alias("category"), F.regexp_replace("p_name", "[aeiou]", "*").alias("pattern"), (F.col("p_size") % 2).alias("has"))
+    known = known.groupBy("brand", "category", "pattern").agg(F.min("has").alias("has"))
     wanted = questions.where(F.col("text").startswith("does it have ")).join(known, ["brand", "category"]).where(T.matches_pattern(F.col("model"), F.col("pattern")))
     first = wanted.groupBy("query_id").agg(F.min(F.struct("pattern", "has")).alias("first"))
     absent = first.where("first.has = 0").select("query_id", F.col("query_id").alias("id"))

@@ -65,14 +65,14 @@ def holding_pages(probes: DataFrame, pages: DataFrame, key: list[str], probe_key
     own = [*key, *probe_key]
     rest = [c for c in probes.columns if c not in own and c != "probe"]
     index = with_anchors(pages, [*key, "page"], "text").withColumnRenamed("place", "page_place")
-    asked = with_anchors(probes, [*own, *rest], "probe", first=True)
+    asked = with_anchors(probes, [*own, *rest, "probe"], "probe", first=True)
     met = asked.join(index, [*key, "anchor"])
     if within is not None:
         met = met.where(within)
-    met = met.select(*own, "page", (F.col("page_place") - F.col("place")).alias("at")).where("at >= 0").distinct()
+    met = met.select(*own, "probe", "page", (F.col("page_place") - F.col("place")).alias("at")).where("at >= 0")
+    # probes are short: they go to the pages, whose texts move once and end here
     texts = pages.select(*key, "page", "text")
-    near = met.join(texts, [*key, "page"]).join(probes.select(*own, "probe"), own)
-    found = near.where(F.substring(F.col("text"), (F.col("at") + 1).cast("int"), F.length("probe")) == F.col("probe")).select(*own, "page")
+    found = met.join(texts, [*key, "page"]).where(F.substring(F.col("text"), (F.col("at") + 1).cast("int"), F.length("probe")) == F.col("probe")).select(*own, "page")
     short = probes.where((F.length("probe") < WINDOW) & (F.length("probe") > 0)).join(texts, key).where(F.contains("text", "probe"))
     if within is not None:
         short = short.where(within)

@@ -226,7 +226,7 @@ def src10_html_fields(spark, sf_dir):
 """)
 def jn16_label_lines(spark, sf_dir):
     """Labels (all lines and sentences of benchmark items) against lines by shared grams."""
-    rows = chunking.lines(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "line_no", T.grams(F.lower("line")).alias("g"))
+    rows = chunking.lines(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "line_no", F.lower("line").alias("text"))
     parts = F.posexplode(F.split("text", r"(?<=[.!?])\s+|\n")).alias("label_no", "label")
-    items = table(spark, sf_dir, "benchmark").where("text IS NOT NULL").select("item_id", parts).select("item_id", "label_no", T.grams(F.lower("label")).alias("g"))
-    return figures.gram_matches(items, rows, ["item_id", "label_no"], ["doc_id", "line_no"], 0.8)
+    items = table(spark, sf_dir, "benchmark").where("text IS NOT NULL").select("item_id", parts).select("item_id", "label_no", F.lower("label").alias("text"))
+    return figures.gram_matches(items, rows, ["item_id", "label_no"], ["doc_id", "line_no"], 0.8).drop("shared", "n_label", "n_line")

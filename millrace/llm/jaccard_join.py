@@ -251,11 +251,12 @@ _PACKED = "bucket int, hashes binary, keys binary, runs binary"
 
 
 def _dealt(hashes: list[np.ndarray], key: list[np.ndarray], buckets: int) -> Iterator[pa.RecordBatch]:
-    """Pairs of a hash, of which 48 bits stay, and a key, packed by bucket of the hash. A key that comes several times
-    in turn is sent once, with its number."""
+    """Pairs of a hash, of which 40 bits and the bucket stay, and a key, packed by bucket of the hash. A bucket's keys are
+    sorted, each is sent once with its number, as the difference to the one before; equal bytes of these stand together.
+    Hashes that become equal only add candidates, which are verified."""
     pair = np.stack([np.concatenate(hashes), np.concatenate(key)])
     bucket = (pair[0] >> np.uint64(40)) % np.uint64(buckets)
-    order = np.argsort(bucket, kind="stable")
+    order = np.lexsort((pair[1], bucket))
     pair, bucket = pair[:, order], bucket[order]
     edge = np.append(True, bucket[1:] != bucket[:-1])[: len(bucket)]
     heads = np.nonzero(edge)[0]
@@ -266,12 +267,13 @@ def _dealt(hashes: list[np.ndarray], key: list[np.ndarray], buckets: int) -> Ite
     for part in range(0, len(heads) - 1, 64):
         some = range(part, min(part + 64, len(heads) - 1))
         low = [(pair[0, heads[i] : heads[i + 1]] & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes() for i in some]
-        high = [((pair[0, heads[i] : heads[i + 1]] >> np.uint64(32)) & np.uint64(0xFFFF)).astype("<u2").tobytes() for i in some]
+        high = [((pair[0, heads[i] : heads[i + 1]] >> np.uint64(32)) & np.uint64(0xFF)).astype(np.uint8).tobytes() for i in some]
+        apart = [np.diff(names[own[i] : own[i + 1]], prepend=np.uint64(0)) for i in some]
         yield pa.record_batch(
             [
                 pa.array([int(bucket[heads[i]]) for i in some], pa.int32()),
                 pa.array([x + y for x, y in zip(low, high)], pa.binary()),
-                pa.array([names[own[i] : own[i + 1]].tobytes() for i in some], pa.binary()),
+                pa.array([x.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes() for x in apart], pa.binary()),
                 pa.array([runs[own[i] : own[i + 1]].tobytes() for i in some], pa.binary()),
             ],
             ["bucket", "hashes", "keys", "runs"],
@@ -283,10 +285,11 @@ def _gathered(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray
     hashes, key = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
     for batch in batches:
         for bucket, row, keys, runs in zip(*(batch.column(c).to_pylist() for c in ("bucket", "hashes", "keys", "runs"))):
-            n = len(row) // 6
-            high = np.frombuffer(row, "<u2", n, n * 4).astype(np.uint64) | (np.uint64(bucket & 0xFFFF) << np.uint64(16))
+            n = len(row) // 5
+            high = np.frombuffer(row, np.uint8, n, n * 4).astype(np.uint64) | (np.uint64(bucket & 0xFFFFFF) << np.uint64(8))
             hashes.append(np.frombuffer(row, "<u4", n).astype(np.uint64) | (high << np.uint64(32)))
-            key.append(np.repeat(np.frombuffer(keys, np.uint64), np.frombuffer(runs, "<u4")))
+            names = np.cumsum(np.ascontiguousarray(np.frombuffer(keys, np.uint8).reshape(8, -1).T).view("<u8").ravel(), dtype=np.uint64)
+            key.append(np.repeat(names, np.frombuffer(runs, "<u4")))
     return np.concatenate(hashes), np.concatenate(key)
 
 

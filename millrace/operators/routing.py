@@ -10,6 +10,9 @@ from millrace.operators import retrieval
 #: Distances below this are evidence.
 CUT_OFF = 0.9
 
+#: Code points of a text that a reader is shown.
+SNIPPET = 220
+
 
 def unanswered(questions: DataFrame, *answered: DataFrame) -> DataFrame:
     """Questions that no earlier branch answered; only these need the expensive search."""
@@ -47,7 +50,7 @@ def gated(candidates: DataFrame, verdict: Column, near: float = 0.85, far: float
     return least.select("query_id", "least", passed.alias("answered"))
 
 
-def source_rows(evidence: DataFrame, text: str, size: int = 220) -> DataFrame:
+def source_rows(evidence: DataFrame, text: str, size: int = SNIPPET) -> DataFrame:
     """Evidence as shown to a reader: a snippet, and the distance rounded half to even."""
     return evidence.withColumn("snippet", F.substring(text, 1, size)).withColumn("distance", F.bround("distance", 3))
 

@@ -480,8 +480,9 @@ def rte8_rendered_entries(spark, sf_dir):
 
 @query(VECTORS + """SELECT n.query_id, n.id, substring(d.text, 1, 220) AS snippet, round(n.distance, 3) AS distance FROM near n JOIN documents d ON d.doc_id = n.id WHERE n.rank <= 3 AND d.text IS NOT NULL""")
 def rte9_source_rows(spark, sf_dir):
+    """Snippets are cut before they meet the hits, so that whole texts are read but not shuffled."""
     found = retrieval.nearest(*_vectors(spark, sf_dir), "label", 3)
-    docs = table(spark, sf_dir, "documents").where("text IS NOT NULL").select(F.col("doc_id").alias("id"), "text")
+    docs = table(spark, sf_dir, "documents").where("text IS NOT NULL").select(F.col("doc_id").alias("id"), F.substring("text", 1, routing.SNIPPET).alias("text"))
     return routing.source_rows(found.join(docs, "id"), "text").select("query_id", "id", "snippet", "distance")
 
 

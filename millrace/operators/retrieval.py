@@ -15,7 +15,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Rows of a block of queries and of chunks, queries that are multiplied at once, and pairs that are summed at once.
-QUERY_BLOCK, CHUNK_BLOCK, STRIP, PAIRS = 2048, 8192, 256, 1 << 21
+QUERY_BLOCK, CHUNK_BLOCK, STRIP, PAIRS = 8192, 8192, 256, 1 << 21
+#: Chunks of which only the nearest counts for the bound on what may be among the first.
+GROUP = 16
 
 
 def metadata_filter(condition: dict) -> Column:
@@ -67,7 +69,7 @@ def nearest(queries: DataFrame, chunks: DataFrame, scope: str, most: int) -> Dat
 
 def _block_search(most: int):
     """A function of two Arrow tables, queries and chunks: each query's ``most`` rows of least distance, then of least id."""
-    strip_rows, at_once = STRIP, PAIRS
+    strip_rows, at_once, most_in_group = STRIP, PAIRS, GROUP
 
     def matrix(column: pa.ChunkedArray, width: int) -> tuple[np.ndarray, np.ndarray]:
         """Vectors, and which components there are; shorter vectors and null ones are filled up with absent ones."""
@@ -113,13 +115,20 @@ def _block_search(most: int):
         if plain:
             # near misses by products of matrices: what may be among the first by their bound on errors is summed in order
             off = 8 * (width + 8) * np.finfo(float).eps * (np.sqrt(q_size) + np.sqrt(c_size.max())) ** 2
-            keep = min(most, len(c))
+            keep = max(1, min(most, len(c)))
+            # the keep-th least of the groups' minima is no less than the keep-th least of all, and few lie between them
+            group = min(most_in_group, len(c) // keep)
+            groups = len(c) // group
+            turned = -2.0 * c.T
             for start in range(0, len(q), strip_rows):
                 strip = slice(start, start + strip_rows)
-                near = q[strip] @ (-2.0 * c.T)
+                near = q[strip] @ turned
                 near += c_size
-                worst = np.partition(near, keep - 1, axis=1)[:, keep - 1]
-                qi, ci = np.nonzero(near <= (worst + 2 * off[strip])[:, None])
+                least = near[:, :groups].copy()
+                for n in range(1, group):
+                    np.minimum(least, near[:, n * groups : (n + 1) * groups], out=least)
+                worst = np.partition(least, keep - 1, axis=1)[:, keep - 1]
+                qi, ci = np.divmod(np.flatnonzero(near <= (worst + 2 * off[strip])[:, None]), len(c))
                 for rows in np.split(np.arange(len(qi)), np.searchsorted(qi, np.arange(1, int(qi[-1]) + 1))) if len(qi) > at_once else [np.arange(len(qi))]:
                     one, other = qi[rows] + start, ci[rows]
                     apart = distances(q, c, one, other)

@@ -1,9 +1,10 @@
 """Plans of queries on vector search: what is shuffled, and how often the search runs."""
 
+import duckdb
 import pytest
 
-from millrace.plans import service_queries  # noqa: F401  (it registers its queries)
-from millrace.plans.registry import QUERIES
+from millrace.plans import report_queries, rerank_queries, retrieval_queries, service_queries, structure_queries  # noqa: F401  (they register their queries)
+from millrace.plans.registry import ORACLES, QUERIES
 
 
 @pytest.fixture(scope="module")
@@ -22,3 +23,15 @@ def test_source_rows_shuffle_snippets(spark, folder):
     assert "substring" in plan[plan.index("Join"):].split("documents")[0]
     found = rows.collect()
     assert len(found) > 40 and {r.snippet for r in found} == {"é" * 100 + "x" * 120}
+
+
+@pytest.mark.parametrize("name", ["agg10_least_distances"])
+def test_search_runs_once(spark, folder, name):
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW embeddings AS FROM '{folder}/embeddings.parquet/*.parquet'")
+    rows = QUERIES[name](spark, folder)
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("FlatMapCoGroupsInArrow") <= 1
+    wanted = duck.sql(ORACLES[name])
+    at = [wanted.columns.index(c) for c in rows.columns]
+    plain = lambda v: f"{v:.9g}" if isinstance(v, float) else str(v)
+    assert sorted(tuple(map(plain, r)) for r in rows.collect()) == sorted(tuple(plain(r[i]) for i in at) for r in wanted.fetchall())

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from millrace.operators import chunking, page_index, retrieval, toc
+from millrace.operators.stored import stored
 from millrace.plans.registry import query, table
 from millrace.plans.retrieval_queries import VECTORS, _vectors
 from millrace.plans.structure_queries import TOC, _toc
@@ -30,7 +31,7 @@ def vec5_listwise(spark, sf_dir):
 """)
 def vec4_pointwise(spark, sf_dir):
     queries, chunks = _vectors(spark, sf_dir)
-    near = retrieval.nearest(queries, chunks, "label", 20)
+    near = stored(retrieval.nearest(queries, chunks, "label", 20).select("query_id", "id"), "near")
     scores = near.select("query_id", "id", (1.0 / (1 + F.col("id") % 97)).alias("p"))
     found = retrieval.pointwise(near, scores, 5)
     return found.select("query_id", "id", F.round("distance", 9).alias("distance"), F.col("place").cast("long").alias("place"))

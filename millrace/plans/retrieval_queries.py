@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from millrace.functions import numbers as N
 from millrace.functions import text as T
 from millrace.operators import answers, retrieval, tables
+from millrace.operators.stored import stored
 from millrace.plans.registry import query, table
 
 DISTANCE = "list_sum(list_transform(list_zip(q.e, c.e), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
@@ -82,7 +83,7 @@ def vec2_rank_fusion(spark, sf_dir):
 """)
 def vec7_structural_first(spark, sf_dir):
     queries, chunks = _vectors(spark, sf_dir)
-    near = retrieval.nearest(queries, chunks, "label", 10)
+    near = stored(retrieval.nearest(queries, chunks, "label", 10).select("query_id", "id", "rank"), "near")
     merged = retrieval.first_wins([near.where("rank <= 5 AND id % 3 = 0"), near], 8)
     return merged.select("query_id", "id", F.col("place").cast("long").alias("place"), F.round(0.1 + 0.05 * (F.col("place") - 1), 6).alias("distance"))
 

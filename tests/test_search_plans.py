@@ -25,7 +25,7 @@ def test_source_rows_shuffle_snippets(spark, folder):
     assert len(found) > 40 and {r.snippet for r in found} == {"é" * 100 + "x" * 120}
 
 
-@pytest.mark.parametrize("name", ["agg10_least_distances", "evl15_same_chapter_misses", "vec4_pointwise"])
+@pytest.mark.parametrize("name", ["agg10_least_distances", "evl15_same_chapter_misses", "vec4_pointwise", "vec7_structural_first"])
 def test_search_runs_once(spark, folder, name):
     duck = duckdb.connect()
     duck.execute(f"CREATE VIEW embeddings AS FROM '{folder}/embeddings.parquet/*.parquet'")

@@ -7,11 +7,14 @@ page's text is compared there once. Pages keep about a fifth of their places as
 
 Passages shorter than ``WINDOW`` are looked for in all pages of their document; they can't be but at texts' ends, and
 callers try longer ones first.
+
+Where pieces ask for pages of their own document, both are brought together by document (``_looked_up``).
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from bisect import bisect_left, bisect_right
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -79,6 +82,72 @@ def holding_pages(probes: DataFrame, pages: DataFrame, key: list[str], probe_key
     return found.unionByName(short.select(*own, "page")).distinct()
 
 
+#: Texts of a document up to so many characters are searched as they are, longer ones by their anchors.
+DIRECT = 1 << 17
+
+
+class Pages:
+    """The pages of one document in order, as one text with line ends between them, which neither pages nor probes hold."""
+
+    def __init__(self, numbers: list[int], texts: list[str]):
+        order = sorted(range(len(numbers)), key=numbers.__getitem__)
+        self.numbers, self.begins, at = [numbers[i] for i in order], [0], 0
+        for i in order:
+            at += len(texts[i]) + 1
+            self.begins.append(at)
+        self.text, self.index = "\n".join([texts[i] for i in order]), None
+
+    def first(self, probe: str, low: int | None = None, high: int | None = None) -> int | None:
+        """The first page from ``low`` to ``high`` that holds the probe."""
+        begin = 0 if low is None else self.begins[bisect_left(self.numbers, low)]
+        end = len(self.text) if high is None else self.begins[bisect_right(self.numbers, high)] - 1
+        at = self.text.find(probe, begin, end) if min(end - begin, len(probe) - WINDOW + DIRECT) <= DIRECT else self._anchored(probe, begin, end)
+        return None if at < 0 or begin >= end else self.numbers[bisect_right(self.begins, at) - 1]
+
+    def _anchored(self, probe: str, begin: int, end: int) -> int:
+        if self.index is None:
+            places, hashes = anchors(self.text)
+            order = np.argsort(hashes, kind="stable")
+            self.index = places[order], hashes[order]
+        (place,), (hashed,) = anchors(probe[:WINDOW])
+        low, high = (np.searchsorted(self.index[1], hashed, side) for side in ("left", "right"))
+        found = self.index[0][low:high] - place
+        low, high = np.searchsorted(found, (begin, end - len(probe) + 1))
+        return next((at for at in map(int, found[low:high]) if self.text.startswith(probe, at)), -1)
+
+
+def _looked_up(pieces: DataFrame, pages: DataFrame, key: list[str], columns: list[str], look: Callable[..., tuple[int | None, int | None]]) -> DataFrame:
+    """(*key, piece_no, page_start, page_end) of pieces (*key, piece_no, *columns): what ``look`` finds in the ``Pages`` of
+    the piece's document, given its columns.
+
+    A document's pages and its pieces are one row each, so texts are moved once, and nothing is joined by text. A document
+    has to fit a task; a long one is searched through its anchors, in time that grows with its length.
+    """
+    asked = pieces.groupBy(*key).agg(F.collect_list(F.struct("piece_no", *columns)).alias("__pieces"))
+    texts = pages.where(F.col("page").isNotNull() & F.col("text").isNotNull()).groupBy(*key).agg(F.collect_list(F.struct("page", "text")).alias("__pages"))
+    both = asked.join(texts, key, "left").select(*key, "__pieces", "__pages")
+    named = [*(both.schema[c] for c in key), pieces.schema["piece_no"]]
+    schema = T.StructType([*named, T.StructField("page_start", T.LongType()), T.StructField("page_end", T.LongType())])
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists, held = batch.column("__pieces"), batch.column("__pages")
+            rows, own = lists.flatten(), lists.value_lengths().fill_null(0).to_pylist()
+            texts, sizes = held.flatten(), held.value_lengths().fill_null(0).to_pylist()
+            numbers, texts = texts.field("page").to_pylist(), texts.field("text").to_pylist()
+            asked = list(zip(*(rows.field(c).to_pylist() for c in columns)))
+            found, at, text_at = [], 0, 0
+            for n, size in zip(own, sizes):
+                document = Pages(numbers[text_at : text_at + size], texts[text_at : text_at + size])
+                found += [look(document, *asked[i]) for i in range(at, at + n)]
+                at, text_at = at + n, text_at + size
+            ids = batch.select(key).take(pa.array(np.repeat(np.arange(len(own)), own)))
+            pages_found = [pa.array([f[i] for f in found], pa.int64()) for i in (0, 1)]
+            yield pa.record_batch([*ids.columns, rows.field("piece_no"), *pages_found], [*key, "piece_no", "page_start", "page_end"])
+
+    return both.mapInArrow(find, schema)
+
+
 #: Lengths of the starts and ends of a piece that are looked for, and the windows after its start.
 LENGTHS, LATER, LATER_WIDTH = (120, 80, 40, 20), (30, 60, 90), 30
 
@@ -91,17 +160,25 @@ def assigned_pages(pieces: DataFrame, pages: DataFrame, key: list[str], piece: s
     """
     own = [*key, "piece_no"]
     bare = lambda c: F.regexp_replace(c, r"\s+", "")
-    body = pieces.select(*own, bare(F.col(piece)).alias("b"))
+    body = pieces.select(*own, F.coalesce(bare(F.col(piece)), F.lit("")).alias("b"))
     body = body.withColumn("b", F.when(F.col("b").startswith("증상:"), F.substring(F.col("b"), F.lit(4), F.length("b"))).otherwise(F.col("b")))
+    most = max(*LENGTHS, *(k + LATER_WIDTH for k in LATER))
+    ends = body.select(*own, F.substring("b", 1, most).alias("head"), F.when(F.length("b") <= most, F.col("b")).otherwise(F.substring("b", -most, most)).alias("tail"))
     squeezed = pages.select(*key, "page", bare(F.col("text")).alias("text"))
-    heads = [F.substring("b", 1, n) for n in LENGTHS] + [F.substring("b", k + 1, LATER_WIDTH) for k in LATER]
-    tails = [F.when(F.length("b") <= n, F.col("b")).otherwise(F.substring("b", -n, n)) for n in LENGTHS]
-    each = lambda tries: body.select(*own, F.posexplode(F.array(*tries)).alias("i", "probe")).where("probe <> ''")
-    first = holding_pages(each(heads), squeezed, key, ["piece_no", "i"]).groupBy(*own).agg(F.min(F.struct("i", "page")).alias("best")).select(*own, F.col("best.page").alias("page_start"))
-    last = holding_pages(each(tails).join(first, own), squeezed, key, ["piece_no", "i"], F.col("page") >= F.col("page_start"))
-    last = last.groupBy(*own).agg(F.min(F.struct("i", "page")).alias("best")).select(*own, F.col("best.page").alias("page_end"))
-    found = first.join(last, own, "left").withColumn("page_end", F.coalesce("page_end", "page_start"))
-    return pieces.select(*own).join(found, own, "left")
+
+    def look(document: Pages, head: str, tail: str) -> tuple[int | None, int | None]:
+        for probe in (*(head[:n] for n in LENGTHS), *(head[k : k + LATER_WIDTH] for k in LATER)):
+            if probe and (start := document.first(probe)) is not None:
+                break
+        else:
+            return None, None
+        for n in LENGTHS:
+            if (end := document.first(tail[-n:], start)) is not None:
+                return start, end
+        return start, start
+
+    kind = pages.schema["page"].dataType
+    return _looked_up(ends, squeezed, key, ["head", "tail"], look).select(*own, F.col("page_start").cast(kind), F.col("page_end").cast(kind))
 
 
 #: Width of the probes at look-up, where they begin, least text, and pages looked at.

@@ -1,5 +1,10 @@
 """Probes go to the pages: texts of pages are moved by one join, and every page that holds a probe is found."""
 
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
 from millrace.operators import page_index
 
 
@@ -11,3 +16,29 @@ def test_texts_move_once(spark):
     wanted = {(1, p, i, page) for _, p, i, probe in map(tuple, probes.collect()) for doc, page, t in map(tuple, pages.collect()) if doc == 1 and probe in t}
     assert {tuple(r) for r in found.collect()} == wanted and len(wanted) >= 4
     assert found._jdf.queryExecution().optimizedPlan().toString().count("Join Inner") == 3
+
+
+@pytest.mark.parametrize("direct", [1 << 17, 40])
+def test_first_pages_as_by_force(spark, monkeypatch, direct):
+    """Short and long documents: in text, and through anchors."""
+    monkeypatch.setattr(page_index, "DIRECT", direct)
+    rng = random.Random(4)
+    for _ in range(60):
+        text = "".join(rng.choice("ab") for _ in range(rng.choice([0, 5, 90, 300])))
+        pages = {n: text[i : i + 45] for n, i in zip(rng.sample(range(3, 30), 12), range(0, len(text), 30))}
+        found = page_index.Pages(list(pages), list(pages.values()))
+        for _ in range(40):
+            i, low, high = rng.randrange(max(len(text), 1)), rng.choice([None, rng.randrange(32)]), rng.choice([None, rng.randrange(32)])
+            probe = text[i : i + rng.choice([1, 17, 18, 19, 30])] or "a"
+            wanted = [n for n, t in pages.items() if probe in t and (low is None or n >= low) and (high is None or n <= high)]
+            assert found.first(probe, low, high) == min(wanted, default=None)
+
+
+def test_texts_of_a_document_meet_in_one_row(spark):
+    """One join by document, not by passages; documents without pages, null texts and null keys keep their pieces."""
+    pages = spark.createDataFrame([(1, 2, "x" * 30 + " the knob turns slowly to the left"), (1, 1, "the knob turns slowly to the left"), (2, 0, None)], "doc_id long, page int, text string")
+    pieces = spark.createDataFrame([(1, 0, "knob turns slowly to"), (1, 1, "not to be found"), (2, 0, "knob"), (3, 0, "knob"), (None, 0, "knob"), (1, 2, None), (1, 3, "x" * 25)], "doc_id long, piece_no int, piece string")
+    found = page_index.assigned_pages(pieces, pages, ["doc_id"], "piece")
+    assert {tuple(r) for r in found.collect()} == {(1, 0, 1, 1), (1, 1, None, None), (2, 0, None, None), (3, 0, None, None), (None, 0, None, None), (1, 2, None, None), (1, 3, 2, 2)}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 1 and "anchor" not in plan

@@ -22,6 +22,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from millrace.functions import text as letters
+
 WINDOW, GRAM = 18, 10
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -189,16 +191,22 @@ def located_pages(pieces: DataFrame, pages: DataFrame, key: list[str]) -> DataFr
     """(*key, piece_no, page_start, page_end) of pieces (*key, piece_no, body, claimed): two probes, near the start and
     the end of the letters and digits, looked for from the claimed page up to ``FORWARD`` pages on; else as claimed."""
     own = [*key, "piece_no"]
-    bare = lambda c: F.regexp_replace(c, "[^0-9A-Za-z가-힣]", "")
+    bare = lambda c: F.regexp_replace(c, letters.OTHERS, "")
     rows = pieces.select(*own, "claimed", bare(F.col("body")).alias("b"))
     squeezed = pages.select(*key, "page", bare(F.col("text")).alias("text"))
-    probes = F.array(F.substring("b", OFFSET + 1, PROBE), F.substring(F.col("b"), F.greatest(F.length("b") - PROBE - OFFSET, F.lit(OFFSET)) + 1, F.lit(PROBE)))
-    each = rows.where((F.length("b") >= LEAST) & F.col("claimed").isNotNull()).select(*own, "claimed", F.posexplode(probes).alias("i", "probe")).where(F.length("probe") == PROBE)
-    found = holding_pages(each, squeezed, key, ["piece_no", "i"], F.col("page").between(F.col("claimed"), F.col("claimed") + FORWARD))
-    first = lambda i: F.min(F.when(F.col("i") == i, F.col("page")))
-    met = found.groupBy(*own).agg(first(0).alias("first_page"), first(1).alias("last_page"))
-    start, end = F.coalesce("first_page", "last_page", "claimed"), F.coalesce("last_page", "first_page", "claimed")
-    return rows.select(*own, "claimed").join(met, own, "left").select(*own, start.alias("page_start"), F.greatest(start, end).alias("page_end"))
+    probes = F.substring("b", OFFSET + 1, PROBE), F.substring(F.col("b"), F.greatest(F.length("b") - PROBE - OFFSET, F.lit(OFFSET)) + 1, F.lit(PROBE))
+    whole = lambda x: F.when((F.length("b") >= LEAST) & (F.length(x) == PROBE), x)
+    asked = rows.select(*own, "claimed", whole(probes[0]).alias("head"), whole(probes[1]).alias("tail"))
+
+    def look(document: Pages, claimed: int | None, head: str | None, tail: str | None) -> tuple[int | None, int | None]:
+        if claimed is None:
+            return None, None
+        first, last = (p and document.first(p, claimed, claimed + FORWARD) for p in (head, tail))
+        start = next((p for p in (first, last) if p is not None), claimed)
+        return start, max(start, next((p for p in (last, first) if p is not None), claimed))
+
+    kind = pieces.unionByName(pages.select(F.col("page").alias("claimed")), allowMissingColumns=True).schema["claimed"].dataType
+    return _looked_up(asked, squeezed, key, ["claimed", "head", "tail"], look).select(*own, F.col("page_start").cast(kind), F.col("page_end").cast(kind))
 
 
 def repaired_sources(messages: DataFrame, pages: DataFrame, message: str) -> DataFrame:

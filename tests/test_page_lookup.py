@@ -42,3 +42,6 @@ def test_texts_of_a_document_meet_in_one_row(spark):
     assert {tuple(r) for r in found.collect()} == {(1, 0, 1, 1), (1, 1, None, None), (2, 0, None, None), (3, 0, None, None), (None, 0, None, None), (1, 2, None, None), (1, 3, 2, 2)}
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join ") == 1 and "anchor" not in plan
+    asked = pieces.select("doc_id", "piece_no", F.col("piece").alias("body"), F.lit(1).alias("claimed"))
+    found = page_index.located_pages(asked, pages, ["doc_id"])
+    assert found.count() == 7 and found._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1

@@ -217,7 +217,12 @@ def repaired_sources(messages: DataFrame, pages: DataFrame, message: str) -> Dat
     stale = each.where("s.doc_id IS NOT NULL AND s.page_start IS NOT NULL").select(message, "piece_no", "s.doc_id", "s.body", F.col("s.page_start").alias("claimed"))
     # a message's sources may be of several documents: pieces are named by both
     named = stale.select("doc_id", F.struct(message, "piece_no").alias("piece_no"), F.coalesce("body", F.lit("")).alias("body"), "claimed")
-    found = located_pages(named, pages, ["doc_id"]).select(F.col(f"piece_no.{message}").alias(message), F.col("piece_no.piece_no").alias("piece_no"), F.col("page_start").alias("start"), F.col("page_end").alias("end"))
-    fixed = each.join(found, [message, "piece_no"], "left").withColumn("s", F.when(F.col("start").isNotNull(), F.col("s").withField("page_start", F.col("start")).withField("page_end", F.col("end"))).otherwise(F.col("s")))
-    lists = fixed.groupBy(message).agg(F.transform(F.array_sort(F.collect_list(F.struct("piece_no", "s"))), lambda x: x["s"]).alias("repaired"))
-    return messages.join(lists, message, "left").withColumn("sources", F.coalesce("repaired", "sources")).drop("repaired")
+    found = located_pages(named, pages, ["doc_id"]).select(f"piece_no.{message}", "piece_no.piece_no", "page_start", "page_end")
+    # what is found goes to the messages as one map each, so their texts aren't taken apart and put together again
+    maps = found.groupBy(message).agg(F.map_from_entries(F.collect_list(F.struct("piece_no", F.struct("page_start", "page_end")))).alias("found"))
+
+    def fixed(s: Column, i: Column) -> Column:
+        new = F.try_element_at("found", i)
+        return F.when(new.isNotNull(), s.withField("page_start", new["page_start"]).withField("page_end", new["page_end"])).otherwise(s)
+
+    return messages.join(maps, message, "left").withColumn("sources", F.when(F.col("found").isNull(), F.col("sources")).otherwise(F.transform("sources", fixed))).drop("found")

@@ -45,3 +45,16 @@ def test_texts_of_a_document_meet_in_one_row(spark):
     asked = pieces.select("doc_id", "piece_no", F.col("piece").alias("body"), F.lit(1).alias("claimed"))
     found = page_index.located_pages(asked, pages, ["doc_id"])
     assert found.count() == 7 and found._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
+
+
+def test_sources_are_repaired_without_taking_messages_apart(spark):
+    body = "press the small knob beside the door until it clicks twice and wait for the lamp"
+    pages = spark.createDataFrame([(1, n, body if n == 4 else "nothing here") for n in range(1, 7)], "doc_id long, page int, text string")
+    source = lambda doc, text, page: (doc, text, page, page)
+    rows = [(1, [source(1, body, 2), source(None, body, 2), source(1, None, 3), source(1, body, None)]), (2, None), (3, []), (None, [source(1, body, 1)]), (4, [source(9, body, 5)])]
+    held = spark.createDataFrame(rows, "m long, sources array<struct<doc_id:long,body:string,page_start:int,page_end:int>>")
+    found = page_index.repaired_sources(held, pages, "m")
+    got = {r.m: r.sources and [(s.page_start, s.page_end) for s in r.sources] for r in found.collect()}
+    assert got == {1: [(4, 4), (2, 2), (3, 3), (None, None)], 2: None, 3: [], None: [(1, 1)], 4: [(5, 5)]}
+    assert found.schema["sources"].dataType == held.schema["sources"].dataType
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 2

@@ -222,3 +222,15 @@ def test_places_and_containing(spark):
     texts, parts = ["abcabc", "", "xabx", None], ["ab", "abcabc", "zz", "", "c"]
     pairs = tables.containing(spark.createDataFrame([(t,) for t in texts], "t string"), "t", spark.createDataFrame([(p,) for p in parts], "p string"), "p")
     assert {(r.t, r.p) for r in pairs.collect()} == {("abcabc", "ab"), ("abcabc", "abcabc"), ("abcabc", "c"), ("xabx", "ab")}
+
+
+def test_a_page_is_one_row(spark):
+    """Lines and figures meet by page: no grid cells, no row for a pair, so texts are moved once. Odd boxes do no harm."""
+    lines = spark.createDataFrame([(1, 1, 0, 60.0, 80.0, 300.0, 92.0, 9.0, False, "turn the knob"), (1, 1, 1, 60.0, 95.0, 300.0, 107.0, 9.0, None, "slowly"), (1, 1, 2, None, 99.0, 300.0, 107.0, 9.0, False, "no edge"), (1, 2, 3, 60.0, 80.0, 300.0, 92.0, None, True, "alone"), (1, 1, 4, 60.0, 80.0, 300.0, 92.0, 9.0, False, None)], "doc int, page int, line long, x0 double, y0 double, x1 double, y1 double, size double, bold boolean, text string")
+    figures = spark.createDataFrame([(1, 1, 7, 60.0, 110.0, 200.0, 200.0), (1, 1, 8, None, 90.0, 200.0, 200.0), (1, 3, 9, 60.0, 110.0, 200.0, 200.0), (2, 1, 9, 60.0, 110.0, 200.0, 200.0)], "doc int, page int, figure long, x0 double, y0 double, x1 double, y1 double")
+    pages = spark.createDataFrame([(1, 1, 600.0), (1, 2, 600.0), (1, 3, None)], "doc int, page int, width double")
+    found = figure_labels.label_candidates(lines, figures, pages, ["doc"])
+    assert sorted(tuple(r) for r in found.collect()) == [(1, 1, 7, 1, 2, "near", "turn the knob slowly"), (1, 1, 7, 1, 3, "above", "turn the knob slowly")]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 2 and "Window" not in plan and "Generate" not in plan
+    assert figure_labels._rounded(2.675, 2) == 2.68 and figure_labels._rounded(10.08, 6) == 10.08 and figure_labels._rounded(float("inf"), 1) == float("inf")

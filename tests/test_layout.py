@@ -234,3 +234,11 @@ def test_a_page_is_one_row(spark):
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join ") == 2 and "Window" not in plan and "Generate" not in plan
     assert figure_labels._rounded(2.675, 2) == 2.68 and figure_labels._rounded(10.08, 6) == 10.08 and figure_labels._rounded(float("inf"), 1) == float("inf")
+
+
+def test_texts_are_cleaned_once(spark):
+    rows = spark.createDataFrame([(0, "- turn the knob slowly •"), (1, "too short"), (2, None), (3, " " * 20)], "i int, t string")
+    found = figure_matching.speaking(rows, "t").select("i", "clean")
+    assert [tuple(r) for r in found.collect()] == [(0, "turn the knob slowly")]
+    plan = found._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("regexp_replace(") == 4
